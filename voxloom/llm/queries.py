@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, simhash
+from voxloom.llm import bpe, simhash, substring, winnow
 from voxloom.llm.common import table
 
 
@@ -19,6 +19,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_with_edited(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,5 +37,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op3_substring": op3_substring, "op4_winnow": op4_winnow, "op10_byte_bpe": op10_byte_bpe}
 SQL: dict[str, str] = {}
