@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, simhash, substring, winnow
+from voxloom.llm import bpe, simhash, substring, toxicity, winnow
 from voxloom.llm.common import table
 
 
@@ -19,6 +19,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(divisor: int, rest: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(4, 2).alias("held_out"))
+    trained = toxicity.train(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, trained).select("doc_id", "held_out", "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -37,5 +47,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_substring": op3_substring, "op4_winnow": op4_winnow, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_substring": op3_substring, "op4_winnow": op4_winnow, "op10_byte_bpe": op10_byte_bpe}
 SQL: dict[str, str] = {}
