@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, simhash, substring, toxicity, winnow
+from voxloom.llm import bpe, langid, simhash, substring, toxicity, winnow
 from voxloom.llm.common import table
 
 
@@ -38,6 +38,12 @@ def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_edited(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(3, 1).alias("held_out"))
+    field = langid.train(docs.where("NOT held_out"))
+    return langid.identify(docs, field).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,5 +53,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_substring": op3_substring, "op4_winnow": op4_winnow, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_substring": op3_substring, "op4_winnow": op4_winnow, "op5_language": op5_language, "op10_byte_bpe": op10_byte_bpe}
 SQL: dict[str, str] = {}
