@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import cut, shuffle_partitions
+from voxloom.llm.common import cut_by, shuffle_partitions
 
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 32 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,14 +90,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
                 some = numbers[at : at + step]
                 counts = np.fromiter(map(len, some), np.uint32, len(some))
                 flat = place[np.concatenate([*some, np.empty(0, np.uint32)]).astype(np.int64)]
-                rows.append((-1, name, [None if i is None else int(i) for i in docs_of[at : at + step]], _pack(counts), None, _pack_planes(flat)))
+                rows.append((-1, name, docs_of[at : at + step], _pack(counts), None, _pack_planes(flat)))
             return pd.DataFrame(rows, columns=["bucket", "chunk", "ids", "a", "b", "c"])
 
         for b in batches:
             for i, t in zip(b["id"].tolist(), b["text"].tolist(), strict=True):
                 found = split((t or "").encode("utf-8", "replace").decode("utf-8"))
                 get = known.setdefault
-                docs_of.append(None if i is None or i != i else i)
+                docs_of.append(None if pd.isna(i) else int(i))
                 numbers.append(np.fromiter((get(w, len(known)) for w in found), np.uint32, len(found)))
                 size += len(t or "")
                 if size >= CHUNK_CHARS:
@@ -120,14 +120,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
             known.update((w, np.array(coder.encode_ordinary(w.decode("utf-8")), np.uint32)) for w in fresh)
             got = [known[w] for w in words]
             counts = np.fromiter(map(len, got), np.uint32, len(got))
-            out.append((row.chunk, 0, None, row.a, _pack(counts), _pack(np.concatenate(got))))
-        return pd.DataFrame(out, columns=["chunk", "kind", "ids", "a", "b", "c"])
+            out.append((row.chunk, row.a, _pack(counts), _pack(np.concatenate(got))))
+        return pd.DataFrame(out, columns=["chunk", "a", "b", "c"])
 
-    def reassemble(b: pd.DataFrame) -> pd.DataFrame:
+    def reassemble(own: pd.DataFrame, of_words: pd.DataFrame) -> pd.DataFrame:
         bytes_of: list = [b""] * (max(vocabulary.value.values(), default=-1) + 1)
         for token, i in vocabulary.value.items():
             bytes_of[i] = token
-        of_words = b[b["kind"] == 0]
         places = [_unpack(x, np.uint32) for x in of_words["a"]]
         counts = [_unpack(x, np.uint32) for x in of_words["b"]]
         n = 1 + max((int(p.max()) for p in places if len(p)), default=-1)
@@ -141,7 +140,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
             c = c.astype(np.int64)
             flat[np.repeat(start[p] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(len(ids))] = ids
         rows = []
-        for row in b[b["kind"] == 1].itertuples(index=False):
+        for row in own.itertuples(index=False):
             sizes = _unpack(row.a, np.uint32)
             words = _unpack_planes(row.c).astype(np.int64)
             at = 0
@@ -158,22 +157,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
 
     names = ["id", *(x.strip().split(" ")[0] for x in finish_schema.split(","))]
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # written once: the chunks' names and numbers must be the same on both sides of the join
-    blobs = cut(picked.mapInPandas(_nullable(chunks), "bucket int, chunk string, ids array<bigint>, a binary, b binary, c binary"))
-    words = (
-        blobs.where("bucket >= 0")
-        .groupBy("bucket")
-        .applyInPandas(encode_words, "chunk string, kind int, ids array<bigint>, a binary, b binary, c binary")
-    )
-    own = blobs.where("bucket < 0").select("chunk", F.lit(1).alias("kind"), "ids", "a", "b", "c")
-    return own.unionByName(words).groupBy("chunk").applyInPandas(reassemble, f"id bigint, {finish_schema}")
+    # written once, as the chunks' names and numbers must be the same on both sides
+    # of the join, and by chunk, so that only the dictionaries are shuffled
+    blobs = cut_by(picked.mapInPandas(_nullable(chunks), "bucket int, chunk string, ids array<bigint>, a binary, b binary, c binary"), "chunk", buckets)
+    words = blobs.where("bucket >= 0").groupBy("bucket").applyInPandas(encode_words, "chunk string, a binary, b binary, c binary")
+    own = blobs.where("bucket < 0").select("chunk", "ids", "a", "c")
+    return own.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(reassemble, f"id bigint, {finish_schema}")
 
 
 def _nullable(run):
     """Keep 64-bit ids whole where a column also holds nulls."""
 
     def wrapped(batches):
-        return run(b.assign(id=b["id"].astype("Int64").astype(object).where(b["id"].notna(), None)) if b["id"].dtype != np.int64 else b for b in batches)
+        return run(b if b["id"].dtype == np.int64 else b.assign(id=b["id"].astype("Int64").astype(object)) for b in batches)
 
     return wrapped
 

@@ -41,6 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As ``cut``, bucketed by a column: what is grouped by it later, in as many
+    partitions, is read where it lies and not shuffled. The catalog's name for
+    the table goes at once; its files stay for the plan that reads them."""
+    spark = df.sparkSession
+    name = f"voxloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018  resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -81,19 +81,23 @@ class Field:
     def __init__(self, labels: list[str], emit: np.ndarray, start: np.ndarray, move: np.ndarray):
         self.labels, self.emit, self.start, self.move = labels, emit, start, move
 
-    def mean_probabilities(self, texts: list[str | None], cache: dict[str, np.ndarray]) -> np.ndarray:
+    def mean_probabilities(self, texts: list[str | None]) -> np.ndarray:
         """Mean label probabilities (texts, labels) over the words of each text;
         rows of texts without a letter are zero."""
-        found = [words_of(t) for t in texts]
-        fresh = list({w for words in found for w in words if w not in cache})
-        if fresh:
-            f = np.array([features(w) for w in fresh])
-            scores = np.concatenate([self.emit[f[k : k + 8192]].sum(axis=1) for k in range(0, len(f), 8192)])
-            cache.update(zip(fresh, scores, strict=True))
+        known: dict[str, int] = {}
+        number = known.setdefault
+        found = [np.array([number(w, len(known)) for w in words_of(t)], np.int64) for t in texts]
         lengths = np.array([len(x) for x in found])
         out = np.zeros((len(texts), len(self.labels)))
+        if not known:
+            return out
+        f = np.array([features(w) for w in known])
+        scores = np.concatenate([self.emit[f[k : k + 8192]].sum(axis=1) for k in range(0, len(f), 8192)])
         for rows in _groups(lengths):
-            emit, n = _padded([found[r] for r in rows], cache, len(self.labels))
+            n = lengths[rows]
+            emit = np.zeros((len(rows), int(n.max()), len(self.labels)))
+            for r, row in enumerate(rows):
+                emit[r, : n[r]] = scores[found[row]]
             gamma, _ = forward_backward(emit, n, self.start, self.move)
             out[rows] = gamma.sum(axis=1) / n[:, None]
         return out
