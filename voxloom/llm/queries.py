@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, langid, simhash, substring, toxicity, winnow
+from voxloom.llm import bpe, langid, mixing, simhash, substring, toxicity, winnow
 from voxloom.llm.common import table
 
 
@@ -44,6 +44,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, field).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.expr(mixing.TOPIC).alias("topic"), F.expr(mixing.TOKENS).cast("long").alias("tokens"))
+    cells = mixing.calibrated(docs, mixing.DIMS, F.col("tokens"))
+    return mixing.sample(docs, cells, mixing.DIMS, "doc_id").select("doc_id", *mixing.DIMS, F.round("p", 6).alias("p"), "kept")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,5 +59,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_substring": op3_substring, "op4_winnow": op4_winnow, "op5_language": op5_language, "op10_byte_bpe": op10_byte_bpe}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_substring": op3_substring, "op4_winnow": op4_winnow, "op5_language": op5_language, "op7_mixing": op7_mixing, "op10_byte_bpe": op10_byte_bpe}
+SQL: dict[str, str] = {
+    "op7_mixing": f"""WITH {mixing.cells_sql("documents")}
+SELECT doc_id, d.source, d.lang, d.topic, round(p, 6) AS p, {mixing.DRAW_SQL} < p AS kept FROM {mixing.JOIN_SQL}""",
+}
