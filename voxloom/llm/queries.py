@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, langid, mixing, simhash, substring, toxicity, winnow
+from voxloom.llm import bpe, epsilon_grid, langid, mixing, simhash, substring, toxicity, winnow
 from voxloom.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(docs, cells, mixing.DIMS, "doc_id").select("doc_id", *mixing.DIMS, F.round("p", 6).alias("p"), "kept")
 
 
+def op8_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = epsilon_grid.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,8 +64,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_substring": op3_substring, "op4_winnow": op4_winnow, "op5_language": op5_language, "op7_mixing": op7_mixing, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_substring": op3_substring, "op4_winnow": op4_winnow, "op5_language": op5_language, "op7_mixing": op7_mixing, "op8_epsilon_grid": op8_epsilon_grid, "op10_byte_bpe": op10_byte_bpe}
 SQL: dict[str, str] = {
+    "op8_epsilon_grid": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS r FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.r > 0 AND b.r > 0 AND list_inner_product(a.e, b.e) / (a.r * b.r) >= 0.9),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+k AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)""",
     "op7_mixing": f"""WITH {mixing.cells_sql("documents")}
 SELECT doc_id, d.source, d.lang, d.topic, round(p, 6) AS p, {mixing.DRAW_SQL} < p AS kept FROM {mixing.JOIN_SQL}""",
 }
