@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,15 @@ def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return table
 
 
+BROADCAST_ROWS = 500_000  # of two numbers each, at most
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a cut table of a few numbers a row, marked for broadcast if it has
+    ``rows`` rows or fewer; a larger one is joined by shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -133,6 +143,54 @@ class Forest:
             r = n
 
 
+def solve_runs(rows: DataFrame, key: str, solve, schema: str) -> DataFrame:
+    """Apply ``solve`` to batches of ``rows``, which are partitioned by ``key`` and
+    sorted by it first; a run of equal keys always comes in one batch."""
+
+    def run(batches):
+        rest = None  # the last run of a batch may go on in the next one
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            start = int(np.searchsorted(b[key].to_numpy(), b[key].iloc[-1]))
+            rest = b.iloc[start:].reset_index(drop=True)
+            if start:
+                yield solve(b.iloc[:start].reset_index(drop=True))
+        if rest is not None:
+            yield solve(rest)
+
+    return rows.mapInPandas(run, schema)
+
+
+def in_tiles(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` (key bigint, id bigint, ...) with tile (bigint) and side (int)
+    instead of key, partitioned by tile and sorted by tile and id.
+
+    A group of at most ``most`` rows of one key is one tile of side -1. A larger
+    one is cut by a hash of the id into parts of about that size; each part is a
+    tile of side -1, and every two parts are a tile with sides 0 and 1, so all
+    pairs of a group meet and no task holds more than two parts.
+    """
+    size = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    large = broadcast_if_small(cut(size.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))))
+    others = [c for c in rows.columns if c not in (key, "id")]
+    return (
+        rows.join(large, key, "left")
+        .withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        .withColumn("_part", F.expr("CAST(pmod(xxhash64(id), _parts) AS INT)"))
+        .withColumn("_other", F.explode(F.expr("sequence(0, _parts - 1)")))
+        .select(
+            F.xxhash64(key, F.least("_part", "_other"), F.greatest("_part", "_other")).alias("tile"),
+            F.when(F.col("_part") == F.col("_other"), -1).otherwise((F.col("_part") > F.col("_other")).cast("int")).alias("side"),
+            "id",
+            *others,
+        )
+        .repartition("tile")
+        .sortWithinPartitions("tile", "id")
+    )
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: bigint), root being the
     smallest id in its component.

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, epsilon_grid, langid, mixing, simhash, substring, toxicity, winnow
+from voxloom.llm import bpe, epsilon_grid, langid, licenses, mixing, secrets_scan, simhash, substring, toxicity, winnow
 from voxloom.llm.common import table
 
 
@@ -44,6 +44,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, field).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "license", F.round("coverage", 6).alias("coverage"), "start", "end")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.expr(mixing.TOPIC).alias("topic"), F.expr(mixing.TOKENS).cast("long").alias("tokens"))
     cells = mixing.calibrated(docs, mixing.DIMS, F.col("tokens"))
@@ -55,6 +60,12 @@ def op8_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets_scan.scan(docs, secrets_scan.train(docs))
+    return found.select(F.col("id").alias("doc_id"), "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +75,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_substring": op3_substring, "op4_winnow": op4_winnow, "op5_language": op5_language, "op7_mixing": op7_mixing, "op8_epsilon_grid": op8_epsilon_grid, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_toxicity, op3_substring, op4_winnow, op5_language, op6_licenses, op7_mixing, op8_epsilon_grid, op9_secrets, op10_byte_bpe)
+}
 SQL: dict[str, str] = {
     "op8_epsilon_grid": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS r FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),

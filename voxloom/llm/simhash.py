@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Forest, connected_components, cut, mix64
+from voxloom.llm.common import Forest, broadcast_if_small, connected_components, cut, in_tiles, mix64, solve_runs
 
 _SPREAD = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], np.uint64)
 
@@ -161,28 +161,8 @@ def _exceeds(counters: np.ndarray, radius: int) -> np.ndarray:
 def link_buckets(keyed: DataFrame, lanes: int, radius: int, most: int = 4096) -> DataFrame:
     """Edges (a, b) that span, in every bucket of ``keyed`` (key bigint, id
     bigint, fp array<bigint>), the links at ``radius`` or fewer bits: as many
-    edges as rows at most, never all pairs.
-
-    Buckets of over ``most`` rows are cut into parts of about that size by a hash
-    of the id, and every pair of parts becomes a bucket of its own, so no task
-    ever holds more than two parts and no link is lost.
-    """
-    size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / most).cast("int")
-    rows = (
-        keyed.join(size, "key")
-        .withColumn("parts", parts)
-        .withColumn("part", F.expr("CAST(pmod(xxhash64(id), parts) AS INT)"))
-        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .select(
-            F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("tile"),
-            F.when(F.col("part") == F.col("other"), -1).otherwise((F.col("part") > F.col("other")).cast("int")).alias("side"),
-            "id",
-            "fp",
-        )
-        .repartition("tile")
-        .sortWithinPartitions("tile", "id")
-    )
+    edges as rows at most, never all pairs. Buckets of over ``most`` rows are
+    compared in tiles."""
 
     def solve(b: pd.DataFrame):
         fp = np.stack(b["fp"].to_numpy()).astype(np.int64).view(np.uint64).reshape(len(b), lanes)
@@ -196,18 +176,7 @@ def link_buckets(keyed: DataFrame, lanes: int, radius: int, most: int = 4096) ->
         own = roots != np.arange(len(b))
         return pd.DataFrame({"a": ids[own], "b": ids[roots[own]]})
 
-    def run(batches):
-        rest = None  # the last tile of a batch may go on in the next one
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            start = int(np.searchsorted(b["tile"].to_numpy(), b["tile"].iloc[-1])) if len(b) else 0
-            rest = b.iloc[start:].reset_index(drop=True)
-            if start:
-                yield solve(b.iloc[:start].reset_index(drop=True))
-        if rest is not None and len(rest):
-            yield solve(rest)
-
-    return rows.mapInPandas(run, "a bigint, b bigint")
+    return solve_runs(in_tiles(keyed, "key", most), "tile", solve, "a bigint, b bigint").distinct()
 
 
 def pigeonhole_keys(fp: str, radius: int) -> F.Column:
@@ -236,3 +205,96 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col:
     parts = connected_components(edges)
     named = points.join(parts, points["id"] == parts["node"], "left").select("fp", F.coalesce("root", "id").alias("component"))
     return prints.join(named, "fp").select("id", "fp", "component")
+
+
+BAND_BITS = 13
+LANES = 8
+PREFIX_LANES = 2
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group) of the rows of ``docs`` that have near-duplicates: texts whose
+    sets of ``words``-word shingles have Jaccard similarity ``similarity`` or
+    more, directly or through others; group is the smallest id of the class.
+
+    Fingerprints of 512 bits meet in bands of 13 bits, where their first 128 bits
+    are compared, bit-sliced; the radius takes in 99 in 100 pairs at the wanted
+    similarity, and 39 bands as many. Each cluster that results is then compared
+    exactly, all pairs of its texts, in tiles of bounded size. Exact copies are
+    one text with a number of ids. Null and empty texts have the empty set and
+    count as copies of each other. Null ids are left out; rows that repeat an id
+    with another text are taken as further texts of that id.
+    """
+    prints = cut(fingerprints(docs, words, LANES, True, id_col, text_col))
+    classes = cut(prints.groupBy("copy").agg(F.min("id").alias("id"), F.min_by("fp", "id").alias("fp")))
+    # a bit differs with probability p at the wanted similarity of sets
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = 64 * PREFIX_LANES
+    radius = int(np.ceil(n * p + 2.33 * np.sqrt(n * p * (1 - p))))
+
+    def bands(batches):
+        count = 64 * LANES // BAND_BITS
+        weight = 1 << np.arange(BAND_BITS, dtype=np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            fp = np.stack(b["fp"].to_numpy()).astype(np.int64)
+            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, : count * BAND_BITS]
+            keys = bits.reshape(len(b), count, BAND_BITS).astype(np.int64) @ weight + (np.arange(count) << BAND_BITS)
+            yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(b["id"].to_numpy(), count), "fp": list(np.repeat(fp[:, :PREFIX_LANES], count, axis=0))})
+
+    keyed = classes.select("id", "fp").mapInPandas(bands, "key bigint, id bigint, fp array<bigint>")
+    clusters = cut(connected_components(link_buckets(keyed, PREFIX_LANES, radius)))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(broadcast_if_small(clusters.select(F.col("node").alias("id"), F.col("root").alias("key"))), "id")
+
+    def sets(batches):
+        for b in batches:
+            own = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in b["text"]]
+            yield pd.DataFrame({"key": b["key"], "id": b["id"], "shingles": own})
+
+    def solve(b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        tile = b["tile"].to_numpy()
+        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])), [len(b)]])
+        for at, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if end - at > 1:
+                one = b.iloc[at:end]
+                out.append(_jaccard_edges(one["id"].to_numpy(), one["side"].to_numpy(), list(one["shingles"]), similarity))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+
+    exact = solve_runs(in_tiles(texts.mapInPandas(sets, "key bigint, id bigint, shingles binary"), "key", 512), "tile", solve, "a bigint, b bigint")
+    named = connected_components(exact)
+    group = classes.select("copy", "id").join(named, F.col("id") == F.col("node"), "left").select("copy", F.coalesce("root", "id").alias("group"))
+    return prints.select("id", "copy").join(group, "copy").groupBy("id").agg(F.min("group").alias("group"))
+
+
+def _jaccard_edges(ids: np.ndarray, side: np.ndarray, shingles: list[bytes], similarity: float, width: int = 4096) -> pd.DataFrame:
+    """The spanning forest of the pairs of one tile at ``similarity`` or more."""
+    sets = [np.frombuffer(x, np.uint64) for x in shingles]
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[col] > 1
+    order = np.cumsum(times > 1) - 1
+    row, col = row[shared], order[col[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(col.max(initial=-1)) + 1, width):
+        here = (col >= at) & (col < at + width)
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[here], col[here] - at] = 1
+        both += m @ m.T
+    near = np.triu(both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6, 1)
+    if side[0] >= 0:
+        near &= side[:, None] != side[None, :]
+    forest = Forest(len(sets))
+    forest.link(*np.nonzero(near))
+    roots = forest.roots()
+    own = roots != np.arange(len(sets))
+    return pd.DataFrame({"a": ids[own], "b": ids[roots[own]]})
+
+
+def keep_one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in ``groups`` (id, group) under
+    another group than itself; all else, null ids too, stays as it is."""
+    gone = broadcast_if_small(cut(groups.where("id <> `group`").select(F.col("id").alias("_gone"))))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
