@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxloom.plans import metric_queries
+from voxloom.plans import metric_queries, voxel_queries
 
-MODULES = (metric_queries,)
+MODULES = (metric_queries, voxel_queries)
 
 
 def queries() -> dict:
