@@ -344,10 +344,12 @@ def _(spark, sf):
 
 
 NB = f", {OFFSETS_SQL}"
-CLAMP = "n.z = greatest(0, least(v.z + o.oz, 6)) AND n.y = greatest(0, least(v.y + o.oy, 31)) AND n.x = greatest(0, least(v.x + o.ox, 63))"
+# targets first, then an equality join
+NEAR = """(SELECT v.*, o.idx, greatest(0, least(v.z + o.oz, 6)) AS tz, greatest(0, least(v.y + o.oy, 31)) AS ty, greatest(0, least(v.x + o.ox, 63)) AS tx FROM voxels v CROSS JOIN o) v
+ JOIN voxels n ON n.volume = v.volume AND n.z = v.tz AND n.y = v.ty AND n.x = v.tx"""
 
 
-@query("jn_neighbor_join", f"{VX}{NB} SELECT v.volume, o.idx, sum(n.label)::BIGINT AS sum_label, sum((n.label = v.label)::INT)::BIGINT AS n_same FROM voxels v CROSS JOIN o JOIN voxels n ON n.volume = v.volume AND {CLAMP} GROUP BY ALL")
+@query("jn_neighbor_join", f"{VX}{NB} SELECT v.volume, v.idx, sum(n.label)::BIGINT AS sum_label, sum((n.label = v.label)::INT)::BIGINT AS n_same FROM {NEAR} GROUP BY ALL")
 def _(spark, sf):
     s = N.shifted(X.voxels(spark, sf), ["label"])
     return s.groupBy("volume", "idx").agg(F.sum("n_label").alias("sum_label"), F.sum((F.col("n_label") == F.col("label")).cast("bigint")).alias("n_same"))
@@ -444,7 +446,7 @@ def _(spark, sf):
 
 # --- affinities and boundaries ---------------------------------------------
 
-PAIRS = f", pr AS (SELECT v.volume, v.z, v.y, v.x, o.idx, (n.label = v.label)::INT AS target, (n.label > 0 AND v.label > 0)::INT AS valid FROM voxels v CROSS JOIN o JOIN voxels n ON n.volume = v.volume AND {CLAMP})"
+PAIRS = f", pr AS (SELECT v.volume, v.z, v.y, v.x, v.idx, (n.label = v.label)::INT AS target, (n.label > 0 AND v.label > 0)::INT AS valid FROM {NEAR})"
 
 
 @query("aff_target", f"{VX}{NB}{PAIRS} SELECT volume, z, y, x, idx, target FROM pr WHERE z = 3")

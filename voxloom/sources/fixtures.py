@@ -49,7 +49,7 @@ VOXELS_SQL = f"""cells AS (SELECT l_orderkey // 2048 AS v, l_linenumber - 1 AS z
   avg(l_extendedprice) AS price, avg(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY ALL),
 vols AS (SELECT DISTINCT l_orderkey // 2048 AS v FROM lineitem),
 grid AS (SELECT v, a.z::INT AS z, b.y::INT AS y, c.x::INT AS x FROM vols, range({DZ}) a(z), range({DY}) b(y), range({DX}) c(x)),
-voxels AS (SELECT 'vol_' || g.v AS volume, g.z, g.y, g.x, coalesce(price, 0)::DOUBLE AS intensity,
+voxels AS MATERIALIZED (SELECT 'vol_' || g.v AS volume, g.z, g.y, g.x, coalesce(price, 0)::DOUBLE AS intensity,
   CASE WHEN n >= 2 THEN 0 ELSE 1 + (g.y // 8) * 4 + g.x // 16 END::BIGINT AS label,
   CASE WHEN quantity > 40 THEN 0 ELSE 1 + (g.y // 8) * 5 + (g.x + (g.z % 2) * 4) // 16 END::BIGINT AS pred
   FROM grid g LEFT JOIN cells c ON g.v = c.v AND g.z = c.z AND g.y = c.y AND g.x = c.x)"""
