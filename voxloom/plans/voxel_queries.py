@@ -239,9 +239,9 @@ def _(spark, sf):
     return V.extents(X.voxels(spark, sf)).select("volume", (F.lit(res["z"]) / ((F.lit(res["y"]) + F.lit(res["x"])) / 2)).alias("factor"), (F.greatest("dz", "dy", "dx") / F.least("dz", "dy", "dx") < 1.5).alias("near_cubic"))
 
 
-@query("prj_cast_types", f"{VX} SELECT volume, 0 AS channel, z, y, x, round(intensity::FLOAT::DOUBLE, 2) AS image, label::BIGINT AS label FROM voxels")
+@query("prj_cast_types", f"{VX} SELECT volume, 0 AS channel, z, y, x, round(intensity::FLOAT::DOUBLE + 0.0123, 0) AS image, label::BIGINT AS label FROM voxels")
 def _(spark, sf):
-    return X.voxels(spark, sf).select("volume", F.lit(0).alias("channel"), "z", "y", "x", F.round(F.col("intensity").cast("float").cast("double"), 2).alias("image"), F.col("label").cast("bigint").alias("label"))
+    return X.voxels(spark, sf).select("volume", F.lit(0).alias("channel"), "z", "y", "x", F.round(F.col("intensity").cast("float").cast("double") + 0.0123, 0).alias("image"), F.col("label").cast("bigint").alias("label"))
 
 
 @query("prj_offset_select", f"{VX}, {OFFSETS_SQL} SELECT v.volume, o.idx, o.name FROM (SELECT DISTINCT volume FROM voxels) v, o WHERE idx < 3 OR ((idx - 3) % 2 = 0 AND (idx - 3) // 2 < 4)")
