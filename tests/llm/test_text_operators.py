@@ -1,0 +1,295 @@
+"""Operators on texts against brute force and on awkward rows."""
+
+import collections
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+import public_tokenizers
+from voxloom.llm import bpe, langid, licenses, secrets_scan, simhash, substring, toxicity, winnow
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, fingerprint string, component string, id string, key string"
+
+
+def frame(spark, texts, ids=None, lang=None):
+    """Documents with further columns whose names clash with those of results."""
+    ids = ids or range(len(texts))
+    return spark.createDataFrame([(i, t, (lang or {}).get(i), "src", "f", "c", "i", "k") for i, t in zip(ids, texts, strict=True)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def words():
+    rng = random.Random(5)
+    return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+
+
+@pytest.fixture(scope="module")
+def texts(words):
+    rng = random.Random(6)
+    body = [" ".join(rng.choices(words, k=rng.randint(1, 90))) for _ in range(30)]
+    near = [t.replace(t.split()[len(t.split()) // 2], "Changed", 1) for t in body[:10]]
+    return [*body, *body[:5], *near, None, "", "  \n", "one", "x " * 40_000, "É Ü ß " * 20, "\U0001f600 a b c d"]
+
+
+def blank(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def simhash_of(text, k):
+    w = (text or "").encode().lower().split()
+    shingles = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    hs = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def roots(ids, linked):
+    up = {i: i for i in ids}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_components(spark, texts):
+    got = {r["id"]: r for r in simhash.simhash_components(frame(spark, texts)).collect()}
+    fp = {i: simhash_of(t, 3) for i, t in enumerate(texts)}
+    assert {i: r["fp"] & (2**64 - 1) for i, r in got.items()} == fp
+    want = roots(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2])
+    assert {i: r["component"] for i, r in got.items()} == want
+    assert simhash.simhash_components(blank(spark)).count() == 0
+
+
+@pytest.mark.parametrize(("radius", "lanes"), [(0, 1), (2, 1), (20, 1), (29, 2)])
+def test_bit_sliced_pairs_equal_popcounts(radius, lanes):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**64, (6, lanes), np.uint64)
+    fp = np.repeat(base, 30, axis=0)
+    for row in fp:
+        for b in rng.integers(0, 64, rng.integers(0, 25)):
+            row[rng.integers(0, lanes)] ^= np.uint64(1) << np.uint64(b)
+    bucket = np.sort(rng.integers(0, 4, len(fp)))
+    found = {(i, j) for a, b in simhash.near_pairs(fp, bucket, radius) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if bucket[i] == bucket[j] and int(np.bitwise_count(fp[i] ^ fp[j]).sum()) <= radius}
+    assert found == want
+
+
+def test_large_buckets_are_tiled_without_loss(spark):
+    rng = np.random.default_rng(8)
+    fps = [int(x) for x in rng.integers(0, 2**12, 60)]
+    rows = [(7, i, [f]) for i, f in enumerate(fps)] + [(9, 100 + i, [f]) for i, f in enumerate(fps[:3])]
+    edges = simhash.link_buckets(spark.createDataFrame(rows, "key bigint, id bigint, fp array<bigint>"), 1, 2, most=8).collect()
+    linked = [(a, b) for a in range(60) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    linked += [(100 + a, 100 + b) for a in range(3) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    ids = [*range(60), 100, 101, 102]
+    assert roots(ids, [(e["a"], e["b"]) for e in edges]) == roots(ids, linked)
+
+
+def jaccard_groups(texts, k=5, least=0.8):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    near = lambda a, b: (not a and not b) or (a | b and len(a & b) / len(a | b) >= least)
+    return roots(sets, [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
+
+
+def test_near_duplicates_by_five_words(spark, words):
+    rng = random.Random(3)
+    body = [rng.choices(words, k=120) for _ in range(12)]
+    out = [" ".join(b) for b in body]
+    for b in body[:6]:
+        for n in (1, 2, 3, 6):
+            c = list(b)
+            for _ in range(n):
+                c[rng.randrange(len(c))] = "zz" + str(rng.random())
+            out.append(" ".join(c))
+    out += [None, "", out[0]]
+    got = {r["id"]: r["group"] for r in simhash.near_duplicates(frame(spark, out)).collect()}
+    assert got == jaccard_groups(dict(enumerate(out)))
+    kept = simhash.keep_one_of_each(frame(spark, out), simhash.near_duplicates(frame(spark, out)))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, g in got.items() if i == g}
+
+
+def test_repeated_passages(spark, texts, words):
+    rng = random.Random(9)
+    shared = " ".join(rng.choices(words, k=50))
+    docs = [*texts, f"a {shared} b", f"{shared} c d e", f"q w {shared}", "same " * 100]
+    got = {r["id"]: r for r in substring.remove_repeats(frame(spark, docs)).collect()}
+    split = {i: (t or "").encode().split() for i, t in enumerate(docs)}
+    count = collections.Counter(tuple(w[k : k + 35]) for w in split.values() for k in range(len(w) - 34))
+    for i, w in split.items():
+        gone = [False] * len(w)
+        for k in range(len(w) - 34):
+            if count[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = [True] * 35
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) == (len(w), sum(gone), kept)
+    assert substring.remove_repeats(blank(spark)).count() == 0
+
+
+def winnow_plainly(text, k=winnow.K, window=winnow.WINDOW):
+    """Selected positions by definition, on the same hashes."""
+    points = winnow.code_points(text)
+    if not len(points):
+        return []
+    h = (winnow.rolling(winnow.mix64(points.astype(np.uint64)), min(k, len(points))) >> np.uint64(32)).tolist()
+    width, out = min(window, len(h)), []
+    for s in range(len(h) - width + 1):
+        low = min(h[s : s + width])
+        at = max(i for i in range(s, s + width) if h[i] == low)
+        if not out or out[-1] != at:
+            out.append(at)
+    return out
+
+
+def test_winnowing_selects_by_definition():
+    for text in ["", "a", "ab" * 60, "aaaa" * 30, "The quick brown fox jumps over the lazy dog. " * 5]:
+        assert winnow.select(winnow.code_points(text))[1].tolist() == winnow_plainly(text)
+
+
+def test_edited_texts(spark, texts):
+    got = {r["id"]: r for r in winnow.compare_with_edited(frame(spark, texts)).collect()}
+    n = len(texts)
+    assert len(got) == n
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[i - 1 if i else n - 1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+    names = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        names[t or ""].add(got[i]["fingerprint"])
+    assert max(map(len, names.values())) == 1
+    assert winnow.compare_with_edited(blank(spark)).count() == 0
+    alone = winnow.compare_with_edited(frame(spark, ["only one here"])).first()
+    assert alone["near_next"] == 1
+
+
+def test_byte_bpe_equals_the_library_and_decodes(spark, texts):
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = frame(spark, [*texts, "twice", "twice"], [*range(len(texts)), None, None])
+    got = bpe.encode(docs, ranks, public_tokenizers.PATTERN, lambda ids, table, ends: (ids.tolist(),), "ids array<bigint>")
+    rows = got.collect()
+    by_id = {r["id"]: r["ids"] for r in rows if r["id"] is not None}
+    for i, t in enumerate(texts):
+        assert by_id[i] == whole.encode_ordinary(t or "")
+    assert [r["ids"] for r in rows if r["id"] is None] == [whole.encode_ordinary("twice")] * 2
+    back = {r["id"]: r["bytes"] for r in bpe.decode(got.where("id IS NOT NULL"), ranks, "id").collect()}
+    assert all(bytes(back[i]) == (t or "").encode() for i, t in enumerate(texts))
+    assert bpe.encode(blank(spark), ranks, public_tokenizers.PATTERN, bpe.digest, "n bigint, a string, b string").count() == 0
+
+
+def test_toxicity_learns_and_takes_any_row(spark, words):
+    rng = random.Random(1)
+    bad = ["vile", "rotten", "foul"]
+    texts = []
+    for i in range(240):
+        w = rng.choices(words, k=rng.randint(20, 80))
+        if i % 4 == 0:
+            for b in rng.sample(bad, 2):
+                w[rng.randrange(len(w))] = b
+        texts.append(" ".join(w))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(160)] + [(None, 1, 1), (3, None, 0)], "doc_id bigint, toxic int, text int")
+    trained = toxicity.train(frame(spark, texts), labels, bits=14)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, [*texts, None, ""]), trained).collect()}
+    held = range(160, 240)
+    assert np.mean([(got[i] >= toxicity.REJECT) == (i % 4 == 0) for i in held]) > 0.9
+    assert got[240] == got[241] and all(0 <= s <= 1 for s in got.values())
+    empty = toxicity.train(blank(spark), labels.where("false"), bits=14)
+    assert toxicity.score(blank(spark), empty).count() == 0
+    assert [r["score"] for r in toxicity.score(frame(spark, ["a b", None]), empty).collect()] == pytest.approx([0.001] * 2, rel=0.1)
+
+
+def test_forward_backward_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    emit, start, move = rng.normal(size=(1, 4, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+    weight = {}
+    for path in itertools.product(range(3), repeat=4):
+        weight[path] = np.exp(start[path[0]] + sum(emit[0, t, c] for t, c in enumerate(path)) + sum(move[a, b] for a, b in itertools.pairwise(path)))
+    z = sum(weight.values())
+    want = np.array([[sum(w for p, w in weight.items() if p[t] == c) / z for c in range(3)] for t in range(4)])
+    gamma, counts = langid.forward_backward(emit, np.array([4]), start, move, pairs=True)
+    assert np.allclose(gamma[0], want)
+    pair = np.array([[sum(w for p, w in weight.items() for t in range(3) if (p[t], p[t + 1]) == (a, b)) / z for b in range(3)] for a in range(3)])
+    assert np.allclose(counts, pair)
+
+
+def test_languages_are_told_apart_word_by_word(spark):
+    rng = random.Random(4)
+    parts = {"aa": ["thi", "ing", "ed", "er"], "bb": ["ção", "nho", "mente", "os"]}
+    make = lambda g, n: " ".join("".join(rng.choices(parts[g], k=2)) for _ in range(n))
+    texts, lang = [], {}
+    for i in range(80):
+        g = "aa" if i % 2 else "bb"
+        texts.append(make(g, 30))
+        lang[i] = g
+    field = langid.train(frame(spark, texts, lang=lang))
+    asked = [make("aa", 12), make("bb", 12), None, "", "123 !?", make("aa", 10) + " " + make("bb", 10)]
+    got = [r for r in langid.identify(frame(spark, asked), field).orderBy("doc_id").collect()]
+    assert [r["lang_pred"] for r in got[:5]] == ["aa", "bb", "und", "und", "und"]
+    assert all(0 <= r["score"] <= 1 for r in got)
+    switched = langid.label_words(frame(spark, asked), field).where("id = 5").first()
+    assert switched["langs"] == ["aa"] * 10 + ["bb"] * 10
+    none = langid.train(blank(spark))
+    assert {r["lang_pred"] for r in langid.identify(frame(spark, ["a b"]), none).collect()} == {"und"}
+
+
+def test_license_notices_are_found_with_their_spans(spark):
+    apache = licenses.TEMPLATES["Apache-2.0"]
+    texts = [f"Some words.\n{apache} More.", "Licensed under the APACHE license, version 2.0!", "Licensed to all under the Apache License, Version 2.0.", None, "", "under the bridge", f"{apache}\n{apache}"]
+    got = licenses.scan(frame(spark, texts)).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["id"]].append(r)
+    assert [r["license"] for r in by[0]] == ["Apache-2.0"] and texts[0][by[0][0]["start"] : by[0][0]["end"]] == apache[:-1] and by[0][0]["coverage"] == 1
+    assert by[1][0]["coverage"] == 1 and by[2][0]["license"] == "Apache-2.0" and by[2][0]["coverage"] == 1
+    assert len(by[6]) == 2 and not (by[3] or by[4] or by[5])
+    assert licenses.scan(blank(spark)).count() == 0
+
+
+def test_alignment_equals_the_longest_common_subsequence():
+    rng = random.Random(7)
+    for _ in range(60):
+        a, b = rng.choices("abcd", k=rng.randint(1, 6)), rng.choices("abcd", k=rng.randint(1, 6))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        found = licenses.align(a, b, 0)
+        assert (found[2] if found else 0) == table[-1][-1]
+
+
+def test_secrets_are_told_from_look_alikes(spark):
+    rng = random.Random(2)
+    hexa = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    secret, sha = hexa(40), hexa(40)
+    texts = [f'set token = "{secret}" here', f"fixed in commit {sha} last week", "call 4111111111111111 now", None, "", "plain words only " * 50]
+    docs = frame(spark, texts)
+    trained = secrets_scan.train(docs)
+    got = {(r["id"], r["candidate"]): r["secret"] for r in secrets_scan.scan(docs, trained).collect()}
+    assert got == {(0, secret): True, (1, sha): False, (2, "4111111111111111"): False}
+    masked = {r["doc_id"]: r["text"] for r in secrets_scan.redact(docs, trained).collect()}
+    assert masked[0] == f'set token = "{secrets_scan.MASK}" here' and all(masked[i] == texts[i] for i in range(1, 6))
+    assert secrets_scan.scan(blank(spark), secrets_scan.train(blank(spark))).count() == 0
+
+
+def test_forest_on_held_out_findings():
+    train, test = secrets_scan.drawn_findings([], 1500, 1), secrets_scan.drawn_findings([], 500, 2)
+    ref = secrets_scan.Reference(["value north table river window"] * 3)
+    x = lambda d: np.array([secrets_scan.features(r.before, r.candidate, r.after, r.path, ref) for r in d.itertuples()])
+    forest = secrets_scan.RandomForest(x(train), train["label"].to_numpy().astype(float))
+    assert ((forest.predict(x(test)) >= 0.5) == test["label"].to_numpy()).mean() > 0.9

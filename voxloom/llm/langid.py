@@ -89,7 +89,7 @@ class Field:
         found = [np.array([number(w, len(known)) for w in words_of(t)], np.int64) for t in texts]
         lengths = np.array([len(x) for x in found])
         out = np.zeros((len(texts), len(self.labels)))
-        if not known:
+        if not known or not self.labels:
             return out
         f = np.array([features(w) for w in known])
         scores = np.concatenate([self.emit[f[k : k + 8192]].sum(axis=1) for k in range(0, len(f), 8192)])
