@@ -103,29 +103,33 @@ def boruvka(edges: DataFrame, buckets: int = 4) -> DataFrame:
     e = cut(edges.withColumn("bucket", F.ntile(buckets).over(w)))
     node = lambda c: F.struct("volume", F.col(c).alias("n"))
     roots = cut(e.select(F.explode(F.array(node("u"), node("v"))).alias("s")).select("s.volume", F.col("s.n").alias("node")).distinct().withColumn("root", F.col("node")))
-    mutexes = None
+    # ties go by hash: by number, a chain of equal weights would merge one pair a round
+    rank = F.when(~F.col("mutex"), F.struct("weight", F.xxhash64("idx", "u", "v").alias("h"), "u", "v"))
+
+    def contract(pairs: DataFrame) -> DataFrame:
+        """One row for each two clusters: their best pull edge, unless a mutex lies between."""
+        p = pairs.where("a <> b").select("volume", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rank", "mutex")
+        return p.groupBy("volume", "a", "b").agg(F.max("rank").alias("rank"), F.bool_or("mutex").alias("mutex"))
+
+    def renamed(d: DataFrame, names: DataFrame, old: str, new: str, column: str) -> DataFrame:
+        n = names.select("volume", F.col(old).alias(column), F.col(new).alias("_to"))
+        return d.join(n, ["volume", column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+    pairs = None
     for k in range(1, buckets + 1):
-        now = e.where(F.col("bucket") == k)
+        new = e.where(F.col("bucket") == k).select("volume", F.col("u").alias("a"), F.col("v").alias("b"), rank.alias("rank"), "mutex")
+        new = renamed(renamed(new, roots, "node", "root", "a"), roots, "node", "root", "b").select("volume", "a", "b", "rank", "mutex")
+        pairs = cut(contract(new if pairs is None else new.unionByName(pairs)))
         while True:
-            at = lambda d, c, r: d.join(roots.select("volume", F.col("node").alias(c), F.col("root").alias(r)), ["volume", c])
-            both = at(at(now, "u", "ru"), "v", "rv").where("ru <> rv")
-            fresh = both.where("mutex").select("volume", F.least("ru", "rv").alias("a"), F.greatest("ru", "rv").alias("b"))
-            if mutexes is not None:
-                old = at(at(mutexes, "u", "ru"), "v", "rv").where("ru <> rv").select("volume", F.least("ru", "rv").alias("a"), F.greatest("ru", "rv").alias("b"))
-                fresh = fresh.union(old)
-            blocked = fresh.distinct()
-            pulls = both.where("NOT mutex").withColumns({"a": F.least("ru", "rv"), "b": F.greatest("ru", "rv")}).join(blocked, ["volume", "a", "b"], "left_anti")
-            # ties go by hash: by number, a chain of equal weights would merge one pair a round
-            rank = F.struct(F.col("weight"), F.xxhash64("idx", "u", "v"), F.col("u"), F.col("v"))
-            ends = pulls.select("volume", F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("d")), F.struct(F.col("b").alias("c"), F.col("a").alias("d")))).alias("s"), rank.alias("rank")).select("volume", "s.c", "s.d", "rank")
+            open_ = pairs.where("NOT mutex")
+            ends = open_.select("volume", F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("d")), F.struct(F.col("b").alias("c"), F.col("a").alias("d")))).alias("s"), "rank").select("volume", "s.c", "s.d", "rank")
             best = ends.groupBy("volume", "c").agg(F.max_by("d", "rank").alias("d"))
             back = best.select("volume", F.col("c").alias("d"), F.col("d").alias("c"))
-            merge = cut(best.join(back, ["volume", "c", "d"]).where("c > d").select("volume", F.col("c").alias("root"), F.col("d").alias("into")))
+            merge = cut(best.join(back, ["volume", "c", "d"]).where("c > d").select("volume", F.col("c").alias("gone"), F.col("d").alias("into")))
             if merge.limit(1).count() == 0:
                 break
-            roots = cut(roots.join(merge, ["volume", "root"], "left").select("volume", "node", F.coalesce("into", "root").alias("root")))
-        laid = now.where("mutex").select("volume", "u", "v")
-        mutexes = laid if mutexes is None else cut(mutexes.union(laid))
+            roots = cut(renamed(roots, merge, "gone", "into", "root").select("volume", "node", "root"))
+            pairs = cut(contract(renamed(renamed(pairs, merge, "gone", "into", "a"), merge, "gone", "into", "b")))
     return roots
 
 
