@@ -7,8 +7,10 @@ windows that hold it are compared, hash by hash, with those around the other
 hits, which extends hits to maximal exact repeats without making pairs: a passage
 that thousands of documents share costs each of them its own windows only.
 
-Runs travel packed, per task and hash bucket, and each task sends a hash once,
-however often it occurs there, so a very common run is as small as a rare one.
+Runs travel as packed hashes by document, without positions: a document's hits
+come back as hashes, which it finds again in its own text. Anchors need 30 bits of
+hash, as windows are compared anew, by 62. Each task sends a hash once, however
+often it occurs there, so a very common run is as small as a rare one.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import mix64, rolling, shuffle_partitions
 
-BATCH_WORDS = 1 << 20
+BATCH_WORDS = 1 << 22
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -31,135 +33,143 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array([digest(w) for w in (text or "").encode("utf-8", "surrogatepass").split()], np.uint64)
 
 
-def _send(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, marked: np.ndarray, buckets: int):
-    """Rows (bucket, docs, counts, pos, tag, flags) of packed occurrences, the
-    first of each hash for all buckets; then the hits that this task sees itself
-    (bucket -1): every occurrence of a hash that occurs twice here and is marked."""
-    if not len(h):
-        return []
+def tags(h: np.ndarray, kind: str) -> np.ndarray:
+    """The hash as it travels: its top 30 (``<u4``) or 62 (``<u8``) bits, with two
+    low bits free for flags (1: marked, 2: seen twice)."""
+    return (h >> np.uint64(32) if kind == "<u4" else h).astype(kind) & np.array(-4, "<i8").astype(kind)
+
+
+def _by_doc(doc: np.ndarray, tag: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """(documents, counts, tags), tags in order of document."""
+    o = np.argsort(doc, kind="stable")
+    ids, counts = np.unique(doc[o], return_counts=True)
+    return zlib.compress(np.diff(ids, prepend=0).astype("<i8").tobytes(), 1), zlib.compress(counts.astype("<i4").tobytes(), 1), tag[o].tobytes()
+
+
+def _opened(docs: bytes, counts: bytes, tag: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.cumsum(np.frombuffer(zlib.decompress(docs), "<i8"))
+    return np.repeat(ids, np.frombuffer(zlib.decompress(counts), "<i4")), np.frombuffer(tag, kind)
+
+
+_SENT = ["bucket", "docs", "counts", "tags"]
+_SENT_SCHEMA = "bucket int, docs binary, counts binary, tags binary"
+
+
+def _send(h: np.ndarray, doc: np.ndarray, marked: np.ndarray, buckets: int, kind: str) -> pd.DataFrame:
+    """Packed occurrences by bucket, the first of each hash; then the hits that
+    this task sees itself (bucket -1): every occurrence of a hash that occurs
+    twice here and is marked."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     new = np.concatenate([[True], s[1:] != s[:-1]])
     group = np.cumsum(new) - 1
-    first = order[new]
-    size = np.bincount(group)
+    first, size = order[new], np.bincount(group)
     mark = np.bincount(group, weights=marked[order]) > 0
-    twice = np.zeros(len(h), bool)
-    twice[order] = (size > 1)[group] & mark[group]
-    flags = mark.astype(np.uint8) | ((size > 1).astype(np.uint8) << 1)
-    rows = []
-
-    def row(bucket, take, flag):
-        d, p = doc[take], pos[take]
-        o = np.lexsort((p, d))
-        d, p = d[o], p[o]
-        ids, counts = np.unique(d, return_counts=True)
-        tag = h[take][o] if bucket >= 0 else np.empty(0, np.uint64)
-        low, high = (tag >> np.uint64(24)).astype("<u4"), (tag >> np.uint64(56)).astype(np.uint8)
-        step = np.diff(p, prepend=0)
-        step = step.astype("<i4") if len(step) and max(step.max(), -step.min()) > 32767 else step.astype("<i2")
-        return (bucket, ids.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), step.dtype.str, step.tobytes(), low.tobytes() + high.tobytes(), zlib.compress(flag[o].tobytes(), 1))
-
+    tag = tags(h, kind)
+    flags = mark.astype(kind) | ((size > 1).astype(kind) << np.array(1).astype(kind))
     where = (h[first] & np.uint64(0xFFFFFF)) % np.uint64(buckets)
     by = np.argsort(where, kind="stable")
     edges = np.searchsorted(where[by], np.arange(buckets + 1))
+    rows = []
     for k in range(buckets):
         mine = by[edges[k] : edges[k + 1]]
         if len(mine):
-            rows.append(row(k, first[mine], flags[mine]))
-    at = np.flatnonzero(twice)
-    if len(at):
-        rows.append(row(-1, at, np.zeros(len(at), np.uint8)))
-    return rows
+            rows.append((k, *_by_doc(doc[first[mine]], tag[first[mine]] | flags[mine])))
+    twice = np.zeros(len(h), bool)
+    twice[order] = (size > 1)[group] & mark[group]
+    if twice.any():
+        rows.append((-1, *_by_doc(doc[twice], tag[twice])))
+    return pd.DataFrame(rows, columns=_SENT)
 
 
-_SENT = ["bucket", "docs", "counts", "kind", "pos", "tags", "flags"]
-_SENT_SCHEMA = "bucket int, docs binary, counts binary, kind string, pos binary, tags binary, flags binary"
+def _hits_of(doc: np.ndarray, tag: np.ndarray, bins: int) -> pd.DataFrame:
+    """Hits, packed by bins of documents: one row a bin."""
+    where = (mix64(doc.astype(np.int64).view(np.uint64), 2) % np.uint64(bins)).astype(np.int64)
+    o = np.argsort(where, kind="stable")
+    doc, tag, where = doc[o], tag[o], where[o]
+    edges = np.searchsorted(where, np.arange(bins + 1)).tolist()
+    rows = [(k, *_by_doc(doc[a:b], tag[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+    return pd.DataFrame(rows, columns=["bin", "docs", "counts", "tags"])
 
 
-def _open(row):
-    ids = np.frombuffer(row.docs, "<i8")
-    counts = np.frombuffer(row.counts, "<i4")
-    pos = np.cumsum(np.frombuffer(row.pos, row.kind).astype(np.int64))
-    doc = np.repeat(ids, counts)
-    n = len(row.tags) // 5
-    tag = np.frombuffer(row.tags, "<u4", n).astype(np.uint64) | (np.frombuffer(row.tags, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)) if n else None
-    flags = np.frombuffer(zlib.decompress(row.flags), np.uint8)
-    return doc, pos, tag, flags
+def _meet(b: pd.DataFrame, bins: int, kind: str) -> pd.DataFrame:
+    """In one bucket: occurrences whose hash occurs twice or more, one of them marked."""
+    opened = [_opened(r.docs, r.counts, r.tags, kind) for r in b.itertuples(index=False)]
+    if int(b["bucket"].iloc[0]) < 0:
+        return pd.concat([_hits_of(d, t, bins) for d, t in opened])
+    doc, tag = (np.concatenate(x) for x in zip(*opened, strict=True))
+    order = np.argsort(tag, kind="stable")
+    bare = tag[order] & np.array(-4, "<i8").astype(kind)
+    new = np.concatenate([[True], bare[1:] != bare[:-1]])
+    group = np.cumsum(new) - 1
+    flags = tag[order].astype(np.int64) & 3
+    many = (np.bincount(group) > 1) | (np.bincount(group, weights=flags >> 1) > 0)
+    hit = (many & (np.bincount(group, weights=flags & 1) > 0))[group]
+    return _hits_of(doc[order][hit], bare[hit], bins)
 
 
-def _hits_of(doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
-    """One row per document: its hit positions, packed."""
-    o = np.lexsort((pos, doc))
-    doc, pos = doc[o], pos[o]
-    ids, starts = np.unique(doc, return_index=True)
-    return pd.DataFrame({"id": ids, "hits": [x.astype("<i4").tobytes() for x in np.split(pos, starts[1:])]})
+def _gather(b: pd.DataFrame, kind: str) -> pd.DataFrame:
+    """One row for each document of a bin: all its hits."""
+    doc, tag = (np.concatenate(x) for x in zip(*(_opened(r.docs, r.counts, r.tags, kind) for r in b.itertuples(index=False)), strict=True))
+    o = np.argsort(doc, kind="stable")
+    ids, starts = np.unique(doc[o], return_index=True)
+    return pd.DataFrame({"id": ids, "hits": [np.unique(x).tobytes() for x in np.split(tag[o], starts[1:])]})
 
 
-def _meet(b: pd.DataFrame) -> pd.DataFrame:
-    """In one bucket: occurrences whose hash occurs twice or more, one of them marked."""
-    opened = [_open(r) for r in b.itertuples(index=False)]
-    if int(b["bucket"].iloc[0]) < 0:
-        return pd.concat([_hits_of(d, p) for d, p, _, _ in opened])
-    doc, pos, tag, flags = (np.concatenate(x) for x in zip(*opened, strict=True))
-    _, group, size = np.unique(tag, return_inverse=True, return_counts=True)
-    marked = np.bincount(group, weights=flags & 1) > 0
-    many = (size > 1) | (np.bincount(group, weights=flags >> 1) > 0)
-    hit = (marked & many)[group]
-    return _hits_of(doc[hit], pos[hit])
-
-
-def _repeats(sent: DataFrame) -> DataFrame:
-    """(id, hits) of the marked hashes that occur twice or more. What a task has
-    seen itself goes to groups of its own, spread by its documents."""
-    keyed = sent.withColumn("key", F.when(F.col("bucket") < 0, F.xxhash64("docs")).otherwise(F.col("bucket").cast("long")))
-    return keyed.groupBy("key").applyInPandas(lambda b: _meet(b.drop(columns="key")), "id bigint, hits binary").groupBy("id").agg(F.collect_list("hits").alias("hits"))
-
-
-def _batched(batches, per_text, buckets):
-    """Feed (h, pos, marked) of every row's text to ``_send`` in batches of bounded size."""
-    parts, n = [], 0
-    for b in batches:
-        for row in b.itertuples(index=False):
-            h, pos, marked = per_text(row)
-            if len(h):
-                parts.append((h, np.full(len(h), row.id, np.int64), pos, marked))
-                n += len(h)
-            if n >= BATCH_WORDS * 4:
-                yield pd.DataFrame(_send(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets), columns=_SENT)
-                parts, n = [], 0
-    if parts:
-        yield pd.DataFrame(_send(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets), columns=_SENT)
+def _repeats(texts: DataFrame, per_text, n: int, kind: str) -> DataFrame:
+    """(id, hits) of the marked hashes that occur twice or more; ``per_text``
+    gives (h, marked) of a row. What a task has seen itself goes to groups of its
+    own, spread by its documents."""
+
+    def send(batches):
+        parts, size = [], 0
+        for b in batches:
+            for row in b.itertuples(index=False):
+                h, marked = per_text(row)
+                if len(h):
+                    parts.append((h, np.full(len(h), row.id, np.int64), marked))
+                    size += len(h)
+                if size >= BATCH_WORDS:
+                    yield _send(*(np.concatenate(x) for x in zip(*parts, strict=True)), n, kind)
+                    parts, size = [], 0
+        if parts:
+            yield _send(*(np.concatenate(x) for x in zip(*parts, strict=True)), n, kind)
+
+    sent = texts.mapInPandas(send, _SENT_SCHEMA)
+    keyed = sent.withColumn("key", F.when(F.col("bucket") < 0, F.xxhash64("docs", "tags")).otherwise(F.col("bucket").cast("long")))
+    met = keyed.groupBy("key").applyInPandas(lambda b: _meet(b, n, kind), "bin int, docs binary, counts binary, tags binary")
+    return met.groupBy("bin").applyInPandas(lambda b: _gather(b, kind), "id bigint, hits binary")
+
+
+def windows_of(text: str | None, window: int) -> np.ndarray:
+    return mix64(rolling(word_hashes(text), window), 7)
 
 
 def repeated_windows(texts: DataFrame, window: int = 35) -> DataFrame:
-    """(id, hits array<binary>): per row of ``texts`` (id bigint, unique; text)
-    with any, the starts of its windows of ``window`` words that also start
-    elsewhere, as packed little-endian int32."""
+    """(id, hits binary): for each row of ``texts`` (id bigint, unique; text) with
+    any, the tags (``<u8``) of its windows of ``window`` words that also start
+    elsewhere."""
     block = (window + 1) // 2
-    buckets = 4 * shuffle_partitions(texts.sparkSession)
+    n = shuffle_partitions(texts.sparkSession)
 
     def probes(row):
         h = rolling(word_hashes(row.text), block)
-        pos = np.arange(len(h))
-        return h, pos, pos % block == 0
+        return h, np.arange(len(h)) % block == 0
 
     def around(row):
-        """The windows that hold a hit, if the row has any."""
-        if row.hits is None or not len(row.hits):
-            return np.empty(0, np.uint64), None, None
-        h = rolling(word_hashes(row.text), window)
-        hits = np.concatenate([np.frombuffer(x, "<i4") for x in row.hits])
-        near = np.zeros(len(h) + window + 1, np.int32)
-        inside = hits[hits - (window - block) < len(h)]
+        """The windows that hold a hit."""
+        words = word_hashes(row.text)
+        count = max(0, len(words) - window + 1)
+        hits = np.flatnonzero(np.isin(tags(rolling(words, block), "<u4"), np.frombuffer(row.hits, "<u4")))
+        near = np.zeros(count + window + 1, np.int32)
+        inside = hits[hits - (window - block) < count]
         np.add.at(near, np.maximum(inside - (window - block), 0), 1)
-        np.add.at(near, np.minimum(inside + 1, len(h)), -1)
-        pos = np.flatnonzero(np.cumsum(near)[: len(h)] > 0)
-        return mix64(h[pos], 7), pos, np.ones(len(pos), bool)
+        np.add.at(near, np.minimum(inside + 1, count), -1)
+        h = mix64(rolling(words, window), 7)[np.cumsum(near)[:count] > 0]
+        return h, np.ones(len(h), bool)
 
-    found = _repeats(texts.mapInPandas(lambda it: _batched(it, probes, buckets), _SENT_SCHEMA))
-    hit = texts.join(found, "id").select("id", "text", "hits")
-    return _repeats(hit.mapInPandas(lambda it: _batched(it, around, buckets), _SENT_SCHEMA))
+    found = _repeats(texts, probes, n, "<u4")
+    return _repeats(texts.join(found, "id").select("id", "text", "hits"), around, n, "<u8")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,8 +192,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             for row in b.itertuples(index=False):
                 words = (row.text or "").encode("utf-8", "surrogatepass").split()
                 n = len(words)
-                if row.hits is not None and len(row.hits):
-                    starts = np.concatenate([np.frombuffer(x, "<i4") for x in row.hits])
+                if row.hits is not None:
+                    starts = np.flatnonzero(np.isin(tags(windows_of(row.text, window), "<u8"), np.frombuffer(row.hits, "<u8")))
                     cover = np.zeros(n + 1, np.int32)
                     np.add.at(cover, starts, 1)
                     np.add.at(cover, np.minimum(starts + window, n), -1)
