@@ -80,8 +80,16 @@ QUERIES = {
     for f in (op1_simhash, op2_toxicity, op3_substring, op4_winnow, op5_language, op6_licenses, op7_mixing, op8_epsilon_grid, op9_secrets, op10_byte_bpe)
 }
 SQL: dict[str, str] = {
+    "op3_substring": """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM s),
+r AS (SELECT doc_id, i FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT DISTINCT doc_id, i + o AS j FROM r, range(35) t(o)),
+n AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+ sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(gone, j)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id)""",
     "op8_epsilon_grid": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS r FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS r FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.r > 0 AND b.r > 0 AND list_inner_product(a.e, b.e) / (a.r * b.r) >= 0.9),
 reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
 c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
