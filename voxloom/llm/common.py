@@ -64,10 +64,54 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+FILTER_BITS = 25
+
+
+def hash_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS):
+    """A function from a key column to whether the key may be in ``keys``: a
+    bitmap of 2^bits hashes (4 MB, whatever the number of keys) that every task
+    holds. It takes rows out before a shuffle; it lets some strangers pass."""
+    piece = 1 << 15
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << bits))
+
+    def fill(b: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(piece, np.uint8)
+        flags[b["place"].to_numpy() % piece] = 1
+        return pd.DataFrame({"at": [int(b["place"].iloc[0]) // piece], "data": [np.packbits(flags).tobytes()]})
+
+    places = keys.select(place.alias("place")).distinct().withColumn("at", F.floor(F.col("place") / piece))
+    bitmap = np.zeros((1 << bits) // 8, np.uint8)
+    for row in places.groupBy("at").applyInPandas(lambda b: fill(b), "at bigint, data binary").toLocalIterator():
+        bitmap[row["at"] * piece // 8 : (row["at"] + 1) * piece // 8] = np.frombuffer(row["data"], np.uint8)
+    held = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def maybe(at: pd.Series) -> pd.Series:
+        a = at.to_numpy()
+        return pd.Series((held.value[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & 1 == 1)
+
+    return lambda column: maybe(F.pmod(F.xxhash64(column, F.lit(17)), F.lit(1 << bits)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system: Python workers are reused by later
+    stages, next to whatever those need."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mix64(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over unsigned arrays."""
     z = h + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import mix64
+from voxloom.llm.common import give_back_memory, hash_filter, mix64
 
 BITS = 20
 DISCOUNTS = (2.0, 1.0, 3.0, 5.0)  # the one that explains labelled texts best is taken
@@ -52,9 +52,10 @@ def _contexts(h: np.ndarray) -> np.ndarray:
 
 
 def count(labelled: DataFrame, bits: int = BITS) -> dict[str, np.ndarray]:
-    """Counts over all rows of ``labelled`` (text, label 0 or 1): words by class
-    (2, 2^bits), once a text, so that lines repeated in it weigh no more, and contexts, a 64-bit sketch per word of the different words
-    before it. Each task sends its counts in pieces; pieces are summed on
+    """What models are made of, over all rows of ``labelled`` (text, label 0 or 1):
+    ``word``, counts by class (2, 2^bits), once a text, so that lines repeated in
+    it weigh no more, and ``shared``, the lower order, from a 64-bit sketch per
+    word of the different words before it. Each task sends its counts in pieces; pieces are summed on
     the executors, and the sums, of a fixed size, make the model."""
     size = 1 << bits
 
@@ -76,7 +77,9 @@ def count(labelled: DataFrame, bits: int = BITS) -> dict[str, np.ndarray]:
                     piece = a[at : at + PIECE]
                     if piece.any():
                         rows.append((kind, at, zlib.compress(piece.tobytes(), 1)))
+            word, seen = None, None
             yield pd.DataFrame(rows, columns=["kind", "at", "data"])
+        give_back_memory()
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
         kind, at = int(b["kind"].iloc[0]), int(b["at"].iloc[0])
@@ -94,20 +97,26 @@ def count(labelled: DataFrame, bits: int = BITS) -> dict[str, np.ndarray]:
         a = np.frombuffer(zlib.decompress(row["data"]), np.uint64 if row["kind"] == 2 else np.int64)
         into = out["seen"] if row["kind"] == 2 else out["word"][row["kind"]]
         into[row["at"] : row["at"] + PIECE] = a
-    return out
+    # one array of each for all models that are made of them
+    return {"word": out["word"].astype(np.int32), "shared": continuation(out["seen"])}
+
+
+def continuation(seen: np.ndarray) -> np.ndarray:
+    """The lower order: after how many different words a word has been seen, by
+    linear counting on 64 bits, as a distribution."""
+    bits_set = np.bitwise_count(seen).astype(float)
+    contexts = np.where(bits_set >= 64, 64 * np.log(64.0) + 1, -64 * np.log(np.maximum(1 - bits_set / 64, 1 / 64)))
+    return ((contexts + 0.5) / (contexts.sum() + 0.5 * len(contexts))).astype(np.float32)
 
 
 class Model:
     def __init__(self, counts: dict[str, np.ndarray], bits: int = BITS, discount: float = DISCOUNTS[0]):
         self.bits, self.discount = bits, discount
-        self.word = counts["word"].astype(np.int32)
+        self.word = counts["word"]
         self.total = np.maximum(counts["word"].sum(axis=1), 1).astype(float)
         # what the discounts take from the counts is what backs off
         self.back = [max(np.minimum(n, discount).sum() / t, 1e-6) for n, t in zip(counts["word"], self.total, strict=True)]
-        # after how many different words: linear counting on 64 bits
-        bits_set = np.bitwise_count(counts["seen"]).astype(float)
-        contexts = np.where(bits_set >= 64, 64 * np.log(64.0) + 1, -64 * np.log(np.maximum(1 - bits_set / 64, 1 / 64)))
-        self.shared = ((contexts + 0.5) / (contexts.sum() + 0.5 * len(contexts))).astype(np.float32)
+        self.shared = counts["shared"]
 
     @classmethod
     def of(cls, state: dict) -> Model:
@@ -166,8 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, label: str = "to
     labelled row of one class the curve is flat at the share of toxic rows.
     """
     marked = labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)").groupBy("key").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("key IS NOT NULL").join(marked, "key").select("key", "text", "label")
-    counts = count(rows.select("text", "label"), bits)
+    # texts are shuffled to their labels, alike at every size, but only those that may have one
+    maybe = hash_filter(marked, "key")
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("key IS NOT NULL")
+    rows = texts.where(maybe(F.col("key"))).join(marked.hint("merge"), "key").select("text", "label")
+    counts = count(rows, bits)
     models = [Model(counts, bits, d) for d in DISCOUNTS]
     held = docs.sparkSession.sparkContext.broadcast([vars(m) for m in models])
     n = marked.count()
@@ -181,8 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, label: str = "to
 
     few = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)
     sample_keys = marked.where(few)
-    sample = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = sample.join(sample_keys, "key").select("text", "label").mapInPandas(look, "x array<double>, y int").limit(2 * CALIBRATION_ROWS).toPandas()
+    got = texts.where(few & maybe(F.col("key"))).join(sample_keys.hint("merge"), "key").select("text", "label").mapInPandas(look, "x array<double>, y int").limit(2 * CALIBRATION_ROWS).toPandas()
     y = got["y"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
