@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import cut_by, shuffle_partitions
+from voxloom.llm.common import cut_by, give_back_memory, shuffle_partitions
 
-CHUNK_CHARS = 32 << 20
+CHUNK_CHARS = 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -105,6 +105,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
                     docs_of, numbers, known, size = [], [], {}, 0
         if docs_of:
             yield flush()
+        docs_of, numbers, known = [], [], {}
+        give_back_memory()
 
     def encode_words(b: pd.DataFrame) -> pd.DataFrame:
         import tiktoken

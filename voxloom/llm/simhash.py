@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Forest, broadcast_if_small, connected_components, cut, in_tiles, mix64, solve_runs
+from voxloom.llm.common import Forest, broadcast_if_small, connected_components, cut, give_back_memory, in_tiles, mix64, solve_runs
 
 _SPREAD = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], np.uint64)
 
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1, fold: bool = T
     """
 
     def run(batches):
+        give_back_memory()  # what earlier stages of this worker have left
         for b in batches:
             texts = b["text"].tolist()
             for at in range(0, len(texts), 512):
@@ -233,11 +234,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     radius = int(np.ceil(n * p + 2.33 * np.sqrt(n * p * (1 - p))))
 
     def bands(batches):
+        give_back_memory()  # what earlier stages of this worker have left
         count = 64 * LANES // BAND_BITS
         weight = 1 << np.arange(BAND_BITS, dtype=np.int64)
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (whole.iloc[k : k + 1024] for whole in batches for k in range(0, len(whole), 1024)):
             fp = np.stack(b["fp"].to_numpy()).astype(np.int64)
             bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, : count * BAND_BITS]
             keys = bits.reshape(len(b), count, BAND_BITS).astype(np.int64) @ weight + (np.arange(count) << BAND_BITS)
