@@ -287,6 +287,32 @@ def test_secrets_are_told_from_look_alikes(spark):
     assert secrets_scan.scan(blank(spark), secrets_scan.train(blank(spark))).count() == 0
 
 
+def test_secrets_reference_counts_all_texts(spark, texts):
+    few = ["zebra crossing\u00a0ahead 12-a", None, "É\x1cK\u212a ÀBCdef"]
+    many = [f"common words here {i} and there" for i in range(1200)]
+    docs = frame(spark, [*many, *few, *texts, "rareword rareword rareword"])
+    plain = np.full((28, 28), 0.5)
+    seen = collections.Counter()
+    for t in [*many, *few, *texts, "rareword rareword rareword"]:
+        for w in (t or "").lower().split():
+            k = [secrets_scan._class(c) for c in w if c.isascii()]
+            for a, b in zip(k, k[1:]):
+                plain[a, b] += 1
+        seen.update(secrets_scan._WORD.findall((t or "").lower()))
+    reference, _ = secrets_scan.train(docs)
+    assert np.allclose(reference.log, np.log(plain / plain.sum(axis=1, keepdims=True)))
+    assert reference.words == {w for w, n in seen.items() if n > 1} and "rareword" in reference.words
+
+
+def test_unassigned_known_keys_are_no_negatives(spark, monkeypatch):
+    kept = []
+    forest = secrets_scan.RandomForest
+    monkeypatch.setattr(secrets_scan, "RandomForest", lambda x, y: kept.append((x, y)) or forest(x, y))
+    secrets_scan.train(frame(spark, ["see ghp_" + "a1B2" * 9 + " there", "number 4111111111111111 now"]))
+    x, y = kept[0]
+    assert len(y) == secrets_scan.DRAWN_FINDINGS + 1 and x[-1][secrets_scan.FEATURE_NAMES.index("prefix")] == 0
+
+
 def test_forest_on_held_out_findings():
     train, test = secrets_scan.drawn_findings([], 1500, 1), secrets_scan.drawn_findings([], 500, 2)
     ref = secrets_scan.Reference(["value north table river window"] * 3)

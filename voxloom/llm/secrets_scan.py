@@ -9,21 +9,28 @@ covers, the path it comes from and the words next to it.
 Labelled findings are rows (before, candidate, after, path, label). Those used
 when none are given: drawn forms of secrets and of things that look alike, and,
 from about SAMPLE_TEXTS texts of the corpus, twice as many at most, its own candidates, labelled by
-whether a secret's name assigns them.
+whether a secret's name assigns them; those with a known key's prefix that none
+assigns tell nothing and are left out. Only these rows are a sample: transitions
+and the dictionary are counted over all texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.common import cut, give_back_memory
+
 SAMPLE_TEXTS = 400
 DRAWN_FINDINGS = 3_000
+DICTIONARY = 4_000
+FLUSH_WORDS = 200_000  # a task sends its words' counts on when it holds so many
 TREES, DEPTH, LEAST_ROWS, BINS = 40, 8, 4, 24
 REACH = 48  # characters before a candidate in which its neighbouring words lie
 THRESHOLD = 0.5
@@ -65,22 +72,68 @@ def _class(c: str) -> int:
     return ord(c) - 97 if "a" <= c <= "z" else 26 if c.isdigit() else 27
 
 
+#: of each byte of lower-cased text its class, 28 for white space and 29 for what is not ASCII
+_CLASSES = np.array([29 if i > 127 else 28 if chr(i).isspace() else _class(chr(i)) for i in range(256)], np.uint8)
+
+
+def count_text(text: str, steps: np.ndarray, words: Counter) -> None:
+    """Add a text's character transitions, within what white space separates and
+    among ASCII alone, to ``steps`` (28, 28), and its words to ``words``."""
+    low = text.lower()
+    k = _CLASSES[np.frombuffer(" ".join(low.split()).encode("utf-8", "surrogatepass"), np.uint8)]
+    k = k[k < 29].astype(np.int64)
+    steps += np.bincount(k[:-1] * 29 + k[1:], minlength=29 * 29).reshape(29, 29)[:28, :28]
+    words.update(_WORD.findall(low))
+
+
 class Reference:
     """What ordinary text looks like: log-probabilities of character transitions
     and the frequent words (at most 4,000)."""
 
     def __init__(self, texts: list[str]):
-        counts = np.full((28, 28), 0.5)
-        words: dict[str, int] = {}
+        steps, words = np.zeros((28, 28), np.int64), Counter()
         for t in texts:
-            for w in t.lower().split():
-                k = [_class(c) for c in w if c.isascii()]
-                for a, b in zip(k, k[1:], strict=False):
-                    counts[a, b] += 1
-            for w in _WORD.findall(t.lower()):
-                words[w] = words.get(w, 0) + 1
+            count_text(t, steps, words)
+        self._keep(steps, sorted((w for w, n in words.items() if n > 1), key=lambda w: (-words[w], w))[:DICTIONARY])
+
+    @classmethod
+    def over(cls, texts: DataFrame) -> Reference:
+        """As of the list of all texts of ``texts`` (text): tasks add up their own
+        transitions and words, Spark the tasks'; the driver gets the sums of the
+        transitions and the most frequent words."""
+
+        def partial(batches):
+            steps, words = np.zeros((28, 28), np.int64), Counter()
+
+            def flush():
+                return pd.DataFrame({"word": pd.Series(list(words), dtype=object), "n": np.fromiter(words.values(), np.int64, len(words))})
+
+            for b in batches:
+                for t in b["text"]:
+                    count_text(t, steps, words)
+                if len(words) >= FLUSH_WORDS:
+                    yield flush()
+                    words.clear()
+            yield flush()
+            words.clear()
+            at = np.flatnonzero(steps)
+            # transitions are named by digits, which no word has
+            yield pd.DataFrame({"word": pd.Series([str(i) for i in at], dtype=object), "n": steps.ravel()[at]})
+            give_back_memory()
+
+        sums = cut(texts.mapInPandas(partial, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1 OR word < 'a'"))
+        steps = np.zeros(28 * 28, np.int64)
+        for row in sums.where("word < 'a'").collect():
+            steps[int(row["word"])] = row["n"]
+        words = [r["word"] for r in sums.where("word >= 'a'").orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()]
+        out = cls.__new__(cls)
+        out._keep(steps.reshape(28, 28), words)
+        return out
+
+    def _keep(self, steps: np.ndarray, words: list[str]) -> None:
+        counts = steps + 0.5
         self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
-        self.words = frozenset(sorted((w for w, n in words.items() if n > 1), key=lambda w: (-words[w], w))[:4000])
+        self.words = frozenset(words)
 
     def coverage(self, s: str) -> float:
         """The share of characters that dictionary words cover, taken greedily."""
@@ -92,6 +145,11 @@ class Reference:
         return covered / max(len(s), 1)
 
 
+def _known(candidate: str) -> bool:
+    """Whether a candidate starts as keys of known kinds do."""
+    return bool(_PREFIX.match(candidate)) or candidate.startswith("-----BEGIN")
+
+
 def features(before: str, candidate: str, after: str, path: str | None, reference: Reference) -> list[float]:
     n = len(candidate)
     kinds = [_class(c) for c in candidate[:512]]
@@ -107,7 +165,7 @@ def features(before: str, candidate: str, after: str, path: str | None, referenc
         changes / max(n - 1, 1),
         reference.coverage(candidate[:512]),
         float(all(c in "0123456789abcdefABCDEF" for c in candidate)),
-        float(bool(_PREFIX.match(candidate)) or candidate.startswith("-----BEGIN")),
+        float(_known(candidate)),
         float(bool(re.search(r"[:=]\s{0,3}[\"']?$", before))),
         float(bool(_HINT.search(before))),
         float(bool(_BENIGN.search(before))),
@@ -205,20 +263,22 @@ def drawn_findings(words: list[str], n: int = DRAWN_FINDINGS, seed: int = 3) ->
 
 
 def train(docs: DataFrame, findings: pd.DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source"):
-    """(reference, forest), from labelled findings and a sample of the texts of
-    ``docs``, drawn by a hash of the id."""
+    """(reference, forest): the reference from all texts of ``docs``, the forest
+    from labelled findings and a sample of the texts, drawn by a hash of the id."""
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30))
     few = int(min(1.0, SAMPLE_TEXTS / max(docs.count(), 1)) * (1 << 30))  # so that no task sends more than its share
     rows = docs.select(F.col(text_col).alias("text"), F.col(path_col).cast("string").alias("path"), draw.alias("draw")).where(F.col("text").isNotNull() & (F.col("draw") < few))
     sample = rows.orderBy("draw", "text").limit(2 * SAMPLE_TEXTS).toPandas()
     texts = sample["text"].tolist()
-    reference = Reference(texts)
+    reference = Reference.over(docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL"))
     if findings is None:
         own = []
         for text, path in zip(texts, sample["path"], strict=True):
             for a, b in candidates(text):
                 before = text[max(0, a - REACH) : a]
                 sure = bool(_HINT.search(before[-24:]) and re.search(r"[:=]\s{0,3}[\"']?$", before))
+                if not sure and _known(text[a:b]):
+                    continue  # most likely a secret, though nothing assigns it
                 own.append((before, text[a:b], text[b : b + 16], path, int(sure)))
         findings = pd.concat([drawn_findings(sorted(reference.words)), pd.DataFrame(own, columns=["before", "candidate", "after", "path", "label"])], ignore_index=True)
     x = np.array([features(r.before, r.candidate, r.after, r.path, reference) for r in findings.itertuples(index=False)])
