@@ -313,6 +313,26 @@ def test_unassigned_known_keys_are_no_negatives(spark, monkeypatch):
     assert len(y) == secrets_scan.DRAWN_FINDINGS + 1 and x[-1][secrets_scan.FEATURE_NAMES.index("prefix")] == 0
 
 
+def test_long_secrets_are_masked_whole(spark):
+    rng = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    part = lambda n: "".join(rng.choices(chars, k=n))
+    jwt = f"eyJ{part(33)}.eyJ{part(1000)}.{part(43)}"
+    odd = "$".join("".join(rng.choices("abcdef0123456789", k=9)) for _ in range(60))
+    texts = [f'token = "{jwt}" end', f"password: {odd} end"]
+    docs = frame(spark, texts)
+    masked = {r["doc_id"]: r["text"] for r in secrets_scan.redact(docs, secrets_scan.train(docs)).collect()}
+    assert masked == {0: f'token = "{secrets_scan.MASK}" end', 1: f"password: {secrets_scan.MASK} end"}
+
+
+def test_features_read_the_whole_candidate():
+    ref = secrets_scan.Reference(["value north table"] * 2)
+    head = "0123456789" * 60
+    names = secrets_scan.FEATURE_NAMES
+    f = dict(zip(names, secrets_scan.features("", head + "valuenorthtable" * 500, "", None, ref), strict=True))
+    assert f["letters"] == 7500 and f["length"] == 8100 and f["dictionary"] == pytest.approx(7500 / 8100) and f["changes"] == pytest.approx(1 / 8099)
+
+
 def test_forest_on_held_out_findings():
     train, test = secrets_scan.drawn_findings([], 1500, 1), secrets_scan.drawn_findings([], 500, 2)
     ref = secrets_scan.Reference(["value north table river window"] * 3)

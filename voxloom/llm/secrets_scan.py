@@ -38,7 +38,7 @@ MASK = "[SECRET]"
 
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 _NAMES = r"token|secret|passw(?:or)?d|passwd|pwd|api_?key|access_?key|private_?key|client_?key|auth|credential"
-_ASSIGN = re.compile(rf"(?i)[\w\-.]*(?:{_NAMES})[\w\-.]*[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;<>]{{8,256}})")
+_ASSIGN = re.compile(rf"(?i)[\w\-.]*(?:{_NAMES})[\w\-.]*[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;<>]{{8,}})")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
 _HINT = re.compile(rf"(?i){_NAMES}")
 _BENIGN = re.compile(r"(?i)\b(?:sha\d*|commit|md5|digest|checksum|hash|uuid|guid|etag|version|example|isbn|order|invoice|phone|serial|img|src|href|https?)\b")
@@ -152,18 +152,18 @@ def _known(candidate: str) -> bool:
 
 def features(before: str, candidate: str, after: str, path: str | None, reference: Reference) -> list[float]:
     n = len(candidate)
-    kinds = [_class(c) for c in candidate[:512]]
+    kinds = [_class(c) for c in candidate]
     steps = [reference.log[a, b] for a, b in zip(kinds, kinds[1:], strict=False)]
     share = np.unique(list(candidate), return_counts=True)[1] / n
     digits = sum(c.isdigit() for c in candidate)
     changes = sum((a < 26) != (b < 26) for a, b in zip(kinds, kinds[1:], strict=False))
     return [
-        min(n, 4096),
+        n,
         float(np.mean(steps)) if steps else 0.0,
         float(-(share * np.log2(share)).sum()),
         digits / n,
         changes / max(n - 1, 1),
-        reference.coverage(candidate[:512]),
+        reference.coverage(candidate),
         float(all(c in "0123456789abcdefABCDEF" for c in candidate)),
         float(_known(candidate)),
         float(bool(re.search(r"[:=]\s{0,3}[\"']?$", before))),
@@ -171,7 +171,7 @@ def features(before: str, candidate: str, after: str, path: str | None, referenc
         float(bool(_BENIGN.search(before))),
         float(bool(re.search(r"(?i)test|example|mock|doc|sample|fixture", path or ""))),
         len(share) / n,
-        max((len(w) for w in re.findall(r"[A-Za-z]+", candidate[:512])), default=0),
+        max((len(w) for w in re.findall(r"[A-Za-z]+", candidate)), default=0),
     ]
 
 
