@@ -261,6 +261,26 @@ def test_license_notices_are_found_with_their_spans(spark):
     assert licenses.scan(blank(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name", list(licenses.TEMPLATES))
+@pytest.mark.parametrize("between", ["\n", " x ", " a few other words "])
+def test_license_notices_that_follow_each_other(name, between):
+    index = licenses.Index()
+    notice, t = licenses.words_of(licenses.TEMPLATES[name])[0], list(licenses.TEMPLATES).index(name)
+    gap = between.split()
+    words = ["start"]
+    want = []
+    for _ in range(5):
+        want.append((t, len(words), len(words) + len(notice), len(notice)))
+        words += notice + gap
+    assert [m for m in index.find(words) if m[0] == t] == want
+
+
+def test_a_cut_notice_before_a_whole_one():
+    index = licenses.Index()
+    words = "released under the mit released under the mit license".split()
+    assert index.find(words) == [(0, 0, 4, 4), (0, 4, 9, 5)]
+
+
 def test_alignment_equals_the_longest_common_subsequence():
     rng = random.Random(7)
     for _ in range(60):

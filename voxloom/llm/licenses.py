@@ -79,7 +79,7 @@ class Index:
     def find(self, words: list[str]) -> list[tuple[int, int, int, int]]:
         """(template, first word, last word + 1, matched words) of the matches."""
         h = _hash(words)
-        hits: dict[int, list[int]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for size in {p[2] for p in self.places}:
             r = rolling(h, size)
             at = np.searchsorted(self.keys, r)
@@ -89,28 +89,38 @@ class Index:
                 while k < len(self.keys) and self.keys[k] == r[d]:
                     t, p, n = self.places[k]
                     if n == size:
-                        hits.setdefault(t, []).append(d - p)
+                        hits.setdefault(t, []).append((d - p, d))
                     k += 1
         out = []
         for t, starts in hits.items():
-            last = None
-            for s in sorted(starts):
-                if last is not None and s <= last + BAND:
-                    continue  # the band around the diagonal before holds it
-                found = align(self.words[t], words, s)
-                if found and found[2] >= COVERAGE * len(self.words[t]):
-                    if not (out and out[-1][0] == t and found[0] < out[-1][2]):
-                        out.append((t, *found))
-                last = s
+            low, tried = 0, None  # words before low belong to matches
+            for s, at in sorted(starts):
+                if at < low or (s, low) == tried:
+                    continue
+                tried = (s, low)
+                found = self._match(t, words, s, low, len(words))
+                # a match takes the last of equally good starts: there may be others before it
+                some = []
+                while found:
+                    some.insert(0, (t, *found))
+                    found = self._match(t, words, s, low, found[0])
+                if some:
+                    out += some
+                    low = some[-1][2]
         return out
 
+    def _match(self, t: int, words: list[str], diagonal: int, low: int, high: int) -> tuple[int, int, int] | None:
+        found = align(self.words[t], words, diagonal, low=low, high=high)
+        return found if found and found[2] >= COVERAGE * len(self.words[t]) else None
 
-def align(template: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int] | None:
+
+def align(template: list[str], words: list[str], diagonal: int, band: int = BAND, low: int = 0, high: int | None = None) -> tuple[int, int, int] | None:
     """(first, last + 1, matched): the longest common subsequence of the template
-    and the words, word j only against template words i with |j - i - diagonal|
-    within the band; first and last bound the matched words, of alignments as
+    and the words from low to before high, word j only against template words i
+    with |j - i - diagonal| within the band; first and last bound the matched words, of alignments as
     good the one that ends first and is shortest."""
     width = 2 * band + 1
+    high = len(words) if high is None else high
     # best[b] = (matched, -start): of equal counts the later start
     best = [(0, 0)] * width
     top: tuple[int, int, int] | None = None
@@ -119,7 +129,7 @@ def align(template: list[str], words: list[str], diagonal: int, band: int = BAND
         for b in range(width):
             j = diagonal + i + b - band
             choice = max(best[b + 1] if b + 1 < width else (0, 0), row[b - 1] if b else (0, 0))
-            if 0 <= j < len(words) and words[j] == w:
+            if low <= j < high and words[j] == w:
                 n, start = best[b]
                 choice = max(choice, (n + 1, start if n else j))
                 if choice[0] == n + 1 and (top is None or n + 1 > top[0]):
