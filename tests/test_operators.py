@@ -159,3 +159,13 @@ def test_degradation_always_gives_the_clean_value(spark):
 def test_replicated_section_takes_the_lower_neighbour(spark):
     s = spark.createDataFrame([("v", z, z == 2) for z in range(5)], "volume string, z int, dropped boolean")
     assert {r["z"]: r["source_z"] for r in V.nearest_surviving(s).collect()}[2] == 1
+
+
+def test_rounds_take_the_edges_of_all_voxels(spark, monkeypatch):
+    from voxloom.plans import graph_queries as G
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(W, "boruvka", lambda edges, buckets: edges)
+    got, want = G.QUERIES["mws_boruvka"](spark, sf), G.rounded_edges(spark, sf)
+    keys = ["volume", "u", "v", "idx", "weight", "mutex"]
+    assert got.select(keys).exceptAll(want.select(keys)).count() == want.select(keys).exceptAll(got.select(keys)).count() == 0
