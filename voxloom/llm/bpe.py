@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import cut_by, give_back_memory, shuffle_partitions
+from voxloom.llm.common import cut_by, give_back_memory, groups_for, long_text, longs, pack, pack_planes, unpack, unpack_planes
 
 CHUNK_CHARS = 16 << 20
 
@@ -33,23 +33,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
-
-
-def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
-
-
-def _pack_planes(a: np.ndarray) -> bytes:
-    """uint32 by byte planes: those of small numbers are all zero."""
-    return zlib.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def _unpack_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finish_schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Apply ``finish(ids uint32 array, token_bytes list, positions int64 array)``
     to the token ids of every document and return (id, what it returns).
@@ -58,7 +41,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
     empty texts have no tokens. Rows may repeat; each is encoded. Ids may be null.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    picked = docs.select(long_text(id_col).alias("id"), F.col(text_col).alias("text"))
+    buckets = groups_for(picked)
     vocabulary = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary file
 
     def chunks(batches):
@@ -83,21 +67,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
                 if len(mine):
                     some = [raw[i] for i in mine.tolist()]
                     lengths = np.fromiter(map(len, some), np.uint32, len(some))
-                    rows.append((k, name, None, _pack(mine.astype(np.uint32)), _pack(lengths), zlib.compress(b"".join(some), 1)))
+                    rows.append((k, name, None, pack(mine.astype(np.uint32)), pack(lengths), zlib.compress(b"".join(some), 1)))
             # documents of a chunk in blocks, so that no row is large
             step = max(1, len(docs_of) * (4 << 20) // max(1, size))
             for at in range(0, len(docs_of), step):
                 some = numbers[at : at + step]
                 counts = np.fromiter(map(len, some), np.uint32, len(some))
                 flat = place[np.concatenate([*some, np.empty(0, np.uint32)]).astype(np.int64)]
-                rows.append((-1, name, docs_of[at : at + step], _pack(counts), None, _pack_planes(flat)))
+                rows.append((-1, name, docs_of[at : at + step], pack(counts), None, pack_planes(flat)))
             return pd.DataFrame(rows, columns=["bucket", "chunk", "ids", "a", "b", "c"])
 
         for b in batches:
             for i, t in zip(b["id"].tolist(), b["text"].tolist(), strict=True):
                 found = split((t or "").encode("utf-8", "replace").decode("utf-8"))
                 get = known.setdefault
-                docs_of.append(None if pd.isna(i) else int(i))
+                docs_of.append(i)
                 numbers.append(np.fromiter((get(w, len(known)) for w in found), np.uint32, len(found)))
                 size += len(t or "")
                 if size >= CHUNK_CHARS:
@@ -115,22 +99,22 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
         known: dict[bytes, np.ndarray] = {}
         out = []
         for row in b.itertuples(index=False):
-            ends = np.cumsum(_unpack(row.b, np.uint32)).tolist()
+            ends = np.cumsum(unpack(row.b, np.uint32)).tolist()
             text = zlib.decompress(row.c)
             words = [text[x:y] for x, y in zip([0, *ends], ends, strict=False)]
             fresh = [w for w in dict.fromkeys(words) if w not in known]
             known.update((w, np.array(coder.encode_ordinary(w.decode("utf-8")), np.uint32)) for w in fresh)
             got = [known[w] for w in words]
             counts = np.fromiter(map(len, got), np.uint32, len(got))
-            out.append((row.chunk, row.a, _pack(counts), _pack(np.concatenate(got))))
+            out.append((row.chunk, row.a, pack(counts), pack(np.concatenate(got))))
         return pd.DataFrame(out, columns=["chunk", "a", "b", "c"])
 
     def reassemble(own: pd.DataFrame, of_words: pd.DataFrame) -> pd.DataFrame:
         bytes_of: list = [b""] * (max(vocabulary.value.values(), default=-1) + 1)
         for token, i in vocabulary.value.items():
             bytes_of[i] = token
-        places = [_unpack(x, np.uint32) for x in of_words["a"]]
-        counts = [_unpack(x, np.uint32) for x in of_words["b"]]
+        places = [unpack(x, np.uint32) for x in of_words["a"]]
+        counts = [unpack(x, np.uint32) for x in of_words["b"]]
         n = 1 + max((int(p.max()) for p in places if len(p)), default=-1)
         count = np.zeros(n, np.int64)
         for p, c in zip(places, counts, strict=True):
@@ -138,13 +122,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
         start = np.concatenate([[0], np.cumsum(count)])
         flat = np.empty(start[-1], np.uint32)
         for p, c, x in zip(places, counts, of_words["c"], strict=True):
-            ids = _unpack(x, np.uint32)
+            ids = unpack(x, np.uint32)
             c = c.astype(np.int64)
             flat[np.repeat(start[p] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(len(ids))] = ids
         rows = []
         for row in own.itertuples(index=False):
-            sizes = _unpack(row.a, np.uint32)
-            words = _unpack_planes(row.c).astype(np.int64)
+            sizes = unpack(row.a, np.uint32)
+            words = unpack_planes(row.c).astype(np.int64)
             at = 0
             for i, m in zip(row.ids, sizes.tolist(), strict=True):
                 mine = words[at : at + m]
@@ -154,28 +138,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
                 ids = flat[np.repeat(start[mine] - (ends - c), c) + np.arange(int(ends[-1]) if m else 0)]
                 rows.append((i, *finish(ids, bytes_of, ends)))
         out = pd.DataFrame(rows, columns=names)
-        out["id"] = out["id"].astype("Int64")
-        return out
+        return out.assign(id=longs([r[0] for r in rows]))
 
     names = ["id", *(x.strip().split(" ")[0] for x in finish_schema.split(","))]
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # written once, as the chunks' names and numbers must be the same on both sides
     # of the join, and by chunk, so that only the dictionaries are shuffled
-    blobs = cut_by(picked.mapInPandas(_nullable(chunks), "bucket int, chunk string, ids array<bigint>, a binary, b binary, c binary"), "chunk", buckets)
-    words = blobs.where("bucket >= 0").groupBy("bucket").applyInPandas(encode_words, "chunk string, a binary, b binary, c binary")
+    blobs = cut_by(picked.mapInPandas(chunks, "bucket int, chunk string, ids array<string>, a binary, b binary, c binary"), "chunk", buckets)
+    words = blobs.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(encode_words, "chunk string, a binary, b binary, c binary")
     own = blobs.where("bucket < 0").select("chunk", "ids", "a", "c")
     return own.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(reassemble, f"id bigint, {finish_schema}")
 
 
-def _nullable(run):
-    """Keep 64-bit ids whole where a column also holds nulls."""
-
-    def wrapped(batches):
-        return run(b if b["id"].dtype == np.int64 else b.assign(id=b["id"].astype("Int64").astype(object)) for b in batches)
-
-    return wrapped
-
-
 def digest(ids: np.ndarray, bytes_of: list, _ends) -> tuple:
     """(n_tokens, SHA-256 of the ids as little-endian uint32, SHA-256 of the decoded bytes)."""
     decoded = b"".join([bytes_of[i] for i in ids.tolist()])

@@ -3,17 +3,16 @@ of words in tasks, forests inside a task and components across tasks."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folders: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,23 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where that
-    is unset (tests on one machine) a temporary one that goes with the driver."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="spark-voxloom-")
-        atexit.register(shutil.rmtree, _own_folders[app], ignore_errors=True)
-    return f"file://{_own_folders[app]}"
+    """A folder of this application in the one that driver and executors share, as
+    ``spark.checkpoint.dir`` names it; it goes when the driver ends. Where that is
+    unset, one machine (tests) takes a temporary folder; a cluster is an error, as
+    its executors' own disks are not each other's."""
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _folders:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        _folders[app] = f"{named.rstrip('/')}/voxloom-{app}" if named else f"file://{tempfile.mkdtemp(prefix='spark-voxloom-')}"
+        path = context._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return _folders[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: what it took to
     make it is done once, and a lost executor loses none of it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/voxloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,13 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """As ``cut``, bucketed by a column: what is grouped by it later, in as many
     partitions, is read where it lies and not shuffled. The catalog's name for
-    the table goes at once; its files stay for the plan that reads them."""
+    the table goes at once, or with a failure; its files stay for the plan that reads them."""
     spark = df.sparkSession
     name = f"voxloom_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    table = spark.table(name)
-    table.schema  # noqa: B018  resolved before the name goes
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+        table = spark.table(name)
+        table.schema  # noqa: B018  resolved before the name goes
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return table
 
 
@@ -67,6 +72,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 FILTER_BITS = 25
 
 
+HOT_ROWS = 10_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each key once and in ``n``
+    how many rows ask for it. Rows of hot keys (over HOT_ROWS and over a
+    thousandth of ``total`` rows, so fewer than a thousand keys) stay where they
+    are and get theirs by a broadcast, the others are shuffled."""
+    hot = F.col(n) > max(HOT_ROWS, total // 1000)
+    few, rest = table.where(hot).drop(n), table.where(~hot).drop(n)
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
+
+
 def hash_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS):
     """A function from a key column to whether the key may be in ``keys``: a
     bitmap of 2^bits hashes (4 MB, whatever the number of keys) that every task
@@ -97,6 +115,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+GROUP_CHARS = 32 << 20  # characters of text whose hashes one group of a packed exchange holds
+
+
+def groups_for(texts: DataFrame, text_col: str = "text") -> int:
+    """How many groups the words of all texts are dealt to: as many as there are
+    shuffle partitions, or more, so that a group's share of the text is bounded."""
+    chars = texts.agg(F.sum(F.length(text_col))).first()[0] or 0
+    return max(shuffle_partitions(texts.sparkSession), -(-chars // GROUP_CHARS))
+
+
+def pack(a: np.ndarray) -> bytes:
+    return zlib.compress(a.tobytes(), 1)
+
+
+def unpack(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), kind)
+
+
+def pack_planes(a: np.ndarray) -> bytes:
+    """uint32 by byte planes: those of small numbers are all zero."""
+    return zlib.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def give_back_memory() -> None:
     """Return freed memory to the system: Python workers are reused by later
     stages, next to whatever those need."""
@@ -112,6 +157,17 @@ def give_back_memory() -> None:
         trim(0)
 
 
+def long_text(column: str):
+    """An id column as it travels to Python where nulls are among it: as text,
+    since pandas would make doubles of it."""
+    return F.col(column).cast("long").cast("string")
+
+
+def longs(values) -> pd.Series:
+    """Ids of ``long_text``, or None, as whole numbers again."""
+    return pd.Series(pd.array([None if x is None else int(x) for x in values], dtype="Int64"))
+
+
 def mix64(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over unsigned arrays."""
     z = h + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -235,29 +291,37 @@ def in_tiles(rows: DataFrame, key: str, most: int) -> DataFrame:
     )
 
 
+HUB_EDGES = 10_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: bigint), root being the
     smallest id in its component.
 
     Alternates the large-star and small-star steps on the edge table: each edge
     is moved to the smallest known neighbour until all edges lead to roots.
-    The table never leaves the executors; after each round it is cut. Null ends
-    and loops are dropped. No edges give no rows.
+    The table never leaves the executors; after each round it is cut. The edges
+    of a hub, a node that leads more than ``HUB_EDGES`` and more than a thousandth
+    of all edges, stay where they are and get the hub's least neighbour by a
+    broadcast: of such nodes there are fewer than a thousand. Null ends and loops
+    are dropped. No edges give no rows.
     """
     e = cut(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
+    n = e.count()
     state = None
     while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        )
+        hubs = F.broadcast(e.groupBy("lo").agg(F.count("*").alias("led")).where(F.col("led") > max(HUB_EDGES, n // 1000)).select(F.col("lo").alias("u")))
+        led = e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+        spread = led.join(F.broadcast(least.join(hubs, "u", "left_semi")), "u").union(led.join(hubs, "u", "left_anti").join(least, "u"))
+        large = spread.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (
             large.join(least, "hi")
@@ -268,6 +332,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         e = cut(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
+        n = now[0]
         if now == state:
             break
         state = now

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import cut, mix64, rolling, shuffle_partitions
+from voxloom.llm.common import cut, long_text, longs, mix64, rolling, shuffle_partitions
 
 K, WINDOW = 12, 16
 
@@ -95,11 +95,12 @@ def compare_with_edited(docs: DataFrame, k: int = K, window: int = WINDOW, id_co
 
     The edited text is the row's with its last floor(n / 2) code points replaced
     by as many first ones of the next row (all, if it has fewer), by descending
-    id, the first row following the last. Rows of one id follow each other by
-    text. Null texts count as empty, null ids come last. A table of one row is
+    id, the first row following the last. Rows of one id follow each other by a
+    hash of their text, then by text. Null texts count as empty, null ids come last. A table of one row is
     followed by itself; an empty one gives no rows.
 
-    Rows are range-partitioned once. Each task walks its rows in order; only the
+    Rows are range-partitioned once, by id and the hash, so that no text is among
+    the keys that Spark samples to find the ranges. Each task walks its rows in order; only the
     first and last row of each task, whose neighbours are elsewhere, are joined
     in a second step, so nothing but two rows a task leaves its place.
     """
@@ -110,8 +111,8 @@ def compare_with_edited(docs: DataFrame, k: int = K, window: int = WINDOW, id_co
         pid, last, last_text = TaskContext.get().partitionId(), None, None
         for b in batches:
             rows = []
-            for i, text in zip(b["id"].astype(object), b["text"], strict=True):
-                d = _Doc(None if pd.isna(i) else int(i), text, k, window)
+            for i, text in zip(b["id"], b["text"], strict=True):
+                d = _Doc(i, text, k, window)
                 rows.append((pid, 0, text, *[None] * 7) if last is None else (pid, None, None, *_compare(last, d, k, window)))
                 last, last_text = d, text
             yield _frame(rows)
@@ -119,25 +120,26 @@ def compare_with_edited(docs: DataFrame, k: int = K, window: int = WINDOW, id_co
             yield _frame([(pid, 1, last_text, last.id, *[None] * 6)])
 
     def _frame(rows):
-        out = pd.DataFrame(rows, columns=names)
+        out = pd.DataFrame(rows, columns=names, dtype=object)
         for c in ("edge", "id", "n_chars"):
-            out[c] = out[c].astype("Int64")
-        return out
+            out[c] = longs(out[c])
+        return out.astype({c: float for c in ("near_edited", "near_next")})
 
     def close(batches):
         for b in batches:
-            rows = [_compare(_Doc(None if pd.isna(i) else int(i), t, k, window), _Doc(None, u, k, window), k, window) for i, t, u in zip(b["id"].astype(object), b["text"], b["next_text"], strict=True)]
-            out = pd.DataFrame(rows, columns=names[3:])
-            yield out.assign(id=out["id"].astype("Int64"))
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = [F.desc_nulls_last("id"), F.asc_nulls_first("text")]
-    walked = cut(texts.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).mapInPandas(walk, schema))
+            rows = [_compare(_Doc(i, t, k, window), _Doc(None, u, k, window), k, window) for i, t, u in zip(b["id"], b["text"], b["next_text"], strict=True)]
+            out = pd.DataFrame(rows, columns=names[3:], dtype=object)
+            yield out.assign(id=longs(out["id"]), n_chars=longs(out["n_chars"])).astype({c: float for c in ("near_edited", "near_next")})
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("by", F.xxhash64("text"))
+    order = [F.desc_nulls_last("id"), F.asc("by")]
+    ranged = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, F.asc_nulls_first("text"))
+    walked = cut(ranged.select(long_text("id").alias("id"), "text").mapInPandas(walk, schema))
     # the last row of a task goes before the first one of the next task that has rows
     heads = walked.where("edge = 0").select("pid", F.col("text").alias("next_text"))
     tails = walked.where("edge = 1").select("pid", "id", "text")
     ring = heads.agg(F.sort_array(F.collect_list("pid")).alias("pids"))  # one number a task
     following = ring.selectExpr("posexplode(pids) AS (k, pid)", "pids").selectExpr("pid", "pids[(k + 1) % size(pids)] AS next_pid")
-    edges = tails.join(following, "pid").join(heads.withColumnRenamed("pid", "next_pid"), "next_pid").select("id", "text", "next_text")
+    edges = tails.join(following, "pid").join(heads.withColumnRenamed("pid", "next_pid"), "next_pid").select(long_text("id").alias("id"), "text", "next_text")
     rest = edges.mapInPandas(close, schema.split(", ", 3)[3])
     return walked.where("edge IS NULL").select(*names[3:]).unionByName(rest)
