@@ -25,11 +25,12 @@ FEATURES = 14
 EPOCHS = 25
 ROWS = 256  # texts that step through the field together
 
-_WORDS = regex.compile(r"[\p{L}\p{M}]+")
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str | None) -> list[str]:
-    """The lower-cased runs of letters of a text."""
+    """The lower-cased runs of letters of a text, with the marks on them; marks
+    alone are no word."""
     return _WORDS.findall((text or "").lower())
 
 

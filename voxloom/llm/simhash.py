@@ -7,6 +7,10 @@ compares a plane with itself shifted by s rows, i.e. bit k of all pairs (i, i+s)
 and carry-save counters held as planes as well add up the differing bits of all
 those pairs at once. Blocks of pairs whose counters all exceed the radius, or
 which lie in no common bucket, are left early.
+
+Two searches use it: ``simhash_components`` links fingerprints at a radius, and
+``near_duplicates`` links texts by the Jaccard similarity of their sets, for
+which texts meet in buckets that no near pair can miss.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Forest, broadcast_if_small, connected_components, cut, give_back_memory, in_tiles, mix64, solve_runs
+from voxloom.llm.common import BROADCAST_ROWS, Forest, broadcast_if_small, connected_components, cut, give_back_memory, groups_for, in_tiles, join_hot, long_text, longs, mix64, solve_runs
+from voxloom.llm.substring import repeats
 
 _SPREAD = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], np.uint64)
 
@@ -70,11 +75,9 @@ def majority(hashes: np.ndarray, counts: np.ndarray, lanes: int = 1) -> np.ndarr
 
 
 def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1, fold: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id bigint, fp array<bigint>, copy string) of every row of ``docs``.
-
-    Null and empty texts have fingerprint zero. ``copy`` is a 128-bit hash of
-    the whole text, the same for exact copies. Rows may repeat.
-    """
+    """(id bigint, fp array<bigint>) of every row of ``docs``, over its shingles,
+    repeats included. Null and empty texts have fingerprint zero. Rows may repeat,
+    ids may be null."""
 
     def run(batches):
         give_back_memory()  # what earlier stages of this worker have left
@@ -86,11 +89,10 @@ def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1, fold: bool = T
                 counts = np.array([len(h) for h in hashes])
                 flat = np.array([x for h in hashes for x in h], np.uint64)
                 fp = majority(flat, counts, lanes).view(np.int64)
-                copy = [xxhash.xxh3_128_hexdigest((t or "").encode("utf-8", "surrogatepass")) for t in some]
-                yield pd.DataFrame({"id": b["id"].iloc[at : at + 512].to_numpy(), "fp": list(fp), "copy": copy})
+                yield pd.DataFrame({"id": longs(b["id"].iloc[at : at + 512]), "fp": list(fp)})
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return picked.mapInPandas(run, "id bigint, fp array<bigint>, copy string")
+    picked = docs.select(long_text(id_col).alias("id"), F.col(text_col).alias("text"))
+    return picked.mapInPandas(run, "id bigint, fp array<bigint>")
 
 
 def near_pairs(fp: np.ndarray, bucket: np.ndarray, radius: int, side: np.ndarray | None = None, block: int = 64):
@@ -191,26 +193,125 @@ def pigeonhole_keys(fp: str, radius: int) -> F.Column:
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp bigint, component bigint) of every row of ``docs`` with a non-null
-    id: 64-bit fingerprints over ``words``-word shingles, linked at ``radius`` or
-    fewer differing bits; component is the smallest id that links lead to.
+    """(id, fp bigint, component bigint) of every row of ``docs``: 64-bit
+    fingerprints over ``words``-word shingles, linked at ``radius`` or fewer
+    differing bits; component is the smallest id that links lead to.
 
     Exact. Rows with one fingerprint are one point of the search, however many
-    they are. Null and empty texts share fingerprint zero. An empty table gives
-    no rows; further columns of ``docs`` are not read.
+    they are; the points go by their fingerprints, so rows may repeat an id or
+    have none (a component of such rows alone is null). Null and empty texts share
+    fingerprint zero. An empty table gives no rows; further columns of ``docs``
+    are not read.
     """
     prints = cut(fingerprints(docs, words, 1, True, id_col, text_col).select("id", F.col("fp")[0].alias("fp")))
-    points = prints.groupBy("fp").agg(F.min("id").alias("id"))
-    keyed = points.select("id", F.array("fp").alias("v"), F.explode(pigeonhole_keys("fp", radius)).alias("key"))
-    edges = link_buckets(keyed.withColumnRenamed("v", "fp"), 1, radius)
-    parts = connected_components(edges)
-    named = points.join(parts, points["id"] == parts["node"], "left").select("fp", F.coalesce("root", "id").alias("component"))
-    return prints.join(named, "fp").select("id", "fp", "component")
+    points = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    keyed = points.select(F.col("fp").alias("id"), F.array("fp").alias("v"), F.explode(pigeonhole_keys("fp", radius)).alias("key"))
+    parts = connected_components(link_buckets(keyed.withColumnRenamed("v", "fp"), 1, radius))
+    linked = points.join(parts.withColumnRenamed("node", "fp"), "fp").select("fp", "n", "root", "least")
+    joined = join_hot(linked.select("fp", "n", "root"), linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("points")), "root", "points", points.count())
+    named = joined.select("fp", "n", "component").unionByName(points.join(parts, F.col("fp") == F.col("node"), "left_anti").select("fp", "n", F.col("least").alias("component")))
+    return join_hot(prints, named, "fp", "n", prints.count()).select("id", "fp", "component")
+
+
+LANES = 4  # of 64 bits each, in the fingerprints of near-duplicates
+DEVIATIONS = 6.0  # what the radius leaves to chance, in standard deviations
+HOT_PART = 4_096  # texts that may share a part before it counts as hot
+
+
+def radius_for(similarity: float, lanes: int = LANES) -> int:
+    """Differing bits that sets at ``similarity`` or more do not exceed, but for
+    odds of about one in 10^9: the share of differing bits is the angle between
+    the sets over pi, and at most a fifth more for small sets, where counts tie."""
+    n, p = 64 * lanes, 1.2 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return min(n - 1, int(np.ceil(n * p + DEVIATIONS * np.sqrt(n * p * (1 - p)))))
+
+
+def part_keys(shingles: np.ndarray, similarity: float) -> tuple[np.ndarray, list[int]]:
+    """(keys uint64, spare) of a set of distinct shingle hashes, such that any two
+    sets at ``similarity`` (over 0.5) or more share a key.
+
+    Two sets of x and y members at similarity t differ in (x + y)(1 - t)/(1 + t)
+    members at most. Members are dealt by their hash to parts, more of them than
+    sets of about that size may differ in, so that some part, not an empty one, is
+    the same in both: its key is a hash of its members. Sizes from 2^g to 2^(g+1)
+    have one dealing; pairs that a power of two separates meet in another, to
+    which only sizes near it belong. Bit 2 of a key tells the two kinds. ``spare``
+    says, by kind, how many parts could be left out without loss; a set with too
+    few parts has one key more, which all such sets have.
+    """
+    size = len(shingles)
+    keys, spare = [], [1 << 30, 1 << 30]
+    if not size:
+        return np.empty(0, np.uint64), spare
+    apart = (1 - similarity) / (1 + similarity)
+    base = 1 << (size.bit_length() - 1)
+    dealings = [(0, base, 2 * (2 * base - 1), min(size / similarity, 2 * base - 1))]
+    for edge in (base, 2 * base):
+        most = (edge - 1) / similarity  # the largest partner of the largest size below the edge
+        if edge > 1 and similarity * edge <= size + 1e-9 and size <= most + 1e-9:
+            dealings.append((1, edge, edge - 1 + most, size / similarity if size < edge else edge - 1))
+    for kind, name, both, partner in dealings:
+        differ = int(apart * both + 1e-9)
+        parts = differ + 3 + differ // 8
+        salt = 2 * name + kind
+        part = ((mix64(shingles, salt & 1023) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sums = np.add.reduceat(mix64(shingles, 3)[order], first)
+        own = mix64(sums + mix64(part[first] + (np.uint64(salt) << np.uint64(32)), 4), 5)
+        room = len(first) - int(apart * (size + partner) + 1e-9) - 1
+        spare[kind] = min(spare[kind], room)
+        if room < 0:
+            own = np.append(own, mix64(np.array([salt], np.uint64), 6))
+        keys.append((own & ~np.uint64(7)) | np.uint64(kind << 2))
+    return np.concatenate(keys), spare
+
+
+def set_prints(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(id, fp, copy, spare) of every row of ``docs`` (id, text): the fingerprint of
+    the set of its distinct shingles, a 128-bit hash of that set, and how many of
+    its parts may be left out."""
+
+    def run(batches):
+        give_back_memory()  # what earlier stages of this worker have left
+        for b in batches:
+            for at in range(0, len(b), 512):
+                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in b["text"].iloc[at : at + 512]]
+                fp = majority(np.concatenate(sets), np.array([len(x) for x in sets]), LANES).view(np.int64)
+                copy = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets]
+                yield pd.DataFrame({"id": b["id"].iloc[at : at + 512].to_numpy(), "fp": list(fp), "copy": copy, "spare": [part_keys(x, similarity)[1] for x in sets]})
 
+    return docs.mapInPandas(run, "id bigint, fp array<bigint>, copy string, spare array<int>")
 
-BAND_BITS = 13
-LANES = 8
-PREFIX_LANES = 2
+
+def shared_parts(texts: DataFrame, words: int, similarity: float, spare: DataFrame) -> DataFrame:
+    """(key, id): texts (id, text) by the parts of their sets that other texts have
+    too, so that all pairs at ``similarity`` or more share a key.
+
+    A hot part, one of over HOT_PART texts, counts only for texts that could not do
+    without: of two near texts, one whose parts suffice without the hot ones
+    shares another with its partner. Parts that the very same texts share are one."""
+
+    def per_text(row):
+        h, _ = part_keys(np.unique(np.array(shingle_hashes(row.text, words), np.uint64)), similarity)
+        return h, np.ones(len(h), bool)
+
+    def open_hits(batches):
+        for b in batches:
+            hits = [np.frombuffer(x, "<i8") for x in b["hits"]]
+            key = np.concatenate([*hits, np.empty(0, np.int64)])
+            yield pd.DataFrame({"key": key, "id": np.repeat(b["id"].to_numpy(), [len(x) for x in hits]), "edge": (key & 4) > 0})
+
+    found = cut(repeats(texts, per_text, groups_for(texts), "<u8").mapInPandas(open_hits, "key bigint, id bigint, edge boolean"))
+    hot = broadcast_if_small(cut(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PART).select("key")))
+    in_hot = found.join(hot, "key")
+    of_text = in_hot.groupBy("id", "edge").agg(F.count("*").alias("n")).join(spare, "id")
+    tight = of_text.where(F.col("n") > F.when(F.col("edge"), F.col("spare")[1]).otherwise(F.col("spare")[0])).select("id", "edge")
+    left = found.join(hot, "key", "left_anti").select("key", "id").unionByName(in_hot.join(tight, ["id", "edge"], "left_semi").select("key", "id"))
+    members = left.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"))
+    one_each = members.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return left.join(one_each, "key", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,34 +319,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     sets of ``words``-word shingles have Jaccard similarity ``similarity`` or
     more, directly or through others; group is the smallest id of the class.
 
-    Fingerprints of 512 bits meet in bands of 13 bits, where their first 128 bits
-    are compared, bit-sliced; the radius takes in 99 in 100 pairs at the wanted
-    similarity, and 39 bands as many. Each cluster that results is then compared
-    exactly, all pairs of its texts, in tiles of bounded size. Exact copies are
-    one text with a number of ids. Null and empty texts have the empty set and
-    count as copies of each other. Null ids are left out; rows that repeat an id
-    with another text are taken as further texts of that id.
+    Texts that share a part of their sets meet (any two at the wanted similarity
+    do), and their fingerprints of distinct shingles, 256 bits, are compared
+    bit-sliced; the radius loses a near pair with odds of about one in 10^9. Each
+    cluster that results is then compared exactly, all pairs of its texts, in
+    tiles of bounded size. Equal sets are one text with a number of ids. Null and
+    empty texts have the empty set and count as copies of each other. Null ids are
+    left out; rows that repeat an id with another text are taken as further texts
+    of that id. An empty table gives no rows.
     """
-    prints = cut(fingerprints(docs, words, LANES, True, id_col, text_col))
-    classes = cut(prints.groupBy("copy").agg(F.min("id").alias("id"), F.min_by("fp", "id").alias("fp")))
-    # a bit differs with probability p at the wanted similarity of sets
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = 64 * PREFIX_LANES
-    radius = int(np.ceil(n * p + 2.33 * np.sqrt(n * p * (1 - p))))
-
-    def bands(batches):
-        give_back_memory()  # what earlier stages of this worker have left
-        count = 64 * LANES // BAND_BITS
-        weight = 1 << np.arange(BAND_BITS, dtype=np.int64)
-        for b in (whole.iloc[k : k + 1024] for whole in batches for k in range(0, len(whole), 1024)):
-            fp = np.stack(b["fp"].to_numpy()).astype(np.int64)
-            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, : count * BAND_BITS]
-            keys = bits.reshape(len(b), count, BAND_BITS).astype(np.int64) @ weight + (np.arange(count) << BAND_BITS)
-            yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(b["id"].to_numpy(), count), "fp": list(np.repeat(fp[:, :PREFIX_LANES], count, axis=0))})
-
-    keyed = classes.select("id", "fp").mapInPandas(bands, "key bigint, id bigint, fp array<bigint>")
-    clusters = cut(connected_components(link_buckets(keyed, PREFIX_LANES, radius)))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(broadcast_if_small(clusters.select(F.col("node").alias("id"), F.col("root").alias("key"))), "id")
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    prints = cut(set_prints(picked, words, similarity))
+    classes = cut(prints.groupBy("copy").agg(F.min("id").alias("id"), F.min_by(F.struct("fp", "spare"), "id").alias("of")).select("copy", "id", "of.*"))
+    reps = picked.join(broadcast_if_small(classes.select("id")), "id", "left_semi")
+    parts = shared_parts(reps, words, similarity, classes.select("id", "spare"))
+    keyed = parts.join(broadcast_if_small(classes.select("id", "fp"), BROADCAST_ROWS // LANES), "id").select("key", "id", "fp")
+    clusters = cut(connected_components(link_buckets(keyed, LANES, radius_for(similarity))))
+    texts = picked.join(broadcast_if_small(clusters.select(F.col("node").alias("id"), F.col("root").alias("key"))), "id")
 
     def sets(batches):
         for b in batches:
@@ -265,7 +355,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     exact = solve_runs(in_tiles(texts.mapInPandas(sets, "key bigint, id bigint, shingles binary"), "key", 512), "tile", solve, "a bigint, b bigint")
     named = connected_components(exact)
     group = classes.select("copy", "id").join(named, F.col("id") == F.col("node"), "left").select("copy", F.coalesce("root", "id").alias("group"))
-    return prints.select("id", "copy").join(group, "copy").groupBy("id").agg(F.min("group").alias("group"))
+    sizes = prints.groupBy("copy").agg(F.count("*").alias("n"))
+    return join_hot(prints.select("id", "copy"), group.join(sizes, "copy"), "copy", "n", prints.count()).groupBy("id").agg(F.min("group").alias("group"))
 
 
 def _jaccard_edges(ids: np.ndarray, side: np.ndarray, shingles: list[bytes], similarity: float, width: int = 4096) -> pd.DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import mix64, rolling, shuffle_partitions
+from voxloom.llm.common import groups_for, long_text, longs, mix64, rolling
 
 BATCH_WORDS = 1 << 22
 
@@ -116,7 +116,7 @@ def _gather(b: pd.DataFrame, kind: str) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "hits": [np.unique(x).tobytes() for x in np.split(tag[o], starts[1:])]})
 
 
-def _repeats(texts: DataFrame, per_text, n: int, kind: str) -> DataFrame:
+def repeats(texts: DataFrame, per_text, n: int, kind: str) -> DataFrame:
     """(id, hits) of the marked hashes that occur twice or more; ``per_text``
     gives (h, marked) of a row. What a task has seen itself goes to groups of its
     own, spread by its documents."""
@@ -137,20 +137,19 @@ def _repeats(texts: DataFrame, per_text, n: int, kind: str) -> DataFrame:
 
     sent = texts.mapInPandas(send, _SENT_SCHEMA)
     keyed = sent.withColumn("key", F.when(F.col("bucket") < 0, F.xxhash64("docs", "tags")).otherwise(F.col("bucket").cast("long")))
-    met = keyed.groupBy("key").applyInPandas(lambda b: _meet(b, n, kind), "bin int, docs binary, counts binary, tags binary")
-    return met.groupBy("bin").applyInPandas(lambda b: _gather(b, kind), "id bigint, hits binary")
+    met = keyed.repartition(n, "key").groupBy("key").applyInPandas(lambda b: _meet(b, n, kind), "bin int, docs binary, counts binary, tags binary")
+    return met.repartition(n, "bin").groupBy("bin").applyInPandas(lambda b: _gather(b, kind), "id bigint, hits binary")
 
 
 def windows_of(text: str | None, window: int) -> np.ndarray:
     return mix64(rolling(word_hashes(text), window), 7)
 
 
-def repeated_windows(texts: DataFrame, window: int = 35) -> DataFrame:
+def repeated_windows(texts: DataFrame, n: int, window: int = 35) -> DataFrame:
     """(id, hits binary): for each row of ``texts`` (id bigint, unique; text) with
     any, the tags (``<u8``) of its windows of ``window`` words that also start
-    elsewhere."""
+    elsewhere. Hashes are dealt to ``n`` groups."""
     block = (window + 1) // 2
-    n = shuffle_partitions(texts.sparkSession)
 
     def probes(row):
         h = rolling(word_hashes(row.text), block)
@@ -168,8 +167,8 @@ def repeated_windows(texts: DataFrame, window: int = 35) -> DataFrame:
         h = mix64(rolling(words, window), 7)[np.cumsum(near)[:count] > 0]
         return h, np.ones(len(h), bool)
 
-    found = _repeats(texts, probes, n, "<u4")
-    return _repeats(texts.join(found, "id").select("id", "text", "hits"), around, n, "<u8")
+    found = repeats(texts, probes, n, "<u4")
+    return repeats(texts.join(found, "id").select("id", "text", "hits"), around, n, "<u8")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,13 +177,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     A word goes if a window of ``window`` consecutive words of its document
     covers it whose word sequence also starts elsewhere, in the same or another
     document; all copies go. Words are runs without ASCII white space, unchanged.
-    Null texts have no words; kept words are joined by one space. Ids must be
-    unique and not null for rows to be told apart.
+    Null texts have no words; kept words are joined by one space. Rows may repeat
+    an id or have none: inside, a row goes by a hash of its id and text (rows that
+    share one only share a list of repeated windows, which hold for both).
+    Windows count as equal if 62 bits of their hashes are; of 10^9 different
+    windows, two meet by chance with odds of about one in nine.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # one exchange of the texts by id serves the probes, the windows and the removal
-    texts = texts.where("id IS NOT NULL").repartition(shuffle_partitions(docs.sparkSession), "id")
-    found = repeated_windows(texts, window)
+    texts = docs.select(long_text(id_col).alias("doc"), F.col(text_col).alias("text"))
+    n = groups_for(texts)
+    # one exchange of the texts serves the probes, the windows and the removal
+    texts = texts.withColumn("id", F.xxhash64("doc", "text")).repartition(n, "id")
+    found = repeated_windows(texts, n, window)
 
     def keep(batches):
         for b in batches:
@@ -199,7 +202,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                     np.add.at(cover, np.minimum(starts + window, n), -1)
                     stay = np.cumsum(cover)[:n] == 0
                     words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-                out.append((row.id, n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
+                out.append((row.doc, n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
+            done = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
+            yield done.assign(id=longs(done["id"]))
 
-    return texts.join(found, "id", "left").select("id", "text", "hits").mapInPandas(keep, "id bigint, n_words bigint, n_removed bigint, kept string")
+    return texts.join(found, "id", "left").select("doc", "text", "hits").mapInPandas(keep, "id bigint, n_words bigint, n_removed bigint, kept string")
