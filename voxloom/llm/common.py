@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application in the one that driver and executors share, as
     ``spark.checkpoint.dir`` names it; it goes when the driver ends. Where that is
@@ -133,13 +141,14 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), kind)
 
 
-def pack_planes(a: np.ndarray) -> bytes:
-    """uint32 by byte planes: those of small numbers are all zero."""
-    return zlib.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def pack_planes(a: np.ndarray, kind: str = "<u4") -> bytes:
+    """Whole numbers by byte planes: the high ones of small numbers are all zero."""
+    size = np.dtype(kind).itemsize
+    return zlib.compress(np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(-1, size).T).tobytes(), 1)
 
 
-def unpack_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+def unpack_planes(b: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
 
 
 def give_back_memory() -> None:

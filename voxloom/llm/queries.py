@@ -24,9 +24,10 @@ def held_out(divisor: int, rest: int) -> F.Column:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(4, 2).alias("held_out"))
-    trained = toxicity.train(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, trained).select("doc_id", "held_out", "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

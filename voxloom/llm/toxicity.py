@@ -1,21 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated models over hashed words, one of toxic and one of ordinary
-labelled texts: the absolutely discounted words of a class back off to a
-continuation distribution (after how many different words a word has been seen)
-that both classes share, so that an expression too rare to tell the classes
-apart has nearly the same probability in both. The score of a text compares its
-length-normalised log-likelihoods under the two. Bigrams serve as contexts only:
-class-conditional ones were tried as a third order, and the few texts that share
-rare bigrams drowned all else (area under the held-out curve at sf0.1: 0.57, now 0.97).
-
-Words are counted in ``2 ** bits`` buckets. That bounds the model, which every
-task holds, whatever the corpus; all labelled texts are counted.
+Two models over words, one of toxic and one of ordinary labelled texts: the
+absolutely discounted words of a class back off to a continuation distribution
+(after how many different words a word has been seen) that both classes share, so
+that an expression too rare to tell the classes apart has the same probability in
+both, but for the weight of the backoff. A text's log-likelihoods under the two
+are compared, normalised by length: over all its distinct words, and over its
+most toxic ones. Class-conditional bigrams as a third order were tried and
+dropped (figures in the README).
+
+Counts are Spark tables keyed by word, and grow with the input. Words travel as
+48-bit hashes, by chunks of documents that list each distinct word once: a chunk's
+words meet the table in hash buckets, and their counts go back to the chunk.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,132 +25,301 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import give_back_memory, hash_filter, mix64
+from voxloom.llm.common import cut, cut_by, give_back_memory, groups_for, hash_filter, long_text, longs, mix64, pack, pack_planes, unpack, unpack_planes
 
-BITS = 20
-DISCOUNTS = (2.0, 1.0, 3.0, 5.0)  # the one that explains labelled texts best is taken
-CALIBRATION_ROWS = 8_000  # at most so many labelled rows fit the three weights of the logistic curve
+DISCOUNTS = (1.0, 2.0, 3.0, 5.0)  # the one that explains labelled texts best is taken
+CALIBRATION_ROWS = 8_000  # at most so many labelled rows fit the weights of the logistic curve
 REJECT = 0.3  # texts of this score or more count as toxic
-PIECE = 1 << 14
-SPAN = 8  # words of the short windows of which the most toxic one counts
-FEATURES = 4
+CHUNK_CHARS = 8 << 20
+CONTEXTS = 32  # fewer different words before a word are counted exactly, more are estimated
+WORD_BITS, FILTER_BITS = 48, 25
+TOP = (3, 10)  # numbers of most toxic words that are looked at alone
+FEATURES = 2 + len(TOP)
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the lower-cased words, stripped of punctuation at their ends."""
-    words = [w.strip(".,;:!?\"'()[]*#%&$|-") for w in (text or "").lower().split()]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w.encode("utf-8", "surrogatepass")) for w in words if w], np.uint64)
+class Lexicon:
+    """Numbers for the tokens of a chunk, and the hashes of their words: lower-case,
+    without punctuation at their ends; zero where nothing is left."""
 
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
-def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    def numbers(self, text: str | None) -> np.ndarray:
+        parts, known = (text or "").lower().split(), self.known
+        return np.fromiter((known.setdefault(w, len(known)) for w in parts), np.int64, len(parts))
 
+    def hashes(self) -> np.ndarray:
+        digest, out = xxhash.xxh64_intdigest, np.zeros(len(self.known), np.uint64)
+        for k, w in enumerate(self.known):
+            w = w.strip(".,;:!?\"'()[]*#%&$|-")
+            if w:
+                out[k] = max(1, digest(w.encode("utf-8", "surrogatepass")) >> (64 - WORD_BITS))
+        return out
 
-def _contexts(h: np.ndarray) -> np.ndarray:
-    """For each word one bit of 64, chosen by the word before it."""
-    before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
-    return np.uint64(1) << (mix64(before, 5) & np.uint64(63))
 
+@dataclass
+class _Chunk:
+    """The words of some documents: ``words`` sorted, (doc, word) of each
+    distinct word of each document in order, and all tokens one after another."""
 
-def count(labelled: DataFrame, bits: int = BITS) -> dict[str, np.ndarray]:
-    """What models are made of, over all rows of ``labelled`` (text, label 0 or 1):
-    ``word``, counts by class (2, 2^bits), once a text, so that lines repeated in
-    it weigh no more, and ``shared``, the lower order, from a 64-bit sketch per
-    word of the different words before it. Each task sends its counts in pieces; pieces are summed on
-    the executors, and the sums, of a fixed size, make the model."""
-    size = 1 << bits
+    words: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    sizes: np.ndarray
+    token_doc: np.ndarray
+    token_word: np.ndarray
+
+
+def _chunk(lexicon: Lexicon, numbers: list[np.ndarray]) -> _Chunk:
+    h = lexicon.hashes()
+    flat = h[np.concatenate([*numbers, np.empty(0, np.int64)])]
+    doc = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])[flat > 0]
+    words, word = np.unique(flat[flat > 0], return_inverse=True)
+    seen = np.unique(doc * max(len(words), 1) + word)
+    d, w = np.divmod(seen, max(len(words), 1))
+    return _Chunk(words, d, w, np.bincount(d, minlength=len(numbers)), doc, word)
+
+
+def _bucket_edges(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets begin among sorted words: ranges of hashes."""
+    return np.searchsorted(words, np.array([(k << WORD_BITS) // buckets for k in range(buckets + 1)], np.uint64))
+
+
+def _first_of_each(owner: np.ndarray, most: int) -> np.ndarray:
+    """Flags of the first ``most`` entries of each run of equal owners."""
+    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+    return np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner)))) < most
+
+
+def _contexts(owner: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+    """How many different 32-bit hashes go with each of n owners, from up to
+    CONTEXTS of the smallest of each: exact below that number, else by how
+    densely the smallest lie. Any number can be told; nothing saturates."""
+    counts = np.bincount(owner, minlength=n).astype(float)
+    last = np.zeros(n)
+    np.maximum.at(last, owner, before.astype(float))
+    full = counts >= CONTEXTS
+    counts[full] = (CONTEXTS - 1) * 2.0**32 / (last[full] + 1)
+    return np.maximum(counts, 1)
+
+
+COUNTED = "bucket int, words binary, n0 binary, n1 binary, sizes binary, before binary"
+MODEL = "bucket int, words binary, n0 binary, n1 binary, contexts binary, types bigint, stats array<double>"
+
+
+def count(labelled: DataFrame, buckets: int) -> DataFrame:
+    """The model's table, one row a bucket, over all rows of ``labelled`` (text,
+    label 0 or 1): the words that two texts of a class or more have, with the
+    number of such texts by class (lines repeated in a text weigh no more) and of
+    different words before them. ``stats`` sums up all words, rarer ones too."""
 
     def partial(batches):
-        word, seen = np.zeros((2, size), np.int32), np.zeros(size, np.uint64)
-        some = False
+        lexicon, numbers, labels, size = Lexicon(), [], [], 0
+
+        def flush():
+            c, label = _chunk(lexicon, numbers), np.array(labels)
+            n = [np.bincount(c.word[label[c.doc] == k], minlength=len(c.words)) for k in (0, 1)]
+            before = np.concatenate([[np.uint64(0)], c.words[c.token_word[:-1]]]) if len(c.token_word) else np.empty(0, np.uint64)
+            before[np.concatenate([[True], c.token_doc[1:] != c.token_doc[:-1]])[: len(before)]] = 0
+            pairs = np.unique((c.token_word.astype(np.uint64) << np.uint64(32)) | (mix64(before, 5) >> np.uint64(32)))
+            owner = (pairs >> np.uint64(32)).astype(np.int64)
+            few = _first_of_each(owner, CONTEXTS)
+            owner, before = owner[few], pairs[few].astype(np.uint32)
+            sizes = np.bincount(owner, minlength=len(c.words))
+            edges, ends = _bucket_edges(c.words, buckets), np.concatenate([[0], np.cumsum(sizes)])
+            rows = []
+            for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                if b > a:
+                    rows.append((k, pack_planes(np.diff(c.words[a:b], prepend=np.uint64(0)), "<u8"), pack_planes(n[0][a:b]), pack_planes(n[1][a:b]), pack_planes(sizes[a:b]), pack_planes(before[ends[a] : ends[b]])))
+            return pd.DataFrame(rows, columns=["bucket", "words", "n0", "n1", "sizes", "before"])
+
         for b in batches:
             for text, label in zip(b["text"], b["label"], strict=True):
-                h = tokens(text)
-                if len(h):
-                    some = True
-                    w = _buckets(h, bits)
-                    np.bitwise_or.at(seen, w, _contexts(h))
-                    word[label][np.unique(w)] += 1
-        if some:
-            rows = []
-            for kind, a in enumerate((word[0], word[1], seen)):
-                for at in range(0, size, PIECE):
-                    piece = a[at : at + PIECE]
-                    if piece.any():
-                        rows.append((kind, at, zlib.compress(piece.tobytes(), 1)))
-            word, seen = None, None
-            yield pd.DataFrame(rows, columns=["kind", "at", "data"])
+                numbers.append(lexicon.numbers(text))
+                labels.append(label)
+                size += len(text or "")
+                if size >= CHUNK_CHARS:
+                    yield flush()
+                    lexicon, numbers, labels, size = Lexicon(), [], [], 0
+        if numbers:
+            yield flush()
+        lexicon, numbers, labels = None, [], []
         give_back_memory()
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
-        kind, at = int(b["kind"].iloc[0]), int(b["at"].iloc[0])
-        total = None
-        for raw in b["data"]:
-            a = np.frombuffer(zlib.decompress(raw), np.uint64 if kind == 2 else np.int32)
-            a = a if kind == 2 else a.astype(np.int64)
-            total = a.copy() if total is None else (total | a if kind == 2 else total + a)
-        return pd.DataFrame([(kind, at, zlib.compress(total.tobytes(), 1))], columns=["kind", "at", "data"])
-
-    schema = "kind int, at int, data binary"
-    sums = labelled.mapInPandas(partial, schema).groupBy("kind", "at").applyInPandas(merge, schema)
-    out = {"word": np.zeros((2, size), np.int64), "seen": np.zeros(size, np.uint64)}
-    for row in sums.toLocalIterator():
-        a = np.frombuffer(zlib.decompress(row["data"]), np.uint64 if row["kind"] == 2 else np.int64)
-        into = out["seen"] if row["kind"] == 2 else out["word"][row["kind"]]
-        into[row["at"] : row["at"] + PIECE] = a
-    # one array of each for all models that are made of them
-    return {"word": out["word"].astype(np.int32), "shared": continuation(out["seen"])}
-
-
-def continuation(seen: np.ndarray) -> np.ndarray:
-    """The lower order: after how many different words a word has been seen, by
-    linear counting on 64 bits, as a distribution."""
-    bits_set = np.bitwise_count(seen).astype(float)
-    contexts = np.where(bits_set >= 64, 64 * np.log(64.0) + 1, -64 * np.log(np.maximum(1 - bits_set / 64, 1 / 64)))
-    return ((contexts + 0.5) / (contexts.sum() + 0.5 * len(contexts))).astype(np.float32)
+        parts = [np.cumsum(unpack_planes(x, "<u8")) for x in b["words"]]
+        words, at = np.unique(np.concatenate(parts), return_inverse=True)
+        n = [np.bincount(at, np.concatenate([unpack_planes(x) for x in b[c]]).astype(float), len(words)) for c in ("n0", "n1")]
+        owner = np.repeat(at, np.concatenate([unpack_planes(x) for x in b["sizes"]]).astype(np.int64)).astype(np.uint64)
+        pairs = np.unique((owner << np.uint64(32)) | np.concatenate([unpack_planes(x) for x in b["before"]]))
+        owner = (pairs >> np.uint64(32)).astype(np.int64)
+        few = _first_of_each(owner, CONTEXTS)
+        contexts = _contexts(owner[few], pairs[few].astype(np.uint32), len(words))
+        active = (n[0] > DISCOUNTS[0]) | (n[1] > DISCOUNTS[0])
+        stats = [contexts[active].sum() + (~active).sum(), *(x.sum() for x in n), *(np.minimum(x, d).sum() for d in DISCOUNTS for x in n)]
+        kept = (pack_planes(np.diff(words[active], prepend=np.uint64(0)), "<u8"), *(pack_planes(x[active], "<u8") for x in n), pack(contexts[active].astype("<f8")))
+        return pd.DataFrame([(int(b["bucket"].iloc[0]), *kept, len(words), stats)], columns=["bucket", "words", "n0", "n1", "contexts", "types", "stats"])
+
+    return cut(labelled.mapInPandas(partial, COUNTED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(merge, MODEL))
 
 
 class Model:
-    def __init__(self, counts: dict[str, np.ndarray], bits: int = BITS, discount: float = DISCOUNTS[0]):
-        self.bits, self.discount = bits, discount
-        self.word = counts["word"]
-        self.total = np.maximum(counts["word"].sum(axis=1), 1).astype(float)
+    """The table of counts, their sums, the bitmap of its words and the curve.
+
+    Of a word that few texts have, only the backoff is left under any discount, so
+    that its ratio is the same for all; such words are counted but not kept."""
+
+    def __init__(self, table: DataFrame, buckets: int):
+        self.table, self.buckets = table, buckets
+        size = 3 + 2 * len(DISCOUNTS)
+        sums = table.select(*(F.sum(F.col("stats")[k]) for k in range(size))).first()
+        self.contexts, *totals = (float(x or 0) for x in sums)
+        self.total = np.maximum(totals[:2], 1.0)
         # what the discounts take from the counts is what backs off
-        self.back = [max(np.minimum(n, discount).sum() / t, 1e-6) for n, t in zip(counts["word"], self.total, strict=True)]
-        self.shared = counts["shared"]
+        self.back = np.maximum(np.array(totals[2:]).reshape(-1, 2) / self.total, 1e-6)
+        self.filter = table.sparkSession.sparkContext.broadcast(self._bitmap())
+        self.discount, self.weights = 0, np.zeros(FEATURES + 1)
+
+    def _bitmap(self) -> np.ndarray:
+        """2^25 bits (4 MB, whatever the table's size), those of its words' first
+        bits set: words that the table lacks mostly need not be sent to it."""
+        shift = np.uint64(WORD_BITS - FILTER_BITS)
+
+        def flags(batches):
+            for b in batches:
+                for row in b.itertuples(index=False):
+                    at = (np.cumsum(unpack_planes(row.words, "<u8")) >> shift).astype(np.int64)
+                    if len(at):
+                        first = int(at[0]) & ~7
+                        bits = np.zeros((int(at[-1]) - first) // 8 * 8 + 8, np.uint8)
+                        bits[at - first] = 1
+                        yield pd.DataFrame({"at": [first // 8], "bits": [np.packbits(bits).tobytes()]})
+
+        out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for row in self.table.select("words").mapInPandas(flags, "at bigint, bits binary").toLocalIterator():
+            some = np.frombuffer(row["bits"], np.uint8)
+            out[row["at"] : row["at"] + len(some)] |= some
+        return out
+
+
+def features(n: np.ndarray, contexts: np.ndarray, doc: np.ndarray, sizes: np.ndarray, total: np.ndarray, back: np.ndarray, all_contexts: float, discount: float, own: int | None = None) -> np.ndarray:
+    """(documents, FEATURES) length-normalised log-likelihood ratios, toxic over
+    ordinary: per distinct word, per root of their number, and per word of the
+    3 and 10 most toxic ones. ``n`` (2, entries) are counts by class of the words
+    of documents ``doc`` (sorted) that the table has, ``sizes`` how many distinct
+    words each document has. ``own`` is the class of documents that have been
+    counted themselves: their counts are taken out."""
+    logs = []
+    for c in (0, 1):
+        have, of = n[c].astype(float), np.full(len(sizes), total[c])
+        if own == c:
+            have, of = have - 1, np.maximum(of - sizes, 1.0)
+        logs.append(np.log(np.maximum(have - discount, 0) / of[doc] + back[c] * contexts / all_contexts))
+    ratio, rest = logs[1] - logs[0], float(np.log(back[1] / back[0]))
+    known = np.bincount(doc, minlength=len(sizes))
+    total_ratio = np.bincount(doc, ratio, len(sizes)) + (sizes - known) * rest
+    order = np.lexsort((-ratio, doc))
+    most = max(TOP)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(known) - known, known)
+    top = np.full((len(sizes), 2 * most), -np.inf)
+    few = place < most
+    top[doc[few], place[few]] = ratio[order][few]
+    top[:, most:][np.arange(most) < (sizes - known)[:, None]] = rest
+    top = -np.sort(-top, axis=1)
+    out = [total_ratio / np.maximum(sizes, 1), total_ratio / np.sqrt(np.maximum(sizes, 1))]
+    for k in TOP:
+        taken = np.minimum(sizes, k)
+        out.append(np.where(np.arange(k) < taken[:, None], top[:, :k], 0.0).sum(axis=1) / np.maximum(taken, 1))
+    return np.column_stack(out)
+
+
+def _read(docs: DataFrame, model: Model, finish, schema: str) -> DataFrame:
+    """``finish(ids, n, contexts, doc, sizes)`` of the documents of each chunk, its
+    words' counts having been looked up. ``docs`` is (id string, text)."""
+    buckets = max(model.buckets, 1)
+    bitmap, shift = model.filter, np.uint64(WORD_BITS - FILTER_BITS)
+
+    def chunks(batches):
+        lexicon, numbers, ids, size = Lexicon(), [], [], 0
+
+        def flush():
+            c, name = _chunk(lexicon, numbers), uuid.uuid4().hex
+            bit = (c.words >> shift).astype(np.int64)
+            maybe = (bitmap.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+            words = c.words[maybe]
+            keep = maybe[c.word]
+            # frequent words first, so that most numbers of words are small
+            renumbered = (np.cumsum(maybe) - 1)[c.word[keep]]
+            order = np.argsort(-np.bincount(renumbered, minlength=len(words)), kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            doc, number = c.doc[keep], place[renumbered]
+            number = number[np.lexsort((number, doc))]
+            edges = _bucket_edges(words, buckets).tolist()
+            rows = [(k, name, None, pack_planes(place[a:b]), None, pack_planes(np.diff(words[a:b], prepend=np.uint64(0)), "<u8")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+            counts = np.bincount(doc, minlength=len(ids))
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            step = max(1, len(ids) * (4 << 20) // max(1, size))  # documents in blocks, so that no row is large
+            for at in range(0, len(ids), step):
+                to = min(at + step, len(ids))
+                flat = number[ends[at] : ends[to]]
+                first = ends[at:to][counts[at:to] > 0] - ends[at]
+                steps = np.diff(flat, prepend=0)
+                steps[first] = flat[first]
+                rows.append((-1, name, ids[at:to], pack_planes(c.sizes[at:to]), pack_planes(counts[at:to]), pack_planes(steps)))
+            return pd.DataFrame(rows, columns=["bucket", "chunk", "ids", "a", "b", "c"])
 
-    @classmethod
-    def of(cls, state: dict) -> Model:
-        model = cls.__new__(cls)
-        model.__dict__.update(state)
-        return model
+        for b in batches:
+            for i, text in zip(b["id"], b["text"], strict=True):
+                ids.append(i)
+                numbers.append(lexicon.numbers(text))
+                size += len(text or "")
+                if size >= CHUNK_CHARS:
+                    yield flush()
+                    lexicon, numbers, ids, size = Lexicon(), [], [], 0
+        if ids:
+            yield flush()
+        lexicon, numbers, ids = None, [], []
+        give_back_memory()
 
-    def ratios(self, h: np.ndarray, own: int | None = None) -> np.ndarray:
-        """Log of toxic over ordinary probability, word by word. ``own`` is the
-        class of a text that has been counted itself: its counts are taken out."""
-        w = _buckets(h, self.bits)
-        logs = []
-        for c in (0, 1):
-            n, total = self.word[c][w].astype(float), self.total[c]
-            if own == c:
-                n -= 1
-                total = max(total - len(np.unique(w)), 1.0)
-            logs.append(np.log(np.maximum(n - self.discount, 0) / total + self.back[c] * self.shared[w]))
-        return logs[1] - logs[0]
-
-    def features(self, text: str | None, own: int | None = None) -> np.ndarray:
-        """Log-likelihood ratios per word, per root of the number of words, of
-        the most toxic stretch of SPAN words, and of the three most toxic words."""
-        h = tokens(text)
-        if not len(h):
-            return np.zeros(FEATURES)
-        r = self.ratios(h, own)
-        run = np.cumsum(np.concatenate([[0.0], r]))
-        k = min(SPAN, len(r))
-        _, once = np.unique(h, return_index=True)
-        d = np.sort(r[once])
-        return np.array([d.mean(), d.sum() / np.sqrt(len(d)), (run[k:] - run[:-k]).max() / np.sqrt(k), d[-3:].mean()])
+    def look_up(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(table):
+            row = table.iloc[0]
+            words = np.cumsum(unpack_planes(row["words"], "<u8"))
+            n0, n1, contexts = unpack_planes(row["n0"], "<u8"), unpack_planes(row["n1"], "<u8"), unpack(row["contexts"], "<f8")
+            for q in asked.itertuples(index=False) if len(words) else ():
+                mine = np.cumsum(unpack_planes(q.c, "<u8"))
+                at = np.minimum(np.searchsorted(words, mine), len(words) - 1)
+                have = words[at] == mine
+                at = at[have]
+                out.append((q.chunk, pack_planes(unpack_planes(q.a)[have]), pack_planes(n0[at], "<u8"), pack_planes(n1[at], "<u8"), pack(contexts[at].astype("<f4"))))
+        return pd.DataFrame(out, columns=["chunk", "places", "n0", "n1", "contexts"])
+
+    def gather(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        places = [unpack_planes(x).astype(np.int64) for x in found["places"]]
+        blocks = [(unpack_planes(r.a).astype(np.int64), unpack_planes(r.b).astype(np.int64), unpack_planes(r.c).astype(np.int64), list(r.ids)) for r in own.itertuples(index=False)]
+        top = 1 + max((int(p.max()) for p in places if len(p)), default=-1)
+        n, contexts, there = np.zeros((2, top)), np.zeros(top), np.zeros(top, bool)
+        for p, row in zip(places, found.itertuples(index=False), strict=True):
+            n[0, p], n[1, p], contexts[p], there[p] = unpack_planes(row.n0, "<u8"), unpack_planes(row.n1, "<u8"), unpack(row.contexts, "<f4"), True
+        out = []
+        for sizes, counts, steps, ids in blocks:
+            doc = np.repeat(np.arange(len(ids)), counts)
+            run = np.cumsum(steps)
+            base = np.concatenate([[0], run])[np.cumsum(counts) - counts]
+            number = run - np.repeat(base, counts)
+            known = number < top
+            known[known] = there[number[known]]
+            doc, number = doc[known], number[known]
+            out.append(finish(ids, n[:, number], contexts[number], doc, sizes))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({x.strip().split(" ")[0]: [] for x in schema.split(",")})
+
+    blobs = cut_by(docs.mapInPandas(chunks, "bucket int, chunk string, ids array<string>, a binary, b binary, c binary"), "chunk", buckets)
+    asked = blobs.where("bucket >= 0").select("bucket", "chunk", "a", "c").repartition(buckets, "bucket")
+    found = asked.groupBy("bucket").cogroup(model.table.select("bucket", "words", "n0", "n1", "contexts").repartition(buckets, "bucket").groupBy("bucket")).applyInPandas(look_up, "chunk string, places binary, n0 binary, n1 binary, contexts binary")
+    own = blobs.where("bucket < 0").select("chunk", "ids", "a", "b", "c")
+    return own.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(gather, schema)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -167,56 +338,58 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     return np.append(w[:-1] / scale, w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text"):
-    """(model, weights) from all rows of ``docs`` that ``labels`` marks 0 or 1.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of all rows of ``docs`` that ``labels`` marks 0 or 1. An id that
+    is labelled twice is toxic if one of its labels says so; rows that repeat an id
+    all have its label; rows without an id have none.
 
-    The curve's weights, and the choice among DISCOUNTS, are fitted on CALIBRATION_ROWS rows at most, the first
-    by a hash of the id; each is scored as if it had not been counted. With no
-    labelled row of one class the curve is flat at the share of toxic rows.
+    The curve's weights, and the choice among DISCOUNTS, are fitted on about
+    CALIBRATION_ROWS rows, twice as many at most, drawn by a hash of the id; each is
+    scored as if it had not been counted. With no labelled row of one class the
+    curve is flat at the share of toxic rows.
     """
-    marked = labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)").groupBy("key").agg(F.max("label").alias("label"))
+    marked = cut(labels.select(F.col(id_col).cast("long").alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)").groupBy("key").agg(F.max("label").alias("label")))
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).where("key IS NOT NULL")
     # texts are shuffled to their labels, alike at every size, but only those that may have one
     maybe = hash_filter(marked, "key")
-    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("key IS NOT NULL")
-    rows = texts.where(maybe(F.col("key"))).join(marked.hint("merge"), "key").select("text", "label")
-    counts = count(rows, bits)
-    models = [Model(counts, bits, d) for d in DISCOUNTS]
-    held = docs.sparkSession.sparkContext.broadcast([vars(m) for m in models])
-    n = marked.count()
-    share = min(1.0, CALIBRATION_ROWS / max(n, 1))
-
-    def look(batches):
-        models = [Model.of(x) for x in held.value]
-        for b in batches:
-            f = [np.concatenate([m.features(t, int(c)) for m in models]) for t, c in zip(b["text"], b["label"], strict=True)]
-            yield pd.DataFrame({"x": f, "y": b["label"].to_numpy()})
+    rows = texts.where(maybe(F.col("key"))).join(marked.hint("merge"), "key")
+    buckets = groups_for(texts)
+    model = Model(count(rows.select("text", "label"), buckets), buckets)
+
+    few = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, CALIBRATION_ROWS / max(marked.count(), 1)) * 1_000_000)
+    drawn = texts.where(few & maybe(F.col("key"))).select(F.col("key").cast("string").alias("id"), "text")
+    total, back, all_contexts = model.total, model.back, max(model.contexts, 1.0)
+
+    def finish(ids, n, contexts, doc, sizes):
+        x = [np.column_stack([features(n, contexts, doc, sizes, total, b, all_contexts, d, own) for d, b in zip(DISCOUNTS, back, strict=True)]) for own in (0, 1)]
+        return pd.DataFrame({"key": longs(ids), "x0": list(x[0]), "x1": list(x[1])})
 
-    few = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample_keys = marked.where(few)
-    got = texts.where(few & maybe(F.col("key"))).join(sample_keys.hint("merge"), "key").select("text", "label").mapInPandas(look, "x array<double>, y int").limit(2 * CALIBRATION_ROWS).toPandas()
-    y = got["y"].to_numpy().astype(float)
+    got = _read(drawn, model, finish, "key bigint, x0 array<double>, x1 array<double>").join(marked, "key").select("label", F.when(F.col("label") == 1, F.col("x1")).otherwise(F.col("x0")).alias("x"))
+    got = got.limit(2 * CALIBRATION_ROWS).toPandas()
+    y = got["label"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
-        best, weights = 0, np.append(np.zeros(FEATURES), np.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
-    else:
-        x = np.stack(got["x"].to_numpy())
-        fits = [fit_logistic(x[:, k * FEATURES : (k + 1) * FEATURES], y) for k in range(len(models))]
-        loss = [np.logaddexp(0, (1 - 2 * y) * (x[:, k * FEATURES : (k + 1) * FEATURES] @ w[:-1] + w[-1])).mean() for k, w in enumerate(fits)]
-        best = int(np.argmin(loss))
-        weights = fits[best]
-    held.unpersist()
-    return docs.sparkSession.sparkContext.broadcast(vars(models[best])), weights
-
-
-def score(docs: DataFrame, trained, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name`` (double, 0 to 1; higher: toxic likelier).
-    Null and empty texts score as a text without evidence does. No row moves."""
-    held, weights = trained
-
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        model = Model.of(held.value)
-        x = np.stack([model.features(t) for t in texts]) if len(texts) else np.zeros((0, FEATURES))
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
-
-    return docs.withColumn(name, run(F.col(text_col)))
+        model.weights[-1] = np.log(max(rate, 1e-3) / max(1 - rate, 1e-3))
+        return model
+    x = np.stack(got["x"].to_numpy()).reshape(len(y), len(DISCOUNTS), FEATURES)
+    fits = [fit_logistic(x[:, k], y) for k in range(len(DISCOUNTS))]
+    loss = [np.logaddexp(0, (1 - 2 * y) * (x[:, k] @ w[:-1] + w[-1])).mean() for k, w in enumerate(fits)]
+    model.discount = int(np.argmin(loss))
+    model.weights = fits[model.discount]
+    return model
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score double, 0 to 1; higher: toxic likelier) of every row of ``docs``.
+    Null and empty texts score as a text without evidence does. Rows may repeat,
+    ids may be null; an empty table gives no rows; other columns are not read."""
+    total, back, all_contexts, weights = model.total, model.back[model.discount], max(model.contexts, 1.0), model.weights
+    discount = DISCOUNTS[model.discount]
+
+    def finish(ids, n, contexts, doc, sizes):
+        x = features(n, contexts, doc, sizes, total, back, all_contexts, discount)
+        return pd.DataFrame({"id": longs(ids), "score": 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))})
+
+    return _read(docs.select(long_text(id_col).alias("id"), F.col(text_col).alias("text")), model, finish, "id bigint, score double")
+
+
