@@ -68,6 +68,12 @@ def test_simhash_components(spark, texts):
     assert simhash.simhash_components(blank(spark)).count() == 0
 
 
+def test_simhash_keeps_rows_without_an_id_or_with_a_repeated_one(spark):
+    texts = ["one two three four", "one two three four", "five six seven", "five six seven", "nobody has this one"]
+    got = sorted(((r["id"] or -1, r["component"]) for r in simhash.simhash_components(frame(spark, texts, [4, None, 9, 9, None])).collect()), key=str)
+    assert got == sorted([(4, 4), (-1, 4), (9, 9), (9, 9), (-1, None)], key=str)
+
+
 @pytest.mark.parametrize(("radius", "lanes"), [(0, 1), (2, 1), (20, 1), (29, 2)])
 def test_bit_sliced_pairs_equal_popcounts(radius, lanes):
     rng = np.random.default_rng(radius)
@@ -119,6 +125,48 @@ def test_near_duplicates_by_five_words(spark, words):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, g in got.items() if i == g}
 
 
+def test_near_sets_share_a_part():
+    rng = np.random.default_rng(4)
+    draw = lambda k: rng.integers(0, 2**63, k, np.int64).astype(np.uint64)
+    seen = 0
+    for n in [*range(1, 40), 63, 64, 65, 100, 127, 128, 129, 400, 1023, 1025]:
+        for gone in range(n // 5 + 2):
+            for more in (0, 1, n // 8, n // 4):
+                if 0 < n - gone and (n - gone) / (n + more) >= 0.8 - 1e-12:
+                    a = np.unique(draw(n))
+                    b = np.unique(np.concatenate([a[gone:], draw(more)]))
+                    assert len(np.intersect1d(simhash.part_keys(a, 0.8)[0], simhash.part_keys(b, 0.8)[0])), (n, gone, more)
+                    seen += 1
+    assert seen > 400
+
+
+def test_near_duplicates_with_repeated_lines_and_short_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_PART", 3)
+    rng = random.Random(11)
+    line = "the quick brown fox jumps over a lazy dog by the river"
+    fresh = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    texts = []
+    for _ in range(20):
+        base = fresh(300)
+        texts += [f"{base} {line}", base + f" {line}" * 40]
+    for k in range(5, 12):
+        base = fresh(k)
+        texts += [base, f"{base} more", base.rsplit(" ", 1)[0], f"{base} more and other words"]
+    texts += [f"{line} {fresh(20)}" for _ in range(30)] + [fresh(40_000)]
+    texts.append(texts[-1] + " end")
+    got = {r["id"]: r["group"] for r in simhash.near_duplicates(frame(spark, texts)).collect()}
+    assert got == jaccard_groups(dict(enumerate(texts)))
+    assert all(got[2 * k + 1] == 2 * k for k in range(20))
+
+
+def test_near_duplicates_of_nothing_and_of_rows_without_an_id(spark):
+    assert simhash.near_duplicates(blank(spark)).count() == 0
+    docs = frame(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "x"], [3, None, 2, None])
+    groups = simhash.near_duplicates(docs)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one_of_each(docs, groups).collect())
+    assert kept == [("2", "a b c d e f"), ("None", "a b c d e f"), ("None", "x")]
+
+
 def test_repeated_passages(spark, texts, words):
     rng = random.Random(9)
     shared = " ".join(rng.choices(words, k=50))
@@ -134,6 +182,9 @@ def test_repeated_passages(spark, texts, words):
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) == (len(w), sum(gone), kept)
     assert substring.remove_repeats(blank(spark)).count() == 0
+    long = " ".join(map(str, range(40)))
+    rows = substring.remove_repeats(frame(spark, [long, long, "a b", "a b", f"{long} x"], [None, None, 7, 7, 7])).collect()
+    assert sorted((str(r["id"]), r["n_words"], r["n_removed"], r["kept"]) for r in rows) == [("7", 2, 0, "a b"), ("7", 2, 0, "a b"), ("7", 41, 40, "x"), ("None", 40, 40, ""), ("None", 40, 40, "")]
 
 
 def winnow_plainly(text, k=winnow.K, window=winnow.WINDOW):
@@ -164,7 +215,9 @@ def test_edited_texts(spark, texts):
         t, after = t or "", texts[i - 1 if i else n - 1] or ""
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+        sets = [{(k, v) for k, v in zip(["h"] * 10**6, winnow.select(winnow.code_points(x))[0].tolist())} for x in (t, edited, after)]
+        like = [len(sets[0] & x) / len(sets[0] | x) if sets[0] | x else 1.0 for x in sets[1:]]
+        assert got[i]["near_edited"] == pytest.approx(like[0]) and got[i]["near_next"] == pytest.approx(like[1])
     names = collections.defaultdict(set)
     for i, t in enumerate(texts):
         names[t or ""].add(got[i]["fingerprint"])
@@ -174,6 +227,21 @@ def test_edited_texts(spark, texts):
     assert alone["near_next"] == 1
 
 
+def test_edited_texts_of_rows_that_share_an_id_or_have_none(spark):
+    rows = winnow.compare_with_edited(frame(spark, ["aa bb", "cc dd", "", None, "ee"], [2**60 + 1, 2**60 + 1, None, None, 5])).collect()
+    assert sorted(str(r["id"]) for r in rows) == sorted(["None", "None", "5", str(2**60 + 1), str(2**60 + 1)])
+    assert sorted(r["n_chars"] for r in rows) == [0, 0, 2, 5, 5]
+
+
+def test_texts_that_share_a_long_enough_run_share_a_fingerprint():
+    rng = random.Random(8)
+    draw = lambda k: "".join(rng.choices("abcd ", k=k))
+    for _ in range(50):
+        run = draw(winnow.WINDOW + winnow.K - 1)
+        a, b = (draw(rng.randrange(200)) + run + draw(rng.randrange(200)) for _ in range(2))
+        assert set(winnow.select(winnow.code_points(a))[0].tolist()) & set(winnow.select(winnow.code_points(b))[0].tolist())
+
+
 def test_byte_bpe_equals_the_library_and_decodes(spark, texts):
     import tiktoken
 
@@ -191,6 +259,56 @@ def test_byte_bpe_equals_the_library_and_decodes(spark, texts):
     assert bpe.encode(blank(spark), ranks, public_tokenizers.PATTERN, bpe.digest, "n bigint, a string, b string").count() == 0
 
 
+def plainly_scored(texts, labels, asked, discount):
+    """Length-normalised ratios by the definition of the two models, word by word."""
+    split = lambda t: [w for w in (x.strip(".,;:!?\"'()[]*#%&$|-") for x in (t or "").lower().split()) if w]
+    n, before = [collections.Counter(), collections.Counter()], collections.defaultdict(set)
+    for t, y in zip(texts, labels, strict=True):
+        w = split(t)
+        n[y].update(set(w))
+        for a, b in zip([None, *w], w, strict=False):
+            before[b].add(a)
+    active = {w for c in n for w, k in c.items() if k > 1}
+    total = [max(sum(c.values()), 1) for c in n]
+    back = [max(sum(min(k, discount) for k in c.values()) / t, 1e-6) for c, t in zip(n, total, strict=True)]
+    contexts = sum(len(before[w]) if w in active else 1 for w in before)
+    ratios = {w: np.log((max(n[1][w] - discount, 0) / total[1] + back[1] * len(before[w]) / contexts) / (max(n[0][w] - discount, 0) / total[0] + back[0] * len(before[w]) / contexts)) for w in active}
+    out = []
+    for t in asked:
+        r = sorted((ratios.get(w, np.log(back[1] / back[0])) for w in set(split(t))), reverse=True)
+        m = max(len(r), 1)
+        out.append([sum(r) / m, sum(r) / m**0.5, sum(r[:3]) / max(len(r[:3]), 1), sum(r[:10]) / max(len(r[:10]), 1)])
+    return np.array(out)
+
+
+def test_likelihood_ratios_equal_a_plain_model(spark, words, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 1500)
+    monkeypatch.setattr(toxicity, "CONTEXTS", 1000)  # all counted exactly
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 25))) + rng.choice(["", " vile!", " Vile vile"]) for _ in range(90)]
+    labels = [i % 3 == 0 for i in range(90)]
+    docs = spark.createDataFrame([(t, int(y)) for t, y in zip(texts, labels, strict=True)], "text string, label int")
+    model = toxicity.Model(toxicity.count(docs, 3), 3)
+    asked = [*texts[:40], "never seen words", "", None, "vile " * 5000]
+    for k, discount in enumerate(toxicity.DISCOUNTS):
+        def finish(ids, n, contexts, doc, sizes, k=k, discount=discount, total=model.total, back=model.back, every=model.contexts):
+            import pandas as pd
+
+            return pd.DataFrame({"id": [int(i) for i in ids], "x": list(toxicity.features(n, contexts, doc, sizes, total, back[k], every, discount))})
+
+        got = toxicity._read(spark.createDataFrame([(str(i), t) for i, t in enumerate(asked)], "id string, text string"), model, finish, "id bigint, x array<double>")
+        x = {r["id"]: r["x"] for r in got.collect()}
+        assert np.allclose([x[i] for i in range(len(asked))], plainly_scored(texts, labels, asked, discount))
+
+
+def test_context_counts_do_not_fill_up():
+    rng = np.random.default_rng(3)
+    for many in (5, 31, 1000, 200_000):
+        h = np.unique(rng.integers(0, 2**32, many, np.int64))[: toxicity.CONTEXTS].astype(np.uint32)
+        got = toxicity._contexts(np.zeros(len(h), np.int64), h, 1)[0]
+        assert got == many if many < toxicity.CONTEXTS else 0.5 * many < got < 2 * many
+
+
 def test_toxicity_learns_and_takes_any_row(spark, words):
     rng = random.Random(1)
     bad = ["vile", "rotten", "foul"]
@@ -202,12 +320,15 @@ def test_toxicity_learns_and_takes_any_row(spark, words):
                 w[rng.randrange(len(w))] = b
         texts.append(" ".join(w))
     labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(160)] + [(None, 1, 1), (3, None, 0)], "doc_id bigint, toxic int, text int")
-    trained = toxicity.train(frame(spark, texts), labels, bits=14)
-    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, [*texts, None, ""]), trained).collect()}
+    model = toxicity.train(frame(spark, texts), labels)
+    asked = frame(spark, [*texts, None, "", texts[0], "long " * 40_000], [*range(242), 0, None])
+    rows = toxicity.score(asked, model).collect()
+    got = {r["id"]: r["score"] for r in rows}
     held = range(160, 240)
+    assert len(rows) == 244 and [r["score"] for r in rows if r["id"] == 0][0] == [r["score"] for r in rows if r["id"] == 0][1]
     assert np.mean([(got[i] >= toxicity.REJECT) == (i % 4 == 0) for i in held]) > 0.9
     assert got[240] == got[241] and all(0 <= s <= 1 for s in got.values())
-    empty = toxicity.train(blank(spark), labels.where("false"), bits=14)
+    empty = toxicity.train(blank(spark), labels.where("false"))
     assert toxicity.score(blank(spark), empty).count() == 0
     assert [r["score"] for r in toxicity.score(frame(spark, ["a b", None]), empty).collect()] == pytest.approx([0.001] * 2, rel=0.1)
 
@@ -238,12 +359,14 @@ def test_languages_are_told_apart_word_by_word(spark):
         texts.append(make(g, 30))
         lang[i] = g
     field = langid.train(frame(spark, texts, lang=lang))
-    asked = [make("aa", 12), make("bb", 12), None, "", "123 !?", make("aa", 10) + " " + make("bb", 10)]
+    asked = [make("aa", 12), make("bb", 12), None, "", "123 !? \u0301\u0302", make("aa", 10) + " " + make("bb", 10)]
     got = [r for r in langid.identify(frame(spark, asked), field).orderBy("doc_id").collect()]
     assert [r["lang_pred"] for r in got[:5]] == ["aa", "bb", "und", "und", "und"]
     assert all(0 <= r["score"] <= 1 for r in got)
     switched = langid.label_words(frame(spark, asked), field).where("id = 5").first()
     assert switched["langs"] == ["aa"] * 10 + ["bb"] * 10
+    again = langid.identify(frame(spark, [asked[0], asked[0], make("bb", 30_000)], [1, 1, None]), field).collect()
+    assert [r["lang_pred"] for r in again] == ["aa", "aa", "bb"] and again[0]["score"] == again[1]["score"]
     none = langid.train(blank(spark))
     assert {r["lang_pred"] for r in langid.identify(frame(spark, ["a b"]), none).collect()} == {"und"}
 
@@ -319,18 +442,33 @@ def test_secrets_reference_counts_all_texts(spark, texts):
             for a, b in zip(k, k[1:]):
                 plain[a, b] += 1
         seen.update(secrets_scan._WORD.findall((t or "").lower()))
-    reference, _ = secrets_scan.train(docs)
+    reference, _, _ = secrets_scan.train(docs)
     assert np.allclose(reference.log, np.log(plain / plain.sum(axis=1, keepdims=True)))
     assert reference.words == {w for w, n in seen.items() if n > 1} and "rareword" in reference.words
 
 
-def test_unassigned_known_keys_are_no_negatives(spark, monkeypatch):
-    kept = []
-    forest = secrets_scan.RandomForest
-    monkeypatch.setattr(secrets_scan, "RandomForest", lambda x, y: kept.append((x, y)) or forest(x, y))
-    secrets_scan.train(frame(spark, ["see ghp_" + "a1B2" * 9 + " there", "number 4111111111111111 now"]))
-    x, y = kept[0]
-    assert len(y) == secrets_scan.DRAWN_FINDINGS + 1 and x[-1][secrets_scan.FEATURE_NAMES.index("prefix")] == 0
+def test_given_findings_fit_the_forest(spark):
+    rows = [("pin was ", f"{i:08d}{i:09d}", " lost", "src", int(i % 2)) for i in range(200)] + [("x", None, "", "", 1), ("x", "y", "", "", None)]
+    rows = [(b.replace("pin", "door" if y else "page"), c, a, p, y) for b, c, a, p, y in rows]
+    findings = spark.createDataFrame(rows, "before string, candidate string, after string, path string, label int")
+    docs = frame(spark, ["the door was 1234567890123456 lost", "the page was 1234567890123456 lost", "1234567890123456", "a" * 100_000 + "1"], [0, 1, None, 3])
+    got = {r["id"]: r["secret"] for r in secrets_scan.scan(docs, secrets_scan.train(docs, findings)).collect()}
+    assert got[0] and not got[1] and set(got) == {0, 1, None, 3}
+
+
+@pytest.mark.parametrize("text", ["token " + "a" * 10**6, "token" * 200_000, "a=token=" * 100_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "token = " + "0123456789abcdef" * 60_000])
+def test_candidates_are_found_in_linear_time(text):
+    import time
+
+    began = time.time()
+    secrets_scan.candidates(text)
+    assert time.time() - began < 3
+
+
+def test_private_key_blocks_end_at_the_next_end():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+    text = f"{key} and -----BEGIN PRIVATE KEY----- {key} -----BEGIN PRIVATE KEY-----"
+    assert [text[a:b] for a, b in secrets_scan.candidates(text)] == [key, f"-----BEGIN PRIVATE KEY----- {key}"]
 
 
 def test_long_secrets_are_masked_whole(spark):
@@ -347,15 +485,17 @@ def test_long_secrets_are_masked_whole(spark):
 
 def test_features_read_the_whole_candidate():
     ref = secrets_scan.Reference(["value north table"] * 2)
+    near = secrets_scan.Neighbours(secrets_scan.drawn_findings([], 10))
     head = "0123456789" * 60
     names = secrets_scan.FEATURE_NAMES
-    f = dict(zip(names, secrets_scan.features("", head + "valuenorthtable" * 500, "", None, ref), strict=True))
+    f = dict(zip(names, secrets_scan.features("", head + "valuenorthtable" * 500, "", None, ref, near), strict=True))
     assert f["letters"] == 7500 and f["length"] == 8100 and f["dictionary"] == pytest.approx(7500 / 8100) and f["changes"] == pytest.approx(1 / 8099)
 
 
 def test_forest_on_held_out_findings():
     train, test = secrets_scan.drawn_findings([], 1500, 1), secrets_scan.drawn_findings([], 500, 2)
     ref = secrets_scan.Reference(["value north table river window"] * 3)
-    x = lambda d: np.array([secrets_scan.features(r.before, r.candidate, r.after, r.path, ref) for r in d.itertuples()])
+    near = secrets_scan.Neighbours(secrets_scan.drawn_findings([], 1500, 9))
+    x = lambda d: np.array([secrets_scan.features(r.before, r.candidate, r.after, r.path, ref, near) for r in d.itertuples()])
     forest = secrets_scan.RandomForest(x(train), train["label"].to_numpy().astype(float))
     assert ((forest.predict(x(test)) >= 0.5) == test["label"].to_numpy()).mean() > 0.9

@@ -15,9 +15,12 @@ def test_near_vectors_equal_brute_force(spark):
     base = rng.normal(size=(40, 8))
     vecs = [*base.tolist(), *(base[:12] + rng.normal(size=(12, 8)) * 0.15).tolist(), *(base[:5] * 3).tolist(), base[0].tolist(), base[0].tolist()]
     odd = [None, [], [0.0] * 8, [math.nan] * 8, [math.inf] + [1.0] * 7, [None] + [1.0] * 7, [1.0, 2.0]]
-    rows = [(i, v, 1, "k") for i, v in enumerate([*vecs, *odd])] + [(None, vecs[0], 1, "k")]
+    rows = [(i, v, 1, "k") for i, v in enumerate([*vecs, *odd])] + [(None, vecs[0], 1, "k"), (len(vecs), None, 1, "k")]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, copies int, key string")
-    got = {r["id"]: (r["n_links"], r["component"]) for r in epsilon_grid.near_vectors(table, 0.9).collect()}
+    every = epsilon_grid.near_vectors(table, 0.9).collect()
+    assert len(every) == len(rows)
+    got = {r["id"]: (r["n_links"], r["component"]) for r in every}
+    assert got.pop(None) == (0, None)
     x = np.array(vecs)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.9
@@ -29,6 +32,31 @@ def test_near_vectors_equal_brute_force(spark):
     assert epsilon_grid.near_vectors(table.where("false")).count() == 0
 
 
+def test_vectors_whose_squares_overflow_or_vanish(spark):
+    vecs = [[1e200, 0.0], [1e200, 1e199], [1e-170, 0.0], [5e-324, 0.0], [0.0, 1.0], [1.7e308, 1.7e308]]
+    got = {r["id"]: r["n_links"] for r in epsilon_grid.near_vectors(spark.createDataFrame(list(enumerate(vecs)), "vec_id bigint, embedding array<double>"), 0.9).collect()}
+    assert got == {0: 3, 1: 3, 2: 3, 3: 3, 4: 0, 5: 0}
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_intervals_are_halved_and_skipped_without_loss(spark, monkeypatch, spread):
+    monkeypatch.setattr(epsilon_grid, "LEAF", 16)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(60, 12)), 25, axis=0) + rng.normal(size=(1500, 12)) * spread
+    got = {r["id"]: (r["n_links"], r["component"]) for r in epsilon_grid.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), 0.9).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    while True:
+        least = np.where(near, root[None, :], len(x)).min(axis=1)
+        new = np.minimum(root, least)
+        if (new == root).all():
+            break
+        root = new
+    assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(x))}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(200, 260)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -119,3 +147,24 @@ def test_pipeline_stages(spark, tmp_path):
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert {i: r["n_tokens"] for i, r in seen[4].items()} == {i: len(enc.encode_ordinary(r["text"])) for i, r in seen[3].items()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_pipeline_stages_take_any_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, row int, topic string, p double, kept boolean, gone bigint, cell string"
+    more = (1, "t", 0.5, False, 3, "c")
+    odd = [(1, None, None, None, None, *more), (2, "", "en", "s", 0, *more), (None, "word " * 30_000, None, "s", None, *more), (None, "a b c d e f", "en", None, 11, *more), (5, "a b c d e f", "en", "s", 11, *more), (5, "a b c d e f", "en", "s", 11, *more)]
+    for rows in (odd, []):
+        folder = tmp_path / str(len(rows))
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(5, 1, 0), (None, None, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for name, stage in corpus_pipeline.STAGES:
+            docs = common.cut(stage(spark, docs, str(folder)))
+            if name != "byte-level bpe":
+                assert docs.columns == [c.split(" ")[0] for c in schema.split(", ")]
+            if name == "simhash near-dedup":
+                # of 1 and 2, both without a shingle, one stays; rows of one id go together
+                assert sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect()) == (["1", "5", "5", "None", "None"] if rows else [])
+        assert docs.count() <= len(rows)

@@ -9,6 +9,8 @@ small one is compared by a matrix product, the others are halved.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -16,18 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Forest, connected_components, cut
+from voxloom.llm.common import Forest, connected_components, cut, join_hot, shuffle_partitions
 
 GRID_DIMS = 6
 LEAF = 512
-LEAST_GROUPS = 16
 GROUP_ROWS = 32_768  # rows of one of the two sides that a task joins, at most
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, dim, raw binary, key) of the rows whose vector is not null, empty or
-    zero and has finite components only; raw holds little-endian doubles, key is
-    a 128-bit hash of them."""
+    zero and has finite components only; raw holds little-endian doubles, scaled
+    by a power of two so that the largest is near one and no square overflows or
+    vanishes; key is a 128-bit hash of them."""
 
     def run(batches):
         for b in batches:
@@ -36,10 +38,9 @@ def valid_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
                 if v is None or not len(v):
                     continue
                 a = np.array([np.nan if x is None else x for x in v] if v.dtype == object else v, np.float64) + 0.0
-                with np.errstate(over="ignore"):
-                    norm = np.sqrt((a * a).sum())
-                if np.isfinite(norm) and norm > 0:
-                    raw = a.astype("<f8").tobytes()
+                top = np.abs(a).max()
+                if np.isfinite(top) and top > 0:
+                    raw = (np.ldexp(a, -int(np.frexp(top)[1])) + 0.0).astype("<f8").tobytes()
                     out.append((i, len(a), raw, xxhash.xxh3_128_hexdigest(raw)))
             yield pd.DataFrame(out, columns=["id", "dim", "raw", "key"])
 
@@ -111,7 +112,7 @@ def join_blocks(a: slice, b: slice, bounds, eps: float, leaf) -> None:
 
 
 def near_vectors(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, n_links bigint, component bigint) of every row with a non-null id.
+    """(id, n_links bigint, component bigint) of every row.
 
     Two vectors of equal length are linked if their cosine, in doubles, is
     ``cosine`` (over 0) or more. n_links counts the others linked directly;
@@ -119,17 +120,21 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     and those with a null or non-finite component link with nothing. Exact:
     intervals are skipped only where a bound on distance proves it.
 
+    Rows that repeat an id are one vertex, and each has that vertex' links. Rows
+    without an id take no part: they come back with no links and no component.
+    An empty table gives no rows.
+
     Equal vectors are one point with a number of copies. No pair leaves a task:
     each returns link counts and the spanning forest of its links.
     """
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
     vectors = cut(valid_vectors(table, id_col, vec_col))
-    points_all = cut(vectors.groupBy("dim", "key").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("raw").alias("raw")))
+    points_all = cut(vectors.groupBy("dim", "key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
     found = None
     for row in points_all.groupBy("dim").count().collect():  # one row for each length of vectors
         part = _links_of_length(points_all.where(F.col("dim") == row["dim"]), row["dim"], row["count"], cosine, eps)
         found = part if found is None else found.unionByName(part)
-    ids = table.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    ids = table.select(F.col(id_col).cast("long").alias("id"))
     if found is None:
         return ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     found = cut(found)
@@ -139,9 +144,9 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
         points_all.select("key", "id", "copies")
         .join(counts, "id", "left")
         .join(roots, F.col("id") == F.col("node"), "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component"))
+        .select("key", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component"))
     )
-    own = vectors.select("id", "key").join(named, "key").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
+    own = join_hot(vectors.select("id", "key"), named, "key", "copies", vectors.count()).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
     return ids.join(own, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
 
 
@@ -149,7 +154,9 @@ def _links_of_length(points: DataFrame, dim: int, n: int, cosine: float, eps: fl
     """(id, links, root) of the points that have links, per pair of intervals."""
     axes = principal_axes(points, dim)
     leading = min(GRID_DIMS, dim)
-    groups = max(LEAST_GROUPS, -(-n // GROUP_ROWS))
+    # each vector goes to as many tasks as there are groups near its own, at most all:
+    # so many groups that their pairs keep every task busy, or that a pair fits one
+    groups = max(math.isqrt(2 * shuffle_partitions(points.sparkSession)) + 1, -(-n // GROUP_ROWS))
 
     def place(batches):
         for b in batches:

@@ -6,8 +6,8 @@ learned too, and forward-backward gives every word's label probabilities, so a
 text that changes language is labelled word by word. A text's language is the
 one with the largest mean probability over its words.
 
-The field is fitted on a bounded sample: TRAIN_TEXTS texts at most, whole, as
-many of each language as there are, up to an equal share.
+The field is fitted on a bounded sample: TRAIN_TEXTS texts at most, whole, and
+TRAIN_CHARS characters, as many of each language as there are, up to an equal share.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TRAIN_TEXTS = 800
+TRAIN_CHARS = 4 << 20  # of all texts that the field is fitted on; a longer text is left out of the fit
 BITS = 16
 FEATURES = 14
 EPOCHS = 25
@@ -164,16 +165,21 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_TEXTS) -> Field:
     """A field fitted on at most ``most`` rows of ``docs`` with a text and a
-    language, the first of each language by a hash of the id. With no such row
-    the field has no labels."""
+    language, the first of each language by a hash of the id (rows that repeat an
+    id follow each other by text). With no such row the field has no labels."""
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    rows = rows.withColumn("size", F.length("text")).withColumn("draw", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)))
+    there = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()]
     if not there:
         return Field([], np.zeros((1 << BITS, 0)), np.zeros(0), np.zeros((0, 0)))
-    each = -(-most // len(there))
-    draw = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30))
-    share = F.create_map(*(F.lit(x) for g, n in there.items() for x in (g, int(min(1.0, each / n) * (1 << 30)))))
-    sample = rows.where(draw < share[F.col("lang")]).orderBy(draw, "key").limit(2 * most).select("text", "lang").toPandas()
+    each, space = -(-most // len(there)), TRAIN_CHARS // len(there)
+    # about twice an equal share of each language comes this far, by the hash alone, and its first ``each`` are taken
+    share = F.create_map(*(F.lit(x) for g, n in there for x in (g, int(min(1.0, 2 * (each + 4) / n) * (1 << 30)))))
+    few = rows.where((F.col("draw") < share[F.col("lang")]) & (F.col("size") <= space))
+    in_lang = Window.partitionBy("lang").orderBy("draw", "key", "text")
+    few = few.withColumn("place", F.row_number().over(in_lang)).where(F.col("place") <= each)
+    few = few.withColumn("upto", F.sum("size").over(in_lang.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= space)
+    sample = few.orderBy("draw", "key", "text").select("text", "lang").toPandas()
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 

@@ -4,14 +4,13 @@ Patterns find candidates: long runs of key characters that hold a digit, values
 assigned to names like ``token``, private key blocks. A forest, trained from
 labelled findings, tells secrets from digests, identifiers, numbers and words by
 the candidate's length, its character transitions, how much of it a dictionary
-covers, the path it comes from and the words next to it.
-
-Labelled findings are rows (before, candidate, after, path, label). Those used
-when none are given: drawn forms of secrets and of things that look alike, and,
-from about SAMPLE_TEXTS texts of the corpus, twice as many at most, its own candidates, labelled by
-whether a secret's name assigns them; those with a known key's prefix that none
-assigns tell nothing and are left out. Only these rows are a sample: transitions
-and the dictionary are counted over all texts.
+covers, the path it comes from and the words before and after it.
+
+Labelled findings are a table (before, candidate, after, path, label), of which at
+most FINDINGS rows, drawn by a hash, fit the forest. Where none is given, forms
+are drawn of secrets and of what looks like them, among words of the corpus; no
+text of the corpus is labelled by a pattern. Transitions and the dictionary are
+counted over all texts.
 """
 
 from __future__ import annotations
@@ -27,36 +26,68 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import cut, give_back_memory
 
-SAMPLE_TEXTS = 400
+FINDINGS = 20_000  # labelled rows that fit the forest, at most
 DRAWN_FINDINGS = 3_000
 DICTIONARY = 4_000
 FLUSH_WORDS = 200_000  # a task sends its words' counts on when it holds so many
 TREES, DEPTH, LEAST_ROWS, BINS = 40, 8, 4, 24
-REACH = 48  # characters before a candidate in which its neighbouring words lie
+REACH, AHEAD = 48, 24  # characters before and after a candidate in which its neighbouring words lie
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 _NAMES = r"token|secret|passw(?:or)?d|passwd|pwd|api_?key|access_?key|private_?key|client_?key|auth|credential"
-_ASSIGN = re.compile(rf"(?i)[\w\-.]*(?:{_NAMES})[\w\-.]*[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;<>]{{8,}})")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
+# a name (only from where a run of its characters begins, and whole, so that the
+# search is linear), what sets it apart from its value, and the value
+_KEY = re.compile(r"(?<![\w\-.])[\w\-.]++[\"']?\s{0,3}[:=]\s{0,3}[\"']?")
+_VALUE = re.compile(r"[^\s\"',;<>]{8,}")
+_BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
 _HINT = re.compile(rf"(?i){_NAMES}")
 _BENIGN = re.compile(r"(?i)\b(?:sha\d*|commit|md5|digest|checksum|hash|uuid|guid|etag|version|example|isbn|order|invoice|phone|serial|img|src|href|https?)\b")
 _PREFIX = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk-|sk_live_|rk_live_|xox[abpr]-|AIza|eyJ|glpat-|npm_|SG\.)")
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[a-z]{3,}")
-FEATURE_NAMES = ["length", "transitions", "entropy", "digits", "changes", "dictionary", "hex", "prefix", "assigned", "named", "benign", "path", "distinct", "letters"]
+FEATURE_NAMES = ["length", "transitions", "entropy", "digits", "changes", "dictionary", "hex", "prefix", "assigned", "named", "benign", "path", "distinct", "letters", "words before", "words after"]
+
+
+def _assigned(text: str):
+    """Spans of the values that a secret's name is given. A value is not searched
+    for further names."""
+    end = 0
+    for m in _KEY.finditer(text):
+        if m.start() >= end and _HINT.search(m.group()):
+            value = _VALUE.match(text, m.end())
+            if value:
+                end = value.end()
+                yield value.span()
+
+
+def _blocks(text: str):
+    """Spans from each BEGIN line of a private key to the next END line."""
+    ends = [m.span() for m in _END.finditer(text)]
+    at, last = 0, 0
+    for m in _BEGIN.finditer(text):
+        if m.start() < last:
+            continue
+        while at < len(ends) and ends[at][0] < m.end():
+            at += 1
+        if at == len(ends):
+            return
+        last = ends[at][1]
+        yield m.start(), last
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans (start, end) of candidates, apart from each other, in order."""
+    """Spans (start, end) of candidates, apart from each other, in order; found
+    in time linear in the text."""
     if not text:
         return []
     spans = [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m.group())]
     if _HINT.search(text):
-        spans += [m.span(1) for m in _ASSIGN.finditer(text)]
+        spans += _assigned(text)
     if "-----BEGIN " in text:
-        spans += [m.span() for m in _BLOCK.finditer(text)]
+        spans += _blocks(text)
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
         if out and a < out[-1][1]:
@@ -134,37 +165,66 @@ class Reference:
         counts = steps + 0.5
         self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
         self.words = frozenset(words)
+        self.heads = frozenset(w[:3] for w in words)
 
     def coverage(self, s: str) -> float:
         """The share of characters that dictionary words cover, taken greedily."""
         s, at, covered = s.lower(), 0, 0
         while at < len(s):
-            size = next((k for k in range(min(12, len(s) - at), 2, -1) if s[at : at + k] in self.words), 0)
+            size = next((k for k in range(min(12, len(s) - at), 2, -1) if s[at : at + k] in self.words), 0) if s[at : at + 3] in self.heads else 0
             covered += size
             at += size or 1
         return covered / max(len(s), 1)
 
 
+class Neighbours:
+    """Log-odds that a word before or after a candidate goes with a secret,
+    learned from labelled findings and smoothed towards none."""
+
+    def __init__(self, findings: pd.DataFrame, weight: float = 4.0):
+        label = findings["label"].to_numpy().astype(int)
+        prior = (label.sum() + 1) / (len(label) + 2)
+        self.odds: list[dict[str, float]] = []
+        for words in (self.before, self.after):
+            seen: dict[str, list[int]] = {}
+            for text, y in zip(findings["before" if words == self.before else "after"], label.tolist(), strict=True):
+                for w in set(words(text)):
+                    seen.setdefault(w, [0, 0])[y] += 1
+            self.odds.append({w: float(np.log((n[1] + weight * prior) / (n[0] + weight * (1 - prior)) * (1 - prior) / prior)) for w, n in seen.items()})
+
+    @staticmethod
+    def before(text: str | None) -> list[str]:
+        return re.findall(r"[a-z_]{2,}", (text or "").lower())[-3:]
+
+    @staticmethod
+    def after(text: str | None) -> list[str]:
+        return re.findall(r"[a-z_]{2,}", (text or "").lower())[:3]
+
+    def of(self, before: str, after: str) -> list[float]:
+        return [sum(odds.get(w, 0.0) for w in words) for odds, words in zip(self.odds, (self.before(before), self.after(after)), strict=True)]
+
+
 def _known(candidate: str) -> bool:
     """Whether a candidate starts as keys of known kinds do."""
     return bool(_PREFIX.match(candidate)) or candidate.startswith("-----BEGIN")
 
 
-def features(before: str, candidate: str, after: str, path: str | None, reference: Reference) -> list[float]:
+def features(before: str, candidate: str, after: str, path: str | None, reference: Reference, neighbours: Neighbours) -> list[float]:
+    """The forest's features of a candidate, all of which is read."""
     n = len(candidate)
-    kinds = [_class(c) for c in candidate]
-    steps = [reference.log[a, b] for a, b in zip(kinds, kinds[1:], strict=False)]
-    share = np.unique(list(candidate), return_counts=True)[1] / n
-    digits = sum(c.isdigit() for c in candidate)
-    changes = sum((a < 26) != (b < 26) for a, b in zip(kinds, kinds[1:], strict=False))
+    low = np.frombuffer(candidate.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds = np.where(low < 128, _CLASSES[np.minimum(low, 127)], 29).astype(np.int64)
+    kinds = np.where(kinds > 27, 27, kinds)
+    steps = reference.log[kinds[:-1], kinds[1:]]
+    share = np.unique(np.frombuffer(candidate.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)[1] / n
     return [
         n,
-        float(np.mean(steps)) if steps else 0.0,
+        float(steps.mean()) if len(steps) else 0.0,
         float(-(share * np.log2(share)).sum()),
-        digits / n,
-        changes / max(n - 1, 1),
+        float((kinds == 26).mean()),
+        float(((kinds[:-1] < 26) != (kinds[1:] < 26)).sum()) / max(n - 1, 1),
         reference.coverage(candidate),
-        float(all(c in "0123456789abcdefABCDEF" for c in candidate)),
+        float(bool(re.fullmatch(r"[0-9a-fA-F]+", candidate))),
         float(_known(candidate)),
         float(bool(re.search(r"[:=]\s{0,3}[\"']?$", before))),
         float(bool(_HINT.search(before))),
@@ -172,6 +232,7 @@ def features(before: str, candidate: str, after: str, path: str | None, referenc
         float(bool(re.search(r"(?i)test|example|mock|doc|sample|fixture", path or ""))),
         len(share) / n,
         max((len(w) for w in re.findall(r"[A-Za-z]+", candidate)), default=0),
+        *neighbours.of(before, after),
     ]
 
 
@@ -252,43 +313,44 @@ def drawn_findings(words: list[str], n: int = DRAWN_FINDINGS, seed: int = 3) ->
             value = pick([draw(hexa, pick([32, 40, 64])), draw(letters, int(rng.integers(20, 48))), "AKIA" + draw(letters[:26] + "0123456789", 16), "ghp_" + draw(letters, 36), "sk-" + draw(letters, 40), "xoxb-" + draw("0123456789", 11) + "-" + draw(letters, 24)])
             before = f"{lead} {name}{pick([' = ', '=', ': ', ' := '])}{pick(['', '\"', chr(39)])}" if rng.random() < 0.85 or not _PREFIX.match(value) else f"{lead} "
             path = pick(["src/app.py", "config/prod.yml", "deploy/env", "src0", "src7", ""])
+            tail = pick(["", "expires ", "keep private ", "rotate "])
         else:
             kind = int(rng.integers(7))
             value = [draw(hexa, pick([32, 40, 64])), "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), draw("0123456789", int(rng.integers(16, 20))), "_".join(pick(words) for _ in range(4)) + str(int(rng.integers(100))), "".join(pick(words).title() for _ in range(4)) + str(int(rng.integers(10))), "/".join(pick(words) for _ in range(5)) + str(int(rng.integers(1000))), pick(["your", "example", "dummy", "changeme"]) + "-" + "x" * int(rng.integers(8, 20)) + "0"][kind]
             tag = [pick(["sha256:", "commit ", "md5 ", "checksum: ", "digest = "]), pick(["uuid ", "id: ", "etag: "]), pick(["order ", "phone ", "serial ", ""]), "", "", pick(["https://site.example/", "src=", "path "]), pick(["token = ", "api_key: "])][kind]
             before = f"{lead} {tag}"
             path = pick(["src/app.py", "docs/readme.md", "tests/test_a.py", "src0", "src7", ""])
-        rows.append((before[-REACH:], value, pick([" ", '"', "\n"]) + pick(words), path, label))
+            tail = pick(["", "verified ", "was merged ", "shipped "])
+        rows.append((before[-REACH:], value, f"{pick([' ', chr(34), chr(10)])}{tail}{pick(words)} {pick(words)}"[:AHEAD], path, label))
     return pd.DataFrame(rows, columns=["before", "candidate", "after", "path", "label"])
 
 
-def train(docs: DataFrame, findings: pd.DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source"):
-    """(reference, forest): the reference from all texts of ``docs``, the forest
-    from labelled findings and a sample of the texts, drawn by a hash of the id."""
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30))
-    few = int(min(1.0, SAMPLE_TEXTS / max(docs.count(), 1)) * (1 << 30))  # so that no task sends more than its share
-    rows = docs.select(F.col(text_col).alias("text"), F.col(path_col).cast("string").alias("path"), draw.alias("draw")).where(F.col("text").isNotNull() & (F.col("draw") < few))
-    sample = rows.orderBy("draw", "text").limit(2 * SAMPLE_TEXTS).toPandas()
-    texts = sample["text"].tolist()
+def train(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "text"):
+    """(reference, neighbours, forest): the reference from all texts of ``docs``,
+    the others from labelled findings (before, candidate, after, path, label) or,
+    without any, from drawn ones. Null texts count as none; findings without a
+    candidate or label are left out."""
     reference = Reference.over(docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL"))
-    if findings is None:
-        own = []
-        for text, path in zip(texts, sample["path"], strict=True):
-            for a, b in candidates(text):
-                before = text[max(0, a - REACH) : a]
-                sure = bool(_HINT.search(before[-24:]) and re.search(r"[:=]\s{0,3}[\"']?$", before))
-                if not sure and _known(text[a:b]):
-                    continue  # most likely a secret, though nothing assigns it
-                own.append((before, text[a:b], text[b : b + 16], path, int(sure)))
-        findings = pd.concat([drawn_findings(sorted(reference.words)), pd.DataFrame(own, columns=["before", "candidate", "after", "path", "label"])], ignore_index=True)
-    x = np.array([features(r.before, r.candidate, r.after, r.path, reference) for r in findings.itertuples(index=False)])
-    return reference, RandomForest(x, findings["label"].to_numpy().astype(float))
-
-
-def _judge(texts, paths, reference, forest) -> list[list[tuple[int, int, float]]]:
+    rows = drawn_findings(sorted(reference.words))
+    if findings is not None:
+        given = findings.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("before", "candidate", "after", "path")), F.col("label").cast("int").alias("label")).where("candidate <> '' AND label IN (0, 1)")
+        given = given.orderBy(F.xxhash64("before", "candidate", "after", "path")).limit(FINDINGS).toPandas()
+        rows = given if len(given) else rows
+    x = np.zeros((len(rows), len(FEATURE_NAMES)))
+    fold = np.arange(len(rows)) % 2
+    for k in (0, 1):  # a row's neighbouring words are weighed by what the other half says of them
+        other = Neighbours(rows[fold != k])
+        for i in np.flatnonzero(fold == k).tolist():
+            r = rows.iloc[i]
+            x[i] = features(r["before"][-REACH:], r["candidate"], r["after"][:AHEAD], r["path"], reference, other)
+    return reference, Neighbours(rows), RandomForest(x, rows["label"].to_numpy().astype(float))
+
+
+def _judge(texts, paths, trained) -> list[list[tuple[int, int, float]]]:
     """For each text its candidates with their scores."""
+    reference, neighbours, forest = trained
     spans = [candidates(t) for t in texts]
-    x = [features(t[max(0, a - REACH) : a], t[a:b], t[b : b + 16], p, reference) for t, p, s in zip(texts, paths, spans, strict=True) for a, b in s]
+    x = [features(t[max(0, a - REACH) : a], t[a:b], t[b : b + AHEAD], p, reference, neighbours) for t, p, s in zip(texts, paths, spans, strict=True) for a, b in s]
     scores = iter(forest.predict(np.array(x)) if x else [])
     return [[(a, b, float(next(scores))) for a, b in s] for s in spans]
 
@@ -298,24 +360,21 @@ def scan(docs: DataFrame, trained, id_col: str = "doc_id", text_col: str = "text
     one row a candidate of every whole text, in code points; ``secret`` where the
     forest's share of votes is THRESHOLD or more. Null and empty texts have none,
     repeated rows have theirs each. No row moves."""
-    reference, forest = trained
-
     @F.pandas_udf("array<struct<start:int,end:int,candidate:string,score:double>>")
     def run(texts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([[(a, b, t[a:b], s) for a, b, s in found] for t, found in zip(texts, _judge(texts, paths, reference, forest), strict=True)])
+        return pd.Series([[(a, b, t[a:b], s) for a, b, s in found] for t, found in zip(texts, _judge(texts, paths, trained), strict=True)])
 
     found = docs.select(F.col(id_col).alias("id"), F.explode(run(F.col(text_col), F.col(path_col).cast("string"))).alias("f"))
     return found.select("id", "f.*").withColumn("secret", F.col("score") >= THRESHOLD)
 
 
 def redact(docs: DataFrame, trained, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``docs`` with every secret in the text replaced by MASK. No row is lost."""
-    reference, forest = trained
-
+    """``docs`` with every secret in the text replaced by MASK. No row is lost or
+    moved; null and empty texts stay as they are, rows that repeat are masked each."""
     @F.pandas_udf("string")
     def run(texts: pd.Series, paths: pd.Series) -> pd.Series:
         out = []
-        for t, found in zip(texts, _judge(texts, paths, reference, forest), strict=True):
+        for t, found in zip(texts, _judge(texts, paths, trained), strict=True):
             for a, b, s in reversed(found):
                 if s >= THRESHOLD:
                     t = t[:a] + MASK + t[b:]
