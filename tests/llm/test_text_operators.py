@@ -398,6 +398,28 @@ def test_license_notices_that_follow_each_other(name, between):
     assert [m for m in index.find(words) if m[0] == t] == want
 
 
+def test_candidates_are_those_of_every_diagonal():
+    """Matches from winnowed candidates against those of trying all diagonals."""
+    index, rng = licenses.Index(), random.Random(5)
+    found = every = 0
+    for _ in range(120):
+        words = []
+        for _ in range(3):
+            words += rng.choices(["of", "the", "license", "word", "and", "this"], k=rng.randrange(12))
+            words += [w if rng.random() > 0.08 else "changed" for w in rng.choice(index.words)]
+        got = set(index.find(words))
+        plain = [m for t in range(len(index.words)) for m in index.matches(t, words, [(s, max(s, 0)) for s in range(-licenses.BAND, len(words))])]
+        found += sum(any(m[0] == g[0] and m[1] < g[2] and g[1] < m[2] for g in got) for m in plain)
+        every += len(plain)
+    assert every > 300 and found / every > 0.95
+
+
+def test_no_templates_and_odd_rows(spark):
+    assert licenses.scan(frame(spark, ["All rights reserved."]), {}).count() == 0
+    rows = licenses.scan(frame(spark, ["All rights reserved."] * 2 + ["x " * 100_000 + "All rights reserved."], [None, 1, 1])).collect()
+    assert sorted((str(r["id"]), r["start"]) for r in rows) == [("1", 0), ("1", 200_000), ("None", 0)]
+
+
 def test_a_cut_notice_before_a_whole_one():
     index = licenses.Index()
     words = "released under the mit released under the mit license".split()

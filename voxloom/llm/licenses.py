@@ -22,7 +22,7 @@ from voxloom.llm.common import rolling
 K, WINDOW, BAND = 3, 3, 6
 COVERAGE = 0.7  # the share of a template's words that must match in order
 
-# The usual short notices of common licenses.
+# The usual notices, and whole texts of the shorter ones, of common licenses.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -33,6 +33,33 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "Apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES "
+        "OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+        "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
 }
 
@@ -59,9 +86,9 @@ def winnowed(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 class Index:
-    """The templates' words and the inverted index of their winnowed k-grams.
-    Every k-gram of a template is indexed under its hash; those winnowing selects
-    are the ones that may start a candidate."""
+    """The templates' words and the inverted index of their winnowed k-grams: each
+    that winnowing selects is listed under its hash, and may start a candidate
+    where a text, all of whose k-grams are looked up, has it too."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.names = list(templates)
@@ -76,8 +103,8 @@ class Index:
         self.keys = np.array(keys, np.uint64)[order]
         self.places = [places[i] for i in order.tolist()]
 
-    def find(self, words: list[str]) -> list[tuple[int, int, int, int]]:
-        """(template, first word, last word + 1, matched words) of the matches."""
+    def starts(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """By template the (diagonal, word) of its k-grams in the text, in order."""
         h = _hash(words)
         hits: dict[int, list[tuple[int, int]]] = {}
         for size in {p[2] for p in self.places}:
@@ -91,24 +118,31 @@ class Index:
                     if n == size:
                         hits.setdefault(t, []).append((d - p, d))
                     k += 1
+        return {t: sorted(some) for t, some in hits.items()}
+
+    def matches(self, t: int, words: list[str], starts: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """Matches of one template around the given diagonals, apart from each other."""
         out = []
-        for t, starts in hits.items():
-            low, tried = 0, None  # words before low belong to matches
-            for s, at in sorted(starts):
-                if at < low or (s, low) == tried:
-                    continue
-                tried = (s, low)
-                found = self._match(t, words, s, low, len(words))
-                # a match takes the last of equally good starts: there may be others before it
-                some = []
-                while found:
-                    some.insert(0, (t, *found))
-                    found = self._match(t, words, s, low, found[0])
-                if some:
-                    out += some
-                    low = some[-1][2]
+        low, tried = 0, None  # words before low belong to matches
+        for s, at in starts:
+            if at < low or (s, low) == tried:
+                continue
+            tried = (s, low)
+            found = self._match(t, words, s, low, len(words))
+            # a match takes the last of equally good starts: there may be others before it
+            some = []
+            while found:
+                some.insert(0, (t, *found))
+                found = self._match(t, words, s, low, found[0])
+            if some:
+                out += some
+                low = some[-1][2]
         return out
 
+    def find(self, words: list[str]) -> list[tuple[int, int, int, int]]:
+        """(template, first word, last word + 1, matched words) of the matches."""
+        return [m for t, starts in self.starts(words).items() for m in self.matches(t, words, starts)]
+
     def _match(self, t: int, words: list[str], diagonal: int, low: int, high: int) -> tuple[int, int, int] | None:
         found = align(self.words[t], words, diagonal, low=low, high=high)
         return found if found and found[2] >= COVERAGE * len(self.words[t]) else None
@@ -143,8 +177,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """(id, license, coverage double, start int, end int): one row a match of a
     whole text, with spans in code points, coverage the share of the template's
     words matched in order. Null and empty texts match nothing; a notice that
-    occurs twice gives two rows. No row moves."""
-    index = Index(templates or TEMPLATES)
+    occurs twice gives two rows, and rows that repeat have theirs each. Templates
+    match independently, so a whole license also gives its notice. No templates
+    match nothing. No row moves."""
+    index = Index(TEMPLATES if templates is None else templates)
 
     @F.pandas_udf("array<struct<license:string,coverage:double,start:int,end:int>>")
     def run(texts: pd.Series) -> pd.Series:
