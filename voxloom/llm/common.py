@@ -268,6 +268,8 @@ def solve_runs(rows: DataFrame, key: str, solve, schema: str) -> DataFrame:
                 yield solve(b.iloc[:start].reset_index(drop=True))
         if rest is not None:
             yield solve(rest)
+        rest = None
+        give_back_memory()
 
     return rows.mapInPandas(run, schema)
 

@@ -281,6 +281,7 @@ def set_prints(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 fp = majority(np.concatenate(sets), np.array([len(x) for x in sets]), LANES).view(np.int64)
                 copy = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets]
                 yield pd.DataFrame({"id": b["id"].iloc[at : at + 512].to_numpy(), "fp": list(fp), "copy": copy, "spare": [part_keys(x, similarity)[1] for x in sets]})
+        give_back_memory()
 
     return docs.mapInPandas(run, "id bigint, fp array<bigint>, copy string, spare array<int>")
 
@@ -303,7 +304,7 @@ def shared_parts(texts: DataFrame, words: int, similarity: float, spare: DataFra
             key = np.concatenate([*hits, np.empty(0, np.int64)])
             yield pd.DataFrame({"key": key, "id": np.repeat(b["id"].to_numpy(), [len(x) for x in hits]), "edge": (key & 4) > 0})
 
-    found = cut(repeats(texts, per_text, groups_for(texts), "<u8").mapInPandas(open_hits, "key bigint, id bigint, edge boolean"))
+    found = cut(repeats(texts, per_text, groups_for(texts), "<u8", 1 << 20).mapInPandas(open_hits, "key bigint, id bigint, edge boolean"))
     hot = broadcast_if_small(cut(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PART).select("key")))
     in_hot = found.join(hot, "key")
     of_text = in_hot.groupBy("id", "edge").agg(F.count("*").alias("n")).join(spare, "id")
@@ -339,8 +340,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     def sets(batches):
         for b in batches:
-            own = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in b["text"]]
-            yield pd.DataFrame({"key": b["key"], "id": b["id"], "shingles": own})
+            for at in range(0, len(b), 512):
+                some = b.iloc[at : at + 512]
+                own = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in some["text"]]
+                yield pd.DataFrame({"key": some["key"], "id": some["id"], "shingles": own})
+        give_back_memory()
 
     def solve(b: pd.DataFrame) -> pd.DataFrame:
         out = []

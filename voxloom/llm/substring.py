@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import groups_for, long_text, longs, mix64, rolling
+from voxloom.llm.common import give_back_memory, groups_for, long_text, longs, mix64, rolling
 
 BATCH_WORDS = 1 << 22
 
@@ -116,10 +116,10 @@ def _gather(b: pd.DataFrame, kind: str) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "hits": [np.unique(x).tobytes() for x in np.split(tag[o], starts[1:])]})
 
 
-def repeats(texts: DataFrame, per_text, n: int, kind: str) -> DataFrame:
+def repeats(texts: DataFrame, per_text, n: int, kind: str, batch: int = BATCH_WORDS) -> DataFrame:
     """(id, hits) of the marked hashes that occur twice or more; ``per_text``
     gives (h, marked) of a row. What a task has seen itself goes to groups of its
-    own, spread by its documents."""
+    own, spread by its documents. A task holds ``batch`` hashes at a time."""
 
     def send(batches):
         parts, size = [], 0
@@ -129,11 +129,13 @@ def repeats(texts: DataFrame, per_text, n: int, kind: str) -> DataFrame:
                 if len(h):
                     parts.append((h, np.full(len(h), row.id, np.int64), marked))
                     size += len(h)
-                if size >= BATCH_WORDS:
+                if size >= batch:
                     yield _send(*(np.concatenate(x) for x in zip(*parts, strict=True)), n, kind)
                     parts, size = [], 0
         if parts:
             yield _send(*(np.concatenate(x) for x in zip(*parts, strict=True)), n, kind)
+        parts = []
+        give_back_memory()
 
     sent = texts.mapInPandas(send, _SENT_SCHEMA)
     keyed = sent.withColumn("key", F.when(F.col("bucket") < 0, F.xxhash64("docs", "tags")).otherwise(F.col("bucket").cast("long")))
