@@ -110,8 +110,8 @@ def test_metrics_of_equal_and_split_labels(spark):
     assert v["voi_merge"] == pytest.approx(1) and v["voi_split"] == 0
 
 
-def test_background_in_both_is_dropped(spark):
-    assert sorted(tuple(r) for r in cells(spark, [1, 1, 0, 2], [1, 2, 0, 1]).select("true_id", "pred_id", "n").collect()) == [(1, 1, 1), (1, 2, 1), (2, 1, 1)]
+def test_background_in_both_weighs_nothing(spark):
+    assert sorted(tuple(r) for r in cells(spark, [1, 1, 0, 2], [1, 2, 0, 1]).select("true_id", "pred_id", "n").collect()) == [(0, 0, 0), (1, 1, 1), (1, 2, 1), (2, 1, 1)]
 
 
 def test_tiles_cover_and_shift_back(spark):
@@ -169,3 +169,58 @@ def test_rounds_take_the_edges_of_all_voxels(spark, monkeypatch):
     got, want = G.QUERIES["mws_boruvka"](spark, sf), G.rounded_edges(spark, sf)
     keys = ["volume", "u", "v", "idx", "weight", "mutex"]
     assert got.select(keys).exceptAll(want.select(keys)).count() == want.select(keys).exceptAll(got.select(keys)).count() == 0
+
+
+def test_metrics_of_a_volume_of_background_alone(spark):
+    rows = [("empty", 0, 0)] * 5 + [("nulls", None, 0)] * 2 + [("v", 1, 1), ("v", 1, 2), ("v", 0, 0)]
+    cells = M.contingency(spark.createDataFrame(rows, "volume string, true_id int, pred_id int"))
+    for volume in ("empty", "nulls"):
+        assert M.ari(cells).where(f"volume = '{volume}'").first()["ari"] == 0
+        assert M.ami(cells).where(f"volume = '{volume}'").first()["ami"] == 0
+        v = M.voi(cells).where(f"volume = '{volume}'").first()
+        assert (v["voi_split"], v["voi_merge"], v["voi_total"]) == (0, 0, 0)
+        assert M.ted(cells).where(f"volume = '{volume}'").first()["ted"] == 0
+    assert M.voi(cells).where("volume = 'v'").first()["voi_split"] == 1 and M.ted(cells).where("volume = 'v'").first()["ted"] == 1
+    whole = M.contingency(spark.createDataFrame(rows, "volume string, true_id int, pred_id int"), ignore_background=False)
+    assert M.ari(whole).where("volume = 'empty'").first()["ari"] == 1
+    assert whole.where("volume = 'empty'").first()["n"] == 5
+
+
+def test_expected_information_of_large_segments():
+    few = M._expected_terms(np.array([50]), np.array([70]), np.array([1]), np.array([200]))[0]
+    m = np.arange(1, 51, dtype=float)
+    from math import lgamma
+
+    p = np.array([np.exp(lgamma(51) + lgamma(71) + lgamma(151) + lgamma(131) - lgamma(201) - lgamma(k + 1) - lgamma(51 - k) - lgamma(71 - k) - lgamma(200 - 120 + k + 1)) for k in m])
+    assert few == pytest.approx(float((m / 200 * np.log(200 * m / 3500) * p).sum()), rel=1e-9)
+    large = M._expected_terms(np.array([10**9]), np.array([2 * 10**9]), np.array([1]), np.array([10**10]))[0]
+    assert 0 < large < 1e-8
+
+
+def test_ranks_and_buckets_of_edges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"v{i % 2}", int(i), int(i + 1), int(rng.integers(3)), float(rng.integers(12)) / 10, bool(i % 3)) for i in range(500)]
+    edges = spark.createDataFrame(rows, "volume string, u bigint, v bigint, idx int, weight double, mutex boolean")
+    got = {(r["volume"], r["u"]): r["rank"] for r in W.ranked(edges).collect()}
+    bucket = {(r["volume"], r["u"]): r["bucket"] for r in W.priority_buckets(edges, 7).collect()}
+    for volume in ("v0", "v1"):
+        order = sorted((r for r in rows if r[0] == volume), key=lambda r: (-r[4], r[3], r[1], r[2]))
+        assert [got[volume, r[1]] for r in order] == list(range(1, len(order) + 1))
+        want = np.concatenate([np.full(len(x), k + 1) for k, x in enumerate(np.array_split(np.arange(len(order)), 7))])
+        assert [bucket[volume, r[1]] for r in order] == want.tolist()
+
+
+def test_halos_that_reach_over_several_bricks(spark):
+    from voxloom.operators import neighbors as N
+    from voxloom.sources import bricks as B
+
+    rng = np.random.default_rng(2)
+    rows = [("v", z, y, x, int(rng.integers(3))) for z in range(4) for y in range(12) for x in range(20)]
+    voxels = spark.createDataFrame(rows, "volume string, z int, y int, x int, label bigint")
+    small = B.to_bricks(voxels.withColumn("intensity", F.lit(0.0)).withColumn("pred", F.lit(0).cast("bigint")), size=(2, 4, 4))
+    offsets = [(-1, 0, 0), (0, -9, 0), (3, 0, 11), (0, 5, -17)]
+    got = {tuple(r[c] for c in ("z", "y", "x", "idx")): r["target"] for r in B.affinity_bricks(small, offsets).collect()}
+    label = {(z, y, x): k for _, z, y, x, k in rows}
+    clip = lambda v, n: max(0, min(n - 1, v))
+    assert got == {(z, y, x, i): int(label[clip(z + a, 4), clip(y + b, 12), clip(x + c, 20)] == label[z, y, x]) for z, y, x in label for i, (a, b, c) in enumerate(offsets)}
+    assert N.OFFSETS

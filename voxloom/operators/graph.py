@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folders: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests
-    on one machine) a temporary one that goes with the driver."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="spark-voxels-")
-        atexit.register(shutil.rmtree, _own_folders[app], ignore_errors=True)
-    return f"file://{_own_folders[app]}"
+    """A folder of this application in the one named in ``spark.checkpoint.dir``; it
+    goes when the driver ends. Where that is unset, one machine (tests) takes a
+    temporary folder, and a cluster is an error: its disks are not shared."""
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _folders:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        _folders[app] = f"{named.rstrip('/')}/voxels-{app}" if named else f"file://{tempfile.mkdtemp(prefix='spark-voxels-')}"
+        path = context._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return _folders[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/voxels-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

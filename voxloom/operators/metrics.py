@@ -13,15 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def contingency(pairs: DataFrame, true_col: str = "true_id", pred_col: str = "pred_id", by: str = "volume") -> DataFrame:
-    """Count voxels by (volume, true, pred), without those that are background
-    in both. Null ids count as background."""
+def contingency(pairs: DataFrame, true_col: str = "true_id", pred_col: str = "pred_id", by: str = "volume", ignore_background: bool = True) -> DataFrame:
+    """Count voxels by (volume, true, pred). Null ids count as background. With
+    ``ignore_background`` the cell of voxels that are background in both counts 0:
+    it weighs nothing, but a volume of such voxels alone still has its row."""
     t, p = F.coalesce(F.col(true_col), F.lit(0)).alias("true_id"), F.coalesce(F.col(pred_col), F.lit(0)).alias("pred_id")
-    return pairs.select(F.col(by).alias("volume"), t, p).where("true_id > 0 OR pred_id > 0").groupBy("volume", "true_id", "pred_id").agg(F.count("*").alias("n"))
+    n = F.count_if(F.expr("true_id > 0 OR pred_id > 0")) if ignore_background else F.count("*")
+    return pairs.select(F.col(by).alias("volume"), t, p).groupBy("volume", "true_id", "pred_id").agg(n.alias("n"))
 
 
 def _marginals(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cell counts summed by true and by predicted id."""
+    cells = cells.where("n > 0")
     return (
         cells.groupBy("volume", "true_id").agg(F.sum("n").alias("n_true"), F.count("*").alias("k_true")),
         cells.groupBy("volume", "pred_id").agg(F.sum("n").alias("n_pred"), F.count("*").alias("k_pred")),
@@ -29,30 +32,31 @@ def _marginals(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ari(cells: DataFrame) -> DataFrame:
-    """(volume, ari): adjusted Rand index, not under 0. Pair counts are doubles:
-    they leave 64-bit integers at some 4e9 voxels."""
+    """(volume, ari): adjusted Rand index, not under 0; 0 for a volume without
+    counted voxels. Pair counts are doubles: they leave 64-bit integers at some
+    4e9 voxels."""
     pairs = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2
     by_true, by_pred = _marginals(cells)
     a = cells.groupBy("volume").agg(F.sum(pairs("n")).alias("both"), F.sum("n").alias("total"))
     b = by_true.groupBy("volume").agg(F.sum(pairs("n_true")).alias("t"))
     c = by_pred.groupBy("volume").agg(F.sum(pairs("n_pred")).alias("p"))
-    expected = F.col("t") * F.col("p") / pairs("total")
+    expected = F.col("t") * F.col("p") / F.nullif(pairs("total"), F.lit(0.0))
     top, bottom = F.col("both") - expected, (F.col("t") + F.col("p")) / 2 - expected
-    value = F.when(F.col("total") < 2, F.lit(1.0)).when(bottom == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), top / bottom))
-    return a.join(b, "volume").join(c, "volume").select("volume", value.alias("ari"))
+    value = F.when(F.col("total") == 0, F.lit(0.0)).when(F.col("total") < 2, F.lit(1.0)).when(bottom == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), top / F.nullif(bottom, F.lit(0.0))))
+    return a.join(b, "volume", "left").join(c, "volume", "left").select("volume", value.alias("ari"))
 
 
 def voi(cells: DataFrame) -> DataFrame:
     """(volume, voi_split, voi_merge, voi_total): H(pred | true), H(true | pred)
-    in bits and their sum."""
+    in bits and their sum; 0 for a volume without counted voxels."""
     by_true, by_pred = _marginals(cells)
     total = cells.groupBy("volume").agg(F.sum("n").alias("total"))
-    joined = cells.join(by_true, ["volume", "true_id"]).join(by_pred, ["volume", "pred_id"])
+    joined = cells.where("n > 0").join(by_true, ["volume", "true_id"]).join(by_pred, ["volume", "pred_id"])
     sums = joined.groupBy("volume").agg(
         F.sum(-F.col("n") * F.log2(F.col("n") / F.col("n_true"))).alias("s"), F.sum(-F.col("n") * F.log2(F.col("n") / F.col("n_pred"))).alias("m")
     )
-    split, merge = F.col("s") / F.col("total"), F.col("m") / F.col("total")
-    return sums.join(total, "volume").select("volume", split.alias("voi_split"), merge.alias("voi_merge"), (split + merge).alias("voi_total"))
+    split, merge = (F.coalesce(F.col(c) / F.nullif("total", F.lit(0)), F.lit(0.0)) for c in ("s", "m"))
+    return total.join(sums, "volume", "left").select("volume", split.alias("voi_split"), merge.alias("voi_merge"), (split + merge).alias("voi_total"))
 
 
 def pooled(cells: DataFrame) -> DataFrame:
@@ -63,11 +67,14 @@ def pooled(cells: DataFrame) -> DataFrame:
 
 def ted(cells: DataFrame) -> DataFrame:
     """(volume, splits, merges, ted): predicted pieces beyond the first of each
-    true id, and the other way round; id 0 is a segment like others."""
+    true id, and the other way round; id 0 is a segment like others. A volume
+    without counted voxels has none."""
     by_true, by_pred = _marginals(cells)
     s = by_true.groupBy("volume").agg(F.sum(F.col("k_true") - 1).alias("splits"))
     m = by_pred.groupBy("volume").agg(F.sum(F.col("k_pred") - 1).alias("merges"))
-    return s.join(m, "volume").select("volume", "splits", "merges", (F.col("splits") + F.col("merges")).alias("ted"))
+    every = cells.select("volume").distinct().join(s, "volume", "left").join(m, "volume", "left")
+    splits, merges = F.coalesce("splits", F.lit(0)), F.coalesce("merges", F.lit(0))
+    return every.select("volume", splits.alias("splits"), merges.alias("merges"), (splits + merges).alias("ted"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -84,26 +91,36 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
 
 
+TERMS = 1 << 20  # of one sum that are held at a time
+
+
 def _expected_terms(a: np.ndarray, b: np.ndarray, times: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The expected mutual information (nats) that pairs of marginals a and b add,
-    each ``times`` over, by the hypergeometric sum over the cell's size."""
+    each ``times`` over, by the hypergeometric sum over the cell's size. Sizes
+    that lie so far from the expected one that they add nothing in doubles, over 40
+    standard deviations, are passed over: a sum is as long as the root of a segment."""
     out = np.zeros(len(a))
     for k in range(len(a)):
         x, y, t = float(a[k]), float(b[k]), float(n[k])
-        m = np.arange(max(1, x + y - t), min(x, y) + 1)
+        mean = x * y / t
+        reach = 40 * (np.sqrt(mean * (1 - x / t) * max(t - y, 0) / max(t - 1, 1)) + 10)
+        low, high = int(max(1, x + y - t, mean - reach)), int(min(x, y, mean + reach))
         fixed = _lgamma(np.array([x, y, t - x, t - y]) + 1).sum() - _lgamma(np.array([t + 1]))[0]
-        log_p = fixed - _lgamma(m + 1) - _lgamma(x - m + 1) - _lgamma(y - m + 1) - _lgamma(t - x - y + m + 1)
-        out[k] = times[k] * float((m / t * np.log(t * m / (x * y)) * np.exp(log_p)).sum())
+        for at in range(low, high + 1, TERMS):
+            m = np.arange(at, min(high + 1, at + TERMS), dtype=float)
+            log_p = fixed - _lgamma(m + 1) - _lgamma(x - m + 1) - _lgamma(y - m + 1) - _lgamma(t - x - y + m + 1)
+            out[k] += times[k] * float((m / t * np.log(t * m / (x * y)) * np.exp(log_p)).sum())
     return out
 
 
 def ami(cells: DataFrame) -> DataFrame:
     """(volume, ami): adjusted mutual information with the arithmetic mean as its
-    normaliser, not under 0. The expectation is summed over the different sizes
+    normaliser, not under 0; 0 for a volume without counted voxels. The expectation is summed over the different sizes
     of marginals and how often each pair of sizes occurs; the log-factorials,
     which Spark SQL lacks, are computed in batches."""
     by_true, by_pred = _marginals(cells)
-    total = cells.groupBy("volume").agg(F.sum("n").alias("total"))
+    every = cells.groupBy("volume").agg(F.sum("n").alias("total"))
+    total, cells = every.where("total > 0"), cells.where("n > 0")
     sizes_t = by_true.groupBy("volume", "n_true").agg(F.count("*").alias("c_true"))
     sizes_p = by_pred.groupBy("volume", "n_pred").agg(F.count("*").alias("c_pred"))
 
@@ -129,7 +146,8 @@ def ami(cells: DataFrame) -> DataFrame:
     joined = mi.join(emi, "volume").join(h(by_true, "n_true"), "volume").join(h(by_pred, "n_pred"), "volume")
     bottom = (F.col("h_n_true") + F.col("h_n_pred")) / 2 - F.col("emi")
     same = (F.col("h_n_true") == 0) & (F.col("h_n_pred") == 0)
-    return joined.select("volume", F.when(same, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (F.col("mi") - F.col("emi")) / bottom)).alias("ami"))
+    value = F.when(F.col("mi").isNull(), F.lit(0.0)).when(same, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (F.col("mi") - F.col("emi")) / F.nullif(bottom, F.lit(0.0))))
+    return every.select("volume").join(joined, "volume", "left").select("volume", value.alias("ami"))
 
 
 def overlap_scores(rows: DataFrame, pred: str = "pred", truth: str = "truth", ignore: int = -100) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from voxloom.operators.components import min_size
 from voxloom.operators.graph import components, cut
-from voxloom.operators.neighbors import N_PULL, OFFSETS, explode_offsets
-from voxloom.operators.voxels import AXES, extents
+from voxloom.operators.neighbors import N_PULL, OFFSETS
+from voxloom.operators.voxels import AXES
 
 
 def build_edges(affinities: DataFrame, offsets=OFFSETS, n_pull: int = N_PULL, strides=(1, 2, 2), mask: DataFrame | None = None) -> DataFrame:
@@ -36,11 +36,40 @@ def build_edges(affinities: DataFrame, offsets=OFFSETS, n_pull: int = N_PULL, st
 
 def cap_push(edges: DataFrame, most: int) -> DataFrame:
     """All pull edges and the ``most`` heaviest push edges of each volume."""
-    w = Window.partitionBy("volume").orderBy(F.desc("weight"), "idx", "u")
-    top = edges.where("mutex").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    top = ranked(edges.where("mutex")).where(F.col("rank") <= most).drop("rank")
     return edges.where("NOT mutex").unionByName(top)
 
 
+def ranked(edges: DataFrame) -> DataFrame:
+    """``edges`` with rank (bigint): the place in the falling order of its volume's
+    weights, ties by offset and raster.
+
+    Edges are dealt to slices of that order by cut points of the weight, some per
+    volume; ranks inside a slice are counted there, and what comes before a slice
+    is added from one row per slice, so that no volume is sorted by one task.
+    Equal weights are in one slice."""
+    points = edges.groupBy("volume").agg(F.percentile_approx("weight", [k / SLICES for k in range(1, SLICES)], 10_000).alias("points"))
+    sliced = edges.join(points, "volume").withColumn("slice", F.expr("size(filter(points, p -> p > weight))")).drop("points")
+    sizes = sliced.groupBy("volume", "slice").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("volume").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("volume", "slice").orderBy(F.desc("weight"), "idx", "u", "v"))
+    return sliced.withColumn("inside", inside).join(before, ["volume", "slice"]).withColumn("rank", F.col("before") + F.col("inside")).drop("slice", "inside", "before")
+
+
+SLICES = 64
+
+
+def priority_buckets(edges: DataFrame, buckets: int) -> DataFrame:
+    """``edges`` with bucket (1 to ``buckets``) of equal numbers of each volume's
+    edges in falling order; of what does not divide, the first have one more each."""
+    total = edges.groupBy("volume").agg(F.count("*").alias("total"))
+    more, each = F.col("total") % buckets, F.expr(f"total div {buckets}")
+    wide = more * (each + 1)
+    first = F.col("rank") - 1
+    bucket = F.when(first < wide, F.floor(first / (each + 1))).otherwise(more + F.floor((first - wide) / F.greatest(each, F.lit(1)))) + 1
+    return ranked(edges).join(total, "volume").withColumn("bucket", bucket.cast("int")).drop("rank", "total")
+
+
 def solve_block(e: pd.DataFrame) -> pd.DataFrame:
     """(node, root) of one block's edges by a Kruskal pass: edges in falling
     weight, ties by offset and raster; a pull edge merges two clusters unless a
@@ -99,8 +128,7 @@ def boruvka(edges: DataFrame, buckets: int = 4) -> DataFrame:
     other merge, until nothing merges. With one edge a bucket this is the exact
     pass; with few it may differ where weights of a bucket interleave or tie.
     """
-    w = Window.partitionBy("volume").orderBy(F.desc("weight"), "idx", "u", "v")
-    e = cut(edges.withColumn("bucket", F.ntile(buckets).over(w)))
+    e = cut(priority_buckets(edges, buckets))
     node = lambda c: F.struct("volume", F.col(c).alias("n"))
     roots = cut(e.select(F.explode(F.array(node("u"), node("v"))).alias("s")).select("s.volume", F.col("s.n").alias("node")).distinct().withColumn("root", F.col("node")))
     # ties go by hash: by number, a chain of equal weights would merge one pair a round
@@ -145,6 +173,3 @@ def stitch(overlaps: DataFrame, share: float = 0.5) -> DataFrame:
 def finish(voxels: DataFrame, foreground: str, least: int, column: str = "component") -> DataFrame:
     """Instances outside the foreground and those of too few voxels become 0."""
     return min_size(voxels.withColumn(column, F.when(F.col(foreground), F.col(column)).otherwise(F.lit(0).cast("bigint"))), least, column)
-
-
-__all__ = ["boruvka", "build_edges", "cap_push", "explode_offsets", "extents", "finish", "solve_block", "stitch", "watershed"]

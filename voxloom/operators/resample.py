@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.operators.sampling import draw
+from voxloom.operators.sampling import draw, draw_bits, draw_int
 from voxloom.operators.voxels import AXES, extents, nearest_surviving
 
 KEYS = ["volume", *AXES]
@@ -96,10 +96,10 @@ def dropped_sections(sections: DataFrame, k: int, seed: int, contiguous: bool =
     of k from a drawn start. At least one section stays."""
     n = F.count("*").over(Window.partitionBy("volume"))
     if contiguous:
-        start = F.pmod(F.xxhash64(F.lit(seed), "volume"), F.greatest(n - k + 1, F.lit(1)))
+        start = draw_int(F.greatest(n - k + 1, F.lit(1)), seed, "volume")
         out = (F.col("z") >= start) & (F.col("z") < start + F.least(F.lit(k), n - 1))
     else:
-        rank = F.row_number().over(Window.partitionBy("volume").orderBy(F.xxhash64(F.lit(seed), "volume", "z"), "z"))
+        rank = F.row_number().over(Window.partitionBy("volume").orderBy(draw_bits(seed, "volume", "z"), "z"))
         out = rank <= F.least(F.lit(k), n - 1)
     return sections.select("volume", "z").distinct().withColumn("dropped", out)
 
@@ -151,7 +151,7 @@ def dihedral(voxels: DataFrame, seed: int) -> DataFrame:
     """A flip per axis, a quarter turn and a transposition in the plane, drawn
     per volume; turns and transpositions only where dy = dx."""
     v = voxels.join(extents(voxels).drop("n_voxels"), "volume")
-    bit = lambda k: F.pmod(F.xxhash64(F.lit(seed), "volume", F.lit(k)), F.lit(2)) == 1
+    bit = lambda k: draw_int(F.lit(2), seed, "volume", F.lit(k)) == 1
     for k, a in enumerate(AXES):
         v = v.withColumn(f"f{a}", F.when(bit(k), F.col(f"d{a}") - 1 - F.col(a)).otherwise(F.col(a)))
     swap = bit(3) & (F.col("dy") == F.col("dx"))

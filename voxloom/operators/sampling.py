@@ -7,14 +7,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+DRAW_BITS = 48
+
+
+def draw_bits(seed: int, *keys) -> Column:
+    """A whole number below 2^48 from the seed and the keys: the first bits of
+    the MD5 of them, joined by colons. Any engine can draw the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
+
+
 def draw(seed: int, *keys) -> Column:
     """A number in [0, 1) from the seed and the keys."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))
+    return draw_bits(seed, *keys) / F.lit(float(1 << DRAW_BITS))
 
 
 def draw_int(n: Column, seed: int, *keys) -> Column:
     """An integer in [0, n) from the seed and the keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), n)
+    return F.pmod(draw_bits(seed, *keys), n)
+
+
+def draw_sql(seed: int, *keys: str) -> str:
+    """DuckDB: ``draw_bits`` of the given expressions."""
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, {DRAW_BITS // 4}))::BIGINT"
 
 
 def group_lengths(groups: DataFrame, branch: str, mult: str, num_samples: int, weight: float, batch_size: int) -> DataFrame:
@@ -49,7 +64,7 @@ def schedule(groups: DataFrame, seed: int | None = None) -> DataFrame:
         order = F.struct("grp", "batch")
         item = F.expr("(batch * batch_size + item_no) % length")
     else:
-        order = F.struct(F.xxhash64(F.lit(seed), "grp", "batch"), "grp", "batch")
+        order = F.struct(draw_bits(seed, "grp", "batch"), "grp", "batch")
         item = draw_int(F.col("length"), seed + 1, "grp", "batch", "item_no")
     return b.select("grp", "batch", order.alias("order"), "item_no", item.cast("bigint").alias("item"))
 

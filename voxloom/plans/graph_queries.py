@@ -53,10 +53,12 @@ BALL = [(k, i, j) for k in (-1, 0, 1) for i in (-2, -1, 0, 1, 2) for j in (-2, -
     "edt_grow_labels",
     f"""{VX}, b(oz, oy, ox, d2) AS (VALUES {', '.join(f'({k}, {i}, {j}, {25 * k * k + i * i + j * j})' for k, i, j in BALL)}),
  near AS (SELECT q.volume, q.z, q.y, q.x, arg_min(n.label, d2 * 1000 + n.label) AS grown FROM (SELECT v.volume, v.z, v.y, v.x, v.z + oz AS tz, v.y + oy AS ty, v.x + ox AS tx, d2 FROM voxels v CROSS JOIN b) q JOIN voxels n ON n.volume = q.volume AND n.z = tz AND n.y = ty AND n.x = tx WHERE n.label > 0 GROUP BY ALL)
- SELECT v.volume, v.z, v.y, v.x, coalesce(grown, 0) AS grown FROM voxels v LEFT JOIN near ON near.volume = v.volume AND near.z = v.z AND near.y = v.y AND near.x = v.x""",
+ SELECT v.volume, v.z, v.y, sum(coalesce(grown, 0))::BIGINT AS grown, sum(coalesce(grown, 0) * (v.x + 1))::BIGINT AS placed FROM voxels v LEFT JOIN near ON near.volume = v.volume AND near.z = v.z AND near.y = v.y AND near.x = v.x GROUP BY ALL""",
 )
 def _(spark, sf):
-    return K.grow_labels(X.voxels(spark, sf), 2.0, sampling=(5.0, 1.0, 1.0))
+    """Every voxel's label after growing, summed along x, and by place."""
+    g = K.grow_labels(X.voxels(spark, sf), 2.0, sampling=(5.0, 1.0, 1.0))
+    return g.groupBy("volume", "z", "y").agg(F.sum("grown").alias("grown"), F.sum(F.col("grown") * (F.col("x") + 1)).alias("placed"))
 
 
 @query("fil_gaussian")
@@ -89,9 +91,11 @@ def edges(spark, sf):
     return W.build_edges(affinities(spark, sf), strides=STRIDES)
 
 
-@query("mws_build_edges", f"{VX}{EDGES} SELECT volume, u, v, idx, round(weight, 6) AS weight, mutex FROM ed")
+@query("mws_build_edges", f"{VX}{EDGES} SELECT volume, idx, mutex, u // 64 AS line, count(*) AS n, sum(v * (1 + u % 64))::BIGINT AS ends, round(sum(round(weight, 6) * (1 + u % 64)), 4) AS weighed FROM ed GROUP BY ALL")
 def _(spark, sf):
-    return edges(spark, sf).withColumn("weight", F.round("weight", 6))
+    """All edges, summed along the lines of their first voxels, by place."""
+    at = F.lit(1) + F.col("u") % 64
+    return rounded_edges(spark, sf).groupBy("volume", "idx", "mutex", F.expr("u div 64").alias("line")).agg(F.count("*").alias("n"), F.sum(F.col("v") * at).alias("ends"), F.round(F.sum(F.col("weight") * at), 4).alias("weighed"))
 
 
 def rounded_edges(spark, sf):
@@ -104,20 +108,17 @@ def _(spark, sf):
     return W.cap_push(rounded_edges(spark, sf), 500).where("mutex").select("volume", "u", "v", "idx")
 
 
-@query("top_edge_order", f"{VX}{EDGES} SELECT volume, u, idx, row_number() OVER (PARTITION BY volume ORDER BY round(weight, 6) DESC, idx, u) AS rank FROM ed WHERE idx = 11")
+@query("top_edge_order", f"{VX}{EDGES} SELECT volume, idx, u // 64 AS line, sum(rank)::BIGINT AS ranks, sum(rank * (1 + u % 64))::BIGINT AS placed FROM (SELECT volume, u, idx, row_number() OVER (PARTITION BY volume ORDER BY round(weight, 6) DESC, idx, u) AS rank FROM ed) GROUP BY ALL")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("volume").orderBy(F.desc("weight"), "idx", "u")
-    return rounded_edges(spark, sf).where("idx = 11").select("volume", "u", "idx", F.row_number().over(w).cast("bigint").alias("rank"))
+    """The rank of every edge in the falling order of its volume, summed along lines, and by place."""
+    r = W.ranked(rounded_edges(spark, sf))
+    return r.groupBy("volume", "idx", F.expr("u div 64").alias("line")).agg(F.sum("rank").alias("ranks"), F.sum(F.col("rank") * (1 + F.col("u") % 64)).alias("placed"))
 
 
 @query("top_priority_buckets", f"{VX}{EDGES} SELECT volume, bucket, count(*) AS n, min(weight) AS low, max(weight) AS high FROM (SELECT volume, round(weight, 6) AS weight, ntile(16) OVER (PARTITION BY volume ORDER BY round(weight, 6) DESC, idx, u) AS bucket FROM ed) GROUP BY ALL")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("volume").orderBy(F.desc("weight"), "idx", "u")
-    return rounded_edges(spark, sf).withColumn("bucket", F.ntile(16).over(w)).groupBy("volume", "bucket").agg(F.count("*").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high"))
+    b = W.priority_buckets(rounded_edges(spark, sf), 16)
+    return b.groupBy("volume", "bucket").agg(F.count("*").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high"))
 
 
 @query("mws_exact")
@@ -166,12 +167,11 @@ def _(spark, sf):
     return B.to_voxels(spark.read.parquet(path)).withColumn("intensity", F.round(F.col("intensity") + 1.234e-5, 2))
 
 
-NEAR_OFFSETS = [(-1, 0, 0), (0, -3, 0), (0, 9, -9)]
-
-
-@query("jn_halo_join", f"{VX}, o(idx, oz, oy, ox) AS (VALUES {', '.join(f'({k}, {a}, {b}, {c})' for k, (a, b, c) in enumerate(NEAR_OFFSETS))}) SELECT v.volume, v.z, v.y, v.x, v.idx, (n.label = v.label)::INT AS target FROM {NEAR}")
+@query("jn_halo_join", f"{VX}{NB} SELECT v.volume, v.z, v.y, v.idx, sum((n.label = v.label)::INT)::BIGINT AS n_same, sum((n.label = v.label)::INT * (v.x + 1) * (v.x + 1))::BIGINT AS placed FROM {NEAR} GROUP BY ALL")
 def _(spark, sf):
-    return B.affinity_bricks(B.to_bricks(X.voxels(spark, sf)), NEAR_OFFSETS)
+    """All offsets by bricks and their halos; targets summed along x, and by place."""
+    t = B.affinity_bricks(B.to_bricks(X.voxels(spark, sf)), N.OFFSETS)
+    return t.groupBy("volume", "z", "y", "idx").agg(F.sum("target").cast("bigint").alias("n_same"), F.sum(F.expr("CAST(target AS BIGINT) * (x + 1) * (x + 1)")).alias("placed"))
 
 
 # --- streams ---------------------------------------------------------------

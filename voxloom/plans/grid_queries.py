@@ -61,12 +61,21 @@ def _(spark, sf):
     return T.reflect_pad(v, V.extents(v), (10, 40, 64), "label")
 
 
+P = (4, 8, 16)
+
+
 def random_crops(spark, sf, attempts=4):
     e = V.extents(X.voxels(spark, sf)).withColumn("k", F.explode(F.expr("sequence(0, 15)"))).withColumn("sample", F.concat_ws(":", "volume", "k"))
     return S.random_crops(e.select("sample", "volume", "dz", "dy", "dx"), (4, 8, 16), attempts, 11)
 
 
-@query("tile_random_crop")
+def crops_sql(attempts=4, seed=11):
+    """DuckDB: table cr (sample, volume, attempt, sz, sy, sx) of the drawn crops."""
+    starts = ", ".join(f"({S.draw_sql(seed, 'sample', repr(a), 'attempt')} % greatest(d{a} - {p} + 1, 1))::INT AS s{a}" for a, p in zip("zyx", P, strict=True))
+    return f"{EXT}, sm AS (SELECT volume || ':' || k AS sample, volume, dz, dy, dx, k FROM ext, range(16) r(k)), cr AS (SELECT sample, volume, attempt::INT AS attempt, {starts} FROM sm, range({attempts}) t(attempt))"
+
+
+@query("tile_random_crop", f"{VX}{crops_sql()} SELECT * FROM cr")
 def _(spark, sf):
     return random_crops(spark, sf).select("sample", "volume", "attempt", "sz", "sy", "sx")
 
@@ -130,13 +139,21 @@ def _(spark, sf):
     return R.zoom_crop_pad(X.voxels(spark, sf), {"z": 1.0, "y": 1.5, "x": 0.5}, "label", "nearest")
 
 
-@query("res_zoom_plan")
+def log_uniform_sql(low, high, k):
+    return f"exp({S.draw_sql(5, 'volume', 'sample', str(k))} / pow(2.0, 48) * ln({high / low!r}::DOUBLE) + ln({low!r}::DOUBLE))"
+
+
+@query(
+    "res_zoom_plan",
+    f"{VX}{EXT}, sm AS (SELECT volume, sample::INT AS sample, CASE WHEN length(volume) % 2 = 0 THEN 40.0 ELSE 8.0 END::DOUBLE AS native FROM ext, range(8) r(sample)) "
+    f"SELECT volume, sample, native, CASE WHEN native = 8 THEN 8 ELSE round({log_uniform_sql(30.0, 50.0, 1)}, 9) END::DOUBLE AS target_z, CASE WHEN native = 8 THEN 8 ELSE round({log_uniform_sql(4.0, 10.0, 2)}, 9) END::DOUBLE AS target_xy FROM sm",
+)
 def _(spark, sf):
     """Per sample a target resolution: one for y and x, log-uniform, and one for z; isotropic volumes keep theirs."""
     e = V.extents(X.voxels(spark, sf)).withColumn("sample", F.explode(F.expr("sequence(0, 7)"))).withColumn("native", F.when(F.length("volume") % 2 == 0, 40.0).otherwise(8.0))
     logu = lambda lo, hi, k: F.exp(S.draw(5, "volume", "sample", F.lit(k)) * F.log(F.lit(hi / lo)) + F.log(F.lit(lo)))
     iso = F.col("native") == 8.0
-    return e.select("volume", "sample", "native", F.when(iso, 8.0).otherwise(logu(30.0, 50.0, 1)).alias("target_z"), F.when(iso, 8.0).otherwise(logu(4.0, 10.0, 2)).alias("target_xy"))
+    return e.select("volume", "sample", "native", F.when(iso, 8.0).otherwise(F.round(logu(30.0, 50.0, 1), 9)).alias("target_z"), F.when(iso, 8.0).otherwise(F.round(logu(4.0, 10.0, 2), 9)).alias("target_xy"))
 
 
 POOL = "v.{a} >= i{a} * {n} // {m} AND v.{a} < ((i{a} + 1) * {n} + {m} - 1) // {m}"
@@ -162,11 +179,10 @@ def _(spark, sf):
     return image.join(label, "volume").withColumn("task", F.lit("sft"))
 
 
-@query("res_resize_2d", f"{VX}{linear_sql({'y': (32, 24), 'x': (64, 48)})} SELECT volume, z, y, x, round(value + 1.234e-5, 3) AS intensity FROM rs WHERE z = 2")
+@query("res_resize_2d", f"{VX}{linear_sql({'z': (7, 7), 'y': (32, 24), 'x': (64, 48)})} SELECT volume, z, y, x, round(value + 1.234e-5, 3) AS intensity FROM rs")
 def _(spark, sf):
-    one = X.voxels(spark, sf).where("z = 2").withColumn("z", F.lit(0))
-    out = R.resample(one, {"y": F.lit(24), "x": F.lit(48)}, "intensity", axes=("y", "x"))
-    return out.select("volume", F.lit(2).alias("z"), "y", "x", F.round(F.col("intensity") + 1.234e-5, 3).alias("intensity"))
+    out = R.resample(X.voxels(spark, sf), {"y": F.lit(24), "x": F.lit(48)}, "intensity", axes=("y", "x"))
+    return out.select(*KEYS, F.round(F.col("intensity") + 1.234e-5, 3).alias("intensity"))
 
 
 @query("deg_z_slab_average", f"{VX} SELECT v.volume, iz::INT AS z, y, x, round(avg(intensity) + 1.234e-5, 3) AS intensity FROM voxels v, range(2) a(iz) WHERE {POOL.format(a='z', n=7, m=2)} GROUP BY ALL")
@@ -179,24 +195,51 @@ def normed(spark, sf):
     return V.minmax_norm(X.voxels(spark, sf)).select(*KEYS, "label", F.col("norm").alias("intensity"))
 
 
-@query("deg_section_jitter")
+NORM = f"{VX}, nm AS (SELECT volume, z, y, x, label, coalesce((intensity - lo) / nullif(hi - lo, 0), 0) AS v FROM (SELECT *, min(intensity) OVER (PARTITION BY volume) AS lo, max(intensity) OVER (PARTITION BY volume) AS hi FROM voxels))"
+UNIT = "/ pow(2.0, 48)"
+
+
+def reflected(at, n):
+    return f"CASE WHEN ((({at}) % {2 * n - 2}) + {2 * n - 2}) % {2 * n - 2} < {n} THEN ((({at}) % {2 * n - 2}) + {2 * n - 2}) % {2 * n - 2} ELSE {2 * n - 2} - ((({at}) % {2 * n - 2}) + {2 * n - 2}) % {2 * n - 2} END"
+
+
+def six(df, value="intensity"):
+    """Rounded to six decimals, on the same side of a tie on every engine."""
+    return df.withColumn(value, F.round(F.col(value) + 1.234e-8, 6))
+
+
+@query(
+    "deg_section_jitter",
+    f"""{NORM}, s AS (SELECT volume, z, ({S.draw_sql(3, 'volume', 'z', '1')} {UNIT} * 2 - 1) * 1.5 AS my, ({S.draw_sql(3, 'volume', 'z', '2')} {UNIT} * 2 - 1) * 1.5 AS mx FROM (SELECT DISTINCT volume, z FROM nm)),
+ q AS (SELECT nm.volume, nm.z, nm.y, nm.x, floor(y + my)::INT + a AS ty, floor(x + mx)::INT + b AS tx, CASE WHEN a = 1 THEN y + my - floor(y + my) ELSE 1 - (y + my - floor(y + my)) END * CASE WHEN b = 1 THEN x + mx - floor(x + mx) ELSE 1 - (x + mx - floor(x + mx)) END AS w FROM nm JOIN s USING (volume, z), range(2) i(a), range(2) j(b)),
+ p AS (SELECT volume, z, y, x, w, ({reflected('ty', 32)})::INT AS qy, ({reflected('tx', 64)})::INT AS qx FROM q)
+ SELECT p.volume, p.z, p.y, p.x, round(sum(v * w) + 1.234e-8, 6) AS intensity FROM p JOIN nm ON nm.volume = p.volume AND nm.z = p.z AND nm.y = qy AND nm.x = qx GROUP BY ALL""",
+)
 def _(spark, sf):
-    return R.jitter_sections(normed(spark, sf), 1.5, 3)
+    return six(R.jitter_sections(normed(spark, sf), 1.5, 3))
 
 
-@query("deg_section_drop")
+@query(
+    "deg_section_drop",
+    f"""{NORM}, s AS (SELECT volume, z, row_number() OVER (PARTITION BY volume ORDER BY {S.draw_sql(3, 'volume', 'z')}, z) <= 2 AS gone FROM (SELECT DISTINCT volume, z FROM nm)),
+ f AS (SELECT a.volume, a.z, arg_min(b.z, abs(a.z - b.z) * 1000 + b.z) AS source FROM s a JOIN s b ON a.volume = b.volume AND NOT b.gone GROUP BY ALL)
+ SELECT f.volume, f.z, y, x, round(v + 1.234e-8, 6) AS intensity FROM f JOIN nm ON nm.volume = f.volume AND nm.z = source""",
+)
 def _(spark, sf):
-    return R.drop_sections(normed(spark, sf), 2, 3)
+    return six(R.drop_sections(normed(spark, sf), 2, 3))
 
 
-@query("deg_section_noise")
+GAUSS = f"sqrt(-2 * ln(greatest({S.draw_sql(3, 'volume', 'z', 'y', 'x', '1')} {UNIT}, 1e-12))) * cos(2 * pi() * ({S.draw_sql(3, 'volume', 'z', 'y', 'x', '2')} {UNIT}))"
+
+
+@query("deg_section_noise", f"{NORM} SELECT volume, z, y, x, round(v + {GAUSS} * ({S.draw_sql(3, 'volume', 'z')} {UNIT}) * 0.1 + 1.234e-8, 6) AS intensity FROM nm")
 def _(spark, sf):
-    return R.section_noise(normed(spark, sf), 0.1, 3).drop("label")
+    return six(R.section_noise(normed(spark, sf), 0.1, 3).drop("label"))
 
 
-@query("deg_section_gamma")
+@query("deg_section_gamma", f"{NORM} SELECT volume, z, y, x, round(pow(greatest(0, least(1, v)), {S.draw_sql(3, 'volume', 'z', '3')} {UNIT} * 0.7 + 0.7) + 1.234e-8, 6) AS intensity FROM nm")
 def _(spark, sf):
-    return R.section_gamma(normed(spark, sf), 0.7, 1.4, 3).drop("label")
+    return six(R.section_gamma(normed(spark, sf), 0.7, 1.4, 3).drop("label"))
 
 
 @query("deg_degrade_pair")
@@ -204,19 +247,26 @@ def _(spark, sf):
     return R.degrade_pair(normed(spark, sf), 2.0, 3)
 
 
-@query("aug_dihedral")
+def flipped(a, k, last):
+    return f"CASE WHEN {S.draw_sql(3, 'volume', str(k))} % 2 = 1 THEN {last} - {a} ELSE {a} END"
+
+
+@query("aug_dihedral", f"{VX} SELECT volume, {flipped('z', 0, 6)} AS z, {flipped('y', 1, 31)} AS y, {flipped('x', 2, 63)} AS x, label FROM voxels")
 def _(spark, sf):
     return R.dihedral(X.voxels(spark, sf), 3).select(*KEYS, "label")
 
 
-@query("aug_intensity")
+@query(
+    "aug_intensity",
+    f"""{NORM}, s AS (SELECT *, {S.draw_sql(3, 'volume', '1')} {UNIT} < 0.5 AS bent, {S.draw_sql(3, 'volume', '3')} {UNIT} < 0.5 AS noisy FROM nm)
+ SELECT volume, z, y, x, round(CASE WHEN bent THEN pow(greatest(0, least(1, v)), {S.draw_sql(3, 'volume', '2')} {UNIT} * 0.6 + 0.7) ELSE v END + CASE WHEN noisy THEN {GAUSS} * 0.05 ELSE 0 END + 1.234e-8, 6) AS intensity FROM s""",
+)
 def _(spark, sf):
-    return R.intensity_aug(normed(spark, sf), 3).drop("label")
+    return six(R.intensity_aug(normed(spark, sf), 3).drop("label"))
 
 
 # --- tiled inference -------------------------------------------------------
 
-P = (4, 8, 16)
 GW = "exp(-(power(pz - 2.0, 2) + power(py - 4.0, 2) + power(px - 8.0, 2)) / (2 * 0.25))"
 
 
@@ -365,7 +415,11 @@ def _(spark, sf):
     return S.schedule(g).select("grp", "batch", "item_no", "item")
 
 
-@query("smp_shuffled_schedule")
+@query(
+    "smp_shuffled_schedule",
+    f"""{SV}, g AS (SELECT volume AS grp, (6 + sample_weight * 3)::BIGINT AS length FROM sv)
+ SELECT grp, b::INT AS batch, {S.draw_sql(9, 'grp', 'b')} AS "order", j::INT AS item_no, ({S.draw_sql(10, 'grp', 'b', 'j')} % length)::BIGINT AS item FROM (SELECT *, unnest(range(length // 4)) AS b FROM g), range(4) r(j)""",
+)
 def _(spark, sf):
     g = sampled_volumes(spark, sf).select(F.col("volume").alias("grp"), (6 + F.col("sample_weight") * 3).cast("bigint").alias("length"), F.lit(4).alias("batch_size"))
     return S.schedule(g, seed=9).select("grp", "batch", F.col("order.col1").alias("order"), "item_no", "item")
@@ -385,7 +439,11 @@ def _(spark, sf):
     return e.join(sections, "i").select("event_id", "volume", "z")
 
 
-@query("smp_patch_manifest")
+@query(
+    "smp_patch_manifest",
+    f"""{VX}{crops_sql()}, g AS (SELECT sample, cr.volume, attempt, sz, sy, sx, round(least(avg((label > 0)::INT), avg((intensity <> 0)::INT)), 6) AS f FROM cr JOIN voxels v ON v.volume = cr.volume AND v.z >= sz AND v.z < sz + 4 AND v.y >= sy AND v.y < sy + 8 AND v.x >= sx AND v.x < sx + 16 GROUP BY ALL)
+ SELECT sample, volume, attempt, sz AS z0, sy AS y0, sx AS x0, f >= 0.45 AS passed, f FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY f >= 0.45 DESC, CASE WHEN f >= 0.45 THEN 0 ELSE f END DESC, attempt) AS r FROM g) WHERE r = 1""",
+)
 def _(spark, sf):
     """Candidate crops of each sample, gated on content, the first that passes or the best."""
     from voxloom.plans.voxel_queries import first_pass_else_best

@@ -37,7 +37,13 @@ def cells(spark, sf):
 
 @query("agg_contingency", f"WITH {CELLS} SELECT * FROM c")
 def _(spark, sf):
-    return cells(spark, sf)
+    return cells(spark, sf).where("n > 0")
+
+
+@query("agg_contingency_all", f"WITH {X.LABEL_PAIRS_SQL} SELECT volume, true_id, pred_id, count(*) AS n FROM label_pairs GROUP BY ALL")
+def _(spark, sf):
+    """Background counted as a segment."""
+    return M.contingency(X.label_pairs(spark, sf), ignore_background=False)
 
 
 @query(

@@ -304,11 +304,13 @@ def _(spark, sf):
 
 @query(
     "jn_image_label_pair",
-    f"{VX} SELECT i.volume, i.z, i.y, i.x, l.label FROM (SELECT * FROM voxels WHERE intensity > 0) i LEFT JOIN (SELECT * FROM voxels WHERE label > 0) l ON i.volume = l.volume AND i.z = l.z AND i.y = l.y AND i.x = l.x",
+    f"{VX} SELECT i.volume, i.z, i.y, count(*) AS n_image, count(l.label) AS n_label, sum(i.x * coalesce(l.label, 0))::BIGINT AS placed FROM (SELECT * FROM voxels WHERE intensity > 0) i LEFT JOIN (SELECT * FROM voxels WHERE label > 0) l ON i.volume = l.volume AND i.z = l.z AND i.y = l.y AND i.x = l.x GROUP BY ALL",
 )
 def _(spark, sf):
+    """Image voxels beside their labels, summed along x, and by place."""
     v = X.voxels(spark, sf)
-    return v.where("intensity > 0").select(*KEYS).join(v.where("label > 0").select(*KEYS, "label"), KEYS, "left")
+    pairs = v.where("intensity > 0").select(*KEYS).join(v.where("label > 0").select(*KEYS, "label"), KEYS, "left")
+    return pairs.groupBy("volume", "z", "y").agg(F.count("*").alias("n_image"), F.count("label").alias("n_label"), F.sum(F.col("x") * F.coalesce("label", F.lit(0))).alias("placed"))
 
 
 PREFIXES = [("vol_", 40.0), ("vol_1", 30.0), ("vol_3", 8.0), ("vol_30", 6.0)]  # overlapping on purpose
@@ -415,11 +417,11 @@ def _(spark, sf):
     return rounded(V.best_depth(X.voxels(spark, sf)), "depth_frac")
 
 
-@query("win_group_weight_norm", f"{VX}, g AS (SELECT volume, 'b' || count(*) FILTER (label > 0) % 2 AS branch, 1.0 + count(DISTINCT label) % 4 AS mult FROM (SELECT * FROM voxels WHERE z < 3) GROUP BY ALL) SELECT volume, branch, greatest(2, round_even(500 * 1.5 * mult / avg(mult) OVER (PARTITION BY branch), 0))::BIGINT AS length FROM g")
+@query("win_group_weight_norm", f"{VX}, g AS (SELECT volume, 'b' || count(*) FILTER (label > 0) % 2 AS branch, 1.0 + count(DISTINCT label) % 4 AS mult FROM voxels GROUP BY ALL) SELECT volume, branch, greatest(2, round_even(500 * 1.5 * mult / avg(mult) OVER (PARTITION BY branch), 0))::BIGINT AS length FROM g")
 def _(spark, sf):
     from voxloom.operators.sampling import group_lengths
 
-    g = X.voxels(spark, sf).where("z < 3").groupBy("volume").agg(F.concat(F.lit("b"), F.count_if(F.col("label") > 0) % 2).alias("branch"), (F.lit(1.0) + F.count_distinct("label") % 4).alias("mult"))
+    g = X.voxels(spark, sf).groupBy("volume").agg(F.concat(F.lit("b"), F.count_if(F.col("label") > 0) % 2).alias("branch"), (F.lit(1.0) + F.count_distinct("label") % 4).alias("mult"))
     return group_lengths(g, "branch", "mult", 500, 1.5, 2).select("volume", "branch", "length")
 
 
@@ -449,9 +451,11 @@ def _(spark, sf):
 PAIRS = f", pr AS (SELECT v.volume, v.z, v.y, v.x, v.idx, (n.label = v.label)::INT AS target, (n.label > 0 AND v.label > 0)::INT AS valid FROM {NEAR})"
 
 
-@query("aff_target", f"{VX}{NB}{PAIRS} SELECT volume, z, y, x, idx, target FROM pr WHERE z = 3")
+@query("aff_target", f"{VX}{NB}{PAIRS} SELECT volume, z, y, idx, sum(target)::BIGINT AS n_same, sum(target * (x + 1) * (x + 1))::BIGINT AS placed FROM pr GROUP BY ALL")
 def _(spark, sf):
-    return N.affinity_target(X.voxels(spark, sf)).where("z = 3").select(*KEYS, "idx", "target")
+    """Every voxel's targets, summed along x, and by place so that a shift shows."""
+    t = N.affinity_target(X.voxels(spark, sf))
+    return t.groupBy("volume", "z", "y", "idx").agg(F.sum("target").cast("bigint").alias("n_same"), F.sum(F.expr("CAST(target AS BIGINT) * (x + 1) * (x + 1)")).alias("placed"))
 
 
 @query("aff_valid", f"{VX}{NB}{PAIRS} SELECT volume, z, y, x, sum(valid)::BIGINT AS n_valid FROM pr GROUP BY ALL")

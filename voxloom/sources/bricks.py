@@ -55,10 +55,13 @@ def read_region(spark: SparkSession, path: str, volume: str, start, size, brick=
 def halo(bricks: DataFrame, column: str, reach=(1, 1, 1)) -> DataFrame:
     """``bricks`` with parts: arrays of (z0, y0, x0, dz, dy, dx, values) of the
     bricks around that lie within ``reach`` voxels, the own one too. Each brick
-    goes to its 26 neighbours' numbers and meets them by equality."""
+    goes to the numbers of its neighbours, as many rings of them as the reach asks
+    for, and meets them by equality."""
+    size = bricks.agg(*(F.max(f"d{a}") for a in AXES)).first()
+    rings = [-(-r // (n or 1)) for r, n in zip(reach, size, strict=True)]
     send = bricks.select("volume", "bz", "by", "bx", F.struct(*(f"{a}0" for a in AXES), *(f"d{a}" for a in AXES), F.col(column).alias("vals")).alias("part"))
-    for a in AXES:
-        send = send.withColumn(f"b{a}", F.explode(F.expr(f"array(b{a} - 1, b{a}, b{a} + 1)")))
+    for a, k in zip(AXES, rings, strict=True):
+        send = send.withColumn(f"b{a}", F.explode(F.expr(f"sequence(b{a} - {k}, b{a} + {k})")))
     own = bricks.select("volume", "bz", "by", "bx", *(f"{a}0" for a in AXES), *(f"d{a}" for a in AXES))
     near = " AND ".join(f"part.{a}0 + part.d{a} > {a}0 - {r} AND part.{a}0 < {a}0 + d{a} + {r}" for a, r in zip(AXES, reach, strict=True))
     return own.join(send, ["volume", "bz", "by", "bx"]).where(near).groupBy(*own.columns).agg(F.collect_list("part").alias("parts"))
@@ -67,7 +70,7 @@ def halo(bricks: DataFrame, column: str, reach=(1, 1, 1)) -> DataFrame:
 def affinity_bricks(bricks: DataFrame, offsets, label: str = "label") -> DataFrame:
     """(volume, z, y, x, idx, target) like the voxel-wise affinity target, by a
     kernel on bricks with halos: one array operation an offset and brick. Offsets
-    may reach as far as one brick."""
+    may reach over any number of bricks."""
     reach = tuple(max(abs(o[k]) for o in offsets) for k in range(3))
     ext = bricks.groupBy("volume").agg(*(F.max(F.col(f"{a}0") + F.col(f"d{a}")).alias(f"n{a}") for a in AXES))
     rows = halo(bricks, label, reach).join(ext, "volume")
