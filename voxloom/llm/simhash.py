@@ -215,6 +215,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col:
 
 LANES = 4  # of 64 bits each, in the fingerprints of near-duplicates
 DEVIATIONS = 6.0  # what the radius leaves to chance, in standard deviations
+PARTS_SPREAD = 4  # times as many groups for the parts' keys, which do not pack as well as words
 HOT_PART = 4_096  # texts that may share a part before it counts as hot
 
 
@@ -304,7 +305,7 @@ def shared_parts(texts: DataFrame, words: int, similarity: float, spare: DataFra
             key = np.concatenate([*hits, np.empty(0, np.int64)])
             yield pd.DataFrame({"key": key, "id": np.repeat(b["id"].to_numpy(), [len(x) for x in hits]), "edge": (key & 4) > 0})
 
-    found = cut(repeats(texts, per_text, groups_for(texts), "<u8", 1 << 20).mapInPandas(open_hits, "key bigint, id bigint, edge boolean"))
+    found = cut(repeats(texts, per_text, PARTS_SPREAD * groups_for(texts), "<u8", 1 << 18).mapInPandas(open_hits, "key bigint, id bigint, edge boolean"))
     hot = broadcast_if_small(cut(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PART).select("key")))
     in_hot = found.join(hot, "key")
     of_text = in_hot.groupBy("id", "edge").agg(F.count("*").alias("n")).join(spare, "id")

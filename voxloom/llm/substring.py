@@ -98,6 +98,7 @@ def _meet(b: pd.DataFrame, bins: int, kind: str) -> pd.DataFrame:
     if int(b["bucket"].iloc[0]) < 0:
         return pd.concat([_hits_of(d, t, bins) for d, t in opened])
     doc, tag = (np.concatenate(x) for x in zip(*opened, strict=True))
+    del opened
     order = np.argsort(tag, kind="stable")
     bare = tag[order] & np.array(-4, "<i8").astype(kind)
     new = np.concatenate([[True], bare[1:] != bare[:-1]])

@@ -30,7 +30,7 @@ from voxloom.llm.common import cut, cut_by, give_back_memory, groups_for, hash_f
 DISCOUNTS = (1.0, 2.0, 3.0, 5.0)  # the one that explains labelled texts best is taken
 CALIBRATION_ROWS = 8_000  # at most so many labelled rows fit the weights of the logistic curve
 REJECT = 0.3  # texts of this score or more count as toxic
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 4 << 20
 CONTEXTS = 32  # fewer different words before a word are counted exactly, more are estimated
 WORD_BITS, FILTER_BITS = 48, 25
 TOP = (3, 10)  # numbers of most toxic words that are looked at alone
