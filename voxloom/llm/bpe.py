@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import cut_by, give_back_memory, groups_for, long_text, longs, pack, pack_planes, unpack, unpack_planes
+from voxloom.llm.common import cut_by, give_back_memory, groups_for, long_text, longs, pack, pack_planes, trimmed, unpack, unpack_planes
 
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,13 +140,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, finis
         out = pd.DataFrame(rows, columns=names)
         return out.assign(id=longs([r[0] for r in rows]))
 
+    encoded, whole = trimmed(encode_words), trimmed(reassemble)
     names = ["id", *(x.strip().split(" ")[0] for x in finish_schema.split(","))]
     # written once, as the chunks' names and numbers must be the same on both sides
     # of the join, and by chunk, so that only the dictionaries are shuffled
     blobs = cut_by(picked.mapInPandas(chunks, "bucket int, chunk string, ids array<string>, a binary, b binary, c binary"), "chunk", buckets)
-    words = blobs.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(encode_words, "chunk string, a binary, b binary, c binary")
+    words = blobs.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda b: encoded(b), "chunk string, a binary, b binary, c binary")
     own = blobs.where("bucket < 0").select("chunk", "ids", "a", "c")
-    return own.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(reassemble, f"id bigint, {finish_schema}")
+    return own.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(lambda a, b: whole(a, b), f"id bigint, {finish_schema}")
 
 
 def digest(ids: np.ndarray, bytes_of: list, _ends) -> tuple:

@@ -151,7 +151,7 @@ def unpack_planes(b: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
 
 
-def give_back_memory() -> None:
+def give_back_memory(collect: bool = True) -> None:
     """Return freed memory to the system: Python workers are reused by later
     stages, next to whatever those need."""
     import ctypes
@@ -159,7 +159,8 @@ def give_back_memory() -> None:
 
     import pyarrow as pa
 
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:
@@ -177,6 +178,17 @@ def longs(values) -> pd.Series:
     return pd.Series(pd.array([None if x is None else int(x) for x in values], dtype="Int64"))
 
 
+def trimmed(run):
+    """A group's function that gives back what it has freed."""
+
+    def wrapped(*groups):
+        out = run(*groups)
+        give_back_memory(collect=False)
+        return out
+
+    return wrapped
+
+
 def mix64(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over unsigned arrays."""
     z = h + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)

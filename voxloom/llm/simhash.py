@@ -305,7 +305,8 @@ def shared_parts(texts: DataFrame, words: int, similarity: float, spare: DataFra
             key = np.concatenate([*hits, np.empty(0, np.int64)])
             yield pd.DataFrame({"key": key, "id": np.repeat(b["id"].to_numpy(), [len(x) for x in hits]), "edge": (key & 4) > 0})
 
-    found = cut(repeats(texts, per_text, PARTS_SPREAD * groups_for(texts), "<u8", 1 << 18).mapInPandas(open_hits, "key bigint, id bigint, edge boolean"))
+    # cut, so that no task runs two Python workers
+    found = cut(cut(repeats(texts, per_text, PARTS_SPREAD * groups_for(texts), "<u8", 1 << 18)).mapInPandas(open_hits, "key bigint, id bigint, edge boolean"))
     hot = broadcast_if_small(cut(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PART).select("key")))
     in_hot = found.join(hot, "key")
     of_text = in_hot.groupBy("id", "edge").agg(F.count("*").alias("n")).join(spare, "id")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import give_back_memory, groups_for, long_text, longs, mix64, rolling
+from voxloom.llm.common import give_back_memory, groups_for, long_text, longs, mix64, rolling, trimmed
 
 BATCH_WORDS = 1 << 22
 
@@ -138,10 +138,11 @@ def repeats(texts: DataFrame, per_text, n: int, kind: str, batch: int = BATCH_WO
         parts = []
         give_back_memory()
 
+    meet, gather = trimmed(_meet), trimmed(_gather)
     sent = texts.mapInPandas(send, _SENT_SCHEMA)
     keyed = sent.withColumn("key", F.when(F.col("bucket") < 0, F.xxhash64("docs", "tags")).otherwise(F.col("bucket").cast("long")))
-    met = keyed.repartition(n, "key").groupBy("key").applyInPandas(lambda b: _meet(b, n, kind), "bin int, docs binary, counts binary, tags binary")
-    return met.repartition(n, "bin").groupBy("bin").applyInPandas(lambda b: _gather(b, kind), "id bigint, hits binary")
+    met = keyed.repartition(n, "key").groupBy("key").applyInPandas(lambda b: meet(b, n, kind), "bin int, docs binary, counts binary, tags binary")
+    return met.repartition(n, "bin").groupBy("bin").applyInPandas(lambda b: gather(b, kind), "id bigint, hits binary")
 
 
 def windows_of(text: str | None, window: int) -> np.ndarray:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import cut, cut_by, give_back_memory, groups_for, hash_filter, long_text, longs, mix64, pack, pack_planes, unpack, unpack_planes
+from voxloom.llm.common import cut, cut_by, give_back_memory, groups_for, hash_filter, long_text, longs, mix64, pack, pack_planes, trimmed, unpack, unpack_planes
 
 DISCOUNTS = (1.0, 2.0, 3.0, 5.0)  # the one that explains labelled texts best is taken
 CALIBRATION_ROWS = 8_000  # at most so many labelled rows fit the weights of the logistic curve
@@ -146,7 +146,7 @@ def count(labelled: DataFrame, buckets: int) -> DataFrame:
         lexicon, numbers, labels = None, [], []
         give_back_memory()
 
-    def merge(b: pd.DataFrame) -> pd.DataFrame:
+    def _merge(b: pd.DataFrame) -> pd.DataFrame:
         parts = [np.cumsum(unpack_planes(x, "<u8")) for x in b["words"]]
         words, at = np.unique(np.concatenate(parts), return_inverse=True)
         n = [np.bincount(at, np.concatenate([unpack_planes(x) for x in b[c]]).astype(float), len(words)) for c in ("n0", "n1")]
@@ -160,7 +160,8 @@ def count(labelled: DataFrame, buckets: int) -> DataFrame:
         kept = (pack_planes(np.diff(words[active], prepend=np.uint64(0)), "<u8"), *(pack_planes(x[active], "<u8") for x in n), pack(contexts[active].astype("<f8")))
         return pd.DataFrame([(int(b["bucket"].iloc[0]), *kept, len(words), stats)], columns=["bucket", "words", "n0", "n1", "contexts", "types", "stats"])
 
-    return cut(labelled.mapInPandas(partial, COUNTED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(merge, MODEL))
+    merge = trimmed(_merge)
+    return cut(labelled.mapInPandas(partial, COUNTED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda b: merge(b), MODEL))
 
 
 class Model:
@@ -282,7 +283,7 @@ def _read(docs: DataFrame, model: Model, finish, schema: str) -> DataFrame:
         lexicon, numbers, ids = None, [], []
         give_back_memory()
 
-    def look_up(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    def _look_up(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(table):
             row = table.iloc[0]
@@ -296,7 +297,7 @@ def _read(docs: DataFrame, model: Model, finish, schema: str) -> DataFrame:
                 out.append((q.chunk, pack_planes(unpack_planes(q.a)[have]), pack_planes(n0[at], "<u8"), pack_planes(n1[at], "<u8"), pack(contexts[at].astype("<f4"))))
         return pd.DataFrame(out, columns=["chunk", "places", "n0", "n1", "contexts"])
 
-    def gather(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def _gather(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         places = [unpack_planes(x).astype(np.int64) for x in found["places"]]
         blocks = [(unpack_planes(r.a).astype(np.int64), unpack_planes(r.b).astype(np.int64), unpack_planes(r.c).astype(np.int64), list(r.ids)) for r in own.itertuples(index=False)]
         top = 1 + max((int(p.max()) for p in places if len(p)), default=-1)
@@ -315,11 +316,12 @@ def _read(docs: DataFrame, model: Model, finish, schema: str) -> DataFrame:
             out.append(finish(ids, n[:, number], contexts[number], doc, sizes))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({x.strip().split(" ")[0]: [] for x in schema.split(",")})
 
+    look_up, gather = trimmed(_look_up), trimmed(_gather)
     blobs = cut_by(docs.mapInPandas(chunks, "bucket int, chunk string, ids array<string>, a binary, b binary, c binary"), "chunk", buckets)
     asked = blobs.where("bucket >= 0").select("bucket", "chunk", "a", "c").repartition(buckets, "bucket")
-    found = asked.groupBy("bucket").cogroup(model.table.select("bucket", "words", "n0", "n1", "contexts").repartition(buckets, "bucket").groupBy("bucket")).applyInPandas(look_up, "chunk string, places binary, n0 binary, n1 binary, contexts binary")
+    found = asked.groupBy("bucket").cogroup(model.table.select("bucket", "words", "n0", "n1", "contexts").repartition(buckets, "bucket").groupBy("bucket")).applyInPandas(lambda a, b: look_up(a, b), "chunk string, places binary, n0 binary, n1 binary, contexts binary")
     own = blobs.where("bucket < 0").select("chunk", "ids", "a", "b", "c")
-    return own.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(gather, schema)
+    return own.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(lambda a, b: gather(a, b), schema)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -357,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     model = Model(count(rows.select("text", "label"), buckets), buckets)
 
     few = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, CALIBRATION_ROWS / max(marked.count(), 1)) * 1_000_000)
-    drawn = texts.where(few & maybe(F.col("key"))).select(F.col("key").cast("string").alias("id"), "text")
+    drawn = texts.where(few).select(F.col("key").cast("string").alias("id"), "text")
     total, back, all_contexts = model.total, model.back, max(model.contexts, 1.0)
 
     def finish(ids, n, contexts, doc, sizes):
