@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxloom.plans import graph_queries, grid_queries, metric_queries, voxel_queries
+from voxloom.plans import file_queries, graph_queries, grid_queries, metric_queries, voxel_queries
 
-MODULES = (metric_queries, voxel_queries, grid_queries, graph_queries)
+MODULES = (metric_queries, voxel_queries, grid_queries, graph_queries, file_queries)
 
 
 def queries() -> dict:
