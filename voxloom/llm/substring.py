@@ -182,15 +182,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     covers it whose word sequence also starts elsewhere, in the same or another
     document; all copies go. Words are runs without ASCII white space, unchanged.
     Null texts have no words; kept words are joined by one space. Rows may repeat
-    an id or have none: inside, a row goes by a hash of its id and text (rows that
-    share one only share a list of repeated windows, which hold for both).
+    an id or have none: rows that share an id only share a list of repeated
+    windows, which hold for each; those without one go by a hash of their text.
     Windows count as equal if 62 bits of their hashes are; of 10^9 different
     windows, two meet by chance with odds of about one in nine.
     """
     texts = docs.select(long_text(id_col).alias("doc"), F.col(text_col).alias("text"))
     n = groups_for(texts)
     # one exchange of the texts serves the probes, the windows and the removal
-    texts = texts.withColumn("id", F.xxhash64("doc", "text")).repartition(n, "id")
+    texts = texts.withColumn("id", F.coalesce(F.col("doc").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 16)))).repartition(n, "id")
     found = repeated_windows(texts, n, window)
 
     def keep(batches):
