@@ -172,7 +172,8 @@ def repeated_windows(texts: DataFrame, n: int, window: int = 35) -> DataFrame:
         return h, np.ones(len(h), bool)
 
     found = repeats(texts, probes, n, "<u4")
-    return repeats(texts.join(found, "id").select("id", "text", "hits"), around, n, "<u8")
+    # all columns, here as above and below, so that the exchange of the texts is one
+    return repeats(texts.join(found, "id").select("id", "doc", "text", "hits"), around, n, "<u8")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,4 +211,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             done = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
             yield done.assign(id=longs(done["id"]))
 
-    return texts.join(found, "id", "left").select("doc", "text", "hits").mapInPandas(keep, "id bigint, n_words bigint, n_removed bigint, kept string")
+    return texts.join(found, "id", "left").select("id", "doc", "text", "hits").mapInPandas(keep, "id bigint, n_words bigint, n_removed bigint, kept string")
