@@ -191,7 +191,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     texts = docs.select(long_text(id_col).alias("doc"), F.col(text_col).alias("text"))
     n = groups_for(texts)
     # one exchange of the texts serves the probes, the windows and the removal
-    texts = texts.withColumn("id", F.coalesce(F.col("doc").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 16)))).repartition(n, "id")
+    texts = texts.withColumn("id", F.coalesce(F.col("doc").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 16))))
+    # never null; said, so that no join puts it below the exchange for itself alone
+    texts = texts.where("id IS NOT NULL").repartition(n, "id")
     found = repeated_windows(texts, n, window)
 
     def keep(batches):
