@@ -18,25 +18,25 @@ from voxloom.operators.voxels import AXES, extents, nearest_surviving
 KEYS = ["volume", *AXES]
 
 
-def axis_targets(a: str, kind: str) -> Column:
-    """array<struct<i, w>>: the targets, and weights, of source coordinate ``a``
-    on an axis of d<a> voxels that becomes one of t<a>. ``linear`` has half-pixel
-    centres, ``nearest`` takes floor(i * in / out), ``pool`` averages the source
-    voxels of floor(i * in / out) to ceil((i + 1) * in / out)."""
+def spread(voxels: DataFrame, a: str, kind: str) -> DataFrame:
+    """``voxels`` once for each target that coordinate ``a`` weighs in, on an axis
+    of d<a> voxels that becomes one of t<a>: ``a`` is then the target's
+    coordinate, and _t the weight. ``linear`` has half-pixel centres, ``nearest``
+    takes floor(i * in / out), ``pool`` averages the source voxels of
+    floor(i * in / out) to ceil((i + 1) * in / out). Weights are plain columns
+    of an exploded range, which stay within generated code."""
     n, m = f"d{a}", f"t{a}"
     if kind == "linear":
         lo = f"CASE WHEN {a} = 0 THEN 0 ELSE greatest(0, CAST(floor(({a} - 0.5D) * {m} / {n} - 0.5D) AS INT)) END"
         hi = f"CASE WHEN {a} = {n} - 1 THEN {m} - 1 ELSE least({m} - 1, CAST(ceil(({a} + 1.5D) * {m} / {n} - 0.5D) AS INT)) END"
-        c = f"greatest(0D, (i + 0.5D) * {n} / {m} - 0.5D)"
+        c = f"greatest(0D, (_i + 0.5D) * {n} / {m} - 0.5D)"
         w = f"IF(CAST(floor({c}) AS INT) = {a}, 1 - ({c} - floor({c})), 0D) + IF(least(CAST(floor({c}) AS INT) + 1, {n} - 1) = {a}, {c} - floor({c}), 0D)"
-    elif kind == "nearest":
-        lo, hi = f"greatest(0, {a} * {m} div {n} - 1)", f"least({m} - 1, ({a} + 1) * {m} div {n} + 1)"
-        w = f"IF(i * {n} div {m} = {a}, 1D, 0D)"
     else:
         lo, hi = f"greatest(0, {a} * {m} div {n} - 1)", f"least({m} - 1, ({a} + 1) * {m} div {n} + 1)"
-        first, last = f"(i * {n} div {m})", f"(((i + 1) * {n} + {m} - 1) div {m})"
-        w = f"IF({a} >= {first} AND {a} < {last}, 1D / ({last} - {first}), 0D)"
-    return F.expr(f"filter(transform(sequence(CAST({lo} AS INT), CAST({hi} AS INT)), i -> struct(i AS i, {w} AS w)), s -> s.w > 0)")
+        first, last = f"(_i * {n} div {m})", f"(((_i + 1) * {n} + {m} - 1) div {m})"
+        w = f"IF({first} = {a}, 1D, 0D)" if kind == "nearest" else f"IF({a} >= {first} AND {a} < {last}, 1D / ({last} - {first}), 0D)"
+    each = voxels.withColumn("_i", F.explode(F.expr(f"sequence(CAST({lo} AS INT), CAST({hi} AS INT))")))
+    return each.withColumn("_t", F.expr(w)).where("_t > 0").withColumn(a, F.col("_i")).drop("_i")
 
 
 def resample(voxels: DataFrame, sizes: dict[str, Column], value: str, kind: str = "linear", axes=AXES) -> DataFrame:
@@ -46,7 +46,7 @@ def resample(voxels: DataFrame, sizes: dict[str, Column], value: str, kind: str
     grid = extents(voxels).drop("n_voxels").withColumns({f"t{a}": sizes[a].cast("int") for a in axes})
     v = voxels.select(*KEYS, value).join(grid, "volume").withColumn("_w", F.lit(1.0))
     for a in axes:
-        v = v.withColumn("_t", F.explode(axis_targets(a, kind))).withColumn(a, F.col("_t.i")).withColumn("_w", F.col("_w") * F.col("_t.w"))
+        v = spread(v, a, kind).withColumn("_w", F.col("_w") * F.col("_t"))
     total = F.max(value) if kind == "nearest" else F.sum(F.col(value) * F.col("_w"))
     return v.groupBy(*KEYS).agg(total.alias(value))
 
@@ -142,8 +142,7 @@ def degrade_pair(voxels: DataFrame, zf: float, seed: int, degraded: bool = True,
     d = section_gamma(section_noise(drop_sections(jitter_sections(d, 0.5, seed, value), 1, seed, value=value), 0.05, seed, value), 0.8, 1.25, seed, value)
     full = extents(voxels).select("volume", F.col("dz").alias("_dz"))
     n = extents(d).drop("n_voxels").join(full, "volume").withColumn("tz", F.col("_dz"))
-    up = d.join(n, "volume").withColumn("_t", F.explode(axis_targets("z", "linear"))).withColumn("z", F.col("_t.i"))
-    up = up.groupBy(*KEYS).agg(F.sum(F.col(value) * F.col("_t.w")).alias("degraded"))
+    up = spread(d.join(n, "volume"), "z", "linear").groupBy(*KEYS).agg(F.sum(F.col(value) * F.col("_t")).alias("degraded"))
     return clean.join(up, KEYS)
 
 
