@@ -92,6 +92,39 @@ def test_rounds_equal_the_exact_pass_on_the_hand_case(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
 
 
+def falling_order(rows, buckets):
+    """Root of every node by a plain pass: per bucket all mutexes, then pulls in falling weight."""
+    root = {n: n for r in rows for n in r[1:3]}
+    apart = set()
+    rows = sorted(rows, key=lambda r: -r[4])
+    for part in np.array_split(np.arange(len(rows)), buckets):
+        some = [rows[i] for i in part]
+        for _, u, v, _, _, mutex in some:
+            if mutex and root[u] != root[v]:
+                apart.add((u, v))
+        for _, u, v, _, _, mutex in some:
+            a, b = sorted((root[u], root[v]))
+            if not mutex and a != b and all({root[x], root[y]} != {a, b} for x, y in apart):
+                root = {n: a if r == b else r for n, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize(("span", "most"), [(1 << 15, 1_000_000), (8, 1_000_000), (8, 0)])
+def test_parallel_watershed_does_not_depend_on_blocks(spark, span, most):
+    r = np.random.default_rng(7)
+    rows = []
+    for a in range(24):
+        for step, mutex in ((1, False), (6, False), (3, True), (10, True)):
+            if a + step < 24 and not (mutex and r.random() < 0.5):
+                rows.append(("v", a + step, a, len(rows), 0.0, mutex))
+    weights = r.permutation(len(rows)) / len(rows)
+    rows = [(*x[:4], float(w), x[5]) for x, w in zip(rows, weights, strict=True)]
+    e = spark.createDataFrame(rows, "volume string, u bigint, v bigint, idx int, weight double, mutex boolean")
+    got = {x["node"]: x["root"] for x in W.boruvka(e, 2, span, most).collect()}
+    want = falling_order(rows, 2)
+    assert got == want and 2 < len(set(want.values())) < 24
+
+
 def cells(spark, true, pred):
     return M.contingency(spark.createDataFrame([("v", t, p) for t, p in zip(true, pred, strict=True)], "volume string, true_id int, pred_id int"))
 

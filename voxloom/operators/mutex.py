@@ -70,41 +70,90 @@ def priority_buckets(edges: DataFrame, buckets: int) -> DataFrame:
     return ranked(edges).join(total, "volume").withColumn("bucket", bucket.cast("int")).drop("rank", "total")
 
 
-def solve_block(e: pd.DataFrame) -> pd.DataFrame:
-    """(node, root) of one block's edges by a Kruskal pass: edges in falling
-    weight, ties by offset and raster; a pull edge merges two clusters unless a
-    mutex lies between them, a push edge lays one unless they are merged."""
-    e = e.sort_values(["weight", "idx", "u", "v"], ascending=[False, True, True, True], kind="stable")
-    nodes, ends = np.unique(np.concatenate([e["u"].to_numpy(), e["v"].to_numpy()]), return_inverse=True)
-    u, v = ends[: len(e)].tolist(), ends[len(e) :].tolist()
-    up, apart = list(range(len(nodes))), [set() for _ in nodes]
+class Clusters:
+    """Clusters of n nodes, and which of them a mutex keeps apart."""
 
-    def root(i):
+    def __init__(self, n: int):
+        self.up, self.apart = list(range(n)), [set() for _ in range(n)]
+
+    def root(self, i: int) -> int:
+        up = self.up
         while up[i] != i:
             up[i] = up[up[i]]
             i = up[i]
         return i
 
-    for a, b, mutex in zip(u, v, e["mutex"].tolist(), strict=True):
-        a, b = root(a), root(b)
+    def part(self, a: int, b: int) -> None:
+        self.apart[a].add(b)
+        self.apart[b].add(a)
+
+    def merge(self, a: int, b: int) -> None:
+        apart = self.apart
+        if len(apart[a]) < len(apart[b]):
+            a, b = b, a
+        self.up[b] = a
+        for c in apart[b]:
+            apart[c].discard(b)
+            apart[c].add(a)
+        apart[a] |= apart[b]
+        apart[b] = set()
+
+    def least(self) -> np.ndarray:
+        """The smallest member of each node's cluster."""
+        roots = np.array([self.root(i) for i in range(len(self.up))], np.int64)
+        out = np.full(len(roots), len(roots))
+        np.minimum.at(out, roots, np.arange(len(roots)))
+        return out[roots]
+
+
+def _numbered(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    nodes, ends = np.unique(np.concatenate([a.to_numpy(), b.to_numpy()]), return_inverse=True)
+    return nodes, ends[: len(a)], ends[len(a) :]
+
+
+def solve_block(e: pd.DataFrame) -> pd.DataFrame:
+    """(node, root) of one block's edges by a Kruskal pass: edges in falling
+    weight, ties by offset and raster; a pull edge merges two clusters unless a
+    mutex lies between them, a push edge lays one unless they are merged."""
+    e = e.sort_values(["weight", "idx", "u", "v"], ascending=[False, True, True, True], kind="stable")
+    nodes, u, v = _numbered(e["u"], e["v"])
+    c = Clusters(len(nodes))
+    for a, b, mutex in zip(u.tolist(), v.tolist(), e["mutex"].tolist(), strict=True):
+        a, b = c.root(a), c.root(b)
         if a == b:
             continue
         if mutex:
-            apart[a].add(b)
-            apart[b].add(a)
-        elif b not in apart[a]:
-            if len(apart[a]) < len(apart[b]):
-                a, b = b, a
-            up[b] = a
-            for c in apart[b]:
-                apart[c].discard(b)
-                apart[c].add(a)
-            apart[a] |= apart[b]
-            apart[b] = set()
-    roots = np.array([root(i) for i in range(len(nodes))])
-    least = np.full(len(nodes), len(nodes))
-    np.minimum.at(least, roots, np.arange(len(nodes)))
-    return pd.DataFrame({"node": nodes, "root": nodes[least[roots]]})
+            c.part(a, b)
+        elif b not in c.apart[a]:
+            c.merge(a, b)
+    return pd.DataFrame({"node": nodes, "root": nodes[c.least()]})
+
+
+def settle_block(e: pd.DataFrame, span: int) -> pd.DataFrame:
+    """(gone, into): the merges that one block can be sure of, from all pairs (a, b,
+    weight, h, u, v, mutex) with an end in it, whatever happens in other blocks.
+
+    Pairs go in falling rank. Where a pair that no mutex blocks leads to a cluster
+    of another block, what becomes of the cluster on this side is open: it is left
+    as it is from there on, and so is any that might merge with it."""
+    nodes, a, b = _numbered(e["a"], e["b"])
+    c = Clusters(len(nodes))
+    mutex = e["mutex"].to_numpy()
+    for i, j in zip(a[mutex].tolist(), b[mutex].tolist(), strict=True):
+        c.part(i, j)
+    left = (nodes // span != int(e["block"].iloc[0])).tolist()
+    free = e[~mutex].assign(a=a[~mutex], b=b[~mutex]).sort_values(["weight", "h", "u", "v"], ascending=False, kind="stable")
+    for i, j in zip(free["a"].tolist(), free["b"].tolist(), strict=True):
+        i, j = c.root(i), c.root(j)
+        if i == j or j in c.apart[i]:
+            continue
+        if left[i] or left[j]:
+            left[i] = left[j] = True
+        else:
+            c.merge(i, j)
+    into = nodes[c.least()]
+    own = into != nodes
+    return pd.DataFrame({"gone": nodes[own], "into": into[own]})
 
 
 def watershed(edges: DataFrame, block: str = "block") -> DataFrame:
@@ -119,48 +168,81 @@ def watershed(edges: DataFrame, block: str = "block") -> DataFrame:
     return edges.groupBy("volume", block).applyInPandas(run, f"volume string, {block} {kind}, node bigint, root bigint")
 
 
-def boruvka(edges: DataFrame, buckets: int = 4) -> DataFrame:
-    """(volume, node, root) by parallel rounds, for graphs that fit no task.
+SPAN = 1 << 15  # raster numbers in a block at first; four times as many in each further pass
+BLOCK_PAIRS = 1_000_000  # of clusters, that a task solves at once
+
+
+def boruvka(edges: DataFrame, buckets: int = 4, span: int = SPAN, most: int = BLOCK_PAIRS) -> DataFrame:
+    """(volume, node, root) by parallel passes, for graphs that fit no task.
 
     Edges are taken in ``buckets`` groups of falling weight. In each, push edges
-    between different clusters become mutexes; then, in rounds, every cluster
-    picks its best pull edge that no mutex blocks, and clusters that pick each
-    other merge, until nothing merges. With one edge a bucket this is the exact
-    pass; with few it may differ where weights of a bucket interleave or tie.
+    between different clusters become mutexes. Then clusters merge along their
+    best pull edges that no mutex blocks, until nothing merges: first, all blocks
+    in parallel, as far as a block of the raster can tell by itself, in blocks that
+    grow from pass to pass as the graph shrinks; then, where a block has over
+    ``most`` pairs of clusters, in rounds over the whole graph, in which clusters
+    merge that are each other's best. Both do what one falling order would do, so
+    neither ``span`` nor ``most`` changes the result.
+
+    With one edge a bucket this is the exact pass; with few it may differ where
+    weights of a bucket interleave or tie.
     """
     e = cut(priority_buckets(edges, buckets))
     node = lambda c: F.struct("volume", F.col(c).alias("n"))
     roots = cut(e.select(F.explode(F.array(node("u"), node("v"))).alias("s")).select("s.volume", F.col("s.n").alias("node")).distinct().withColumn("root", F.col("node")))
+    extent = roots.agg(F.max("node")).first()[0] or 0
     # ties go by hash: by number, a chain of equal weights would merge one pair a round
     rank = F.when(~F.col("mutex"), F.struct("weight", F.xxhash64("idx", "u", "v").alias("h"), "u", "v"))
-
-    def contract(pairs: DataFrame) -> DataFrame:
-        """One row for each two clusters: their best pull edge, unless a mutex lies between."""
-        p = pairs.where("a <> b").select("volume", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rank", "mutex")
-        return p.groupBy("volume", "a", "b").agg(F.max("rank").alias("rank"), F.bool_or("mutex").alias("mutex"))
-
-    def renamed(d: DataFrame, names: DataFrame, old: str, new: str, column: str) -> DataFrame:
-        n = names.select("volume", F.col(old).alias(column), F.col(new).alias("_to"))
-        return d.join(n, ["volume", column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
-
     pairs = None
     for k in range(1, buckets + 1):
         new = e.where(F.col("bucket") == k).select("volume", F.col("u").alias("a"), F.col("v").alias("b"), rank.alias("rank"), "mutex")
-        new = renamed(renamed(new, roots, "node", "root", "a"), roots, "node", "root", "b").select("volume", "a", "b", "rank", "mutex")
-        pairs = cut(contract(new if pairs is None else new.unionByName(pairs)))
-        while True:
-            open_ = pairs.where("NOT mutex")
-            ends = open_.select("volume", F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("d")), F.struct(F.col("b").alias("c"), F.col("a").alias("d")))).alias("s"), "rank").select("volume", "s.c", "s.d", "rank")
-            best = ends.groupBy("volume", "c").agg(F.max_by("d", "rank").alias("d"))
-            back = best.select("volume", F.col("c").alias("d"), F.col("d").alias("c"))
-            merge = cut(best.join(back, ["volume", "c", "d"]).where("c > d").select("volume", F.col("c").alias("gone"), F.col("d").alias("into")))
-            if merge.limit(1).count() == 0:
-                break
-            roots = cut(renamed(roots, merge, "gone", "into", "root").select("volume", "node", "root"))
-            pairs = cut(contract(renamed(renamed(pairs, merge, "gone", "into", "a"), merge, "gone", "into", "b")))
+        new = _renamed(_renamed(new, roots, "node", "root", "a"), roots, "node", "root", "b").select("volume", "a", "b", "rank", "mutex")
+        pairs = cut(_contracted(new if pairs is None else new.unionByName(pairs)))
+        width = span
+        while pairs.where("NOT mutex").limit(1).count():
+            merge = cut(_sure_merges(pairs, width, most))
+            if width > extent and merge.limit(1).count() == 0:
+                merge = cut(_mutual_merges(pairs))
+            width = min(4 * width, max(span, 4 * (extent + 1)))
+            roots = cut(_renamed(roots, merge, "gone", "into", "root").select("volume", "node", "root"))
+            pairs = cut(_contracted(_renamed(_renamed(pairs, merge, "gone", "into", "a"), merge, "gone", "into", "b")))
     return roots
 
 
+def _contracted(pairs: DataFrame) -> DataFrame:
+    """One row for each two clusters: their best pull edge, unless a mutex lies between."""
+    p = pairs.where("a <> b").select("volume", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rank", "mutex")
+    return p.groupBy("volume", "a", "b").agg(F.max("rank").alias("rank"), F.bool_or("mutex").alias("mutex"))
+
+
+def _renamed(d: DataFrame, names: DataFrame, old: str, new: str, column: str) -> DataFrame:
+    n = names.select("volume", F.col(old).alias(column), F.col(new).alias("_to"))
+    return d.join(n, ["volume", column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+
+def _sure_merges(pairs: DataFrame, span: int, most: int) -> DataFrame:
+    """(volume, gone, into) from the blocks of ``span`` raster numbers that have
+    ``most`` pairs or fewer."""
+    ends = F.array_distinct(F.array(F.expr(f"a div {span}"), F.expr(f"b div {span}")))
+    dealt = pairs.withColumn("block", F.explode(ends)).select("volume", "block", "a", "b", *(F.coalesce(f"rank.{c}", F.lit(0)).alias(c) for c in ("weight", "h", "u", "v")), "mutex")
+    # a block without a free pair of its own has nothing to merge
+    inner = F.sum(F.expr(f"CAST(NOT mutex AND a div {span} = b div {span} AS INT)"))
+    small = dealt.groupBy("volume", "block").agg(F.count("*").alias("n"), inner.alias("inner")).where((F.col("n") <= most) & (F.col("inner") > 0))
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        return settle_block(e, span).assign(volume=e["volume"].iloc[0])[["volume", "gone", "into"]]
+
+    return dealt.join(small.select("volume", "block"), ["volume", "block"], "left_semi").groupBy("volume", "block").applyInPandas(run, "volume string, gone bigint, into bigint")
+
+
+def _mutual_merges(pairs: DataFrame) -> DataFrame:
+    """(volume, gone, into) of the clusters that are each other's best free pair."""
+    ends = pairs.where("NOT mutex").select("volume", F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("d")), F.struct(F.col("b").alias("c"), F.col("a").alias("d")))).alias("s"), "rank").select("volume", "s.c", "s.d", "rank")
+    best = ends.groupBy("volume", "c").agg(F.max_by("d", "rank").alias("d"))
+    back = best.select("volume", F.col("c").alias("d"), F.col("d").alias("c"))
+    return best.join(back, ["volume", "c", "d"]).where("c > d").select("volume", F.col("c").alias("gone"), F.col("d").alias("into"))
+
+
 def stitch(overlaps: DataFrame, share: float = 0.5) -> DataFrame:
     """(node, root) over instances of different blocks that are the best match of
     each other in their overlap (a, b, n: shared voxels) and share at least
