@@ -257,3 +257,37 @@ def test_halos_that_reach_over_several_bricks(spark):
     clip = lambda v, n: max(0, min(n - 1, v))
     assert got == {(z, y, x, i): int(label[clip(z + a, 4), clip(y + b, 12), clip(x + c, 20)] == label[z, y, x]) for z, y, x in label for i, (a, b, c) in enumerate(offsets)}
     assert N.OFFSETS
+
+
+@pytest.mark.parametrize("connectivity", [1, 2, 3])
+def test_components_join_over_edges_and_corners(spark, connectivity):
+    a = (np.random.default_rng(3).random((4, 5, 6)) < 0.4).astype(np.int64) * 5
+    want, n = np.zeros(a.shape, int), 0
+    for start in np.argwhere(a).tolist():
+        if want[tuple(start)]:
+            continue
+        n, todo = n + 1, [tuple(start)]
+        while todo:
+            at = todo.pop()
+            if want[at]:
+                continue
+            want[at] = n
+            near = np.argwhere(a) - at
+            todo += [tuple(np.array(at) + d) for d in near if np.abs(d).max() == 1 and np.abs(d).sum() <= connectivity]
+    got = K.connected_components(grid(spark, a), connectivity=connectivity)
+    assert (dense(got, "component", a.shape) == want).all()
+
+
+def test_blocks_are_joined_by_their_best_matches(spark):
+    o = spark.createDataFrame([(1, 11, 8), (1, 12, 1), (2, 12, 3), (2, 13, 9), (3, 14, 1), (3, 13, 5)], "a bigint, b bigint, n bigint")
+    got = {r["node"]: r["root"] for r in W.stitch(o).collect()}
+    assert got == {1: 1, 11: 1, 2: 2, 13: 2}
+
+
+def test_a_batch_that_is_run_again_adds_nothing(spark, tmp_path):
+    from voxloom.streaming import metrics as S
+
+    put = S.batch_sink(str(tmp_path / "t"), "append")
+    for number, ids in ((0, [1, 2]), (1, [3]), (1, [3])):
+        put(spark.createDataFrame([(i,) for i in ids], "id int"), number)
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3]

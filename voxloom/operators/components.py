@@ -8,6 +8,7 @@ of one a voxel in the iterations.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -20,18 +21,22 @@ from voxloom.operators.voxels import AXES
 KEYS = ["volume", *AXES]
 
 
-def connected_components(voxels: DataFrame, label: str = "label") -> DataFrame:
+def connected_components(voxels: DataFrame, label: str = "label", connectivity: int = 1) -> DataFrame:
     """``voxels`` with component (bigint): 0 on background, else the 1-based
-    number, by first voxel in raster order, of the set of face neighbours with
-    the same label."""
+    number, by first voxel in raster order, of the set of neighbours with the same
+    label. Neighbours differ in ``connectivity`` coordinates at most (1: faces,
+    2: edges too, 3: corners too), by one each."""
     line = Window.partitionBy("volume", "z", "y").orderBy("x")
     starts = (F.lag(label).over(line).isNull() | (F.lag(label).over(line) != F.col(label)) | (F.lag("x").over(line) != F.col("x") - 1)).cast("int")
     v = voxels.where(F.col(label) > 0)
     v = v.withColumn("_s", starts).withColumn("_x0", F.max(F.when(F.col("_s") == 1, F.col("x"))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     v = cut(v.withColumn("_run", F.xxhash64("volume", "z", "y", "_x0")).drop("_s"))
     touching = None
-    for a in ("z", "y"):
-        other = v.select("volume", *((F.col(b) + 1).alias(b) if b == a else F.col(b) for b in AXES), F.col(label), F.col("_run").alias("b"))
+    # one of each two opposite steps; those along x stay inside a run
+    for step in product((-1, 0, 1), repeat=3):
+        if step <= (0, 0, 1) or sum(map(abs, step)) > connectivity:
+            continue
+        other = v.select("volume", *((F.col(a) + d).cast("int").alias(a) for a, d in zip(AXES, step, strict=True)), F.col(label), F.col("_run").alias("b"))
         pairs = v.select(*KEYS, label, F.col("_run").alias("a")).join(other, [*KEYS, label]).select("a", "b").distinct()
         touching = pairs if touching is None else touching.union(pairs)
     found = components(touching)

@@ -31,9 +31,14 @@ def new_items(rows: DataFrame, key: str, ts: str = "ts", late: str = "1 day") ->
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
     """Run a stream over what is there now and leave its table at ``path``: each
-    micro-batch in complete mode replaces it, in append mode adds to it."""
+    micro-batch in complete mode replaces it, in append mode adds to it, in a folder
+    of its number, so that a batch that is run again replaces what it has left.
+    Such a table has the number as a column, batch, besides the stream's."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch_sink(path, mode)).start().awaitTermination()
 
-    def put(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+def batch_sink(path: str, mode: str):
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    return put
