@@ -291,3 +291,21 @@ def test_a_batch_that_is_run_again_adds_nothing(spark, tmp_path):
     for number, ids in ((0, [1, 2]), (1, [3]), (1, [3])):
         put(spark.createDataFrame([(i,) for i in ids], "id int"), number)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3]
+
+
+def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
+    import os
+
+    from voxloom.streaming import metrics as S
+
+    folder = tmp_path / "rows"
+    folder.mkdir()
+    # Spark tells late rows by the watermark of the batch before: one batch lies between
+    for k, at in enumerate(["00:10", "05:00", "05:05", "00:20"]):
+        rows = pd.DataFrame({"ts": [pd.Timestamp(f"2024-01-01 {at}", tz="UTC")], "stage": ["s"], "value": [float(k)]})
+        rows.to_parquet(folder / f"{k}.parquet", coerce_timestamps="us")
+        os.utime(folder / f"{k}.parquet", (1_000_000 + 60 * k,) * 2)
+    stream = spark.readStream.schema("ts timestamp, stage string, value double").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    S.to_table(S.metric_windows(stream, "1 hour", "10 minutes"), str(tmp_path / "t"), str(tmp_path / "c"), "append")
+    got = [(str(r["start"])[11:], r["mean"], r["n"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()]
+    assert got == [("00:00:00", 0.0, 1)]
