@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, epsilon_grid, langid, licenses, mixing, secrets_scan, simhash, substring, toxicity, winnow
+from voxloom.llm import bpe, conversations, decontaminate, epsilon_grid, langid, licenses, mixing, secrets_scan, simhash, spelling, substring, toxicity, winnow
 from voxloom.llm.common import table
 
 
@@ -76,9 +76,43 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_toxicity, op3_substring, op4_winnow, op5_language, op6_licenses, op7_mixing, op8_epsilon_grid, op9_secrets, op10_byte_bpe)
+    for f in (
+        op1_simhash,
+        op2_toxicity,
+        op3_substring,
+        op4_winnow,
+        op5_language,
+        op6_licenses,
+        op7_mixing,
+        op8_epsilon_grid,
+        op9_secrets,
+        op10_byte_bpe,
+        op11_decontaminate,
+        op12_spelling,
+        op13_conversations,
+    )
 }
 SQL: dict[str, str] = {
     "op3_substring": """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -96,6 +130,16 @@ reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, l.y
 c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
 k AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)""",
+    "op11_decontaminate": """WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+v AS (SELECT item, least(10, len(w)) AS n, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0),
+q AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM v),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+h AS (SELECT r, i, p.n, item FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM p, (SELECT DISTINCT n FROM q) WHERE i + n - 1 <= len(w)) p JOIN q ON p.n = q.n AND p.k = q.k),
+c AS (SELECT r, count(DISTINCT i + o) AS n_hit FROM (SELECT DISTINCT r, i, n FROM h), range(10) t(o) WHERE o < n GROUP BY r),
+s AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r)""",
     "op7_mixing": f"""WITH {mixing.cells_sql("documents")}
 SELECT doc_id, d.source, d.lang, d.topic, round(p, 6) AS p, {mixing.DRAW_SQL} < p AS kept FROM {mixing.JOIN_SQL}""",
 }
