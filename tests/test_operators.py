@@ -125,6 +125,54 @@ def test_parallel_watershed_does_not_depend_on_blocks(spark, span, most):
     assert got == want and 2 < len(set(want.values())) < 24
 
 
+def lattice_graph(rng, shape, levels):
+    """Pull and push edges of a small volume; with few levels weights tie."""
+    rows, n = [], int(np.prod(shape))
+    at = np.arange(n).reshape(shape)
+    steps = [((1, 0, 0), False), ((0, 1, 0), False), ((0, 0, 1), False), ((0, 2, 0), True), ((0, 0, 3), True), ((1, 1, 0), True), ((2, 0, 0), True)]
+    for k, (o, mutex) in enumerate(steps):
+        here = at[tuple(slice(0, s - d) for s, d in zip(shape, o, strict=True))].ravel()
+        there = at[tuple(slice(d, s) for s, d in zip(shape, o, strict=True))].ravel()
+        for u, v in zip(here.tolist(), there.tolist(), strict=True):
+            if not mutex or rng.random() < 0.4:
+                rows.append(("v", u, v, k, float(rng.integers(levels)) / levels * (0.8 if mutex else 1.0), mutex))
+    return rows
+
+
+@pytest.mark.parametrize(("size", "most", "levels"), [((2, 3, 4), 10**6, 1000), ((1, 2, 2), 10**6, 8), ((4, 6, 9), 10**6, 8), ((2, 3, 9), 40, 1000), ((1, 1, 1), 0, 50)])
+def test_exact_watershed_in_blocks_equals_one_pass(spark, size, most, levels):
+    shape = (4, 6, 9) if most else (2, 3, 4)
+    rows = lattice_graph(np.random.default_rng(levels + size[1]), shape, levels)
+    names = ["volume", "u", "v", "idx", "weight", "mutex"]
+    one = W.solve_block(pd.DataFrame(rows, columns=names))
+    want = dict(zip(one["node"].tolist(), one["root"].tolist(), strict=True))
+    other = [("w", *r[1:4], 1 - r[4], r[5]) for r in rows]  # a second volume, other weights
+    two = W.solve_block(pd.DataFrame(other, columns=names))
+    e = spark.createDataFrame(rows + other, "volume string, u bigint, v bigint, idx int, weight double, mutex boolean")
+    ext = spark.createDataFrame([(v, *shape) for v in "vw"], "volume string, dz int, dy int, dx int")
+    got = W.exact(e, ext, size, most).collect()
+    assert {r["node"]: r["root"] for r in got if r["volume"] == "v"} == want
+    assert {r["node"]: r["root"] for r in got if r["volume"] == "w"} == dict(zip(two["node"].tolist(), two["root"].tolist(), strict=True))
+    assert 1 < len(set(want.values())) < len(want)
+    if most > 40:
+        named = W.stitch_blocks(e, ext, size, most).where("volume = 'v'").collect()
+        assert {r["node"]: r["instance"] for r in named} == want
+        assert len({r["region"] for r in named}) >= len(set(want.values()))
+
+
+def test_registered_watersheds_equal_one_pass_over_the_volume(spark):
+    from voxloom.plans import graph_queries as G
+
+    sf = "/root/testdata/sf0.001"
+    one = W.solve_block(G.rounded_edges(spark, sf).toPandas())
+    want = dict(zip(one["node"].tolist(), one["root"].tolist(), strict=True))
+    assert {r["node"]: r["root"] for r in G.QUERIES["mws_exact"](spark, sf).collect()} == want
+    size = pd.Series(want).value_counts()
+    stitched = G.QUERIES["mws_block_stitch"](spark, sf).collect()
+    assert {r["first_voxel"]: r["n_voxels"] for r in stitched} == size.to_dict()
+    assert any(r["n_regions"] > 1 for r in stitched)
+
+
 def cells(spark, true, pred):
     return M.contingency(spark.createDataFrame([("v", t, p) for t, p in zip(true, pred, strict=True)], "volume string, true_id int, pred_id int"))
 
@@ -200,6 +248,11 @@ def test_rounds_take_the_edges_of_all_voxels(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     monkeypatch.setattr(W, "boruvka", lambda edges, buckets: edges)
     got, want = G.QUERIES["mws_boruvka"](spark, sf), G.rounded_edges(spark, sf)
+    voxelwise = N.affinity_target(G.X.voxels(spark, sf))
+    d = F.expr("((z * 11 + y * 7 + x * 3 + idx * 5) % 10) / 100.0D")
+    affinities = voxelwise.select(*KEYS, "idx", F.when(F.col("target") == 1, 0.9 - d).otherwise(0.1 + d).alias("aff"))
+    rows = W.build_edges(affinities, strides=G.STRIDES).withColumn("weight", F.round("weight", 6))
+    assert rows.exceptAll(want.select(rows.columns)).count() == 0 and rows.count() == want.count()
     keys = ["volume", "u", "v", "idx", "weight", "mutex"]
     assert got.select(keys).exceptAll(want.select(keys)).count() == want.select(keys).exceptAll(got.select(keys)).count() == 0
 
@@ -252,7 +305,7 @@ def test_halos_that_reach_over_several_bricks(spark):
     voxels = spark.createDataFrame(rows, "volume string, z int, y int, x int, label bigint")
     small = B.to_bricks(voxels.withColumn("intensity", F.lit(0.0)).withColumn("pred", F.lit(0).cast("bigint")), size=(2, 4, 4))
     offsets = [(-1, 0, 0), (0, -9, 0), (3, 0, 11), (0, 5, -17)]
-    got = {tuple(r[c] for c in ("z", "y", "x", "idx")): r["target"] for r in B.affinity_bricks(small, offsets).collect()}
+    got = {tuple(r[c] for c in ("z", "y", "x", "idx")): r["target"] for r in B.affinity_bricks(small, offsets, size=(2, 4, 4)).collect()}
     label = {(z, y, x): k for _, z, y, x, k in rows}
     clip = lambda v, n: max(0, min(n - 1, v))
     assert got == {(z, y, x, i): int(label[clip(z + a, 4), clip(y + b, 12), clip(x + c, 20)] == label[z, y, x]) for z, y, x in label for i, (a, b, c) in enumerate(offsets)}

@@ -243,6 +243,167 @@ def _mutual_merges(pairs: DataFrame) -> DataFrame:
     return best.join(back, ["volume", "c", "d"]).where("c > d").select("volume", F.col("c").alias("gone"), F.col("d").alias("into"))
 
 
+BLOCK = (8, 64, 64)  # voxels of a block at first; twice as many along each axis in each further pass
+
+
+def settle_falling(e: pd.DataFrame) -> pd.DataFrame:
+    """(gone, into, done): what one block can tell of the falling order over all
+    edges, whatever happens elsewhere, from all pairs of clusters (a, b) with an end
+    in it: their first pull and push edge, has_pull, pull_*, has_push, push_*.
+
+    A cluster of another block is open, as its further members are not known here.
+    A pull edge that no known mutex blocks, with an open end, opens both: whether
+    they merge is told elsewhere. Closed clusters are what they are in the whole
+    graph at that time, so merges of two, and mutexes of one with any other, are
+    sure. A cluster that is closed in the end is done; its pairs matter no more.
+    """
+    nodes, a, b = _numbered(e["a"], e["b"])
+    c = Clusters(len(nodes))
+    outside = np.zeros(len(nodes), bool)
+    outside[a[~e["in_a"].to_numpy()]] = True
+    outside[b[~e["in_b"].to_numpy()]] = True
+    is_open = outside.tolist()
+    events = []
+    for kind in ("pull", "push"):
+        at = e[f"has_{kind}"].to_numpy()
+        ranks = [e[f"{kind}_{k}"].to_numpy()[at] for k in RANK]
+        events.append((a[at], b[at], np.full(int(at.sum()), kind == "push"), *ranks))
+    i, j, mutex, *ranks = (np.concatenate(x) for x in zip(*events, strict=True))
+    order = np.lexsort([-r for r in ranks[::-1]])
+    fixed = np.isinf(ranks[0])
+    for x, y, push, sure in zip(i[order].tolist(), j[order].tolist(), mutex[order].tolist(), fixed[order].tolist(), strict=True):
+        x, y = c.root(x), c.root(y)
+        if x == y:
+            continue
+        if push:
+            if sure or not (is_open[x] and is_open[y]):
+                c.part(x, y)
+        elif y not in c.apart[x]:
+            if is_open[x] or is_open[y]:
+                is_open[x] = is_open[y] = True
+            else:
+                c.merge(x, y)
+    into = nodes[c.least()]
+    done = ~np.array([is_open[c.root(k)] for k in range(len(nodes))], bool)
+    told = ~outside & ((into != nodes) | done)
+    return pd.DataFrame({"gone": nodes[told], "into": into[told], "done": done[told]})
+
+
+RANK = ("weight", "idx", "u", "v")  # of an edge: its weight, then offset and raster, negative, so that the first is the largest
+
+
+def _first_edges(pairs: DataFrame) -> DataFrame:
+    """One row for each two clusters: their first pull and push edge. A pull edge
+    behind the push edge of the same two can do nothing, nor can the pairs of a
+    cluster without pull edges."""
+    p = pairs.where("a <> b").select("volume", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "pull", "push")
+    p = p.groupBy("volume", "a", "b").agg(F.max("pull").alias("pull"), F.max("push").alias("push"))
+    p = cut(p.withColumn("pull", F.when(F.col("push").isNull() | (F.col("pull") > F.col("push")), F.col("pull"))))
+    ends = lambda c: p.where("pull IS NOT NULL").select("volume", F.explode(F.array("a", "b")).alias(c)).distinct()
+    return p.join(ends("a"), ["volume", "a"], "left_semi").join(ends("b"), ["volume", "b"], "left_semi")
+
+
+def _told_by_blocks(pairs: DataFrame, extents: DataFrame, size, most: int) -> DataFrame:
+    """(volume, gone, into, done) from the blocks of ``size`` voxels that have
+    ``most`` pairs or fewer."""
+    p = pairs.join(_broadcast_if_small(extents.select("volume", "dy", "dx")), "volume")
+
+    def block(n: str) -> str:
+        z, y, x = f"{n} div (CAST(dy AS BIGINT) * dx) div {size[0]}", f"({n} div dx) % dy div {size[1]}", f"{n} % dx div {size[2]}"
+        return f"({z}) * 1000003 * 1000003 + ({y}) * 1000003 + ({x})"
+
+    p = p.withColumn("_a", F.expr(block("a"))).withColumn("_b", F.expr(block("b")))
+    p = p.withColumn("block", F.explode(F.array_distinct(F.array("_a", "_b"))))
+    flat = [F.coalesce(f"{kind}.{k}", F.lit(0)).alias(f"{kind}_{k}") for kind in ("pull", "push") for k in RANK]
+    dealt = p.select(
+        "volume", "block", "a", "b", (F.col("_a") == F.col("block")).alias("in_a"), (F.col("_b") == F.col("block")).alias("in_b"), *(F.col(k).isNotNull().alias(f"has_{k}") for k in ("pull", "push")), *flat
+    )
+    inner = F.sum((F.col("in_a") & F.col("in_b") & F.col("has_pull")).cast("int"))
+    small = dealt.groupBy("volume", "block").agg(F.count("*").alias("n"), inner.alias("inner")).where((F.col("n") <= most) & (F.col("inner") > 0))
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        return settle_falling(e).assign(volume=e["volume"].iloc[0])[["volume", "gone", "into", "done"]]
+
+    fit = dealt.join(small.select("volume", "block"), ["volume", "block"], "left_semi")
+    return fit.groupBy("volume", "block").applyInPandas(run, "volume string, gone bigint, into bigint, done boolean")
+
+
+def _foremost(pairs: DataFrame) -> DataFrame:
+    """(volume, a, b, merge) of the pairs whose next edge comes before all others of
+    both clusters: no other edge can change what it does. A pull edge merges, a
+    push edge becomes a mutex for good."""
+    event = F.coalesce("pull", F.when(F.col("push.weight") < float("inf"), F.col("push")))
+    p = pairs.withColumn("event", event).where("event IS NOT NULL")
+    best = p.select("volume", F.explode(F.array("a", "b")).alias("c"), F.struct("event", "a", "b", F.col("pull").isNotNull().alias("merge")).alias("s")).groupBy("volume", "c").agg(F.max("s").alias("s"))
+    return best.groupBy("volume", "s.a", "s.b", "s.merge").agg(F.count("*").alias("n")).where("n = 2").drop("n")
+
+
+SMALL_ROWS = 500_000  # of a few numbers each, that a task may hold
+
+
+def _broadcast_if_small(d: DataFrame) -> DataFrame:
+    """A cut table, marked for broadcast if it has SMALL_ROWS rows or fewer."""
+    return F.broadcast(d) if d.count() <= SMALL_ROWS else d
+
+
+def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int):
+    """The roots (volume, node, root) after each pass over all clusters."""
+    rank = F.struct(F.col("weight").cast("double").alias("weight"), *((-F.col(c).cast("bigint")).alias(c) for c in RANK[1:]))
+    e = cut(edges.select("volume", F.col("u").alias("a"), F.col("v").alias("b"), F.when(~F.col("mutex"), rank).alias("pull"), F.when(F.col("mutex"), rank).alias("push")))
+    roots = cut(e.select("volume", F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
+    extents = cut(extents.select("volume", *(f"d{a}" for a in AXES)))
+    widest = extents.agg(*(F.max(f"d{a}") for a in AXES)).first()
+    pairs, size = cut(_first_edges(e)), list(size)
+    while pairs.where("pull IS NOT NULL").limit(1).count():
+        told = cut(_told_by_blocks(pairs, extents, size, most))
+        whole = all(s >= (w or 1) for s, w in zip(size, widest, strict=True))
+        if whole and told.limit(1).count() == 0:
+            first = cut(_foremost(pairs))
+            told = cut(first.where("merge").select("volume", F.col("b").alias("gone"), F.col("a").alias("into"), F.lit(False).alias("done")))
+            mark = first.where("NOT merge").select("volume", "a", "b", F.lit(True).alias("_fixed"))
+            sure = F.struct(F.lit(float("inf")).alias("weight"), *(F.col(f"push.{c}").alias(c) for c in RANK[1:]))
+            pairs = pairs.join(mark, ["volume", "a", "b"], "left").withColumn("push", F.when(F.col("_fixed"), sure).otherwise(F.col("push"))).drop("_fixed")
+        merge = _broadcast_if_small(told.where("gone <> into"))
+        roots = cut(_renamed(roots, merge, "gone", "into", "root").select("volume", "node", "root"))
+        done = told.where("done").select("volume", F.col("into").alias("_d")).distinct()
+        named = _renamed(_renamed(pairs, merge, "gone", "into", "a"), merge, "gone", "into", "b")
+        for c in ("a", "b"):
+            named = named.join(done.withColumnRenamed("_d", c), ["volume", c], "left_anti")
+        pairs = cut(_first_edges(named))
+        size = [min(2 * s, max(s, w or 1)) for s, w in zip(size, widest, strict=True)]
+        yield roots
+    yield roots
+
+
+def exact(edges: DataFrame, extents: DataFrame, size=BLOCK, most: int = BLOCK_PAIRS) -> DataFrame:
+    """(volume, node, root) as the one falling order over all edges of a volume gives
+    it (``solve_block``), ties by offset and raster, without a volume in one task.
+
+    Blocks of the raster, in parallel, settle what no other block can change; open
+    clusters are carried on as nodes of a contracted graph, with the first pull and
+    push edge of each two of them, to blocks twice as wide, until none is open.
+    Where a block has over ``most`` pairs, pairs that come first at both their
+    clusters are settled over the whole graph instead, round by round. Neither
+    ``size`` nor ``most`` changes the result. ``extents`` has (volume, dz, dy, dx).
+    """
+    roots = None
+    for roots in _in_passes(edges, extents, size, most):
+        pass
+    return roots
+
+
+def stitch_blocks(edges: DataFrame, extents: DataFrame, size=BLOCK, most: int = BLOCK_PAIRS) -> DataFrame:
+    """(volume, node, region, instance): regions that the blocks of ``size`` find each
+    by itself, and the instances that they make over the cuts, with the edges
+    that cross them and the mutexes that regions bring along: the partition of the
+    volume without cuts."""
+    passes = _in_passes(edges, extents, size, most)
+    regions = last = next(passes)
+    for roots in passes:
+        last = roots
+    return regions.withColumnRenamed("root", "region").join(last.withColumnRenamed("root", "instance"), ["volume", "node"])
+
+
 def stitch(overlaps: DataFrame, share: float = 0.5) -> DataFrame:
     """(node, root) over instances of different blocks that are the best match of
     each other in their overlap (a, b, n: shared voxels) and share at least

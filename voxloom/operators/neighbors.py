@@ -90,8 +90,15 @@ def affinity_target(voxels: DataFrame, offsets=OFFSETS, label: str = "label", ba
 def affinity_profile(targets: DataFrame, clip: float = 10.0, eps: float = 1e-7) -> DataFrame:
     """Per volume and offset the share of positives among valid pairs and the
     balancing weights of both classes."""
+    counts = targets.groupBy("volume", "idx").agg(F.sum(F.col("target") * F.col("valid")).alias("n_positive"), F.sum("valid").alias("n_valid"))
+    return profile_of(counts, clip, eps)
+
+
+def profile_of(counts: DataFrame, clip: float = 10.0, eps: float = 1e-7) -> DataFrame:
+    """(volume, idx, positive, n_valid, w_pos, w_neg) from the numbers of valid
+    pairs and of positives among them."""
     f = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("positive")))
-    g = targets.groupBy("volume", "idx").agg((F.sum(F.col("target") * F.col("valid")) / F.greatest(F.sum("valid"), F.lit(1))).alias("positive"), F.sum("valid").alias("n_valid"))
+    g = counts.select("volume", "idx", (F.col("n_positive") / F.greatest("n_valid", F.lit(1))).alias("positive"), "n_valid")
     return g.withColumn("w_pos", F.least(0.5 / f, F.lit(clip))).withColumn("w_neg", F.least(0.5 / (1 - f), F.lit(clip)))
 
 

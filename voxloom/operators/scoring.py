@@ -49,6 +49,22 @@ def composite(rows: DataFrame, by: list[str], logit: str, target: str, weight: s
     return g.withColumn("score", lambdas[0] * F.col("bce") + lambdas[1] * F.col("focal") + lambdas[2] * F.col("dice"))
 
 
+def balanced_composite(sums: DataFrame, by: list[str], channel: Column, lambdas=(1.0, 1.0, 1.0), clip: float = 10.0, eps: float = 1e-7) -> DataFrame:
+    """``composite`` of class-balanced rows from their sums by group ``by``, offset
+    and class (by, idx, target, n, bce, focal, p, pt): a row's weight depends on
+    these alone, so one pass over the rows gives class counts and terms, and
+    weights are put on the sums. ``channel`` is the weight of an offset."""
+    total = sums.groupBy(*by, "idx").agg(F.sum("n").alias("_n"), F.sum(F.when(F.col("target") == 1, F.col("n")).otherwise(0)).alias("_p"))
+    f = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("_p") / F.greatest("_n", F.lit(1))))
+    w = channel * F.least(0.5 / F.when(F.col("target") == 1, f).otherwise(1 - f), F.lit(clip))
+    s = lambda c: F.sum(F.col(c) * w)
+    positives = F.sum(F.when(F.col("target") == 1, F.col("n") * w).otherwise(0.0))
+    dice = 1 - (2 * s("pt") + 1e-5) / (s("p") + positives + 1e-5)
+    least = F.greatest(s("n"), F.lit(1.0))
+    g = sums.join(total, [*by, "idx"]).groupBy(*by).agg((s("bce") / least).alias("bce"), (s("focal") / least).alias("focal"), dice.alias("dice"))
+    return g.withColumn("score", lambdas[0] * F.col("bce") + lambdas[1] * F.col("focal") + lambdas[2] * F.col("dice"))
+
+
 def recon_error(rows: DataFrame, by: list[str], a: str, b: str, beta: float = 1.0) -> DataFrame:
     """(by, l1, mse, smooth_l1)."""
     d = F.col(a) - F.col(b)

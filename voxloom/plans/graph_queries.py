@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from voxloom.operators import affinities as A
 from voxloom.operators import components as K
 from voxloom.operators import mutex as W
 from voxloom.operators import neighbors as N
 from voxloom.operators import voxels as V
 from voxloom.operators.graph import cut, shared_folder
+from voxloom.plans.grid_queries import disturbed
 from voxloom.plans.voxel_queries import KEYS, NB, NEAR, VX
 from voxloom.sources import bricks as B
 from voxloom.sources import fixtures as X
@@ -81,14 +83,8 @@ EDGES = (
 STRIDES = (1, 4, 4)
 
 
-def affinities(spark, sf):
-    t = N.affinity_target(X.voxels(spark, sf))
-    d = F.expr("((z * 11 + y * 7 + x * 3 + idx * 5) % 10) / 100.0D")
-    return t.select(*KEYS, "idx", F.when(F.col("target") == 1, 0.9 - d).otherwise(0.1 + d).alias("aff"))
-
-
 def edges(spark, sf):
-    return W.build_edges(affinities(spark, sf), strides=STRIDES)
+    return A.edges(A.bricks_of(X.voxels(spark, sf)), disturbed, strides=STRIDES)
 
 
 @query("mws_build_edges", f"{VX}{EDGES} SELECT volume, idx, mutex, u // 64 AS line, count(*) AS n, sum(v * (1 + u % 64))::BIGINT AS ends, round(sum(round(weight, 6) * (1 + u % 64)), 4) AS weighed FROM ed GROUP BY ALL")
@@ -123,9 +119,8 @@ def _(spark, sf):
 
 @query("mws_exact")
 def _(spark, sf):
-    """The exact pass per block of one volume's sections."""
-    e = rounded_edges(spark, sf).withColumn("block", F.lit(0))
-    return W.watershed(e).select("volume", "node", "root")
+    """The falling order over all edges of a volume, settled in blocks that grow."""
+    return W.exact(rounded_edges(spark, sf), V.extents(X.voxels(spark, sf)), size=(4, 16, 32))
 
 
 @query("mws_boruvka")
@@ -136,18 +131,9 @@ def _(spark, sf):
 
 @query("mws_block_stitch")
 def _(spark, sf):
-    """Sections 0..3 and 3..6 are solved apart and joined where they share section 3."""
-    e = rounded_edges(spark, sf)
-    plane = 32 * 64
-    lower = e.where(f"u < {4 * plane} AND v < {4 * plane}").withColumn("block", F.lit(0))
-    upper = e.where(f"u >= {3 * plane} AND v >= {3 * plane}").withColumn("block", F.lit(1))
-    parts = cut(W.watershed(lower.unionByName(upper)))
-    ident = F.xxhash64("volume", "block", "root")
-    a, b = (parts.where(F.col("block") == k).select("volume", "node", ident.alias(c)) for k, c in ((0, "a"), (1, "b")))
-    overlap = a.join(b, ["volume", "node"]).groupBy("a", "b").agg(F.count("*").alias("n"))
-    joined = W.stitch(overlap)
-    named = parts.withColumn("own", ident).join(joined.withColumnRenamed("root", "instance"), F.col("own") == joined["node"], "left")
-    return named.groupBy("volume", F.coalesce("instance", "own").alias("instance")).agg(F.count_distinct(parts["node"]).alias("n_voxels"), F.min(parts["node"]).alias("first_voxel")).select("volume", "first_voxel", "n_voxels")
+    """Sections 0..3 and 4..6 are solved apart and joined over the cut, edge by edge."""
+    named = W.stitch_blocks(rounded_edges(spark, sf), V.extents(X.voxels(spark, sf)), size=(4, 32, 64))
+    return named.groupBy("volume", "instance").agg(F.count("*").alias("n_voxels"), F.count_distinct("region").alias("n_regions"), F.min("node").alias("first_voxel")).select("volume", "first_voxel", "n_voxels", "n_regions")
 
 
 @query("mws_gate_and_post", f"{VX}, g AS (SELECT volume, CASE WHEN intensity > 0 THEN pred ELSE 0 END AS p FROM voxels), s AS (SELECT volume, p AS q FROM g WHERE p > 0 GROUP BY ALL HAVING count(*) >= 120) SELECT g.volume, CASE WHEN q IS NULL THEN 0 ELSE p END AS pred, count(*) AS n FROM g LEFT JOIN s ON s.volume = g.volume AND s.q = g.p GROUP BY ALL")
@@ -170,7 +156,8 @@ def _(spark, sf):
 @query("jn_halo_join", f"{VX}{NB} SELECT v.volume, v.z, v.y, v.idx, sum((n.label = v.label)::INT)::BIGINT AS n_same, sum((n.label = v.label)::INT * (v.x + 1) * (v.x + 1))::BIGINT AS placed FROM {NEAR} GROUP BY ALL")
 def _(spark, sf):
     """All offsets by bricks and their halos; targets summed along x, and by place."""
-    t = B.affinity_bricks(B.to_bricks(X.voxels(spark, sf)), N.OFFSETS)
+    size = (4, 16, 16)
+    t = B.affinity_bricks(B.to_bricks(X.voxels(spark, sf), size, ("label",)), N.OFFSETS, size=size)
     return t.groupBy("volume", "z", "y", "idx").agg(F.sum("target").cast("bigint").alias("n_same"), F.sum(F.expr("CAST(target AS BIGINT) * (x + 1) * (x + 1)")).alias("placed"))
 
 

@@ -3,9 +3,11 @@ over the voxel table, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from voxloom.operators import affinities as A
 from voxloom.operators import neighbors as N
 from voxloom.operators import resample as R
 from voxloom.operators import sampling as S
@@ -338,12 +340,16 @@ def _(spark, sf):
     return rounded(X.binary_pair(spark, sf).groupBy("volume").agg(C.soft_dice(p, t, one).alias("dice"), C.soft_dice(p, t, one, two_sided=True).alias("dice_two_sided")), "dice", "dice_two_sided")
 
 
-def affinity_rows(spark, sf):
-    """Affinity targets with a stored prediction: 0.9 on equal labels, else 0.1, and a regular disturbance."""
-    pairs = N.affinity_target(X.voxels(spark, sf))
-    noise = F.expr("((z * 11 + y * 7 + x * 3 + idx * 5) % 10) / 100.0D")
-    p = F.when(F.col("target") == 1, 0.9 - noise).otherwise(0.1 + noise)
-    return pairs.withColumn("logit", F.log(p / (1 - p))).withColumn("channel", F.when(F.col("idx") < N.N_PULL, 1.0).otherwise(3.0))
+def disturbed(h, k, same):
+    """A stored prediction's stand-in: 0.9 on equal labels, else 0.1, and a regular disturbance."""
+    z, y, x = h.axes()
+    d = ((z * 11 + y * 7 + x * 3 + k * 5) % 10) / 100.0
+    return np.where(same, 0.9 - d, 0.1 + d)
+
+
+def disturbed_logit(h, k, same):
+    p = disturbed(h, k, same)
+    return np.log(p / (1 - p))
 
 
 @query(
@@ -354,9 +360,8 @@ def affinity_rows(spark, sf):
  SELECT volume, round(sum({BCE} * w) / sum(w), 5) AS bce, round(sum({FOCAL} * w) / sum(w), 5) AS focal, round({dice_sql(PS, 'truth', 'w')}, 5) AS dice FROM w GROUP BY ALL""",
 )
 def _(spark, sf):
-    rows = C.balanced(affinity_rows(spark, sf), ["volume", "idx"], "target", "valid")
-    rows = rows.withColumn("w", F.col("valid") * F.col("channel") * F.col("class_weight"))
-    out = C.composite(rows, ["volume"], "logit", "target", "w")
+    sums = A.score_sums(A.bricks_of(X.voxels(spark, sf)), disturbed_logit)
+    out = C.balanced_composite(sums, ["volume"], F.when(F.col("idx") < N.N_PULL, 1.0).otherwise(3.0))
     return out.select("volume", *(F.round(c, 5).alias(c) for c in ("bce", "focal", "dice")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxloom.operators import affinities as A
 from voxloom.operators import neighbors as N
 from voxloom.operators import voxels as V
 from voxloom.plans.metric_queries import rounded
@@ -353,8 +354,7 @@ NEAR = """(SELECT v.*, o.idx, greatest(0, least(v.z + o.oz, 6)) AS tz, greatest(
 
 @query("jn_neighbor_join", f"{VX}{NB} SELECT v.volume, v.idx, sum(n.label)::BIGINT AS sum_label, sum((n.label = v.label)::INT)::BIGINT AS n_same FROM {NEAR} GROUP BY ALL")
 def _(spark, sf):
-    s = N.shifted(X.voxels(spark, sf), ["label"])
-    return s.groupBy("volume", "idx").agg(F.sum("n_label").alias("sum_label"), F.sum((F.col("n_label") == F.col("label")).cast("bigint")).alias("n_same"))
+    return A.neighbor_sums(A.bricks_of(X.voxels(spark, sf)))
 
 
 @query(
@@ -454,18 +454,18 @@ PAIRS = f", pr AS (SELECT v.volume, v.z, v.y, v.x, v.idx, (n.label = v.label)::I
 @query("aff_target", f"{VX}{NB}{PAIRS} SELECT volume, z, y, idx, sum(target)::BIGINT AS n_same, sum(target * (x + 1) * (x + 1))::BIGINT AS placed FROM pr GROUP BY ALL")
 def _(spark, sf):
     """Every voxel's targets, summed along x, and by place so that a shift shows."""
-    t = N.affinity_target(X.voxels(spark, sf))
-    return t.groupBy("volume", "z", "y", "idx").agg(F.sum("target").cast("bigint").alias("n_same"), F.sum(F.expr("CAST(target AS BIGINT) * (x + 1) * (x + 1)")).alias("placed"))
+    lines = A.target_lines(A.bricks_of(X.voxels(spark, sf)))
+    return A.sums_along_x(lines).withColumnRenamed("n", "n_same")
 
 
 @query("aff_valid", f"{VX}{NB}{PAIRS} SELECT volume, z, y, x, sum(valid)::BIGINT AS n_valid FROM pr GROUP BY ALL")
 def _(spark, sf):
-    return N.affinity_target(X.voxels(spark, sf)).groupBy(*KEYS).agg(F.sum("valid").alias("n_valid"))
+    return A.valid_counts(A.bricks_of(X.voxels(spark, sf)))
 
 
 @query("aff_profile", f"{VX}{NB}{PAIRS} SELECT volume, idx, round(p, 6) AS positive, n_valid::BIGINT AS n_valid, round(least(0.5 / greatest(1e-7, least(1 - 1e-7, p)), 10), 6) AS w_pos, round(least(0.5 / (1 - greatest(1e-7, least(1 - 1e-7, p))), 10), 6) AS w_neg FROM (SELECT volume, idx, sum(target * valid) / greatest(sum(valid), 1) AS p, sum(valid) AS n_valid FROM pr GROUP BY ALL)")
 def _(spark, sf):
-    return rounded(N.affinity_profile(N.affinity_target(X.voxels(spark, sf))), "positive", "w_pos", "w_neg")
+    return rounded(A.profile(A.bricks_of(X.voxels(spark, sf))), "positive", "w_pos", "w_neg")
 
 
 def boundary_sql(axes, mode="TRUE"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import io
 import re
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -52,53 +53,103 @@ def read_region(spark: SparkSession, path: str, volume: str, start, size, brick=
     return v
 
 
-def halo(bricks: DataFrame, column: str, reach=(1, 1, 1)) -> DataFrame:
-    """``bricks`` with parts: arrays of (z0, y0, x0, dz, dy, dx, values) of the
-    bricks around that lie within ``reach`` voxels, the own one too. Each brick
-    goes to the numbers of its neighbours, as many rings of them as the reach asks
-    for, and meets them by equality."""
-    size = bricks.agg(*(F.max(f"d{a}") for a in AXES)).first()
-    rings = [-(-r // (n or 1)) for r, n in zip(reach, size, strict=True)]
-    send = bricks.select("volume", "bz", "by", "bx", F.struct(*(f"{a}0" for a in AXES), *(f"d{a}" for a in AXES), F.col(column).alias("vals")).alias("part"))
-    for a, k in zip(AXES, rings, strict=True):
-        send = send.withColumn(f"b{a}", F.explode(F.expr(f"sequence(b{a} - {k}, b{a} + {k})")))
-    own = bricks.select("volume", "bz", "by", "bx", *(f"{a}0" for a in AXES), *(f"d{a}" for a in AXES))
-    near = " AND ".join(f"part.{a}0 + part.d{a} > {a}0 - {r} AND part.{a}0 < {a}0 + d{a} + {r}" for a, r in zip(AXES, reach, strict=True))
-    return own.join(send, ["volume", "bz", "by", "bx"]).where(near).groupBy(*own.columns).agg(F.collect_list("part").alias("parts"))
+KINDS = {"array<bigint>": "<i8", "array<int>": "<i4", "array<double>": "<f8", "array<float>": "<f4", "array<boolean>": "?"}
+_BOX = "z0 int, y0 int, x0 int, dz int, dy int, dx int"
 
 
-def affinity_bricks(bricks: DataFrame, offsets, label: str = "label") -> DataFrame:
-    """(volume, z, y, x, idx, target) like the voxel-wise affinity target, by a
-    kernel on bricks with halos: one array operation an offset and brick. Offsets
-    may reach over any number of bricks."""
-    reach = tuple(max(abs(o[k]) for o in offsets) for k in range(3))
+class Halo:
+    """A brick and what lies around it: ``start``, ``size`` and the volume's
+    ``extent`` (z, y, x), and arrays of its columns with voxels of other bricks."""
+
+    def __init__(self, row, columns: dict[str, str], reach):
+        self.volume, self.start, self.size, self.extent = row.volume, (row.z0, row.y0, row.x0), (row.dz, row.dy, row.dx), (row.nz, row.ny, row.nx)
+        self.low = [max(0, s - m) for s, m in zip(self.start, reach, strict=True)]
+        high = [min(n, s + d + m) for n, s, d, m in zip(self.extent, self.start, self.size, reach, strict=True)]
+        self.blocks = {c: np.zeros([h - s for s, h in zip(self.low, high, strict=True)], kind) for c, kind in columns.items()}
+        for p in row.parts:
+            shape = (p["dz"], p["dy"], p["dx"])
+            at = tuple(slice(q - s, q - s + d) for q, s, d in zip((p["z0"], p["y0"], p["x0"]), self.low, shape, strict=True))
+            for c, kind in columns.items():
+                self.blocks[c][at] = np.frombuffer(p[c], kind).reshape(shape)
+
+    def axes(self) -> list[np.ndarray]:
+        """The coordinates of the brick's voxels, so that they broadcast."""
+        return list(np.ix_(*(np.arange(s, s + d) for s, d in zip(self.start, self.size, strict=True))))
+
+    def own(self, column: str) -> np.ndarray:
+        return self.at(column, (0, 0, 0))
+
+    def at(self, column: str, offset) -> np.ndarray:
+        """The column at every voxel's neighbour, clamped into the volume."""
+        if all(0 <= s + d and s + w + d <= n for s, w, d, n in zip(self.start, self.size, offset, self.extent, strict=True)):
+            return self.blocks[column][tuple(slice(s + d - q, s + w + d - q) for s, w, d, q in zip(self.start, self.size, offset, self.low, strict=True))]
+        there = [np.clip(np.arange(s, s + w) + d, 0, n - 1) - q for s, w, d, n, q in zip(self.start, self.size, offset, self.extent, self.low, strict=True)]
+        return self.blocks[column][np.ix_(*there)]
+
+
+def halos(bricks: DataFrame, columns: dict[str, str], reach, size=SIZE) -> DataFrame:
+    """``bricks`` (as ``to_bricks`` cuts them by ``size``) with the volume's extent
+    and parts: what lies within ``reach`` voxels of the brick, its own part too.
+    Each brick cuts out of its arrays what each of its neighbours needs of it, and
+    sends that and no more; the neighbours' numbers are as many rings as the reach
+    asks for."""
     ext = bricks.groupBy("volume").agg(*(F.max(F.col(f"{a}0") + F.col(f"d{a}")).alias(f"n{a}") for a in AXES))
-    rows = halo(bricks, label, reach).join(ext, "volume")
+    rings = [-(-r // n) for r, n in zip(reach, size, strict=True)]
+
+    def send(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                start, shape, extent = (r.z0, r.y0, r.x0), (r.dz, r.dy, r.dx), (r.nz, r.ny, r.nx)
+                arrays = {c: np.asarray(getattr(r, c), kind).reshape(shape) for c, kind in columns.items()}
+                for t in product(*(range(max(0, q - k), min((n - 1) // w, q + k) + 1) for q, k, n, w in zip((r.bz, r.by, r.bx), rings, extent, size, strict=True))):
+                    own = [k * w for k, w in zip(t, size, strict=True)]
+                    ends = [min(n, s + w) for n, s, w in zip(extent, own, size, strict=True)]
+                    low = [max(s, q - m) for s, q, m in zip(start, own, reach, strict=True)]
+                    high = [min(s + d, e + m) for s, d, e, m in zip(start, shape, ends, reach, strict=True)]
+                    if all(q < h for q, h in zip(low, high, strict=True)):
+                        piece = tuple(slice(q - s, h - s) for q, h, s in zip(low, high, start, strict=True))
+                        rows.append((r.volume, *t, *own, *(e - s for e, s in zip(ends, own, strict=True)), *extent, {**dict(zip(("z0", "y0", "x0", "dz", "dy", "dx"), (*low, *(h - q for h, q in zip(high, low, strict=True))), strict=True)), **{c: a[piece].tobytes() for c, a in arrays.items()}}))
+            yield pd.DataFrame(rows, columns=["volume", "bz", "by", "bx", "z0", "y0", "x0", "dz", "dy", "dx", "nz", "ny", "nx", "part"])
+
+    part = ", ".join(f"{x.split(' ')[0]}:int" for x in _BOX.split(", "))
+    held = ", ".join(f"{c}:binary" for c in columns)
+    sent = bricks.join(ext, "volume").mapInPandas(send, f"volume string, bz int, by int, bx int, {_BOX}, nz int, ny int, nx int, part struct<{part}, {held}>")
+    return sent.groupBy(*[c for c in sent.columns if c != "part"]).agg(F.collect_list("part").alias("parts"))
+
+
+def over_halos(bricks: DataFrame, columns: list[str], reach, fn, schema: str, size=SIZE) -> DataFrame:
+    """Apply ``fn`` (from a ``Halo`` to a dict of columns) to every brick with what
+    lies around it; the columns that ``schema`` names come out. What a brick gives
+    may be its voxels or, so that no row a voxel and offset is made, sums over them."""
+    kinds = {c: KINDS[dict(bricks.dtypes)[c]] for c in columns}
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches):
         for b in batches:
-            out = []
             for r in b.itertuples(index=False):
-                lo = [max(0, s - m) for s, m in zip((r.z0, r.y0, r.x0), reach, strict=True)]
-                hi = [min(n, s + d + m) for n, s, d, m in zip((r.nz, r.ny, r.nx), (r.z0, r.y0, r.x0), (r.dz, r.dy, r.dx), reach, strict=True)]
-                block = np.zeros([h - s for s, h in zip(lo, hi, strict=True)], np.int64)
-                for p in r.parts:
-                    at, size = (p["z0"], p["y0"], p["x0"]), (p["dz"], p["dy"], p["dx"])
-                    values = np.asarray(p["vals"], np.int64).reshape(size)
-                    a = [max(s, q) for s, q in zip(lo, at, strict=True)]
-                    e = [min(h, q + d) for h, q, d in zip(hi, at, size, strict=True)]
-                    block[tuple(slice(s - q, t - q) for s, t, q in zip(a, e, lo, strict=True))] = values[tuple(slice(s - q, t - q) for s, t, q in zip(a, e, at, strict=True))]
-                axes = [np.arange(s, s + d) for s, d in zip((r.z0, r.y0, r.x0), (r.dz, r.dy, r.dx), strict=True)]
-                own = block[np.ix_(*(x - q for x, q in zip(axes, lo, strict=True)))]
-                z, y, x = (g.ravel() for g in np.meshgrid(*axes, indexing="ij"))
-                for k, o in enumerate(offsets):
-                    there = [np.clip(ax + d, 0, n - 1) - q for ax, d, n, q in zip(axes, o, (r.nz, r.ny, r.nx), lo, strict=True)]
-                    same = (block[np.ix_(*there)] == own).astype(np.int32)
-                    out.append(pd.DataFrame({"volume": r.volume, "z": z, "y": y, "x": x, "idx": np.int32(k), "target": same.ravel()}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return rows.mapInPandas(run, "volume string, z int, y int, x int, idx int, target int")
+                yield pd.DataFrame(fn(Halo(r, kinds, reach)))[names]
+
+    return halos(bricks, kinds, reach, size).mapInPandas(run, schema)
+
+
+def affinity_bricks(bricks: DataFrame, offsets, label: str = "label", size=SIZE) -> DataFrame:
+    """(volume, z, y, x, idx, target) like the voxel-wise affinity target, by a
+    kernel on bricks with halos: one array operation an offset and brick. Offsets
+    may reach over any number of bricks."""
+
+    def run(h: Halo) -> dict:
+        own, n = h.own(label), int(np.prod(h.size))
+        z, y, x = (np.broadcast_to(a, h.size).ravel() for a in h.axes())
+        same = [(h.at(label, o) == own).ravel().astype(np.int32) for o in offsets]
+        k = len(offsets)
+        return {"volume": h.volume, "z": np.tile(z, k), "y": np.tile(y, k), "x": np.tile(x, k), "idx": np.repeat(np.arange(k, dtype=np.int32), n), "target": np.concatenate(same)}
+
+    return over_halos(bricks, [label], reach_of(offsets), run, "volume string, z int, y int, x int, idx int, target int", size)
+
+
+def reach_of(offsets) -> tuple[int, int, int]:
+    return tuple(max(abs(o[k]) for o in offsets) for k in range(3))
 
 
 # --- files -----------------------------------------------------------------
