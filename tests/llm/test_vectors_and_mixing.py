@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.llm import common, epsilon_grid, mixing
+from voxloom.llm import common, epsilon_grid, langid, mixing, simhash
 
 
 def test_near_vectors_equal_brute_force(spark):
@@ -15,20 +15,21 @@ def test_near_vectors_equal_brute_force(spark):
     base = rng.normal(size=(40, 8))
     vecs = [*base.tolist(), *(base[:12] + rng.normal(size=(12, 8)) * 0.15).tolist(), *(base[:5] * 3).tolist(), base[0].tolist(), base[0].tolist()]
     odd = [None, [], [0.0] * 8, [math.nan] * 8, [math.inf] + [1.0] * 7, [None] + [1.0] * 7, [1.0, 2.0]]
-    rows = [(i, v, 1, "k") for i, v in enumerate([*vecs, *odd])] + [(None, vecs[0], 1, "k"), (len(vecs), None, 1, "k")]
+    # ids that repeat, on equal, near and other vectors, and none
+    vecs += [vecs[0], vecs[1], vecs[2], base[3].tolist(), (-base[4]).tolist(), (-base[4] * 2).tolist()]
+    ids = [*range(len(vecs) - 6), None, 0, 0, 5, None, None]
+    rows = [(i, v, 1, "k") for i, v in zip(ids, vecs, strict=True)] + [(1000 + i, v, 1, "k") for i, v in enumerate(odd)] + [(None, None, 1, "k"), (3, None, 1, "k")]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, copies int, key string")
-    every = epsilon_grid.near_vectors(table, 0.9).collect()
-    assert len(every) == len(rows)
-    got = {r["id"]: (r["n_links"], r["component"]) for r in every}
-    assert got.pop(None) == (0, None)
+    got = sorted(tuple(-1 if x is None else x for x in r) for r in epsilon_grid.near_vectors(table, 0.9).collect())
     x = np.array(vecs)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.9
     np.fill_diagonal(near, False)
     reach = np.linalg.matrix_power(near.astype(float) + np.eye(len(x)), len(x)) > 0
-    want = {i: (int(near[i].sum()), int(np.flatnonzero(reach[i])[0])) for i in range(len(x))}
-    want |= {len(vecs) + k: (0, len(vecs) + k) for k in range(len(odd))}
-    assert got == want
+    least = lambda k: min((ids[j] for j in np.flatnonzero(reach[k]) if ids[j] is not None), default=-1)
+    want = [(-1 if ids[k] is None else ids[k], int(near[k].sum()), least(k)) for k in range(len(x))]
+    want += [(1000 + k, 0, 1000 + k) for k in range(len(odd))] + [(-1, 0, -1), (3, 0, 3)]
+    assert got == sorted(want)
     assert epsilon_grid.near_vectors(table.where("false")).count() == 0
 
 
@@ -168,3 +169,19 @@ def test_pipeline_stages_take_any_rows(spark, tmp_path):
                 # of 1 and 2, both without a shingle, one stays; rows of one id go together
                 assert sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect()) == (["1", "5", "5", "None", "None"] if rows else [])
         assert docs.count() <= len(rows)
+
+
+def test_near_duplicates_with_a_column_named_like_a_helper(spark):
+    rows = [(k, "one two three four five six seven " * 3, 1) for k in range(3)] + [(7, "eight nine ten eleven twelve thirteen", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _gone int").withColumn("gone", F.lit(2))
+    left = simhash.keep_one_of_each(docs, simhash.near_duplicates(docs))
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 7] and left.columns == docs.columns
+
+
+def test_languages_of_a_table_with_columns_of_the_results(spark):
+    field = langid.fit(["der die das und", "the and of it"] * 4, ["de", "en"] * 4)
+    docs = spark.createDataFrame([(1, "der und die", 0.5, "x", 1), (2, None, 0.5, "x", 1)], "doc_id bigint, text string, score double, lang_pred string, found int")
+    got = langid.identify(docs, field)
+    assert got.columns == ["doc_id", "text", "found", "lang_pred", "score"]
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "de", 2: "und"}
+    assert langid.identify(docs.where("false"), field).count() == 0

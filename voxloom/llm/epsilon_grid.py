@@ -18,33 +18,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Forest, connected_components, cut, join_hot, shuffle_partitions
+from voxloom.llm.common import Forest, connected_components, cut, join_hot, long_text, longs, shuffle_partitions
 
 GRID_DIMS = 6
 LEAF = 512
 GROUP_ROWS = 32_768  # rows of one of the two sides that a task joins, at most
 
 
-def valid_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, dim, raw binary, key) of the rows whose vector is not null, empty or
-    zero and has finite components only; raw holds little-endian doubles, scaled
-    by a power of two so that the largest is near one and no square overflows or
-    vanishes; key is a 128-bit hash of them."""
+def all_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, dim, raw binary, key) of every row; the last three are null unless the
+    vector is not null, empty or zero and has finite components only. raw holds
+    little-endian doubles, scaled by a power of two so that the largest is near one
+    and no square overflows or vanishes; key is a 128-bit hash of them."""
 
     def run(batches):
         for b in batches:
             out = []
             for i, v in zip(b["id"], b["v"], strict=True):
+                out.append((i, None, None, None))
                 if v is None or not len(v):
                     continue
                 a = np.array([np.nan if x is None else x for x in v] if v.dtype == object else v, np.float64) + 0.0
                 top = np.abs(a).max()
                 if np.isfinite(top) and top > 0:
                     raw = (np.ldexp(a, -int(np.frexp(top)[1])) + 0.0).astype("<f8").tobytes()
-                    out.append((i, len(a), raw, xxhash.xxh3_128_hexdigest(raw)))
-            yield pd.DataFrame(out, columns=["id", "dim", "raw", "key"])
+                    out[-1] = (i, len(a), raw, xxhash.xxh3_128_hexdigest(raw))
+            rows = pd.DataFrame(out, columns=["id", "dim", "raw", "key"])
+            yield rows.assign(id=longs([r[0] for r in out]), dim=longs([r[1] for r in out]))
 
-    picked = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    picked = table.select(long_text(id_col).alias("id"), F.col(vec_col).alias("v"))
     return picked.mapInPandas(run, "id bigint, dim int, raw binary, key string")
 
 
@@ -120,34 +122,43 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     and those with a null or non-finite component link with nothing. Exact:
     intervals are skipped only where a bound on distance proves it.
 
-    Rows that repeat an id are one vertex, and each has that vertex' links. Rows
-    without an id take no part: they come back with no links and no component.
-    An empty table gives no rows.
+    Every row is a vector of its own, whether its id repeats or is null: it counts
+    and is counted. The component of a row is the smallest id, not null, of the rows
+    that links lead to; null, if none of them has an id. An empty table gives no rows.
 
     Equal vectors are one point with a number of copies. No pair leaves a task:
     each returns link counts and the spanning forest of its links.
     """
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
-    vectors = cut(valid_vectors(table, id_col, vec_col))
-    points_all = cut(vectors.groupBy("dim", "key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
+    vectors = cut(all_vectors(table, id_col, vec_col))
+    # numbered once: the same number wherever the table is read
+    points_all = cut(
+        vectors.where("key IS NOT NULL")
+        .groupBy("dim", "key")
+        .agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
+        .withColumn("id", F.monotonically_increasing_id())
+    )
     found = None
     for row in points_all.groupBy("dim").count().collect():  # one row for each length of vectors
         part = _links_of_length(points_all.where(F.col("dim") == row["dim"]), row["dim"], row["count"], cosine, eps)
         found = part if found is None else found.unionByName(part)
-    ids = table.select(F.col(id_col).cast("long").alias("id"))
+    alone = lambda rows: rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     if found is None:
-        return ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+        return alone(vectors)
     found = cut(found)
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = (
-        points_all.select("key", "id", "copies")
+    rooted = cut(
+        points_all.select("key", "id", "copies", "least")
         .join(counts, "id", "left")
         .join(roots, F.col("id") == F.col("node"), "left")
-        .select("key", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component"))
+        .select("key", "copies", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
     )
-    own = join_hot(vectors.select("id", "key"), named, "key", "copies", vectors.count()).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-    return ids.join(own, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    classes = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("points"))
+    named = join_hot(rooted.drop("least"), classes, "root", "points", rooted.count()).select("key", "copies", "n_links", "component")
+    valid = vectors.where("key IS NOT NULL").select("id", "key")
+    own = join_hot(valid, named, "key", "copies", valid.count()).select("id", F.col("n_links").cast("long").alias("n_links"), "component")
+    return own.unionByName(alone(vectors.where("key IS NULL")))
 
 
 def _links_of_length(points: DataFrame, dim: int, n: int, cosine: float, eps: float) -> DataFrame:

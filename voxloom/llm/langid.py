@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.llm.common import fresh
+
 TRAIN_TEXTS = 800
 TRAIN_CHARS = 4 << 20  # of all texts that the field is fitted on; a longer text is left out of the fit
 BITS = 16
@@ -199,8 +201,8 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
         score = p[np.arange(len(p)), best]
         return pd.DataFrame({"lang_pred": np.where(score > 0, np.array(own.labels, object)[best], "und"), "score": np.minimum(score, 1.0)})
 
-    keep = docs.columns
-    return docs.withColumn("_lang", run(F.col(text_col))).select(*keep, "_lang.lang_pred", "_lang.score")
+    keep, found = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")], fresh(docs, "found")
+    return docs.withColumn(found, run(F.col(text_col))).select(*keep, f"{found}.lang_pred", f"{found}.score")
 
 
 def label_words(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

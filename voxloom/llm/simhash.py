@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import BROADCAST_ROWS, Forest, broadcast_if_small, connected_components, cut, give_back_memory, groups_for, in_tiles, join_hot, long_text, longs, mix64, solve_runs
+from voxloom.llm.common import BROADCAST_ROWS, Forest, broadcast_if_small, connected_components, cut, fresh, give_back_memory, groups_for, in_tiles, join_hot, long_text, longs, mix64, solve_runs
 from voxloom.llm.substring import repeats
 
 _SPREAD = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], np.uint64)
@@ -393,5 +393,6 @@ def _jaccard_edges(ids: np.ndarray, side: np.ndarray, shingles: list[bytes], sim
 def keep_one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose id is in ``groups`` (id, group) under
     another group than itself; all else, null ids too, stays as it is."""
-    gone = broadcast_if_small(cut(groups.where("id <> `group`").select(F.col("id").alias("_gone"))))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = broadcast_if_small(cut(groups.where("id <> `group`").select(F.col("id").alias(name))))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
