@@ -1,5 +1,7 @@
 """Operators on small grids against NumPy and hand cases."""
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -72,9 +74,108 @@ def test_distances_and_growth_match_brute_force(spark):
     assert (dense(K.grow_labels(grid(spark, a), 2.0, sampling=s.tolist()), "grown", a.shape) == grown).all()
 
 
-def test_gaussian_keeps_a_constant_and_matches_one_axis(spark):
-    a = np.full((3, 4, 5), 2.5)
-    assert np.allclose(dense(K.gaussian_filter(grid(spark, a, "intensity"), 1.0), "intensity", a.shape), 2.5)
+def test_gaussian_equals_a_plain_convolution(spark):
+    a = np.random.default_rng(9).random((6, 7, 40))
+    kernel = np.exp(-0.5 * np.arange(-4, 5) ** 2)
+    want = a
+    for axis in range(3):
+        padded = np.pad(want, [(4, 4) if k == axis else (0, 0) for k in range(3)], mode="symmetric")
+        want = np.apply_along_axis(lambda line: np.convolve(line, kernel / kernel.sum(), "valid"), axis, padded)
+    assert np.allclose(dense(K.gaussian_filter(grid(spark, a, "intensity"), 1.0), "intensity", a.shape), want)
+
+
+@pytest.mark.parametrize("spacing", [1.0, 0.3, 7.5])
+def test_lower_envelopes_equal_all_pairs(spacing):
+    rng = np.random.default_rng(1)
+    f = np.where(rng.random((40, 60)) < 0.5, np.inf, rng.integers(0, 40, (40, 60)) * (spacing**2))
+    f[0], f[1] = np.inf, 0.0
+    # many parabolas through one point
+    f[2] = np.where(np.abs(np.arange(60) - 30) < 6, 36 * spacing**2 - ((30 - np.arange(60)) * spacing) ** 2, np.inf)
+    ids = rng.integers(1, 50, f.shape)
+    d = f[:, None, :] + ((np.arange(60)[:, None] - np.arange(60)[None, :]) * spacing) ** 2
+    best = d.min(axis=2)
+    who = np.where(np.isfinite(best), np.where(d == best[:, :, None], ids[:, None, :], 99).min(axis=2), 0)
+    got = K.lower_envelope(f, ids, spacing)
+    assert (got[0] == best).all() and (got[1] == who).all()
+
+
+def test_envelopes_are_linear_in_a_lines_length(monkeypatch):
+    steps = []
+
+    class Counting:
+        def __getattr__(self, name):
+            steps.append(name)
+            return getattr(np, name)
+
+    monkeypatch.setattr(K, "np", Counting())
+    rng = np.random.default_rng(2)
+    for n in (200, 800):
+        before = len(steps)
+        K.lower_envelope(rng.random((1, n)) * n, np.zeros((1, n), np.int64), 1.0)
+        steps.append(len(steps) - before)
+    counts = [x for x in steps if isinstance(x, int)]
+    assert counts[1] < 5 * counts[0]
+
+
+def test_components_do_not_depend_on_bricks(spark):
+    a = np.random.default_rng(5).integers(0, 3, (5, 9, 11)).astype(np.int64)
+    for size in ((2, 3, 4), (5, 9, 11)):
+        got = K.connected_components(grid(spark, a).withColumn("name", F.lit("n")), size=size)
+        assert got.columns == [*KEYS, "label", "name", "component"]
+        assert (dense(got, "component", a.shape) == flood(a)).all()
+
+
+def test_components_of_a_hub_and_a_chain(spark, monkeypatch):
+    from voxloom.operators import graph
+
+    monkeypatch.setattr(graph, "HUB_ROWS", 5)
+    edges = [(i, i + 1) for i in range(100, 130)] + [(7, k) for k in range(200, 240)] + [(5, 5)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 100 for i in range(100, 131)}, 7: 7, **{k: 7 for k in range(200, 240)}}
+
+
+def test_a_volume_of_one_weight_is_ranked_in_many_tasks(spark):
+    from voxloom.operators import graph
+
+    edges = spark.range(4000).selectExpr("'v' AS volume", "id AS u", "id + 1 AS v", "0 AS idx", "0.5D AS weight", "true AS mutex")
+    dealt = graph.dealt_by_ranges(edges, ["volume"], [F.desc("weight"), F.asc("idx"), F.asc("u"), F.asc("v")])
+    sizes = [r["count"] for r in dealt.groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 2000
+    assert W.ranked(edges).where("rank <> u + 1").count() == 0
+
+
+def test_blends_on_bricks_equal_a_plain_sum(spark):
+    from voxloom.sources import bricks as B
+
+    a = np.random.default_rng(6).random((5, 9, 13))
+    b = B.to_bricks(grid(spark, a, "value"), (2, 4, 4), ("value",))
+    # a model whose result depends on the tile: the tiles' largest value is added
+    model = lambda t: t + t.max(axis=(1, 2, 3), keepdims=True)
+    for how in ("gaussian", "mean", "max"):
+        total, weight = np.full(a.shape, -np.inf if how == "max" else 0.0), np.zeros(a.shape)
+        w = T.tile_weights((4, 6, 6)) if how == "gaussian" else np.ones((4, 6, 6))
+        for z, y, x in product((0, 1), (0, 3), (0, 3, 6, 7)):
+            at = np.s_[z : z + 4, y : y + 6, x : x + 6]
+            p = a[at] + a[at].max()
+            total[at] = np.maximum(total[at], p) if how == "max" else total[at] + p * w
+            weight[at] += w
+        got = T.predict_blended(b, "value", model, (4, 6, 6), (2, 3, 3), how, size=(2, 4, 4))
+        assert np.allclose(dense(B.to_voxels(got, ("pred",)), "pred", a.shape), total if how == "max" else total / (weight + 1e-8))
+    tiles = {(r["z0"], r["y0"], r["x0"]): np.array(r["pred"]).reshape(r["nz"], r["ny"], r["nx"]) for r in T.predict_tiles(b, "value", model, (4, 6, 6), (2, 3, 3), size=(2, 4, 4)).collect()}
+    assert len(tiles) == 2 * 2 * 4
+    for (z, y, x), p in tiles.items():
+        part = a[z : z + 4, y : y + 6, x : x + 6]
+        assert np.allclose(p, part + part.max())
+
+
+def test_voxels_without_a_tile_are_null(spark):
+    from voxloom.sources import bricks as B
+
+    b = B.to_bricks(grid(spark, np.ones((1, 1, 10)), "value"), (1, 1, 4), ("value",))
+    got = B.to_voxels(T.predict_blended(b, "value", lambda t: t, (1, 1, 4), (1, 1, 4), "mean", "strict", size=(1, 1, 4), eps=0.0), ("pred",))
+    assert [r["pred"] for r in got.orderBy("x").collect()] == [1.0] * 8 + [None] * 2
+
+
 
 
 def test_hand_case_of_the_mutex_watershed():
@@ -139,9 +240,9 @@ def lattice_graph(rng, shape, levels):
     return rows
 
 
-@pytest.mark.parametrize(("size", "most", "levels"), [((2, 3, 4), 10**6, 1000), ((1, 2, 2), 10**6, 8), ((4, 6, 9), 10**6, 8), ((2, 3, 9), 40, 1000), ((1, 1, 1), 0, 50)])
+@pytest.mark.parametrize(("size", "most", "levels"), [((2, 3, 4), 10**6, 1000), ((1, 3, 3), 10**6, 8), ((4, 6, 9), 10**6, 8), ((2, 3, 4), 0, 50)])
 def test_exact_watershed_in_blocks_equals_one_pass(spark, size, most, levels):
-    shape = (4, 6, 9) if most else (2, 3, 4)
+    shape = (4, 6, 9) if most else (2, 2, 3)
     rows = lattice_graph(np.random.default_rng(levels + size[1]), shape, levels)
     names = ["volume", "u", "v", "idx", "weight", "mutex"]
     one = W.solve_block(pd.DataFrame(rows, columns=names))
@@ -154,7 +255,7 @@ def test_exact_watershed_in_blocks_equals_one_pass(spark, size, most, levels):
     assert {r["node"]: r["root"] for r in got if r["volume"] == "v"} == want
     assert {r["node"]: r["root"] for r in got if r["volume"] == "w"} == dict(zip(two["node"].tolist(), two["root"].tolist(), strict=True))
     assert 1 < len(set(want.values())) < len(want)
-    if most > 40:
+    if most:
         named = W.stitch_blocks(e, ext, size, most).where("volume = 'v'").collect()
         assert {r["node"]: r["instance"] for r in named} == want
         assert len({r["region"] for r in named}) >= len(set(want.values()))

@@ -1,8 +1,7 @@
 """Connected components of labels, exact distances, label growth and filters.
 
-Components are found on runs: maximal stretches of one label along x, which are
-joined to the runs they touch in the next lines. That is one row a run instead
-of one a voxel in the iterations.
+Components are found inside bricks and joined over the bricks' faces; distances
+and filters go over pencils, all bricks along one axis, whose lines are arrays.
 """
 
 from __future__ import annotations
@@ -12,40 +11,116 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators.graph import components, cut
+from voxloom.operators.graph import broadcast_if_small, components, cut, least_members, ranked_by_ranges
 from voxloom.operators.voxels import AXES
+from voxloom.sources.bricks import KINDS, Halo, over_halos, to_bricks, to_voxels
 
 KEYS = ["volume", *AXES]
-
-
-def connected_components(voxels: DataFrame, label: str = "label", connectivity: int = 1) -> DataFrame:
+SIZE = (8, 32, 32)
+BRICK = ["volume", "bz", "by", "bx"]
+BOX = [*BRICK, "z0", "y0", "x0", "dz", "dy", "dx"]
+BOX_SCHEMA = "volume string, " + ", ".join(f"{c} int" for c in BOX[1:])
+BITS = 21  # of a coordinate in the number of a voxel
+
+
+def _half_steps(connectivity: int) -> list[tuple[int, int, int]]:
+    """One of each two opposite steps to a neighbour."""
+    return [s for s in product((-1, 0, 1), repeat=3) if s > (0, 0, 0) and sum(map(abs, s)) <= connectivity]
+
+
+def _both_ends(shape, step) -> tuple[tuple, tuple]:
+    """The voxels of an array that have a neighbour at ``step`` in it, and those."""
+    here = tuple(slice(max(0, -d), n - max(0, d)) for n, d in zip(shape, step, strict=True))
+    return here, tuple(slice(max(0, d), n - max(0, -d)) for n, d in zip(shape, step, strict=True))
+
+
+def brick_components(bricks: DataFrame, label: str = "label", connectivity: int = 1) -> DataFrame:
+    """``bricks`` with part (array<bigint>): 0 on background, else the number of the
+    first voxel, in raster order, of the voxel's component inside its brick."""
+
+    def run(batches):
+        for b in batches:
+            parts = []
+            for r in b.itertuples(index=False):
+                shape = (r.dz, r.dy, r.dx)
+                a = np.asarray(getattr(r, label), np.int64).reshape(shape)
+                at = np.arange(a.size).reshape(shape)
+                pairs = []
+                for step in _half_steps(connectivity):
+                    here, there = _both_ends(shape, step)
+                    same = (a[here] == a[there]) & (a[here] > 0)
+                    pairs.append((at[here][same], at[there][same]))
+                roots = least_members(a.size, *(np.concatenate(x) for x in zip(*pairs, strict=True)))
+                z, y, x = (np.arange(s, s + d, dtype=np.int64) for s, d in zip((r.z0, r.y0, r.x0), shape, strict=True))
+                number = ((z[:, None, None] << (2 * BITS)) + (y[:, None] << BITS) + x + 1).ravel()
+                parts.append(np.where(a.ravel() > 0, number[roots], 0))
+            yield b[[*BOX, label]].assign(part=parts)
+
+    return bricks.select(*BOX, label).mapInPandas(run, f"{BOX_SCHEMA}, {label} array<bigint>, part array<bigint>")
+
+
+def connected_components(voxels: DataFrame, label: str = "label", connectivity: int = 1, size=SIZE) -> DataFrame:
     """``voxels`` with component (bigint): 0 on background, else the 1-based
     number, by first voxel in raster order, of the set of neighbours with the same
     label. Neighbours differ in ``connectivity`` coordinates at most (1: faces,
-    2: edges too, 3: corners too), by one each."""
-    line = Window.partitionBy("volume", "z", "y").orderBy("x")
-    starts = (F.lag(label).over(line).isNull() | (F.lag(label).over(line) != F.col(label)) | (F.lag("x").over(line) != F.col("x") - 1)).cast("int")
-    v = voxels.where(F.col(label) > 0)
-    v = v.withColumn("_s", starts).withColumn("_x0", F.max(F.when(F.col("_s") == 1, F.col("x"))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    v = cut(v.withColumn("_run", F.xxhash64("volume", "z", "y", "_x0")).drop("_s"))
-    touching = None
-    # one of each two opposite steps; those along x stay inside a run
-    for step in product((-1, 0, 1), repeat=3):
-        if step <= (0, 0, 1) or sum(map(abs, step)) > connectivity:
-            continue
-        other = v.select("volume", *((F.col(a) + d).cast("int").alias(a) for a, d in zip(AXES, step, strict=True)), F.col(label), F.col("_run").alias("b"))
-        pairs = v.select(*KEYS, label, F.col("_run").alias("a")).join(other, [*KEYS, label]).select("a", "b").distinct()
-        touching = pairs if touching is None else touching.union(pairs)
-    found = components(touching)
-    roots = v.select("volume", "z", "y", "_x0", "_run").distinct().join(found, F.col("_run") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_run"))
-    first = roots.groupBy("volume", "_root").agg(F.min(F.struct("z", "y", "_x0")).alias("_first"))
-    numbered = first.withColumn("component", F.row_number().over(Window.partitionBy("volume").orderBy("_first")).cast("bigint"))
-    runs = roots.join(numbered, ["volume", "_root"]).select("_run", "component")
-    named = v.join(runs, "_run").select(*KEYS, "component")
-    return voxels.join(named, KEYS, "left").withColumn("component", F.coalesce("component", F.lit(0).cast("bigint")))
+    2: edges too, 3: corners too), by one each.
+
+    Bricks find their own components; only pairs of these that touch over a face go
+    into the graph that joins them. A brick's voxels must fill it.
+    """
+    rest = [c for c in voxels.columns if c not in KEYS]
+    bricks = cut(to_bricks(voxels.withColumn(label, F.col(label).cast("bigint")), size, rest))
+    own = cut(brick_components(bricks, label, connectivity))
+
+    def faces(h: Halo) -> dict:
+        labels, parts = h.own(label), h.own("part")
+        found = [np.empty((0, 2), np.int64)]
+        for step in _half_steps(connectivity):
+            inside = np.ones(h.size, bool)
+            for x, d, n in zip(h.axes(), step, h.extent, strict=True):
+                inside = inside & (x + d >= 0) & (x + d < n)
+            there = h.at("part", step)
+            touch = inside & (labels > 0) & (h.at(label, step) == labels) & (there != parts)
+            found.append(np.stack([parts[touch], there[touch]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return {"volume": [h.volume] * len(pairs), "a": pairs[:, 0], "b": pairs[:, 1]}
+
+    ident = lambda c: F.xxhash64("volume", c)
+    touching = over_halos(own, [label, "part"], (1, 1, 1), faces, "volume string, a bigint, b bigint", size)
+    joined = components(touching.select(ident("a").alias("a"), ident("b").alias("b")))
+    parts = own.select(*BRICK, F.explode(F.array_distinct("part")).alias("part")).where("part > 0").withColumn("node", ident("part"))
+    parts = cut(parts.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"))
+    first = parts.groupBy("volume", "root").agg(F.min("part").alias("first"))
+    numbers = broadcast_if_small(cut(ranked_by_ranges(first, ["volume"], [F.asc("first")]).select("root", F.col("rank").alias("component"))))
+    named = parts.join(numbers, "root").groupBy(*BRICK).agg(F.sort_array(F.collect_list(F.struct("part", "component"))).alias("names"))
+    named = named.select(*BRICK, F.col("names.part").alias("parts"), F.col("names.component").alias("numbers"))
+
+    @F.pandas_udf("array<bigint>")
+    def renamed(part: pd.Series, parts: pd.Series, numbers: pd.Series) -> pd.Series:
+        out = []
+        for p, old, new in zip(part, parts, numbers, strict=True):
+            p = np.asarray(p, np.int64)
+            old, new = (np.append(0, np.asarray([] if x is None else x, np.int64)) for x in (old, new))
+            out.append(new[np.searchsorted(old, p)])
+        return pd.Series(out)
+
+    numbered = own.select(*BRICK, "part").join(named, BRICK, "left").select(*BRICK, renamed("part", "parts", "numbers").alias("component"))
+    out = to_voxels(bricks.join(numbered, BRICK), [*rest, "component"])
+    return out.select(*voxels.columns, "component")
+
+
+def labelled(voxels: DataFrame, least: int, label: str = "label", connectivity: int = 1, renumber: bool = False) -> DataFrame:
+    """``connected_components`` without those of fewer than ``least`` voxels, which
+    become 0; the others keep their numbers or, with ``renumber``, are counted anew."""
+    kept = min_size(connected_components(voxels, label, connectivity), least)
+    if not renumber:
+        return kept
+    ids = kept.where("component > 0").select("volume", "component").distinct()
+    new = broadcast_if_small(cut(ranked_by_ranges(ids, ["volume"], [F.asc("component")])))
+    return kept.join(new, ["volume", "component"], "left").withColumn("component", F.coalesce("rank", F.lit(0)).cast("bigint")).select(*kept.columns)
 
 
 def min_size(voxels: DataFrame, n: int, column: str = "component") -> DataFrame:
@@ -54,52 +129,80 @@ def min_size(voxels: DataFrame, n: int, column: str = "component") -> DataFrame:
     return voxels.join(large, ["volume", column], "left").withColumn(column, F.when(F.col("_keep"), F.col(column)).otherwise(F.lit(0).cast("bigint"))).drop("_keep")
 
 
-def over_lines(voxels: DataFrame, axis: str, columns: list[str], fn: Callable, schema: str) -> DataFrame:
-    """Apply ``fn`` to the columns of every line of voxels along an axis, as
-    arrays in order of the coordinate; it returns arrays as long. One row is one
-    line, and many come in a batch."""
-    rest = [c for c in KEYS if c != axis]
-    packed = voxels.groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct(axis, *columns))).alias("_l"))
-    udf = F.pandas_udf(lambda *cols: fn(*cols), f"array<struct<{schema}>>")
-    out = packed.select(*rest, F.col(f"_l.{axis}").alias("_at"), udf(*(F.col(f"_l.{c}") for c in columns)).alias("_v"))
-    return out.select(*rest, F.explode(F.arrays_zip("_at", "_v")).alias("_e")).select(*rest, F.col("_e._at").alias(axis), "_e._v.*")
-
-
-def _envelope(f: np.ndarray, ids: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray]:
-    """min over j of f[j] + ((i - j) spacing)^2 along a line, with the least id
-    among the best. Places of infinite f are no candidates."""
-    at = np.flatnonzero(np.isfinite(f))
-    n = len(f)
-    if not len(at):
-        return np.full(n, np.inf), np.zeros(n, np.int64)
-    best, who = np.full(n, np.inf), np.zeros(n, np.int64)
-    step = max(1, 1_000_000 // max(n, 1))
-    for k in range(0, len(at), step):
-        j = at[k : k + step]
-        d = f[j][None, :] + ((np.arange(n)[:, None] - j[None, :]) * spacing) ** 2
-        low = d.min(axis=1)
-        own = np.where(d == low[:, None], ids[j][None, :], np.iinfo(np.int64).max).min(axis=1)
-        better = (low < best) | ((low == best) & (own < who))
-        best, who = np.where(better, low, best), np.where(better, own, who)
+def over_pencils(bricks: DataFrame, axis: str, columns: list[str], fn: Callable) -> DataFrame:
+    """Apply ``fn`` to the lines along an axis: it gets the columns as arrays (lines,
+    places) and returns as many of that shape. A task holds one pencil, the bricks
+    that follow each other along the axis; its lines are whole."""
+    k = AXES.index(axis)
+    kinds = dict(bricks.dtypes)
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(f"{axis}0")
+        shapes = b[["dz", "dy", "dx"]].to_numpy()
+        arrays = [np.concatenate([np.asarray(v, KINDS[kinds[c]]).reshape(n) for v, n in zip(b[c], shapes, strict=True)], axis=k) for c in columns]
+        lines = [np.moveaxis(a, k, 2) for a in arrays]
+        found = fn(*(a.reshape(-1, a.shape[2]) for a in lines))
+        cuts = np.cumsum(shapes[:, k])[:-1]
+        for c, f, a in zip(columns, found, lines, strict=True):
+            b[c] = [x.ravel() for x in np.split(np.moveaxis(f.reshape(a.shape), 2, k), cuts, axis=k)]
+        return b[[*BOX, *columns]]
+
+    schema = f"{BOX_SCHEMA}, {', '.join(f'{c} {kinds[c]}' for c in columns)}"
+    return bricks.select(*BOX, *columns).groupBy("volume", *(f"b{a}" for a in AXES if a != axis)).applyInPandas(run, schema)
+
+
+def lower_envelope(f: np.ndarray, ids: np.ndarray, spacing: float, slack: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Along each row, min over j of f[j] + ((i - j) spacing)^2, and the least id
+    among the best. Places of infinite f are no candidates.
+
+    All rows go forward together: each keeps the parabolas that are lowest
+    somewhere on a stack, with where each begins, so the work is linear in a
+    row's length. Parabolas that only meet the others' minimum, within ``slack``
+    places, stay on it, so that ties are told by id from exact values.
+    """
+    m, n = f.shape
+    g = f / spacing**2 + np.arange(n, dtype=float) ** 2
+    v, begin, top = np.zeros((m, n), np.int32), np.full((m, n + 1), np.inf), np.full(m, -1)
+    for q in range(n):
+        rows = np.flatnonzero(np.isfinite(f[:, q]))
+        while len(rows):
+            t = np.maximum(top[rows], 0)
+            r, bare = v[rows, t], top[rows] < 0
+            from_ = np.where(bare, -np.inf, (g[rows, q] - np.where(bare, 0, g[rows, r])) / (2 * np.maximum(q - r, 1)))
+            pop = ~bare & (from_ < begin[rows, t] - slack)
+            put = rows[~pop]
+            top[put] += 1
+            v[put, top[put]], begin[put, top[put]] = q, from_[~pop]
+            rows = rows[pop]
+            top[rows] -= 1
+    best, who = np.full((m, n), np.inf), np.zeros((m, n), np.int64)
+    some, at = np.flatnonzero(top >= 0), np.zeros(m, np.int64)
+    for i in range(n):
+        rows = some
+        while len(rows):
+            further = (at[rows] < top[rows]) & (begin[rows, at[rows] + 1] < i - slack)
+            rows = rows[further]
+            at[rows] += 1
+        rows, c = some, at[some]
+        while len(rows):
+            j = v[rows, c]
+            d, own = f[rows, j] + ((i - j) * spacing) ** 2, ids[rows, j]
+            better = (d < best[rows, i]) | ((d == best[rows, i]) & (own < who[rows, i]))
+            best[rows[better], i], who[rows[better], i] = d[better], own[better]
+            more = (c < top[rows]) & (begin[rows, c + 1] <= i + slack)
+            rows, c = rows[more], c[more] + 1
     return best, who
 
 
-def nearest_sources(voxels: DataFrame, source: str, ident: str, sampling=(1.0, 1.0, 1.0)) -> DataFrame:
+def nearest_sources(voxels: DataFrame, source: str, ident: str, sampling=(1.0, 1.0, 1.0), size=SIZE) -> DataFrame:
     """(volume, z, y, x, d2, nearest): squared distance to the nearest voxel where
     ``source`` holds and that voxel's ``ident``, the least of those as near; d2 is
-    infinite where a volume has none. Three passes over lines, exact."""
+    infinite where a volume has none. Three passes over pencils, exact."""
     v = voxels.select(*KEYS, F.when(F.col(source), F.lit(0.0)).otherwise(F.lit(float("inf"))).alias("d2"), F.col(ident).cast("bigint").alias("nearest"))
+    b = to_bricks(v, size, ("d2", "nearest"))
     for axis, spacing in zip(("x", "y", "z"), tuple(sampling)[::-1], strict=True):
-
-        def line(d2: pd.Series, ids: pd.Series, spacing=float(spacing)) -> pd.Series:
-            out = []
-            for f, i in zip(d2, ids, strict=True):
-                best, who = _envelope(np.asarray(f, float), np.asarray(i, np.int64), spacing)
-                out.append([{"d2": a, "nearest": b} for a, b in zip(best.tolist(), who.tolist(), strict=True)])
-            return pd.Series(out)
-
-        v = over_lines(v, axis, ["d2", "nearest"], line, "d2:double,nearest:bigint")
-    return v
+        b = over_pencils(b, axis, ["d2", "nearest"], lambda d2, ids, spacing=float(spacing): lower_envelope(d2, ids, spacing))
+    return to_voxels(b, ("d2", "nearest"))
 
 
 def distance_transform(voxels: DataFrame, mask: str = "label", sampling=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -126,17 +229,14 @@ def gaussian_filter(voxels: DataFrame, sigma: float, value: str = "intensity", t
     kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     kernel /= kernel.sum()
 
-    def line(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            padded = np.pad(np.asarray(v, float), r, mode="symmetric")
-            out.append([{value: x} for x in np.convolve(padded, kernel, "valid").tolist()])
-        return pd.Series(out)
+    def smooth(lines: np.ndarray) -> list[np.ndarray]:
+        padded = np.pad(lines, ((0, 0), (r, r)), mode="symmetric")
+        return [sum(w * padded[:, k : k + lines.shape[1]] for k, w in enumerate(kernel.tolist()))]
 
-    v = voxels.select(*KEYS, value)
+    b = to_bricks(voxels.select(*KEYS, F.col(value).cast("double").alias(value)), SIZE, (value,))
     for axis in AXES:
-        v = over_lines(v, axis, [value], line, f"{value}:double")
-    return v
+        b = over_pencils(b, axis, [value], smooth)
+    return to_voxels(b, (value,))
 
 
 def binary_structure(rank: int, connectivity: int) -> list[tuple[int, ...]]:

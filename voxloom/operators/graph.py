@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _folders: dict[str, str] = {}
@@ -34,6 +35,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 500_000  # of a few numbers each, that a task may hold
+
+
+def broadcast_if_small(d: DataFrame) -> DataFrame:
+    """A cut table, marked for broadcast if it has SMALL_ROWS rows or fewer."""
+    return F.broadcast(d) if d.count() <= SMALL_ROWS else d
+
+
+def dealt_by_ranges(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """``rows``, cut, in ranges of ``by`` and the whole ``order``, with _at: numbers
+    that rise in that order, without gaps inside a range; a range is ``_at >> 33``.
+    Ties of the first columns of the order are dealt by the next ones."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, *order]
+    return cut(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+
+
+def ranked_by_ranges(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """``rows`` with rank (bigint): the place of a row in its group's order. Ranges
+    are sorted each in a task; what comes before a range is added from one row a
+    group and range, so that no group is sorted by one task."""
+    dealt = dealt_by_ranges(rows, by, order).withColumn("_part", F.shiftright("_at", 33))
+    pieces = dealt.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = broadcast_if_small(cut(pieces.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")))
+    return dealt.join(pieces, [*by, "_part"]).withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_part", "_first", "_before")
+
+
+def least_members(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of the component of each of 0..n-1, joined by pairs (a, b):
+    larger roots are hooked to smaller ones and paths halved, all at once."""
+    up = np.arange(n)
+    while len(a):
+        ra, rb = up[a], up[b]
+        while True:
+            na, nb = up[ra], up[rb]
+            if np.array_equal(na, ra) and np.array_equal(nb, rb):
+                break
+            ra, rb = na, nb
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(up, np.maximum(ra, rb), np.minimum(ra, rb))
+    while True:
+        further = up[up]
+        if np.array_equal(further, up):
+            return up
+        up = further
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of ``edges`` (a, b: bigint); root is the least
     node of a component.
@@ -42,16 +92,34 @@ def components(edges: DataFrame) -> DataFrame:
     follows labels two steps (pointer jumping), so labels travel in far fewer
     rounds than the graph is wide. Rounds end when no label changes.
     """
-    e = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct())
+    ends = edges.where("a <> b").select("a", "b")
+    e = cut(ends.union(ends.select("b", "a")).distinct())
+    many = max(HUB_ROWS, e.count() // 1000)
+    # a node that over a thousandth of the edges lead to: fewer than a thousand of them
+    hubs = F.broadcast(cut(e.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > many).select("b")))
     labels = cut(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
-        near = e.join(labels, e["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
+        near = _looked_up(e, hubs, "b", labels.select(F.col("node").alias("b"), "root")).groupBy("a").agg(F.min("root").alias("m"))
         hooked = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old")))
-        # a root that has found a lower label takes all that follow it along
-        moved = hooked.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        stepped = hooked.join(moved, hooked["root"] == moved["at"], "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "old")
-        followed = stepped.join(hooked.groupBy("old").agg(F.min("root").alias("least")).withColumnRenamed("old", "led"), stepped["old"] == F.col("led"), "left")
-        labels = cut(followed.select("node", F.least("root", F.coalesce("least", "root")).alias("root"), (F.least("root", F.coalesce("least", "root")) < F.col("old")).alias("changed")))
+        # late roots have most of the nodes: theirs are looked up by broadcast, too
+        led = hooked.groupBy("old").agg(F.min("root").alias("least"), F.count("*").alias("n"))
+        hot = F.broadcast(cut(hooked.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > many).select("root")))
+        moved = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        stepped = _looked_up(hooked, hot, "root", moved, "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "old")
+        large = F.broadcast(cut(led.where(F.col("n") > many).select("old")))
+        followed = _looked_up(stepped, large, "old", led.select("old", "least"), "left")
+        least = F.least("root", F.coalesce("least", "root"))
+        labels = cut(followed.select("node", least.alias("root"), (least < F.col("old")).alias("changed")))
         if labels.where("changed").limit(1).count() == 0:
             return labels.select("node", "root")
         labels = labels.select("node", "root")
+
+
+HUB_ROWS = 10_000
+
+
+def _looked_up(rows: DataFrame, hot: DataFrame, key: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once: rows of hot keys stay
+    where they are and get theirs by a broadcast, the others are shuffled."""
+    few = F.broadcast(table.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(few, key, how).unionByName(rows.join(hot, key, "left_anti").join(table, key, how))

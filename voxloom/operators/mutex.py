@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import min_size
-from voxloom.operators.graph import components, cut
+from voxloom.operators.graph import broadcast_if_small, components, cut, ranked_by_ranges
 from voxloom.operators.neighbors import N_PULL, OFFSETS
 from voxloom.operators.voxels import AXES
 
@@ -42,21 +42,9 @@ def cap_push(edges: DataFrame, most: int) -> DataFrame:
 
 def ranked(edges: DataFrame) -> DataFrame:
     """``edges`` with rank (bigint): the place in the falling order of its volume's
-    weights, ties by offset and raster.
-
-    Edges are dealt to slices of that order by cut points of the weight, some per
-    volume; ranks inside a slice are counted there, and what comes before a slice
-    is added from one row per slice, so that no volume is sorted by one task.
-    Equal weights are in one slice."""
-    points = edges.groupBy("volume").agg(F.percentile_approx("weight", [k / SLICES for k in range(1, SLICES)], 10_000).alias("points"))
-    sliced = edges.join(points, "volume").withColumn("slice", F.expr("size(filter(points, p -> p > weight))")).drop("points")
-    sizes = sliced.groupBy("volume", "slice").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("volume").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("volume", "slice").orderBy(F.desc("weight"), "idx", "u", "v"))
-    return sliced.withColumn("inside", inside).join(before, ["volume", "slice"]).withColumn("rank", F.col("before") + F.col("inside")).drop("slice", "inside", "before")
-
-
-SLICES = 64
+    weights, ties by offset and raster. Edges are dealt to ranges of that whole
+    order, so that neither a volume nor its edges of one weight are sorted by one task."""
+    return ranked_by_ranges(edges, ["volume"], [F.desc("weight"), F.asc("idx"), F.asc("u"), F.asc("v")])
 
 
 def priority_buckets(edges: DataFrame, buckets: int) -> DataFrame:
@@ -306,7 +294,7 @@ def _first_edges(pairs: DataFrame) -> DataFrame:
 def _told_by_blocks(pairs: DataFrame, extents: DataFrame, size, most: int) -> DataFrame:
     """(volume, gone, into, done) from the blocks of ``size`` voxels that have
     ``most`` pairs or fewer."""
-    p = pairs.join(_broadcast_if_small(extents.select("volume", "dy", "dx")), "volume")
+    p = pairs.join(broadcast_if_small(extents.select("volume", "dy", "dx")), "volume")
 
     def block(n: str) -> str:
         z, y, x = f"{n} div (CAST(dy AS BIGINT) * dx) div {size[0]}", f"({n} div dx) % dy div {size[1]}", f"{n} % dx div {size[2]}"
@@ -338,14 +326,6 @@ def _foremost(pairs: DataFrame) -> DataFrame:
     return best.groupBy("volume", "s.a", "s.b", "s.merge").agg(F.count("*").alias("n")).where("n = 2").drop("n")
 
 
-SMALL_ROWS = 500_000  # of a few numbers each, that a task may hold
-
-
-def _broadcast_if_small(d: DataFrame) -> DataFrame:
-    """A cut table, marked for broadcast if it has SMALL_ROWS rows or fewer."""
-    return F.broadcast(d) if d.count() <= SMALL_ROWS else d
-
-
 def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int):
     """The roots (volume, node, root) after each pass over all clusters."""
     rank = F.struct(F.col("weight").cast("double").alias("weight"), *((-F.col(c).cast("bigint")).alias(c) for c in RANK[1:]))
@@ -363,7 +343,7 @@ def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int):
             mark = first.where("NOT merge").select("volume", "a", "b", F.lit(True).alias("_fixed"))
             sure = F.struct(F.lit(float("inf")).alias("weight"), *(F.col(f"push.{c}").alias(c) for c in RANK[1:]))
             pairs = pairs.join(mark, ["volume", "a", "b"], "left").withColumn("push", F.when(F.col("_fixed"), sure).otherwise(F.col("push"))).drop("_fixed")
-        merge = _broadcast_if_small(told.where("gone <> into"))
+        merge = broadcast_if_small(told.where("gone <> into"))
         roots = cut(_renamed(roots, merge, "gone", "into", "root").select("volume", "node", "root"))
         done = told.where("done").select("volume", F.col("into").alias("_d")).distinct()
         named = _renamed(_renamed(pairs, merge, "gone", "into", "a"), merge, "gone", "into", "b")

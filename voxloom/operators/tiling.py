@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.voxels import AXES
+from voxloom.sources.bricks import SIZE, Halo, cut_at_borders, over_halos
 
 
 def axis_starts(a: str, patch: int, stride: int, coverage: str = "full") -> Column:
@@ -84,6 +87,100 @@ def blend(predictions: DataFrame, how: str = "gaussian", value: str = "pred", ep
     return g.agg((F.sum(F.col(value) * w) / (F.sum(w) + F.lit(eps))).alias(value))
 
 
+def _starts(extent: int, patch: int, stride: int, coverage: str) -> list[int]:
+    """As ``axis_starts`` has them."""
+    starts = list(range(0, max(0, extent - patch) + 1, stride))
+    return sorted({*starts, max(0, extent - patch)}) if coverage == "full" else starts
+
+
+def tile_weights(patch: tuple[int, int, int]) -> np.ndarray:
+    """``gaussian_weight`` of every place of a tile."""
+    axes = np.ix_(*((np.arange(p) - p / 2) ** 2 for p in patch))
+    r2 = axes[0] + axes[1] + axes[2]
+    return np.exp(-(r2 - r2.min()) / (2 * (min(patch) * 0.125) ** 2))
+
+
+def _predicted(h: Halo, value: str, model: Callable, patch, stride, coverage: str, batch: int):
+    """(patch_idx, corner, prediction) of the tiles that begin in a brick, which the
+    model takes as arrays of whole tiles, at most ``batch`` of them at a time."""
+    starts = [_starts(n, p, s, coverage) for n, p, s in zip(h.extent, patch, stride, strict=True)]
+    here = [[(k, c) for k, c in enumerate(one) if s <= c < s + d] for one, s, d in zip(starts, h.start, h.size, strict=True)]
+    tiles = list(product(*here))
+    block = h.blocks[value]
+    for at in range(0, len(tiles), batch):
+        some = tiles[at : at + batch]
+        corners = [[c for _, c in t] for t in some]
+        stack = np.stack([block[tuple(slice(c - q, c - q + p) for c, q, p in zip(corner, h.low, patch, strict=True))] for corner in corners])
+        for t, corner, pred in zip(some, corners, model(stack), strict=True):
+            yield (t[0][0] * len(starts[1]) + t[1][0]) * len(starts[2]) + t[2][0], corner, pred
+
+
+def _behind(patch) -> tuple:
+    return tuple((0, p - 1) for p in patch)
+
+
+TILES = 64
+
+
+def predict_tiles(bricks: DataFrame, value: str, model: Callable, patch, stride, coverage: str = "full", size=SIZE, batch: int = TILES) -> DataFrame:
+    """(volume, patch_idx, z0, y0, x0, nz, ny, nx, pred array<double>) of the tiles
+    of ``patch_grid``: each brick has what lies behind it up to a tile's length, and
+    the model, from arrays (tiles, nz, ny, nx) to such, is applied to the tiles that
+    begin in it. A volume shorter than a tile has shorter ones."""
+
+    def run(h: Halo) -> dict:
+        rows = [(k, *corner, *pred.shape, pred.ravel()) for k, corner, pred in _predicted(h, value, model, patch, stride, coverage, batch)]
+        cols = list(zip(*rows, strict=True)) or [()] * 8
+        return {"volume": [h.volume] * len(rows), **{c: list(v) for c, v in zip(("patch_idx", "z0", "y0", "x0", "nz", "ny", "nx", "pred"), cols, strict=True)}}
+
+    schema = "volume string, patch_idx int, z0 int, y0 int, x0 int, nz int, ny int, nx int, pred array<double>"
+    return over_halos(bricks, [value], _behind(patch), run, schema, size)
+
+
+def predict_blended(bricks: DataFrame, value: str, model: Callable, patch, stride, how: str = "gaussian", coverage: str = "full", size=SIZE, batch: int = TILES, eps: float = 1e-8, floor_at_zero: bool = False) -> DataFrame:
+    """Bricks (volume, bz, by, bx, z0, y0, x0, dz, dy, dx, pred array<double>) of the
+    blended predictions of overlapping tiles, as ``blend`` has them by voxels.
+
+    The tiles that begin in a brick are added up there, weighed, into sums and
+    weights that reach a tile's length beyond it; these are cut at the borders of
+    bricks, sent once as arrays, and added up by brick. A voxel that no tile covers
+    (``strict`` coverage) is null.
+    """
+
+    def run(h: Halo) -> dict:
+        shape = [min(n, s + d + p - 1) - s for n, s, d, p in zip(h.extent, h.start, h.size, patch, strict=True)]
+        total, weight = np.full(shape, -np.inf if how == "max" else 0.0), np.zeros(shape)
+        w = tile_weights(patch) if how == "gaussian" else np.ones(patch)
+        for _, corner, pred in _predicted(h, value, model, patch, stride, coverage, batch):
+            at = tuple(slice(c - s, c - s + n) for c, s, n in zip(corner, h.start, pred.shape, strict=True))
+            own = w[tuple(slice(0, n) for n in pred.shape)]
+            total[at] = np.maximum(total[at], pred) if how == "max" else total[at] + pred * own
+            weight[at] += own
+        rows = [(*t, *low, *n, x["total"], x["weight"]) for t, low, n, x in cut_at_borders(h.start, {"total": total, "weight": weight}, size)]
+        names = ("bz", "by", "bx", "z0", "y0", "x0", "dz", "dy", "dx", "total", "weight")
+        return {"volume": [h.volume] * len(rows), **{c: list(v) for c, v in zip(names, zip(*rows, strict=True), strict=True)}}
+
+    box = ", ".join(f"{c} int" for c in ("bz", "by", "bx", "z0", "y0", "x0", "dz", "dy", "dx"))
+    pieces = over_halos(bricks, [value], _behind(patch), run, f"volume string, {box}, total binary, weight binary", size)
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        low = b[["z0", "y0", "x0"]].to_numpy()
+        n = b[["dz", "dy", "dx"]].to_numpy()
+        first, end = low.min(axis=0), (low + n).max(axis=0)
+        total, weight = np.full(end - first, -np.inf if how == "max" else 0.0), np.zeros(end - first)
+        for corner, shape, t, w in zip(low, n, b["total"], b["weight"], strict=True):
+            at = tuple(slice(c - f, c - f + k) for c, f, k in zip(corner, first, shape, strict=True))
+            t = np.frombuffer(t).reshape(shape)
+            total[at] = np.maximum(total[at], t) if how == "max" else total[at] + t
+            weight[at] += np.frombuffer(w).reshape(shape)
+        pred = (np.maximum(total, 0.0) if floor_at_zero else total) if how == "max" else total / (weight + eps)
+        pred = [None if u else v for v, u in zip(pred.ravel().tolist(), (weight == 0).ravel().tolist(), strict=True)] if (weight == 0).any() else pred.ravel()
+        row = (b["volume"].iloc[0], *(int(b[c].iloc[0]) for c in ("bz", "by", "bx")), *first.tolist(), *(end - first).tolist(), pred)
+        return pd.DataFrame([row], columns=["volume", "bz", "by", "bx", "z0", "y0", "x0", "dz", "dy", "dx", "pred"])
+
+    return pieces.groupBy("volume", "bz", "by", "bx").applyInPandas(add, f"volume string, {box}, pred array<double>")
+
+
 def safe_patch(resolutions: DataFrame, patch: tuple[int, int, int], top: tuple[float, float, float], own: tuple[float, float, float], union: bool = False) -> DataFrame:
     """One row (safe_z, safe_y, safe_x): the size to read so that the worst zoom,
     the finest native resolution over the coarsest target, still fills the patch.

@@ -32,17 +32,54 @@ def query(name, sql=None):
     return keep
 
 
-@query("cc_label")
+def components_sql(steps):
+    """Runs along x as nodes, their contacts in other lines, and the runs that each
+    one reaches; components are numbered by their first voxel."""
+    return f"""WITH RECURSIVE {X.VOXELS_SQL}, st(sz, sy, sx) AS (VALUES {', '.join(map(str, steps))}),
+ fg AS (SELECT volume, z, y, x, label, x - row_number() OVER (PARTITION BY volume, z, y, label ORDER BY x) AS g FROM voxels WHERE label > 0),
+ rn AS MATERIALIZED (SELECT volume, z, y, label, min(x) AS lo, max(x) AS hi, row_number() OVER (ORDER BY volume, z, y, min(x)) AS r FROM fg GROUP BY volume, z, y, label, g),
+ tc AS MATERIALIZED (SELECT DISTINCT a.r AS a, b.r AS b FROM rn a JOIN st ON true JOIN rn b ON b.volume = a.volume AND b.z = a.z + sz AND b.y = a.y + sy AND b.label = a.label AND b.lo <= a.hi + sx AND b.hi >= a.lo - sx),
+ bo AS MATERIALIZED (SELECT a, b FROM tc UNION SELECT b, a FROM tc),
+ rc(a, b) AS (SELECT r, r FROM rn UNION SELECT rc.a, bo.b FROM rc JOIN bo ON rc.b = bo.a),
+ ro AS (SELECT a, min(b) AS root FROM rc GROUP BY a),
+ nu AS (SELECT a, dense_rank() OVER (PARTITION BY volume ORDER BY root) AS component FROM ro JOIN rn ON rn.r = ro.a),
+ cc AS (SELECT v.volume, v.z, v.y, v.x, coalesce(component, 0)::BIGINT AS component FROM voxels v LEFT JOIN rn ON rn.volume = v.volume AND rn.z = v.z AND rn.y = v.y AND v.x BETWEEN rn.lo AND rn.hi LEFT JOIN nu ON nu.a = rn.r)"""
+
+
+CC_FACES = components_sql([(0, 1, 0), (1, 0, 0)])
+CC_CORNERS = components_sql([(0, 1, 1), (1, -1, 1), (1, 0, 1), (1, 1, 1)])
+
+
+@query("cc_label", f"{CC_FACES} SELECT * FROM cc")
 def _(spark, sf):
     return K.connected_components(X.voxels(spark, sf)).select(*KEYS, "component")
 
 
+@query("cc_label_corners", f"{CC_CORNERS} SELECT volume, z, y, component, count(*) AS n FROM cc GROUP BY ALL")
+def _(spark, sf):
+    return K.connected_components(X.voxels(spark, sf), connectivity=3).groupBy("volume", "z", "y", "component").agg(F.count("*").alias("n"))
+
+
+@query(
+    "cc_label_renumbered",
+    f"{CC_FACES}, lg AS (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY c) AS k FROM (SELECT volume, component AS c FROM cc WHERE component > 0 GROUP BY ALL HAVING count(*) >= 20)) SELECT cc.volume, cc.z, cc.y, cc.x, coalesce(k, 0)::BIGINT AS component FROM cc LEFT JOIN lg ON lg.volume = cc.volume AND lg.c = cc.component",
+)
+def _(spark, sf):
+    """Components of 20 voxels or more, counted anew."""
+    return K.labelled(X.voxels(spark, sf), 20, renumber=True).select(*KEYS, "component")
+
+
 @query("cc_min_size", f"{VX} SELECT volume, pred, count(*) AS n FROM (SELECT v.volume, CASE WHEN s.volume IS NULL THEN 0 ELSE pred END AS pred FROM voxels v LEFT JOIN (SELECT volume, pred AS p FROM voxels WHERE pred > 0 GROUP BY ALL HAVING count(*) >= 400) s ON s.volume = v.volume AND s.p = v.pred) GROUP BY ALL")
 def _(spark, sf):
     return K.min_size(X.voxels(spark, sf), 400, "pred").groupBy("volume", "pred").agg(F.count("*").alias("n"))
 
 
-@query("edt_distance")
+@query(
+    "edt_distance",
+    f"""{VX}, dx AS (SELECT v.volume, v.z, v.y, v.x, min((v.x - s.x) * (v.x - s.x)) AS d FROM voxels v JOIN voxels s ON s.volume = v.volume AND s.z = v.z AND s.y = v.y WHERE s.label = 0 GROUP BY ALL),
+ dy AS (SELECT v.volume, v.z, v.y, v.x, min(d + (v.y - s.y) * (v.y - s.y)) AS d FROM voxels v JOIN dx s ON s.volume = v.volume AND s.z = v.z AND s.x = v.x GROUP BY ALL)
+ SELECT v.volume, v.z, v.y, v.x, round(sqrt(min(d + 25 * (v.z - s.z) * (v.z - s.z))), 6) AS distance FROM voxels v JOIN dy s ON s.volume = v.volume AND s.y = v.y AND s.x = v.x GROUP BY ALL""",
+)
 def _(spark, sf):
     d = K.distance_transform(X.voxels(spark, sf), "label", (5.0, 1.0, 1.0))
     return d.withColumn("distance", F.round("distance", 6))
@@ -63,7 +100,17 @@ def _(spark, sf):
     return g.groupBy("volume", "z", "y").agg(F.sum("grown").alias("grown"), F.sum(F.col("grown") * (F.col("x") + 1)).alias("placed"))
 
 
-@query("fil_gaussian")
+def smoothed_sql(axis, source, n):
+    """One pass of the filter along an axis of n voxels; the edge voxel is reflected too."""
+    at = f"v.{axis} + k"
+    other = " AND ".join(f"s.{a} = v.{a}" for a in ("volume", *"zyx") if a != axis)
+    return f"SELECT v.volume, v.z, v.y, v.x, sum(s.intensity * w) AS intensity FROM voxels v CROSS JOIN kn JOIN {source} s ON {other} AND s.{axis} = CASE WHEN {at} < 0 THEN -1 - ({at}) WHEN {at} >= {n} THEN {2 * n - 1} - ({at}) ELSE {at} END GROUP BY ALL"
+
+
+@query(
+    "fil_gaussian",
+    f"{VX}, kn AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM range(-4, 5) t(k)), gz AS ({smoothed_sql('z', 'voxels', 7)}), gy AS ({smoothed_sql('y', 'gz', 32)}), gx AS ({smoothed_sql('x', 'gy', 64)}) SELECT volume, z, y, x, round(intensity + 1.234e-5, 3) AS intensity FROM gx",
+)
 def _(spark, sf):
     return K.gaussian_filter(X.voxels(spark, sf), 1.0).withColumn("intensity", F.round(F.col("intensity") + 1.234e-5, 3))
 

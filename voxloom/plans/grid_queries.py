@@ -16,6 +16,7 @@ from voxloom.operators import tiling as T
 from voxloom.operators import voxels as V
 from voxloom.plans.metric_queries import rounded
 from voxloom.plans.voxel_queries import EXT, KEYS, NB, PAIRS, VX
+from voxloom.sources import bricks as B
 from voxloom.sources import fixtures as X
 
 QUERIES, SQL = {}, {}
@@ -269,6 +270,7 @@ def _(spark, sf):
 
 # --- tiled inference -------------------------------------------------------
 
+BRICK = (8, 32, 32)
 GW = "exp(-(power(pz - 2.0, 2) + power(py - 4.0, 2) + power(px - 8.0, 2)) / (2 * 0.25))"
 
 
@@ -280,19 +282,15 @@ def _(spark, sf):
     return rounded(T.gaussian_weight(tiles, P).select("volume", "patch_idx", "pz", "py", "px", "weight"), "weight")
 
 
-def linear_model(b: pd.DataFrame) -> pd.DataFrame:
+def linear_model(tiles: np.ndarray) -> np.ndarray:
     """A toy model: half the value and a quarter."""
-    return b.assign(preds=[[0.5 * v + 0.25 for v in vs] for vs in b["vals"]])[["volume", "patch_idx", "cells", "preds"]]
+    return 0.5 * tiles + 0.25
 
 
-def predictions(spark, sf):
+def parities(spark, sf):
+    """Bricks of the parity of labels, as values to predict from."""
     v = X.voxels(spark, sf).select(*KEYS, (F.col("label") % 2).cast("double").alias("value"))
-    tiles = T.patch_grid(V.extents(v), P, (2, 4, 8))
-    cells = T.assign(v, tiles).groupBy("volume", "patch_idx").agg(F.collect_list(F.struct("z", "y", "x", "pz", "py", "px", "value")).alias("c"))
-    place = "array<struct<z:int,y:int,x:int,pz:int,py:int,px:int>>"
-    rows = cells.select("volume", "patch_idx", F.expr(f"CAST(transform(c, s -> struct(s.z, s.y, s.x, s.pz, s.py, s.px)) AS {place})").alias("cells"), F.col("c.value").alias("vals"))
-    out = T.tiled_predict(rows, linear_model, f"volume string, patch_idx int, cells {place}, preds array<double>")
-    return out.select("volume", "patch_idx", F.explode(F.arrays_zip("cells", "preds")).alias("s")).select("volume", "patch_idx", "s.cells.*", F.col("s.preds").alias("pred"))
+    return B.to_bricks(v, BRICK, ("value",))
 
 
 PRED = f"{tiles_sql(P, (2, 4, 8))}, pd AS (SELECT v.volume, patch_idx, v.z, v.y, v.x, v.z - z0 AS pz, v.y - y0 AS py, v.x - x0 AS px, 0.5 * (label % 2) + 0.25 AS pred FROM tl JOIN voxels v ON v.volume = tl.volume AND v.z >= z0 AND v.z < z0 + nz AND v.y >= y0 AND v.y < y0 + ny AND v.x >= x0 AND v.x < x0 + nx)"
@@ -300,12 +298,14 @@ PRED = f"{tiles_sql(P, (2, 4, 8))}, pd AS (SELECT v.volume, patch_idx, v.z, v.y,
 
 @query("inf_tiled_predict", f"{VX}{EXT}{PRED} SELECT volume, patch_idx, count(*) AS n, round(sum(pred), 6)::DOUBLE AS total FROM pd GROUP BY ALL")
 def _(spark, sf):
-    return predictions(spark, sf).groupBy("volume", "patch_idx").agg(F.count("*").alias("n"), F.round(F.sum("pred"), 6).alias("total"))
+    tiles = T.predict_tiles(parities(spark, sf), "value", linear_model, P, (2, 4, 8), size=BRICK)
+    return tiles.select("volume", "patch_idx", F.size("pred").cast("bigint").alias("n"), F.round(F.expr("aggregate(pred, 0D, (a, x) -> a + x)"), 6).alias("total"))
 
 
 @query("inf_blend", f"{VX}{EXT}{PRED} SELECT volume, z, y, x, round(sum(pred * {GW}) / (sum({GW}) + 1e-8), 5)::DOUBLE AS pred FROM pd GROUP BY ALL")
 def _(spark, sf):
-    return T.blend(T.gaussian_weight(predictions(spark, sf), P)).withColumn("pred", F.round("pred", 5))
+    out = T.predict_blended(parities(spark, sf), "value", linear_model, P, (2, 4, 8), size=BRICK)
+    return B.to_voxels(out, ("pred",)).withColumn("pred", F.round("pred", 5))
 
 
 # --- scores ----------------------------------------------------------------

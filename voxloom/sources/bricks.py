@@ -63,8 +63,9 @@ class Halo:
 
     def __init__(self, row, columns: dict[str, str], reach):
         self.volume, self.start, self.size, self.extent = row.volume, (row.z0, row.y0, row.x0), (row.dz, row.dy, row.dx), (row.nz, row.ny, row.nx)
-        self.low = [max(0, s - m) for s, m in zip(self.start, reach, strict=True)]
-        high = [min(n, s + d + m) for n, s, d, m in zip(self.extent, self.start, self.size, reach, strict=True)]
+        before, after = _both(reach)
+        self.low = [max(0, s - m) for s, m in zip(self.start, before, strict=True)]
+        high = [min(n, s + d + m) for n, s, d, m in zip(self.extent, self.start, self.size, after, strict=True)]
         self.blocks = {c: np.zeros([h - s for s, h in zip(self.low, high, strict=True)], kind) for c, kind in columns.items()}
         for p in row.parts:
             shape = (p["dz"], p["dy"], p["dx"])
@@ -87,14 +88,21 @@ class Halo:
         return self.blocks[column][np.ix_(*there)]
 
 
+def _both(reach) -> tuple[tuple, tuple]:
+    """How far a reach goes before and behind a brick, along each axis."""
+    pairs = [r if isinstance(r, tuple) else (r, r) for r in reach]
+    return tuple(r[0] for r in pairs), tuple(r[1] for r in pairs)
+
+
 def halos(bricks: DataFrame, columns: dict[str, str], reach, size=SIZE) -> DataFrame:
     """``bricks`` (as ``to_bricks`` cuts them by ``size``) with the volume's extent
-    and parts: what lies within ``reach`` voxels of the brick, its own part too.
-    Each brick cuts out of its arrays what each of its neighbours needs of it, and
+    and parts: what lies within ``reach`` voxels of the brick, its own part too; a
+    reach along an axis may be a pair, for before and behind the brick. Each brick cuts out of its arrays what each of its neighbours needs of it, and
     sends that and no more; the neighbours' numbers are as many rings as the reach
     asks for."""
     ext = bricks.groupBy("volume").agg(*(F.max(F.col(f"{a}0") + F.col(f"d{a}")).alias(f"n{a}") for a in AXES))
-    rings = [-(-r // n) for r, n in zip(reach, size, strict=True)]
+    before, after = _both(reach)
+    up, down = ([-(-r // n) for r, n in zip(far, size, strict=True)] for far in (before, after))
 
     def send(batches):
         for b in batches:
@@ -102,11 +110,11 @@ def halos(bricks: DataFrame, columns: dict[str, str], reach, size=SIZE) -> DataF
             for r in b.itertuples(index=False):
                 start, shape, extent = (r.z0, r.y0, r.x0), (r.dz, r.dy, r.dx), (r.nz, r.ny, r.nx)
                 arrays = {c: np.asarray(getattr(r, c), kind).reshape(shape) for c, kind in columns.items()}
-                for t in product(*(range(max(0, q - k), min((n - 1) // w, q + k) + 1) for q, k, n, w in zip((r.bz, r.by, r.bx), rings, extent, size, strict=True))):
+                for t in product(*(range(max(0, q - j), min((n - 1) // w, q + k) + 1) for q, j, k, n, w in zip((r.bz, r.by, r.bx), down, up, extent, size, strict=True))):
                     own = [k * w for k, w in zip(t, size, strict=True)]
                     ends = [min(n, s + w) for n, s, w in zip(extent, own, size, strict=True)]
-                    low = [max(s, q - m) for s, q, m in zip(start, own, reach, strict=True)]
-                    high = [min(s + d, e + m) for s, d, e, m in zip(start, shape, ends, reach, strict=True)]
+                    low = [max(s, q - m) for s, q, m in zip(start, own, before, strict=True)]
+                    high = [min(s + d, e + m) for s, d, e, m in zip(start, shape, ends, after, strict=True)]
                     if all(q < h for q, h in zip(low, high, strict=True)):
                         piece = tuple(slice(q - s, h - s) for q, h, s in zip(low, high, start, strict=True))
                         rows.append((r.volume, *t, *own, *(e - s for e, s in zip(ends, own, strict=True)), *extent, {**dict(zip(("z0", "y0", "x0", "dz", "dy", "dx"), (*low, *(h - q for h, q in zip(high, low, strict=True))), strict=True)), **{c: a[piece].tobytes() for c, a in arrays.items()}}))
@@ -118,6 +126,17 @@ def halos(bricks: DataFrame, columns: dict[str, str], reach, size=SIZE) -> DataF
     return sent.groupBy(*[c for c in sent.columns if c != "part"]).agg(F.collect_list("part").alias("parts"))
 
 
+def cut_at_borders(start, blocks: dict[str, np.ndarray], size):
+    """The pieces of arrays that lie at ``start`` that each brick of the grid gets:
+    (brick numbers, box of the piece, pieces by name as bytes)."""
+    shape = next(iter(blocks.values())).shape
+    for t in product(*(range(s // w, (s + d - 1) // w + 1) for s, d, w in zip(start, shape, size, strict=True))):
+        low = [max(s, k * w) for s, k, w in zip(start, t, size, strict=True)]
+        high = [min(s + d, (k + 1) * w) for s, d, k, w in zip(start, shape, t, size, strict=True)]
+        at = tuple(slice(q - s, h - s) for q, h, s in zip(low, high, start, strict=True))
+        yield t, low, [h - q for h, q in zip(high, low, strict=True)], {c: np.ascontiguousarray(a[at]).tobytes() for c, a in blocks.items()}
+
+
 def over_halos(bricks: DataFrame, columns: list[str], reach, fn, schema: str, size=SIZE) -> DataFrame:
     """Apply ``fn`` (from a ``Halo`` to a dict of columns) to every brick with what
     lies around it; the columns that ``schema`` names come out. What a brick gives
@@ -128,7 +147,9 @@ def over_halos(bricks: DataFrame, columns: list[str], reach, fn, schema: str, si
     def run(batches):
         for b in batches:
             for r in b.itertuples(index=False):
-                yield pd.DataFrame(fn(Halo(r, kinds, reach)))[names]
+                found = pd.DataFrame(fn(Halo(r, kinds, reach)))
+                if len(found):
+                    yield found[names]
 
     return halos(bricks, kinds, reach, size).mapInPandas(run, schema)
 
