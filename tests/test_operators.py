@@ -376,12 +376,31 @@ def test_metrics_of_a_volume_of_background_alone(spark):
 def test_expected_information_of_large_segments():
     few = M._expected_terms(np.array([50]), np.array([70]), np.array([1]), np.array([200]))[0]
     m = np.arange(1, 51, dtype=float)
-    from math import lgamma
+    from math import exp, lgamma
 
     p = np.array([np.exp(lgamma(51) + lgamma(71) + lgamma(151) + lgamma(131) - lgamma(201) - lgamma(k + 1) - lgamma(51 - k) - lgamma(71 - k) - lgamma(200 - 120 + k + 1)) for k in m])
     assert few == pytest.approx(float((m / 200 * np.log(200 * m / 3500) * p).sum()), rel=1e-9)
     large = M._expected_terms(np.array([10**9]), np.array([2 * 10**9]), np.array([1]), np.array([10**10]))[0]
     assert 0 < large < 1e-8
+    # many pairs at once equal one at a time, by sums over all sizes
+    rng = np.random.default_rng(3)
+    x, y, t = rng.integers(1, 60, 300), rng.integers(1, 60, 300), np.full(300, 60)
+
+    def plain(x, y, t):
+        p = np.array([exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1)) for k in range(max(1, x + y - t), min(x, y) + 1)])
+        k = np.arange(max(1, x + y - t), min(x, y) + 1)
+        return float((k / t * np.log(t * k / (x * y)) * p).sum())
+
+    assert np.allclose(M._expected_terms(x, y, np.full(300, 2.0), t), [2 * plain(*map(int, v)) for v in zip(x, y, t, strict=True)], rtol=1e-9, atol=1e-13)
+
+
+def test_adjusted_information_does_not_depend_on_blocks_of_sizes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [("v", int(a), int(a) // 3 + int(rng.integers(3))) for a in rng.integers(1, 40, 3000) ** 2 // 40]
+    c = M.contingency(spark.createDataFrame(rows, "volume string, true_id int, pred_id int"))
+    whole = M.ami(c).first()["ami"]
+    monkeypatch.setattr(M, "GRID", 3)
+    assert M.ami(c).first()["ami"] == pytest.approx(whole, rel=1e-12) and 0 < whole < 1
 
 
 def test_ranks_and_buckets_of_edges(spark):

@@ -77,40 +77,37 @@ def ted(cells: DataFrame) -> DataFrame:
     return every.select("volume", splits.alias("splits"), merges.alias("merges"), (splits + merges).alias("ted"))
 
 
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """log gamma for x >= 1 by Stirling's series, after a shift past 10."""
-    x = np.asarray(x, float)
-    shift = np.zeros_like(x)
-    small = x < 10
-    while small.any():
-        shift = np.where(small, shift + np.log(np.where(small, x, 1.0)), shift)
-        x = np.where(small, x + 1, x)
-        small = x < 10
-    r = 1 / x
-    series = r / 12 - r**3 / 360 + r**5 / 1260 - r**7 / 1680 + r**9 / 1188
-    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
-
-
-TERMS = 1 << 20  # of one sum that are held at a time
+NEGLIGIBLE = 1e-25  # of the likeliest cell size's probability
+GRID = 512  # distinct marginals on each side of a block of pairs
 
 
 def _expected_terms(a: np.ndarray, b: np.ndarray, times: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The expected mutual information (nats) that pairs of marginals a and b add,
-    each ``times`` over, by the hypergeometric sum over the cell's size. Sizes
-    that lie so far from the expected one that they add nothing in doubles, over 40
-    standard deviations, are passed over: a sum is as long as the root of a segment."""
-    out = np.zeros(len(a))
-    for k in range(len(a)):
-        x, y, t = float(a[k]), float(b[k]), float(n[k])
-        mean = x * y / t
-        reach = 40 * (np.sqrt(mean * (1 - x / t) * max(t - y, 0) / max(t - 1, 1)) + 10)
-        low, high = int(max(1, x + y - t, mean - reach)), int(min(x, y, mean + reach))
-        fixed = _lgamma(np.array([x, y, t - x, t - y]) + 1).sum() - _lgamma(np.array([t + 1]))[0]
-        for at in range(low, high + 1, TERMS):
-            m = np.arange(at, min(high + 1, at + TERMS), dtype=float)
-            log_p = fixed - _lgamma(m + 1) - _lgamma(x - m + 1) - _lgamma(y - m + 1) - _lgamma(t - x - y + m + 1)
-            out[k] += times[k] * float((m / t * np.log(t * m / (x * y)) * np.exp(log_p)).sum())
-    return out
+    each ``times`` over, by the hypergeometric sum over the cell's size.
+
+    All pairs go together, from the likeliest size up and then down, by the ratio
+    of neighbouring probabilities; these need no factorials, as their sum is one.
+    A pair is left where its terms have become negligible: a sum is as long as the
+    root of a segment."""
+    x, y, t = (np.asarray(v, float) for v in (a, b, n))
+    low, high = np.maximum(0.0, x + y - t), np.minimum(x, y)
+    mode = np.clip(np.floor((x + 1) * (y + 1) / (t + 2)), low, high)
+
+    def gain(m, x, y, t):
+        return m / t * np.log(np.maximum(t * m, 1e-300) / (x * y))
+
+    total, out = np.ones(len(x)), gain(mode, x, y, t)
+    for up in (True, False):
+        at, m, r = np.arange(len(x)), mode.copy(), np.ones(len(x))
+        while len(at):
+            p, q, s = x[at], y[at], t[at]
+            r = r * ((p - m) * (q - m) / ((m + 1) * (s - p - q + m + 1)) if up else m * (s - p - q + m) / ((p - m + 1) * (q - m + 1)))
+            m = m + 1 if up else m - 1
+            on = (r > NEGLIGIBLE) & (m <= high[at] if up else m >= low[at])
+            at, m, r = at[on], m[on], r[on]
+            total[at] += r
+            out[at] += gain(m, x[at], y[at], t[at]) * r
+    return out / total * times
 
 
 def ami(cells: DataFrame) -> DataFrame:
@@ -125,16 +122,22 @@ def ami(cells: DataFrame) -> DataFrame:
     sizes_p = by_pred.groupBy("volume", "n_pred").agg(F.count("*").alias("c_pred"))
 
     @F.pandas_udf("double")
-    def expected(a: pd.Series, b: pd.Series, times: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(_expected_terms(a.to_numpy(), b.to_numpy(), times.to_numpy(), n.to_numpy()))
-
-    emi = (
-        sizes_t.join(sizes_p, "volume")
-        .join(total, "volume")
-        .select("volume", expected("n_true", "n_pred", F.col("c_true") * F.col("c_pred"), "total").alias("e"))
-        .groupBy("volume")
-        .agg(F.sum("e").alias("emi"))
-    )
+    def expected(a: pd.Series, ca: pd.Series, b: pd.Series, cb: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for x, cx, y, cy, t in zip(a, ca, b, cb, n, strict=True):
+            i, j = (k.ravel() for k in np.indices((len(x), len(y))))
+            out.append(float(_expected_terms(x[i], y[j], (cx[i] * cy[j]).astype(float), np.full(len(i), t)).sum()))
+        return pd.Series(out, dtype=float)
+
+    def blocks(sizes: DataFrame, side: str) -> DataFrame:
+        """A volume's distinct sizes in arrays of about GRID."""
+        many = sizes.groupBy("volume").agg(F.ceil(F.count("*") / GRID).alias("k"))
+        block = F.expr(f"pmod(xxhash64(n_{side}), k)")
+        return sizes.join(many, "volume").groupBy("volume", block.alias(f"block_{side}")).agg(F.collect_list(f"n_{side}").alias(f"n_{side}"), F.collect_list(F.col(f"c_{side}").cast("double")).alias(f"c_{side}"))
+
+    # each row is a block of pairs, and blocks of one volume are dealt over tasks
+    pairs = blocks(sizes_t, "true").join(blocks(sizes_p, "pred"), "volume").join(total, "volume").repartition("volume", "block_true", "block_pred")
+    emi = pairs.select("volume", expected("n_true", "c_true", "n_pred", "c_pred", "total").alias("e")).groupBy("volume").agg(F.sum("e").alias("emi"))
     mi = (
         cells.join(by_true, ["volume", "true_id"])
         .join(by_pred, ["volume", "pred_id"])

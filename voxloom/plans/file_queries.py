@@ -8,12 +8,14 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from voxloom.operators.graph import cut, shared_folder
 from voxloom.plans.voxel_queries import VX
 from voxloom.sources import bricks as B
 from voxloom.sources import fixtures as X
+from voxloom.sources.npy import read_volumes
 
 QUERIES, SQL = {}, {}
 SLAB = 4  # sections of a file
@@ -48,10 +50,10 @@ def slab_files(spark, sf):
     return cut(files.select(F.concat("stem", "suffix").alias("name"), "stem", "suffix", F.octet_length("content").cast("bigint").alias("length"), "content"))
 
 
-@query(
-    "src_volume_ingest",
-    f"{VX} SELECT volume || '_0' AS volume, y // 16 AS by, x // 16 AS bx, count(*) AS n, round(sum(intensity), 2) AS total FROM voxels WHERE z < {SLAB} GROUP BY ALL",
-)
+INGESTED = f"{VX} SELECT volume || '_0' AS volume, y // 16 AS by, x // 16 AS bx, count(*) AS n, round(sum(intensity), 2) AS total FROM voxels WHERE z < {SLAB} GROUP BY ALL"
+
+
+@query("src_volume_ingest", INGESTED)
 def _(spark, sf):
     """The fit files, decoded to bricks."""
     b = B.ingest(slab_files(spark, sf))
@@ -59,6 +61,28 @@ def _(spark, sf):
     return b.groupBy("volume", "by", "bx").agg(F.sum(F.size("values")).alias("n"), total.alias("total"))
 
 
+@query("src_volume_ranges", INGESTED)
+def _(spark, sf):
+    """The fit files, put into the shared folder and read from there by byte ranges."""
+    folder = f"{shared_folder(spark)}/npy-{uuid.uuid4().hex}"
+
+    def put(batches):
+        for b in batches:
+            store, path = fs.FileSystem.from_uri(folder)
+            store.create_dir(path)
+            for name, content in zip(b["name"], b["content"], strict=True):
+                with store.open_output_stream(f"{path}/{name}") as f:
+                    f.write(content)
+            yield b[["name", "stem"]]
+
+    fit = slab_files(spark, sf)
+    fit = fit.join(B.validate(fit).where("ok").select("name"), "name")
+    names = cut(fit.select("name", "stem", "content").mapInPandas(put, "name string, stem string"))
+    b = read_volumes(spark, [(f"{folder}/{r['name']}", r["stem"]) for r in names.toLocalIterator()], part_bytes=16_384)
+    total = F.round(F.sum(F.expr("aggregate(values, 0D, (s, x) -> s + x)")), 2)
+    return b.groupBy("volume", "by", "bx").agg(F.sum(F.size("values")).alias("n"), total.alias("total"))
+
+
 @query(
     "src_file_validate",
     f"""{VX}, f AS (SELECT DISTINCT volume, z // {SLAB} AS slab, CAST(split_part(volume, '_', 2) AS INT) % 2 = 0 AS even FROM voxels)

@@ -220,7 +220,7 @@ def streamed(spark, sf, table, make, mode="complete"):
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{path}*")
     out = make(source)
     S.to_table(out, f"{base}/table", f"{base}/checkpoint", mode)
-    return spark.read.schema(out.schema).parquet(f"{base}/table").select(out.columns)
+    return S.read_table(spark, f"{base}/table", out.schema)
 
 
 @query("str_running_eval", f"WITH {X.METRIC_ROWS_SQL} SELECT name, round(sum(value * weight) / sum(weight), 6) AS mean, sum(weight) AS sum_weight FROM metric_rows GROUP BY ALL HAVING sum(weight) > 0")

@@ -3,7 +3,9 @@ is sums by key, so a stream's table equals the batch's over the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,15 +32,77 @@ def new_items(rows: DataFrame, key: str, ts: str = "ts", late: str = "1 day") ->
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Run a stream over what is there now and leave its table at ``path``: each
-    micro-batch in complete mode replaces it, in append mode adds to it, in a folder
-    of its number, so that a batch that is run again replaces what it has left.
-    Such a table has the number as a column, batch, besides the stream's."""
+    """Run a stream over what is there now and leave its table at ``path``, which
+    ``read_table`` reads: each micro-batch in complete mode replaces it, in append
+    mode adds to it, in a folder of its number, so that a batch that is run again
+    replaces what it has left."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch_sink(path, mode)).start().awaitTermination()
 
 
 def batch_sink(path: str, mode: str):
+    """In complete mode a batch is written beside the table, in a folder of its own,
+    and published when it is whole: a file that names the folder is put in place of
+    the one before by one rename. Readers see one batch or the next, never parts of
+    one. The folder before last goes, as no reader that started since uses it."""
+
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+        spark = batch.sparkSession
+        if mode != "complete":
+            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            return
+        folder = f"batch-{number}-{uuid.uuid4().hex}"
+        batch.write.parquet(f"{path}/{folder}")
+        before = _published(spark, path)
+        _publish(spark, path, [folder, *before[:1]])
+        for old in before[1:]:
+            _delete(spark, f"{path}/{old}")
 
     return put
+
+
+CURRENT = "_current"  # the file with the names of the published folder and of the one before
+
+
+def _filesystem(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, conf, where, where.getFileSystem(conf)
+
+
+def _published(spark: SparkSession, path: str) -> list[str]:
+    _, _, where, files = _filesystem(spark, f"{path}/{CURRENT}")
+    if not files.exists(where):
+        return []
+    stream = files.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode().split("\n")
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, folders: list[str]) -> None:
+    jvm, conf, where, files = _filesystem(spark, f"{path}/{CURRENT}")
+    _, _, beside, _ = _filesystem(spark, f"{path}/{CURRENT}-{uuid.uuid4().hex}")
+    stream = files.create(beside)
+    stream.write("\n".join(folders).encode())
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.getFileSystem(conf).getUri(), conf).rename(beside, where, options)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _, _, where, files = _filesystem(spark, path)
+    files.delete(where, True)
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that ``to_table`` has left: the published batch in complete mode, all
+    batches in append mode. Without a batch it is empty."""
+    published = _published(spark, path)
+    if published:
+        return spark.read.schema(schema).parquet(f"{path}/{published[0]}")
+    _, _, where, files = _filesystem(spark, path)
+    if not files.exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*(f.name for f in schema.fields))
