@@ -122,11 +122,30 @@ def score_sums(bricks: DataFrame, predict: Callable, offsets=OFFSETS, gamma: flo
     return parts.groupBy("volume", "idx", "target").agg(*(F.sum(c).alias(c) for c in ("n", "bce", "focal", "p", "pt")))
 
 
-def edges(bricks: DataFrame, affinity: Callable, offsets=OFFSETS, n_pull: int = N_PULL, strides=(1, 2, 2), label: str = "label", size=SIZE) -> DataFrame:
+def neighbor_counts(bricks: DataFrame, steps, label: str = "label", size=SIZE) -> DataFrame:
+    """(volume, z, y, x0, n array<int>): of every voxel of a brick's stretch of a line
+    how many of its neighbours at ``steps`` (as ``binary_structure`` gives them, itself
+    if among them) lie in the volume and have its label."""
+
+    def run(h: Halo) -> dict:
+        own, n = h.own(label), np.zeros(h.size, np.int32)
+        for o in steps:
+            inside = np.ones(h.size, bool)
+            for x, d, w in zip(h.axes(), o, h.extent, strict=True):
+                inside = inside & (x + d >= 0) & (x + d < w)
+            n += inside & (h.at(label, o) == own)
+        z, y = (np.broadcast_to(a[..., 0], h.size[:2]).ravel() for a in h.axes()[:2])
+        return {"volume": h.volume, "z": z, "y": y, "x0": np.int32(h.start[2]), "n": list(n.reshape(-1, h.size[2]))}
+
+    return over_halos(bricks, [label], reach_of(steps), run, "volume string, z int, y int, x0 int, n array<int>", size)
+
+
+def edges(bricks: DataFrame, affinity: Callable, offsets=OFFSETS, n_pull: int = N_PULL, strides=(1, 2, 2), label: str = "label", size=SIZE, mask: str | None = None) -> DataFrame:
     """The edges that ``mutex.build_edges`` makes (volume, u, v, idx, weight,
     mutex) of affinities that ``affinity(halo, idx, same)`` gives for a brick, or
     that its arrays hold; pairs leave the brick as arrays' rows, already in
-    bounds and on the stride lattice."""
+    bounds and on the stride lattice. ``mask``, a boolean column of the bricks, keeps
+    edges with both ends in it."""
 
     def run(h: Halo) -> dict:
         own = h.own(label)
@@ -139,6 +158,8 @@ def edges(bricks: DataFrame, affinity: Callable, offsets=OFFSETS, n_pull: int =
                 keep &= (x + d >= 0) & (x + d < n)
                 if k >= n_pull:
                     keep &= (x - max(0, -d)) % s == 0
+            if mask is not None:
+                keep &= h.own(mask) & h.at(mask, o)
             a = np.broadcast_to(affinity(h, k, h.at(label, o) == own), h.size)[keep]
             near = u[keep]
             out["u"].append(near)
@@ -148,7 +169,8 @@ def edges(bricks: DataFrame, affinity: Callable, offsets=OFFSETS, n_pull: int =
             out["mutex"].append(np.full(len(near), k >= n_pull))
         return {"volume": h.volume, **{c: np.concatenate(v) for c, v in out.items()}}
 
-    return over_halos(bricks, [label], reach_of(offsets), run, "volume string, u bigint, v bigint, idx int, weight double, mutex boolean", size)
+    columns = [label] if mask is None else [label, mask]
+    return over_halos(bricks, columns, reach_of(offsets), run, "volume string, u bigint, v bigint, idx int, weight double, mutex boolean", size)
 
 
 def sums_along_x(lines: DataFrame, column: str = "target") -> DataFrame:

@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.operators.components import min_size
+from voxloom.operators.components import grow_labels, min_size
 from voxloom.operators.graph import broadcast_if_small, components, cut, ranked_by_ranges
 from voxloom.operators.neighbors import N_PULL, OFFSETS
-from voxloom.operators.voxels import AXES
+from voxloom.operators.voxels import AXES, extents
 
 
 def build_edges(affinities: DataFrame, offsets=OFFSETS, n_pull: int = N_PULL, strides=(1, 2, 2), mask: DataFrame | None = None) -> DataFrame:
@@ -396,3 +396,29 @@ def stitch(overlaps: DataFrame, share: float = 0.5) -> DataFrame:
 def finish(voxels: DataFrame, foreground: str, least: int, column: str = "component") -> DataFrame:
     """Instances outside the foreground and those of too few voxels become 0."""
     return min_size(voxels.withColumn(column, F.when(F.col(foreground), F.col(column)).otherwise(F.lit(0).cast("bigint"))), least, column)
+
+
+def agglomerate(
+    edges: DataFrame, voxels: DataFrame, foreground: str, least: int = 0, max_push: int | None = None, grow: float | None = None, sampling=(1.0, 1.0, 1.0), size=BLOCK, most: int = BLOCK_PAIRS
+) -> DataFrame:
+    """(volume, z, y, x, instance): the whole way from edges (with both ends in the
+    foreground, as ``affinities.edges`` makes them with a mask) to instances.
+
+    Of push edges the ``max_push`` heaviest of a volume stay, the watershed is exact,
+    voxels of the foreground without an edge are instances of their own, instances of
+    fewer than ``least`` voxels become background, and those left are counted from 1
+    by first voxel. With ``grow``, labels grow that far into the background (all the
+    way, if 0), by voxel sizes ``sampling``.
+    """
+    ext = extents(voxels).drop("n_voxels")
+    e = edges if max_push is None else cap_push(edges, max_push)
+    roots = exact(e, ext, size, most)
+    numbered = voxels.select("volume", *AXES, F.col(foreground).alias("_fg")).join(broadcast_if_small(cut(ext)), "volume")
+    numbered = numbered.withColumn("node", (F.col("z").cast("bigint") * F.col("dy") + F.col("y")) * F.col("dx") + F.col("x"))
+    joined = numbered.join(roots, ["volume", "node"], "left").withColumn("instance", F.when(F.col("_fg"), F.coalesce("root", "node") + 1).otherwise(F.lit(0).cast("bigint")))
+    kept = cut(min_size(joined.select("volume", *AXES, "instance"), least, "instance"))
+    ids = ranked_by_ranges(kept.where("instance > 0").select("volume", "instance").distinct(), ["volume"], [F.asc("instance")])
+    out = kept.join(broadcast_if_small(cut(ids)), ["volume", "instance"], "left").select("volume", *AXES, F.coalesce("rank", F.lit(0)).cast("bigint").alias("instance"))
+    if grow is None:
+        return out
+    return grow_labels(cut(out), grow, "instance", sampling).withColumnRenamed("grown", "instance")

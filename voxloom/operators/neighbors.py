@@ -42,6 +42,28 @@ def explode_offsets(rows: DataFrame, offsets=OFFSETS) -> DataFrame:
     return rows.withColumn("_o", F.explode(o)).select(*rows.columns, "_o.*")
 
 
+def offset_table(catalog: DataFrame, offsets=OFFSETS, n_pull: int = N_PULL) -> DataFrame:
+    """(volume, idx, kind, name, n_pairs) of the offsets that fit into each volume of
+    the catalog (volume, dz, dy, dx): no longer than an axis; n_pairs voxels have
+    the neighbour in bounds."""
+    rows = F.array(*(F.struct(F.lit(i).alias("idx"), *(F.lit(d).alias(f"o{a}") for a, d in zip(AXES, o, strict=True)), F.lit(kind).alias("kind"), F.lit(name).alias("name")) for (i, *o, kind, name) in offset_rows(offsets, n_pull)))
+    o = catalog.select("volume", *(f"d{a}" for a in AXES), F.explode(rows).alias("o")).select("volume", *(f"d{a}" for a in AXES), "o.*")
+    left = [F.col(f"d{a}") - F.abs(f"o{a}") for a in AXES]
+    o = o.where(reduce(lambda p, q: p & q, (n > 0 for n in left)))
+    return o.select("volume", "idx", "kind", "name", reduce(lambda p, q: p * q, (n.cast("bigint") for n in left)).alias("n_pairs"))
+
+
+def select_offsets(table: DataFrame, most_push: int) -> DataFrame:
+    """Of an ``offset_table`` all pull offsets and at most ``most_push`` push offsets of
+    each volume, evenly spaced among those that fit."""
+    by = Window.partitionBy("volume", "kind")
+    k, n = F.row_number().over(by.orderBy("idx")) - 1, F.count("*").over(by)
+    step = F.greatest(F.lit(1), F.floor(n / max(1, most_push)))
+    o = table.withColumns({"_k": k, "_step": step})
+    kept = (F.col("kind") == "pull") | ((F.col("_k") % F.col("_step") == 0) & (F.floor(F.col("_k") / F.col("_step")) < most_push))
+    return o.where(kept).drop("_k", "_step")
+
+
 def edge_coordinate(a: str, edge: str) -> Column:
     p, n = F.col(a) + F.col(f"o{a}"), F.col(f"d{a}")
     if edge == "clamp":

@@ -39,11 +39,13 @@ def spread(voxels: DataFrame, a: str, kind: str) -> DataFrame:
     return each.withColumn("_t", F.expr(w)).where("_t > 0").withColumn(a, F.col("_i")).drop("_i")
 
 
-def resample(voxels: DataFrame, sizes: dict[str, Column], value: str, kind: str = "linear", axes=AXES) -> DataFrame:
+def resample(voxels: DataFrame, sizes: dict[str, Column], value: str, kind: str = "linear", axes=AXES, catalog: DataFrame | None = None) -> DataFrame:
     """(volume, z, y, x, value) on grids whose axes have the sizes given, as
-    expressions over the catalog's dz, dy, dx; other axes stay as they are.
-    Labels are resampled with ``nearest`` and keep their type."""
-    grid = extents(voxels).drop("n_voxels").withColumns({f"t{a}": sizes[a].cast("int") for a in axes})
+    expressions over the catalog's dz, dy, dx, and other columns of ``catalog``
+    (volume, ...) if given; other axes stay as they are. Labels are resampled with
+    ``nearest`` and keep their type."""
+    grid = extents(voxels).drop("n_voxels")
+    grid = (grid if catalog is None else grid.join(catalog, "volume")).withColumns({f"t{a}": sizes[a].cast("int") for a in axes})
     v = voxels.select(*KEYS, value).join(grid, "volume").withColumn("_w", F.lit(1.0))
     for a in axes:
         v = spread(v, a, kind).withColumn("_w", F.col("_w") * F.col("_t"))
@@ -59,6 +61,45 @@ def zoom_crop_pad(voxels: DataFrame, zoom: dict[str, float], value: str, kind: s
     return center_fit(z, extents(voxels), value, fill)
 
 
+def zoom_plan(samples: DataFrame, low: tuple, high: tuple, seed: int, mode: str = "ratio", prob: float = 1.0) -> DataFrame:
+    """``samples`` (volume, sample, res_z, res_y, res_x: the native voxel size, ...) with
+    zoomed, target_z, target_y, target_x and zoom_z, zoom_y, zoom_x (native over
+    target; native and 1 where a sample is not zoomed), drawn by volume and sample.
+
+    ``ratio`` draws one target for y within ``low`` and ``high``, evenly, and keeps the
+    native ratios of the axes as far as their own bounds let it. ``union`` draws z and,
+    for y and x together, another, both log-uniform; isotropic samples stay as they are.
+    """
+    u = lambda k: draw(seed, "volume", "sample", F.lit(k))
+    native = {a: F.col(f"res_{a}").cast("double") for a in AXES}
+    bounds = {a: (float(x), float(y)) for a, x, y in zip(AXES, low, high, strict=True)}
+    zoomed = u("zoomed") < prob
+    if mode == "union":
+        zoomed = zoomed & ~((native["z"] == native["y"]) & (native["y"] == native["x"]))
+        log_uniform = lambda a: F.exp(u(a) * math.log(bounds[a][1] / bounds[a][0]) + math.log(bounds[a][0]))
+        target = {"z": log_uniform("z"), "y": log_uniform("y"), "x": log_uniform("y")}
+    elif mode == "ratio":
+        of_y = u("y") * (bounds["y"][1] - bounds["y"][0]) + bounds["y"][0]
+        target = {a: F.least(F.lit(bounds[a][1]), F.greatest(F.lit(bounds[a][0]), of_y * (native[a] / native["y"]))) for a in AXES}
+    else:
+        raise ValueError(f"mode is ratio or union, not {mode!r}")
+    out = samples.withColumn("zoomed", zoomed).withColumns({f"target_{a}": F.when(F.col("zoomed"), target[a]).otherwise(native[a]) for a in AXES})
+    return out.withColumns({f"zoom_{a}": native[a] / F.col(f"target_{a}") for a in AXES})
+
+
+def zoom_by_plan(voxels: DataFrame, plan: DataFrame, value: str, kind: str, fill=0) -> DataFrame:
+    """(volume, sample, z, y, x, value): every volume once for each of its samples in
+    ``plan``, zoomed as that says, then cut at the centre, or padded, to the size it had."""
+    p = plan.select("volume", "sample", *(f"zoom_{a}" for a in AXES))
+    name = F.concat_ws("#", "sample", "volume")
+    v = voxels.select(*KEYS, value).join(p, "volume").select(name.alias("volume"), *AXES, value)
+    sizes = {a: F.greatest(F.lit(1), F.bround(F.col(f"d{a}") * F.col(f"zoom_{a}"), 0)) for a in AXES}
+    zoomed = resample(v, sizes, value, kind, catalog=p.select(name.alias("volume"), *(f"zoom_{a}" for a in AXES)))
+    named = p.select("volume", "sample", name.alias("_name"))
+    out = center_fit(zoomed, extents(v), value, fill).withColumnRenamed("volume", "_name")
+    return out.join(named, "_name").select("volume", "sample", *AXES, value)
+
+
 def center_fit(voxels: DataFrame, sizes: DataFrame, value: str, fill=0) -> DataFrame:
     """``voxels`` on the dense grids of ``sizes`` (volume, dz, dy, dx), cropped
     at the centre where they are larger and padded where they are smaller."""
@@ -75,43 +116,46 @@ def slab_sizes(zf: float) -> dict[str, Column]:
 
 
 def jitter_sections(voxels: DataFrame, sigma: float, seed: int, value: str = "intensity") -> DataFrame:
-    """Each section moved by its own shift within +-sigma voxels in y and x,
-    bilinear, with reflected edges."""
+    """Each section moved by its own shift within +-sigma voxels in y and x, on the
+    scale between the outer voxels' centres (a shift of n - 1 is n), bilinear; edges
+    reflect, the edge voxel included."""
     v = voxels.select(*KEYS).join(extents(voxels).drop("n_voxels"), "volume")
     corner = F.explode(F.expr("array(struct(0 AS a, 0 AS b), struct(0 AS a, 1 AS b), struct(1 AS a, 0 AS b), struct(1 AS a, 1 AS b))"))
     for a, k in (("y", 1), ("x", 2)):
-        v = v.withColumn(f"p{a}", F.col(a) + (draw(seed, "volume", "z", F.lit(k)) * 2 - 1) * sigma)
+        scale = F.col(f"d{a}") / F.greatest(F.col(f"d{a}") - 1, F.lit(1))
+        v = v.withColumn(f"p{a}", F.col(a) + (draw(seed, "volume", "z", F.lit(k)) * 2 - 1) * sigma * scale)
     v = v.withColumn("_c", corner)
     for a, c in (("y", "a"), ("x", "b")):
         frac = F.col(f"p{a}") - F.floor(f"p{a}")
-        at, period = F.floor(f"p{a}") + F.col(f"_c.{c}"), F.greatest(2 * F.col(f"d{a}") - 2, F.lit(1))
-        m = F.pmod(at, period)
-        v = v.withColumn(f"q{a}", F.when(m < F.col(f"d{a}"), m).otherwise(period - m).cast("int")).withColumn(f"w{a}", F.when(F.col(f"_c.{c}") == 1, frac).otherwise(1 - frac))
+        m = F.pmod(F.floor(f"p{a}") + F.col(f"_c.{c}"), 2 * F.col(f"d{a}"))
+        v = v.withColumn(f"q{a}", F.when(m < F.col(f"d{a}"), m).otherwise(2 * F.col(f"d{a}") - 1 - m).cast("int")).withColumn(f"w{a}", F.when(F.col(f"_c.{c}") == 1, frac).otherwise(1 - frac))
     source = voxels.select("volume", "z", F.col("y").alias("qy"), F.col("x").alias("qx"), value)
     return v.join(source, ["volume", "z", "qy", "qx"]).groupBy(*KEYS).agg(F.sum(F.col(value) * F.col("wy") * F.col("wx")).alias(value))
 
 
-def dropped_sections(sections: DataFrame, k: int, seed: int, contiguous: bool = False) -> DataFrame:
-    """(volume, z, dropped): k sections of each volume, drawn by hash, or a run
-    of k from a drawn start. At least one section stays."""
+def dropped_sections(sections: DataFrame, most: int, seed: int, contiguous: bool = False) -> DataFrame:
+    """(volume, z, dropped): 1 to ``most`` sections of each volume, as many as drawn
+    and at most all, drawn by hash, or a run of them from a drawn start."""
+    s = sections.select("volume", "z").distinct()
     n = F.count("*").over(Window.partitionBy("volume"))
+    k = F.least(draw_int(F.lit(most), seed, "volume", F.lit("k")) + 1, n)
     if contiguous:
         start = draw_int(F.greatest(n - k + 1, F.lit(1)), seed, "volume")
-        out = (F.col("z") >= start) & (F.col("z") < start + F.least(F.lit(k), n - 1))
+        out = (F.col("z") >= start) & (F.col("z") < start + k)
     else:
-        rank = F.row_number().over(Window.partitionBy("volume").orderBy(draw_bits(seed, "volume", "z"), "z"))
-        out = rank <= F.least(F.lit(k), n - 1)
-    return sections.select("volume", "z").distinct().withColumn("dropped", out)
+        out = F.row_number().over(Window.partitionBy("volume").orderBy(draw_bits(seed, "volume", "z"), "z")) <= k
+    return s.withColumn("dropped", out)
 
 
-def drop_sections(voxels: DataFrame, k: int, seed: int, mode: str = "replicate", contiguous: bool = False, value: str = "intensity") -> DataFrame:
-    """Sections lost: ``blank`` (0), ``mean`` of the volume, or ``replicate`` the
-    nearest one left."""
-    gone = dropped_sections(voxels, k, seed, contiguous)
+def drop_sections(voxels: DataFrame, most: int, seed: int, mode: str = "replicate", contiguous: bool = False, value: str = "intensity") -> DataFrame:
+    """Sections lost, 1 to ``most`` of a volume: ``blank`` (0), ``mean`` of the volume,
+    or ``replicate`` the nearest one left, blank if none is."""
+    gone = dropped_sections(voxels, most, seed, contiguous)
     if mode == "replicate":
         at = nearest_surviving(gone).select("volume", "z", F.col("source_z"))
+        lost = voxels.select(*KEYS).join(at.where("source_z IS NULL"), ["volume", "z"]).select(*KEYS, F.lit(0.0).alias(value))
         source = voxels.select("volume", F.col("z").alias("source_z"), "y", "x", value)
-        return at.join(source, ["volume", "source_z"]).select(*KEYS, value)
+        return at.join(source, ["volume", "source_z"]).select(*KEYS, value).unionByName(lost)
     v = voxels.select(*KEYS, value).join(gone, ["volume", "z"])
     if mode == "mean":
         v = v.join(voxels.groupBy("volume").agg(F.avg(value).alias("_m")), "volume")

@@ -115,10 +115,17 @@ def _(spark, sf):
     return K.gaussian_filter(X.voxels(spark, sf), 1.0).withColumn("intensity", F.round(F.col("intensity") + 1.234e-5, 3))
 
 
-@query("fil_binary_structure", f"{VX}, o(c) AS (VALUES {', '.join(f'({c})' for c in [0] + [1] * 6 + [2] * 12)}) SELECT volume, c AS steps, count(*) AS n FROM (SELECT DISTINCT volume FROM voxels), o GROUP BY ALL")
+STRUCTURE = ", ".join(f"({i}, {j}, {k})" for i, j, k in K.binary_structure(3, 2))
+
+
+@query(
+    "fil_binary_structure",
+    f"{VX}, st(sz, sy, sx) AS (VALUES {STRUCTURE}), n AS (SELECT v.volume, v.z, v.y, v.x, v.z + sz AS tz, v.y + sy AS ty, v.x + sx AS tx, v.label FROM voxels v CROSS JOIN st) SELECT n.volume, n.z, n.y, count(*)::BIGINT AS n, sum((n.x + 1) * (n.x + 1))::BIGINT AS placed FROM n JOIN voxels w ON w.volume = n.volume AND w.z = n.tz AND w.y = n.ty AND w.x = n.tx AND w.label = n.label GROUP BY ALL",
+)
 def _(spark, sf):
-    v = N.explode_offsets(X.voxels(spark, sf).select("volume").distinct(), K.binary_structure(3, 2))
-    return v.groupBy("volume", F.expr("abs(oz) + abs(oy) + abs(ox)").alias("steps")).agg(F.count("*").alias("n"))
+    """Of every voxel the neighbours over faces and edges that have its label, itself included, summed along x, and by place."""
+    lines = A.neighbor_counts(A.bricks_of(X.voxels(spark, sf)), K.binary_structure(3, 2))
+    return A.sums_along_x(lines.withColumn("idx", F.lit(0)), "n").drop("idx")
 
 
 AFF = f"{NB}, af AS (SELECT volume, z, y, x, idx, CASE WHEN same THEN 0.9 - d ELSE 0.1 + d END::DOUBLE AS aff FROM (SELECT v.volume, v.z, v.y, v.x, v.idx, n.label = v.label AS same, ((v.z * 11 + v.y * 7 + v.x * 3 + v.idx * 5) % 10) / 100.0 AS d FROM {NEAR}))"
@@ -189,6 +196,14 @@ def _(spark, sf):
     return W.finish(v, "fg", 120, "pred").groupBy("volume", "pred").agg(F.count("*").alias("n"))
 
 
+@query("mws_agglomerate")
+def _(spark, sf):
+    """Gate, edges, watershed, size filter, numbers and growth, one after the other."""
+    v = X.voxels(spark, sf).withColumn("fg", F.col("pred") > 0)
+    e = A.edges(B.to_bricks(v, A.SIZE, ("label", "fg")), disturbed, strides=STRIDES, mask="fg").withColumn("weight", F.round("weight", 6))
+    return W.agglomerate(e, v, "fg", least=20, grow=3.0, sampling=(5.0, 1.0, 1.0), size=(4, 32, 64))
+
+
 # --- bricks ----------------------------------------------------------------
 
 

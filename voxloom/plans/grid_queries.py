@@ -159,6 +159,37 @@ def _(spark, sf):
     return e.select("volume", "sample", "native", F.when(iso, 8.0).otherwise(F.round(logu(30.0, 50.0, 1), 9)).alias("target_z"), F.when(iso, 8.0).otherwise(F.round(logu(4.0, 10.0, 2), 9)).alias("target_xy"))
 
 
+NATIVE = "CASE WHEN length(volume) % 2 = 0 THEN 40.0 ELSE 8.0 END::DOUBLE"
+OF_Y = f"{S.draw_sql(5, 'volume', 'sample', chr(39) + 'y' + chr(39))} / pow(2.0, 48) * 6.0 + 4.0"
+RATIO = f""", sm AS (SELECT *, {NATIVE} AS res_z, {S.draw_sql(5, 'volume', 'sample', "'zoomed'")} / pow(2.0, 48) < 0.75 AS zoomed FROM (SELECT ext.*, sample::INT AS sample FROM ext, range(2) r(sample))),
+ tg AS (SELECT *, CASE WHEN zoomed THEN least(50.0, greatest(6.0, ({OF_Y}) * (res_z / 8.0))) ELSE res_z END AS target_z, CASE WHEN zoomed THEN least(10.0, greatest(4.0, {OF_Y})) ELSE 8.0 END AS target_y FROM sm)"""
+
+
+def planned(spark, sf):
+    e = V.extents(X.voxels(spark, sf)).withColumn("sample", F.explode(F.expr("sequence(0, 1)")))
+    e = e.select("volume", "sample", F.when(F.length("volume") % 2 == 0, 40.0).otherwise(8.0).alias("res_z"), F.lit(8.0).alias("res_y"), F.lit(8.0).alias("res_x"))
+    return R.zoom_plan(e, (6, 4, 4), (50, 10, 10), 5, "ratio", 0.75)
+
+
+@query("res_zoom_plan_ratio", f"{VX}{EXT}{RATIO} SELECT volume, sample, zoomed, round(target_z, 9) AS target_z, round(target_y, 9) AS target_y, round(target_y, 9) AS target_x FROM tg")
+def _(spark, sf):
+    """One target for y and x, and for z by the native ratio, within bounds; one sample in four is not zoomed."""
+    return planned(spark, sf).select("volume", "sample", "zoomed", *(F.round(f"target_{a}", 9).alias(f"target_{a}") for a in V.AXES))
+
+
+@query(
+    "res_zoom_by_plan",
+    f"""{VX}{EXT}{RATIO}, zm AS (SELECT *, greatest(1, round_even(dz * (res_z / target_z), 0))::INT AS mz, greatest(1, round_even(dy * (8.0 / target_y), 0))::INT AS my, greatest(1, round_even(dx * (8.0 / target_y), 0))::INT AS mx FROM tg),
+ gr AS (SELECT zm.*, z, y, x, z + floor((mz - dz) / 2.0)::INT AS iz, y + floor((my - dy) / 2.0)::INT AS iy, x + floor((mx - dx) / 2.0)::INT AS ix FROM zm JOIN (SELECT volume, z, y, x FROM voxels) USING (volume)),
+ pk AS (SELECT g.*, v.label FROM gr g LEFT JOIN voxels v ON v.volume = g.volume AND iz BETWEEN 0 AND mz - 1 AND iy BETWEEN 0 AND my - 1 AND ix BETWEEN 0 AND mx - 1 AND v.z = iz * dz // mz AND v.y = iy * dy // my AND v.x = ix * dx // mx)
+ SELECT volume, sample, z, y, sum(coalesce(label, 0))::BIGINT AS total, sum(coalesce(label, 0) * (x + 1) * (x + 1))::BIGINT AS placed FROM pk GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Labels of every volume resampled twice, as the plan says; summed along x, and by place."""
+    out = R.zoom_by_plan(X.voxels(spark, sf), planned(spark, sf), "label", "nearest")
+    return out.groupBy("volume", "sample", "z", "y").agg(F.sum("label").alias("total"), F.sum(F.expr("label * (x + 1) * (x + 1)")).alias("placed"))
+
+
 POOL = "v.{a} >= i{a} * {n} // {m} AND v.{a} < ((i{a} + 1) * {n} + {m} - 1) // {m}"
 
 
@@ -203,7 +234,9 @@ UNIT = "/ pow(2.0, 48)"
 
 
 def reflected(at, n):
-    return f"CASE WHEN ((({at}) % {2 * n - 2}) + {2 * n - 2}) % {2 * n - 2} < {n} THEN ((({at}) % {2 * n - 2}) + {2 * n - 2}) % {2 * n - 2} ELSE {2 * n - 2} - ((({at}) % {2 * n - 2}) + {2 * n - 2}) % {2 * n - 2} END"
+    """An index beyond the edge, the edge voxel repeated."""
+    m = f"((({at}) % {2 * n}) + {2 * n}) % {2 * n}"
+    return f"CASE WHEN {m} < {n} THEN {m} ELSE {2 * n - 1} - {m} END"
 
 
 def six(df, value="intensity"):
@@ -213,7 +246,7 @@ def six(df, value="intensity"):
 
 @query(
     "deg_section_jitter",
-    f"""{NORM}, s AS (SELECT volume, z, ({S.draw_sql(3, 'volume', 'z', '1')} {UNIT} * 2 - 1) * 1.5 AS my, ({S.draw_sql(3, 'volume', 'z', '2')} {UNIT} * 2 - 1) * 1.5 AS mx FROM (SELECT DISTINCT volume, z FROM nm)),
+    f"""{NORM}, s AS (SELECT volume, z, ({S.draw_sql(3, 'volume', 'z', '1')} {UNIT} * 2 - 1) * 1.5 * (32 / 31.0::DOUBLE) AS my, ({S.draw_sql(3, 'volume', 'z', '2')} {UNIT} * 2 - 1) * 1.5 * (64 / 63.0::DOUBLE) AS mx FROM (SELECT DISTINCT volume, z FROM nm)),
  q AS (SELECT nm.volume, nm.z, nm.y, nm.x, floor(y + my)::INT + a AS ty, floor(x + mx)::INT + b AS tx, CASE WHEN a = 1 THEN y + my - floor(y + my) ELSE 1 - (y + my - floor(y + my)) END * CASE WHEN b = 1 THEN x + mx - floor(x + mx) ELSE 1 - (x + mx - floor(x + mx)) END AS w FROM nm JOIN s USING (volume, z), range(2) i(a), range(2) j(b)),
  p AS (SELECT volume, z, y, x, w, ({reflected('ty', 32)})::INT AS qy, ({reflected('tx', 64)})::INT AS qx FROM q)
  SELECT p.volume, p.z, p.y, p.x, round(sum(v * w) + 1.234e-8, 6) AS intensity FROM p JOIN nm ON nm.volume = p.volume AND nm.z = p.z AND nm.y = qy AND nm.x = qx GROUP BY ALL""",
@@ -224,12 +257,13 @@ def _(spark, sf):
 
 @query(
     "deg_section_drop",
-    f"""{NORM}, s AS (SELECT volume, z, row_number() OVER (PARTITION BY volume ORDER BY {S.draw_sql(3, 'volume', 'z')}, z) <= 2 AS gone FROM (SELECT DISTINCT volume, z FROM nm)),
+    f"""{NORM}, s AS (SELECT volume, z, row_number() OVER (PARTITION BY volume ORDER BY {S.draw_sql(3, 'volume', 'z')}, z) <= {S.draw_sql(3, 'volume', "'k'")} % 4 + 1 AS gone FROM (SELECT DISTINCT volume, z FROM nm)),
  f AS (SELECT a.volume, a.z, arg_min(b.z, abs(a.z - b.z) * 1000 + b.z) AS source FROM s a JOIN s b ON a.volume = b.volume AND NOT b.gone GROUP BY ALL)
  SELECT f.volume, f.z, y, x, round(v + 1.234e-8, 6) AS intensity FROM f JOIN nm ON nm.volume = f.volume AND nm.z = source""",
 )
 def _(spark, sf):
-    return six(R.drop_sections(normed(spark, sf), 2, 3))
+    """One to four sections of each volume lost, and the nearest one left in their place."""
+    return six(R.drop_sections(normed(spark, sf), 4, 3))
 
 
 GAUSS = f"sqrt(-2 * ln(greatest({S.draw_sql(3, 'volume', 'z', 'y', 'x', '1')} {UNIT}, 1e-12))) * cos(2 * pi() * ({S.draw_sql(3, 'volume', 'z', 'y', 'x', '2')} {UNIT}))"

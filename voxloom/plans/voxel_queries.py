@@ -3,11 +3,14 @@ O-BND-* over the voxel table, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxloom.operators import affinities as A
 from voxloom.operators import neighbors as N
 from voxloom.operators import voxels as V
+from voxloom.operators.graph import shared_folder
 from voxloom.plans.metric_queries import rounded
 from voxloom.sources import fixtures as X
 
@@ -35,20 +38,20 @@ def _(spark, sf):
     return V.extents(X.voxels(spark, sf)).withColumn("stem", F.concat("volume", F.lit("_volume"))).withColumn("has_seg", F.lit(True))
 
 
-CENSUS = ", census AS (SELECT volume, printf('%02d x %d x %d x %d', n, dx, dy, dz) AS crops, n * dx * dy * dz AS stated FROM (SELECT ext.*, CAST(replace(volume, 'vol_', '') AS INT) % 5 + 1 AS n FROM ext))"
+CENSUS = """, told AS (SELECT 'vol_' || (o_orderkey // 2048) AS volume, count(*) FILTER (o_totalprice > 330000) AS extra FROM orders GROUP BY ALL),
+ census AS (SELECT ext.volume, CAST(replace(ext.volume, 'vol_', '') AS INT) % 5 + 1 AS n, dx, dy, dz, coalesce(extra, 0) // 24 AS extra FROM ext LEFT JOIN told USING (volume))"""
 
 
-@query(
-    "src_census_scan",
-    f"""{VX}{EXT}{CENSUS} SELECT volume, p[1]::BIGINT AS n_crops, p[1]::BIGINT * p[2]::BIGINT * p[3]::BIGINT * p[4]::BIGINT AS n_voxels,
- p[1]::BIGINT * p[2]::BIGINT * p[3]::BIGINT * p[4]::BIGINT = stated AS agrees FROM (SELECT *, string_split(crops, ' x ') AS p FROM census)""",
-)
+@query("src_census_scan", f"{VX}{EXT}{CENSUS} SELECT volume, n::BIGINT AS n_crops, (n * dx * dy * dz)::BIGINT AS n_voxels, (n * dx * dy * dz + extra)::BIGINT AS stated, extra = 0 AS agrees FROM census")
 def _(spark, sf):
+    """A census in a CSV file, whose stated counts come from another table and do not always agree."""
     n = F.regexp_replace("volume", "vol_", "").cast("int") % 5 + 1
-    census = V.extents(X.voxels(spark, sf)).select("volume", F.format_string("%02d x %d x %d x %d", n, "dx", "dy", "dz").alias("crops"), (n * F.col("dx") * F.col("dy") * F.col("dz")).cast("bigint").alias("stated"))
-    p = [F.split("crops", " x ")[k].cast("bigint") for k in range(4)]
-    product = p[0] * p[1] * p[2] * p[3]
-    return census.select("volume", p[0].alias("n_crops"), product.alias("n_voxels"), (product == F.col("stated")).alias("agrees"))
+    told = X.read(spark, sf, "orders").groupBy(F.concat(F.lit("vol_"), F.expr("o_orderkey div 2048")).alias("volume")).agg(F.count_if(F.col("o_totalprice") > 330000).alias("extra"))
+    c = V.extents(X.voxels(spark, sf)).join(told, "volume", "left")
+    c = c.select("volume", F.format_string("%02d x  %d x %d x %d", n, "dx", "dy", "dz").alias("crops"), (n * F.col("dx") * F.col("dy") * F.col("dz") + F.expr("coalesce(extra, 0) div 24")).cast("bigint").alias("stated"))
+    path = f"{shared_folder(spark)}/census-{uuid.uuid4().hex}"
+    c.write.option("header", True).csv(path)
+    return V.scan_census(spark.read.schema("volume string, crops string, stated bigint").option("header", True).csv(path))
 
 
 @query("src_region_read", f"{VX} SELECT volume, z, y, x, label FROM voxels WHERE z BETWEEN 1 AND 3 AND y BETWEEN 4 AND 11 AND x BETWEEN 8 AND 39")
@@ -90,10 +93,14 @@ def _(spark, sf):
     return m.join(m.groupBy("volume").agg(F.max("label").alias("top")).where("top > 0"), "volume", "left_semi")
 
 
-@query("src_axis_orient", f"{VX} SELECT volume, y AS z, z AS y, x, label FROM voxels")
+@query("src_axis_orient", f"{VX}{EXT} SELECT v.volume, CASE WHEN t THEN v.x ELSE v.z END AS z, v.y, CASE WHEN t THEN v.z ELSE v.x END AS x, label FROM voxels v JOIN (SELECT volume, CAST(replace(volume, 'vol_', '') AS INT) % 2 = 0 AND dx > greatest(dy, dz) AS t FROM ext) USING (volume)")
 def _(spark, sf):
-    isotropic = F.assert_true(F.lit(8.0) == F.lit(8.0))
-    return X.voxels(spark, sf).where(isotropic.isNull()).select("volume", F.col("y").alias("z"), F.col("z").alias("y"), "x", "label")
+    """Isotropic volumes, those of even number, are turned so that their longest axis is z."""
+    v = X.voxels(spark, sf)
+    even = F.regexp_replace("volume", "vol_", "").cast("int") % 2 == 0
+    longest = F.when(F.col("dz") >= F.greatest("dy", "dx"), "z").when(F.col("dy") >= F.col("dx"), "y").otherwise("x")
+    c = V.extents(v).select("volume", F.when(even, longest).otherwise("z").alias("axis"), F.when(even, 8.0).otherwise(40.0).alias("res_z"), F.lit(8.0).alias("res_y"), F.lit(8.0).alias("res_x"))
+    return V.orient(v, c).select(*KEYS, "label")
 
 
 @query("src_z_stride_phase", f"{VX} SELECT volume, z % 3 AS phase, z // 3 AS z, y, x, label, 24.0::DOUBLE AS res_z FROM voxels")
@@ -180,16 +187,20 @@ def _(spark, sf):
 OFFSETS_SQL = "o(idx, oz, oy, ox, kind, name) AS (VALUES " + ", ".join(f"({i}, {a}, {b}, {c}, '{k}', '{n}')" for i, a, b, c, k, n in N.offset_rows()) + ")"
 
 
-def offsets_table(spark):
-    return spark.createDataFrame(N.offset_rows(), N.OFFSET_SCHEMA)
+#: offsets that fit into volumes whose last sections are cut off by their number, as a table ot
+FITTING = """, cx AS (SELECT volume, dz - CAST(replace(volume, 'vol_', '') AS INT) % 5 AS dz, dy, dx FROM ext),
+ ot AS (SELECT volume, idx, kind, name, ((dz - abs(oz)) * (dy - abs(oy)) * (dx - abs(ox)))::BIGINT AS n_pairs FROM cx, o WHERE dz > abs(oz) AND dy > abs(oy) AND dx > abs(ox))"""
+
 
+def fitting(spark, sf):
+    cut_off = F.regexp_replace("volume", "vol_", "").cast("int") % 5
+    return N.offset_table(V.extents(X.voxels(spark, sf)).withColumn("dz", F.col("dz") - cut_off))
 
-@query("prj_offset_table", f"{VX}, {OFFSETS_SQL} SELECT v.volume, o.idx, o.name, o.kind FROM (SELECT DISTINCT volume FROM voxels) v, o")
+
+@query("prj_offset_table", f"{VX}{EXT}, {OFFSETS_SQL}{FITTING} SELECT * FROM ot")
 def _(spark, sf):
-    tag = F.concat(*(F.when(F.col(f"o{a}") != 0, F.format_string(f"{a}%+d", F.col(f"o{a}"))).otherwise("") for a in V.AXES))
-    kind = F.when(F.col("idx") < N.N_PULL, "pull").otherwise("push")
-    v = N.explode_offsets(X.voxels(spark, sf).select("volume").distinct())
-    return v.select("volume", "idx", F.format_string("%02d_%s_%s", F.col("idx") + 1, kind, tag).alias("name"), kind.alias("kind"))
+    """The offsets that fit into each volume, their names, and how many pairs they make."""
+    return fitting(spark, sf)
 
 
 @query("prj_sigmoid_threshold", f"WITH {X.BINARY_PAIR_SQL} SELECT volume, (1 / (1 + exp(-logit)) > 0.5)::INT AS class, truth > 0 AS foreground, count(*) AS n FROM binary_pair WHERE truth <> -100 GROUP BY ALL")
@@ -240,24 +251,17 @@ def _(spark, sf):
     return V.extents(X.voxels(spark, sf)).select("volume", (F.lit(res["z"]) / ((F.lit(res["y"]) + F.lit(res["x"])) / 2)).alias("factor"), (F.greatest("dz", "dy", "dx") / F.least("dz", "dy", "dx") < 1.5).alias("near_cubic"))
 
 
-@query("prj_cast_types", f"{VX} SELECT volume, 0 AS channel, z, y, x, round(intensity::FLOAT::DOUBLE + 0.0123, 0) AS image, label::BIGINT AS label FROM voxels")
+@query("prj_cast_types", f"{VX} SELECT volume, 0 AS channel, z, y, x, round(intensity::FLOAT::DOUBLE + 1.234e-5, 2) AS image, label::BIGINT AS label FROM voxels")
 def _(spark, sf):
-    return X.voxels(spark, sf).select("volume", F.lit(0).alias("channel"), "z", "y", "x", F.round(F.col("intensity").cast("float").cast("double") + 0.0123, 0).alias("image"), F.col("label").cast("bigint").alias("label"))
+    return X.voxels(spark, sf).select("volume", F.lit(0).alias("channel"), "z", "y", "x", F.round(F.col("intensity").cast("float").cast("double") + 1.234e-5, 2).alias("image"), F.col("label").cast("bigint").alias("label"))
 
 
-@query("prj_offset_select", f"{VX}, {OFFSETS_SQL} SELECT v.volume, o.idx, o.name FROM (SELECT DISTINCT volume FROM voxels) v, o WHERE idx < 3 OR ((idx - 3) % 2 = 0 AND (idx - 3) // 2 < 4)")
+@query(
+    "prj_offset_select",
+    f"{VX}{EXT}, {OFFSETS_SQL}{FITTING} SELECT volume, idx, name FROM (SELECT *, row_number() OVER (PARTITION BY volume, kind ORDER BY idx) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY volume, kind) // 4) AS step FROM ot) WHERE kind = 'pull' OR (k % step = 0 AND k // step < 4)",
+)
 def _(spark, sf):
-    return select_offsets(X.voxels(spark, sf).select("volume").distinct(), 4)
-
-
-def select_offsets(volumes, most_push, rows=None, n_pull=N.N_PULL):
-    """All pull offsets and at most so many evenly spaced push offsets, per volume."""
-    rows = rows or N.offset_rows()
-    n_push = sum(r[4] == "push" for r in rows)
-    step = max(1, n_push // most_push) if most_push else 1
-    o = volumes.withColumn("o", F.explode(F.array(*(F.struct(F.lit(r[0]).alias("idx"), F.lit(r[5]).alias("name")) for r in rows)))).select("volume", "o.*")
-    k = F.col("idx") - n_pull
-    return o.where((F.col("idx") < n_pull) | ((k % step == 0) & (F.floor(k / step) < most_push)))
+    return N.select_offsets(fitting(spark, sf), 4).select("volume", "idx", "name")
 
 
 @query("flt_undersize_reject", f"{VX}{EXT} SELECT volume FROM ext WHERE dz >= 4 AND dy >= 32 AND dx >= 64")
