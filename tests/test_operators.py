@@ -482,3 +482,150 @@ def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
     S.to_table(S.metric_windows(stream, "1 hour", "10 minutes"), str(tmp_path / "t"), str(tmp_path / "c"), "append")
     got = [(str(r["start"])[11:], r["mean"], r["n"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()]
     assert got == [("00:00:00", 0.0, 1)]
+
+
+def test_agglomeration_equals_its_parts(spark):
+    from voxloom.operators import affinities as A
+    from voxloom.sources import bricks as B
+
+    rng = np.random.default_rng(11)
+    label = np.repeat(np.repeat(rng.integers(1, 6, (3, 3, 4)), 2, axis=1), 3, axis=2).astype(np.int64)
+    fg = rng.random(label.shape) < 0.55
+    fg[0, 0, :3] = [True, False, False]
+    v = grid(spark, label).join(grid(spark, fg, "fg"), KEYS)
+    offsets = [(-1, 0, 0), (0, -1, 0), (0, 0, -1), (0, -3, 0), (0, 0, -4)]
+    weight = rng.random((5, *label.shape))
+    shared = {k: weight[k] for k in range(5)}
+
+    def affinity(h, k, same):
+        at = tuple(slice(s, s + d) for s, d in zip(h.start, h.size, strict=True))
+        return np.where(same, 0.5 + shared[k][at] / 2, shared[k][at] / 2)
+
+    e = A.edges(B.to_bricks(v, (2, 4, 4), ("label", "fg")), affinity, offsets, 3, (1, 1, 1), mask="fg", size=(2, 4, 4))
+    pairs = e.toPandas()
+    at = np.arange(label.size).reshape(label.shape)
+    assert fg.ravel()[pairs["u"]].all() and fg.ravel()[pairs["v"]].all()
+    want_pairs = sum(int((fg[max(0, -o[0]) :, max(0, -o[1]) :, max(0, -o[2]) :] & fg[: label.shape[0] + o[0], : label.shape[1] + o[1], : label.shape[2] + o[2]]).sum()) for o in offsets)
+    assert len(pairs) == want_pairs
+    # the parts, one after the other
+    top = pd.concat([pairs[~pairs["mutex"]], pairs[pairs["mutex"]].sort_values(["weight", "idx", "u", "v"], ascending=[False, True, True, True]).head(30)])
+    solved = W.solve_block(top)
+    root = np.where(fg.ravel(), at.ravel(), -1)
+    root[solved["node"]] = solved["root"]
+    ids, size = np.unique(root[root >= 0], return_counts=True)
+    number = {int(i): k + 1 for k, i in enumerate(ids[size >= 3])}
+    plain = np.array([number.get(int(r), 0) for r in root]).reshape(label.shape)
+    got = W.agglomerate(e, v, "fg", least=3, max_push=30, size=(2, 4, 4))
+    assert (dense(got, "instance", label.shape) == plain).all() and 2 < len(number) < len(ids)
+    where = np.argwhere(plain > -1) * np.array([5.0, 1.0, 1.0])
+    d = ((where[:, None] - where[None]) ** 2).sum(-1)
+    far = np.where(plain.ravel()[None] > 0, d, np.inf)
+    near = far.min(1)
+    grown = np.where(far == near[:, None], np.where(plain.ravel() > 0, plain.ravel(), 999)[None], 999).min(1)
+    grown = np.where(np.sqrt(near) > 2, 0, grown).reshape(label.shape)
+    got = W.agglomerate(e, v, "fg", least=3, max_push=30, grow=2.0, sampling=(5.0, 1.0, 1.0), size=(2, 4, 4))
+    assert (dense(got, "instance", label.shape) == grown).all()
+
+
+def test_plans_of_zoom(spark):
+    s = spark.createDataFrame([(f"v{k}", k, 40.0 if k % 2 else 8.0, 8.0, 8.0) for k in range(200)], "volume string, sample int, res_z double, res_y double, res_x double")
+    rows = R.zoom_plan(s, (30, 4, 5), (50, 10, 9), 1, "ratio").collect()
+    for r in rows:
+        assert r["zoomed"] and 4 <= r["target_y"] <= 10
+        assert r["target_x"] == min(9, max(5, r["target_y"])) and r["target_z"] == pytest.approx(min(50, max(30, r["target_y"] * r["res_z"] / 8)))
+        assert r["zoom_z"] == pytest.approx(r["res_z"] / r["target_z"])
+    assert len({r["target_y"] for r in rows}) == 200
+    union = R.zoom_plan(s, (30, 4, 4), (50, 10, 10), 1, "union").collect()
+    assert {r["zoomed"] for r in union if r["res_z"] == 8.0} == {False} and all(r["target_z"] == 8.0 == r["target_x"] for r in union if r["res_z"] == 8.0)
+    assert all(r["zoomed"] and r["target_y"] == r["target_x"] and 30 <= r["target_z"] <= 50 for r in union if r["res_z"] == 40.0)
+    some = R.zoom_plan(s, (30, 4, 4), (50, 10, 10), 1, "ratio", 0.5).where("zoomed").count()
+    assert 60 < some < 140
+    with pytest.raises(ValueError, match="ratio or union"):
+        R.zoom_plan(s, (1, 1, 1), (2, 2, 2), 1, "other")
+
+
+def test_zoom_by_plan_keeps_the_grid(spark):
+    a = np.arange(4 * 6 * 8).reshape(4, 6, 8).astype(np.int64) + 1
+    plan = spark.createDataFrame([("v", 0, 1.0, 1.0, 1.0), ("v", 1, 1.0, 0.5, 2.0)], "volume string, sample int, zoom_z double, zoom_y double, zoom_x double")
+    out = R.zoom_by_plan(grid(spark, a), plan, "label", "nearest")
+    assert (dense(out.where("sample = 0"), "label", a.shape) == a).all()
+    small = a[:, ::2, :][:, :, np.arange(16) // 2]
+    got = dense(out.where("sample = 1"), "label", a.shape)
+    rows = np.flatnonzero(got.any(axis=(0, 2)))
+    assert len(rows) == 3 and (got[:, rows] == small[:, :, 4:12]).all()
+
+
+def test_turned_volumes(spark):
+    a = np.arange(2 * 3 * 4).reshape(2, 3, 4).astype(np.int64)
+    c = lambda axis, z: spark.createDataFrame([("v", axis, z, 8.0, 8.0)], "volume string, axis string, res_z double, res_y double, res_x double")
+    assert (dense(V.orient(grid(spark, a), c("x", 8.0)), "label", (4, 3, 2)) == a.transpose(2, 1, 0)).all()
+    assert (dense(V.orient(grid(spark, a), c("y", 8.0)), "label", (3, 2, 4)) == a.transpose(1, 0, 2)).all()
+    assert (dense(V.orient(grid(spark, a), c("z", 40.0)), "label", a.shape) == a).all()
+    with pytest.raises(Exception, match="anisotropic"):
+        V.orient(grid(spark, a), c("y", 40.0)).collect()
+
+
+def test_domains_of_stems(spark):
+    want = {
+        "x_volume_segmentation": "x_volume", "x_segmentation_volume": "x", "AC3_inputs": "AC3", "AC4": "AC4", "neurite_1": "neurons", "minnie65_8nm_x1_y2_z3_volume": "minnie65",
+        "cremi3d_sample_A": "cremi3d", "cremi3d_sample_A+": "cremi3d_test", "cremi3d_x1_y2_z3": "cremi3d", "flyem3d_malecns_2": "flyem3d_malecns", "flyem3d_8nm_ssl": "flyem3d_fib25_ssl", "flyem3d_8nm": "flyem3d_fib25",
+        "jrc_hela-2_4x4x3nm_x1": "jrc_hela-2", "jrc_other": "jrc_other", "mitoem2_rat_test02": "mitoem2_rat", "pyr_x1_y2_z3_more": "pyr", "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "stem string")
+    assert {r["stem"]: r["s"] for r in rows.select("stem", V.derive_subset(F.col("stem")).alias("s")).collect()} == want
+
+
+def test_lost_sections(spark):
+    a = np.random.default_rng(1).random((6, 2, 2)) + 1
+    many = grid(spark, a, "intensity").drop("volume").join(spark.range(60).selectExpr("concat('v', id) AS volume"))
+    lost = R.dropped_sections(many, 9, 5).groupBy("volume").agg(F.count_if("dropped").alias("n"), F.count("*").alias("all")).collect()
+    assert {r["n"] for r in lost} == {1, 2, 3, 4, 5, 6} and {r["all"] for r in lost} == {6}
+    runs = R.dropped_sections(many, 3, 5, contiguous=True).where("dropped").groupBy("volume").agg((F.max("z") - F.min("z") + 1).alias("span"), F.count("*").alias("n")).collect()
+    assert len(runs) == 60 and all(r["span"] == r["n"] for r in runs)
+    out = R.drop_sections(many, 9, 5)
+    assert out.count() == 60 * a.size
+    whole = {r["volume"] for r in lost if r["n"] == 6}
+    assert {r["intensity"] for r in out.where(F.col("volume").isin(list(whole))).collect()} == {0.0}
+    assert out.where(~F.col("volume").isin(list(whole))).where("intensity < 1").count() == 0
+
+
+def test_jitter_repeats_the_edge(spark):
+    a = np.random.default_rng(2).random((5, 7, 9))
+    got = dense(R.jitter_sections(grid(spark, a, "intensity"), 4.0, 3), "intensity", a.shape)
+    z = spark.range(5).selectExpr("'v' AS volume", "CAST(id AS INT) AS z")
+    moves = {r["z"]: (r["y"], r["x"]) for r in z.select("z", *(((R.draw(3, "volume", "z", F.lit(k)) * 2 - 1) * 4.0).alias(c) for c, k in (("y", 1), ("x", 2)))).collect()}
+
+    def at(values, c):
+        """Linear between voxels, constant beyond the outer ones after a reflection about the border."""
+        n = len(values)
+        c = abs(c + 0.5) % (2 * n)
+        c = min(max((2 * n - c if c > n else c) - 0.5, 0), n - 1)
+        return np.interp(c, np.arange(n), values)
+
+    for k, (my, mx) in moves.items():
+        rows = np.array([[at(a[k, :, x], y + my * 7 / 6) for x in range(9)] for y in range(7)])
+        want = np.array([[at(rows[y], x + mx * 9 / 8) for x in range(9)] for y in range(7)])
+        assert np.allclose(got[k], want)
+
+
+def test_the_degraded_volume_is_the_chain_of_its_parts(spark):
+    a = np.random.default_rng(4).random((8, 4, 4))
+    v = grid(spark, a, "intensity")
+    got = dense(R.degrade_pair(v, 2.0, 1), "degraded", a.shape)
+    low = R.resample(v, {"z": F.lit(4)}, "intensity", "pool", ("z",))
+    assert np.allclose(dense(low, "intensity", (4, 4, 4)), a.reshape(4, 2, 4, 4).mean(1))
+    low = R.section_gamma(R.section_noise(R.drop_sections(R.jitter_sections(low, 0.5, 1), 1, 1), 0.05, 1), 0.8, 1.25, 1)
+    low = dense(low, "intensity", (4, 4, 4))
+    at = np.clip((np.arange(8) + 0.5) / 2 - 0.5, 0, 3)
+    want = np.stack([[np.interp(at, np.arange(4), low[:, y, x]) for x in range(4)] for y in range(4)])
+    assert np.allclose(got, want.transpose(2, 0, 1))
+
+
+def test_offsets_that_fit_a_volume(spark):
+    cat = spark.createDataFrame([("a", 7, 32, 64), ("b", 2, 10, 28)], "volume string, dz int, dy int, dx int")
+    t = N.offset_table(cat)
+    got = {(r["volume"], r["idx"]): r["n_pairs"] for r in t.collect()}
+    want = {(v, k): (z - abs(o[0])) * (y - abs(o[1])) * (x - abs(o[2])) for v, z, y, x in [("a", 7, 32, 64), ("b", 2, 10, 28)] for k, o in enumerate(N.OFFSETS) if abs(o[0]) < z and abs(o[1]) < y and abs(o[2]) < x}
+    assert got == want
+    few = N.select_offsets(t, 3).groupBy("volume", "kind").count().collect()
+    assert {(r["volume"], r["kind"]): r["count"] for r in few} == {("a", "pull"): 3, ("a", "push"): 3, ("b", "pull"): 3, ("b", "push"): 3}
