@@ -185,3 +185,13 @@ def test_languages_of_a_table_with_columns_of_the_results(spark):
     assert got.columns == ["doc_id", "text", "found", "lang_pred", "score"]
     assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "de", 2: "und"}
     assert langid.identify(docs.where("false"), field).count() == 0
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 4000)
+    rows = [(k, "the and of it was for " * 4, "en") for k in range(20)] + [(100 + k, "der die das und nicht ist " * 400, "de") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    field = langid.train(docs)
+    assert field.labels == ["de", "en"]
+    asked = spark.createDataFrame([(1, "und das ist der"), (2, "it was for the")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, field).collect()} == {1: "de", 2: "en"}

@@ -168,7 +168,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_TEXTS) -> Field:
     """A field fitted on at most ``most`` rows of ``docs`` with a text and a
     language, the first of each language by a hash of the id (rows that repeat an
-    id follow each other by text). With no such row the field has no labels."""
+    id follow each other by text). A language that has only texts over its share of
+    TRAIN_CHARS is learned from a piece of one. With no such row the field has no labels."""
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("size", F.length("text")).withColumn("draw", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)))
     there = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()]
@@ -177,8 +178,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     each, space = -(-most // len(there)), TRAIN_CHARS // len(there)
     # about twice an equal share of each language comes this far, by the hash alone, and its first ``each`` are taken
     share = F.create_map(*(F.lit(x) for g, n in there for x in (g, int(min(1.0, 2 * (each + 4) / n) * (1 << 30)))))
-    few = rows.where((F.col("draw") < share[F.col("lang")]) & (F.col("size") <= space))
-    in_lang = Window.partitionBy("lang").orderBy("draw", "key", "text")
+    few = rows.where(F.col("draw") < share[F.col("lang")])
+    # of a text over the space, which counts only where its language has no other, a piece from a drawn place
+    at = F.pmod(F.xxhash64("key", F.lit(9)), F.greatest(F.col("size") - space + 1, F.lit(1))) + 1
+    few = few.withColumn("long", F.col("size") > space).withColumn("text", F.when(F.col("long"), F.substring("text", at, F.lit(space))).otherwise(F.col("text")))
+    few = few.withColumn("size", F.least(F.col("size"), F.lit(space)))
+    in_lang = Window.partitionBy("lang").orderBy("long", "draw", "key", "text")
     few = few.withColumn("place", F.row_number().over(in_lang)).where(F.col("place") <= each)
     few = few.withColumn("upto", F.sum("size").over(in_lang.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= space)
     sample = few.orderBy("draw", "key", "text").select("text", "lang").toPandas()
