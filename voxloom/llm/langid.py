@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import fresh
 
 TRAIN_TEXTS = 800
-TRAIN_CHARS = 4 << 20  # of all texts that the field is fitted on; a longer text is left out of the fit
+TRAIN_CHARS = 4 << 20  # of all texts that the field is fitted on, an equal share of each language
 BITS = 16
-FEATURES = 14
 EPOCHS = 25
 ROWS = 256  # texts that step through the field together
 
@@ -38,17 +37,32 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """FEATURES hashed features of a word: itself, prefixes and suffixes of 1 to
-    3 letters, up to six letter trigrams over the ends' marks, and its length."""
+    """Hashed features of a word: itself, prefixes and suffixes of 1 to 3 letters,
+    its length, and all letter trigrams over the ends' marks."""
     framed = f"<{word}>"
     names = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3)), *(f"s{word[-k:]}" for k in (1, 2, 3)), f"n{min(len(word), 12)}"]
-    grams = [framed[k : k + 3] for k in range(max(1, len(framed) - 2))]
-    step = max(1, -(-len(grams) // (FEATURES - len(names))))
-    names += [f"g{g}" for g in grams[::step]][: FEATURES - len(names)]
-    names += ["-"] * (FEATURES - len(names))
+    names += [f"g{framed[k : k + 3]}" for k in range(max(1, len(framed) - 2))]
     return [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
 
 
+def featured(words) -> tuple[np.ndarray, np.ndarray]:
+    """The features of many words, one after the other, and how many each has."""
+    each = [features(w) for w in words]
+    return np.concatenate([np.array(x, np.int64) for x in each]), np.array([len(x) for x in each])
+
+
+def emissions(emit: np.ndarray, flat: np.ndarray, sizes: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """The summed weights of every word's features, some words at a time."""
+    ends = np.cumsum(sizes)
+    out, at = np.empty((len(sizes), emit.shape[1])), 0
+    while at < len(sizes):
+        first = ends[at] - sizes[at]
+        end = max(at + 1, int(np.searchsorted(ends, first + most, "right")))
+        out[at:end] = np.add.reduceat(emit[flat[first : ends[end - 1]]], ends[at:end] - sizes[at:end] - first)
+        at = end
+    return out
+
+
 def forward_backward(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, pairs: bool = False):
     """Label probabilities of padded sequences: emit (rows, steps, labels) are
     log-potentials, rows sorted by falling length. Returns the marginals
@@ -95,8 +109,7 @@ class Field:
         out = np.zeros((len(texts), len(self.labels)))
         if not known or not self.labels:
             return out
-        f = np.array([features(w) for w in known])
-        scores = np.concatenate([self.emit[f[k : k + 8192]].sum(axis=1) for k in range(0, len(f), 8192)])
+        scores = emissions(self.emit, *featured(known))
         for rows in _groups(lengths):
             n = lengths[rows]
             emit = np.zeros((len(rows), int(n.max()), len(self.labels)))
@@ -135,7 +148,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
     seen = [np.full_like(x, 1e-8) for x in (emit, start, move)]
     if not pairs:
         return Field(labels, emit, start, move)
-    f = np.array([features(w) for w in vocabulary])
+    flat, sizes = featured(vocabulary)
     lengths = np.array([len(w) for w, _ in pairs])
     total = lengths.sum()
     blocks = []
@@ -146,7 +159,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
             ids[r, : n[r]] = [vocabulary[w] for w in pairs[row][0]]
         blocks.append((ids, n, np.array([pairs[row][1] for row in rows])))
     for _ in range(epochs):
-        by_word = emit[f].sum(axis=1)
+        by_word = emissions(emit, flat, sizes)
         g_word, g_start, g_move = np.zeros_like(by_word), np.zeros(k), np.zeros((k, k))
         for ids, n, gold in blocks:
             here = ids >= 0
@@ -157,7 +170,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
             g_start += gamma[:, 0].sum(axis=0)
             g_move -= counts
             np.add.at(g_move, (gold, gold), n - 1)
-        g_emit = np.column_stack([np.bincount(f.ravel(), np.repeat(g_word[:, c], FEATURES), size) for c in range(k)])
+        g_emit = np.column_stack([np.bincount(flat, np.repeat(g_word[:, c], sizes), size) for c in range(k)])
         for x, g, s in ((emit, g_emit, seen[0]), (start, g_start, seen[1]), (move, g_move, seen[2])):
             g = g / total - ridge * x / len(labels)
             s += g * g
@@ -224,7 +237,7 @@ def label_words(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
             if not words or not own.labels:
                 rows.append((words, ["und"] * len(words)))
                 continue
-            scores = own.emit[np.array([features(w) for w in words])].sum(axis=1)
+            scores = emissions(own.emit, *featured(words))
             gamma, _ = forward_backward(scores[None], np.array([len(words)]), own.start, own.move)
             rows.append((words, [own.labels[c] for c in gamma[0].argmax(axis=1)]))
         return pd.DataFrame(rows, columns=["words", "langs"])
