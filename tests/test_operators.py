@@ -268,6 +268,8 @@ def test_registered_watersheds_equal_one_pass_over_the_volume(spark):
     one = W.solve_block(G.rounded_edges(spark, sf).toPandas())
     want = dict(zip(one["node"].tolist(), one["root"].tolist(), strict=True))
     assert {r["node"]: r["root"] for r in G.QUERIES["mws_exact"](spark, sf).collect()} == want
+    blocks = W.exact(G.rounded_edges(spark, sf), V.extents(G.X.voxels(spark, sf)), size=(4, 16, 32))
+    assert {r["node"]: r["root"] for r in blocks.collect()} == want
     size = pd.Series(want).value_counts()
     stitched = G.QUERIES["mws_block_stitch"](spark, sf).collect()
     assert {r["first_voxel"]: r["n_voxels"] for r in stitched} == size.to_dict()

@@ -174,7 +174,7 @@ def _(spark, sf):
 @query("mws_exact")
 def _(spark, sf):
     """The falling order over all edges of a volume, settled in blocks that grow."""
-    return W.exact(rounded_edges(spark, sf), V.extents(X.voxels(spark, sf)), size=(4, 16, 32))
+    return W.exact(rounded_edges(spark, sf), V.extents(X.voxels(spark, sf)))
 
 
 @query("mws_boruvka")
