@@ -340,6 +340,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, least: int = 10, id_col:
 
         def search(batches, queries=queries):
             q = queries.value
+            begins = np.array([o[0] for o in q.owner])
             for ids, parts in _shards(batches, q):
                 rows = []
                 for offset, some in _slices(parts, q.depth - 1):
@@ -356,7 +357,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, least: int = 10, id_col:
                     count = np.bincount(which, minlength=len(long))
                     for k, f in zip(which[order][first].tolist(), order[first].tolist(), strict=True):
                         s = int(q.starts[long[k]])
-                        begin, _, names = q.owner[int(np.searchsorted([o[0] for o in q.owner], s, "right")) - 1]
+                        begin, _, names = q.owner[int(np.searchsorted(begins, s, "right")) - 1]
                         rows += [(name, s - begin, int(best[long[k]]), int(count[k]), ids[int(doc[f])], int(own[f])) for name in names]
                 out = pd.DataFrame(rows, columns=["item", "item_start", "n_words", "n_places", "id", "start"])
                 yield out.assign(id=longs(out["id"]))
