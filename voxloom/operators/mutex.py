@@ -294,7 +294,7 @@ def _first_edges(pairs: DataFrame) -> DataFrame:
 def _told_by_blocks(pairs: DataFrame, extents: DataFrame, size, most: int) -> DataFrame:
     """(volume, gone, into, done) from the blocks of ``size`` voxels that have
     ``most`` pairs or fewer."""
-    p = pairs.join(broadcast_if_small(extents.select("volume", "dy", "dx")), "volume")
+    p = pairs.join(extents.select("volume", "dy", "dx"), "volume")
 
     def block(n: str) -> str:
         z, y, x = f"{n} div (CAST(dy AS BIGINT) * dx) div {size[0]}", f"({n} div dx) % dy div {size[1]}", f"{n} % dx div {size[2]}"
@@ -333,6 +333,7 @@ def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int):
     roots = cut(e.select("volume", F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
     extents = cut(extents.select("volume", *(f"d{a}" for a in AXES)))
     widest = extents.agg(*(F.max(f"d{a}") for a in AXES)).first()
+    extents = broadcast_if_small(extents)
     pairs, size = cut(_first_edges(e)), list(size)
     while pairs.where("pull IS NOT NULL").limit(1).count():
         told = cut(_told_by_blocks(pairs, extents, size, most))
