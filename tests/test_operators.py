@@ -240,9 +240,9 @@ def lattice_graph(rng, shape, levels):
     return rows
 
 
-@pytest.mark.parametrize(("size", "most", "levels"), [((2, 3, 4), 10**6, 1000), ((1, 3, 3), 10**6, 8), ((4, 6, 9), 10**6, 8), ((2, 3, 4), 0, 50)])
+@pytest.mark.parametrize(("size", "most", "levels"), [((2, 3, 4), 10**6, 1000), ((1, 3, 3), 10**6, 8), ((3, 5, 8), 10**6, 8), ((2, 3, 4), 0, 50)])
 def test_exact_watershed_in_blocks_equals_one_pass(spark, size, most, levels):
-    shape = (4, 6, 9) if most else (2, 2, 3)
+    shape = (3, 5, 8) if most else (2, 2, 3)
     rows = lattice_graph(np.random.default_rng(levels + size[1]), shape, levels)
     names = ["volume", "u", "v", "idx", "weight", "mutex"]
     one = W.solve_block(pd.DataFrame(rows, columns=names))
@@ -631,3 +631,52 @@ def test_offsets_that_fit_a_volume(spark):
     assert got == want
     few = N.select_offsets(t, 3).groupBy("volume", "kind").count().collect()
     assert {(r["volume"], r["kind"]): r["count"] for r in few} == {("a", "pull"): 3, ("a", "push"): 3, ("b", "pull"): 3, ("b", "push"): 3}
+
+
+def test_array_kernels_equal_the_voxelwise_operators(spark):
+    from voxloom.operators import affinities as A
+    from voxloom.operators import scoring as C
+    from voxloom.sources import bricks as B
+
+    rng = np.random.default_rng(12)
+    a = rng.integers(0, 4, (5, 9, 10)).astype(np.int64)
+    v, size, offsets = grid(spark, a), (2, 4, 4), [(-1, 0, 0), (0, 2, -3), (3, 0, 0), (1, -5, 6)]
+    b = B.to_bricks(v, size, ("label",))
+    plain = N.affinity_target(v, offsets, background=2).persist()
+    lines = A.target_lines(b, offsets, background=2, size=size).collect()
+    got = {(r["z"], r["y"], r["x0"] + i, r["idx"]): (t, ok) for r in lines for i, (t, ok) in enumerate(zip(r["target"], r["valid"], strict=True))}
+    assert got == {(r["z"], r["y"], r["x"], r["idx"]): (r["target"], r["valid"]) for r in plain.collect()}
+    target = N.affinity_target(v, offsets)
+    key = lambda d, *c: {r["idx"]: tuple(r[x] for x in c) for r in d.collect()}
+    near = N.shifted(v, ["label"], offsets).groupBy("volume", "idx").agg(F.sum("n_label").alias("sum_label"), F.sum((F.col("label") == F.col("n_label")).cast("int")).alias("n_same"))
+    assert key(A.neighbor_sums(b, offsets, size=size), "sum_label", "n_same") == key(near, "sum_label", "n_same")
+    assert key(A.profile(b, offsets, size=size), "positive", "n_valid", "w_pos", "w_neg") == key(N.affinity_profile(target), "positive", "n_valid", "w_pos", "w_neg")
+    assert (dense(A.valid_counts(b, offsets, size=size), "n_valid", a.shape) == dense(target.groupBy(*KEYS).agg(F.sum("valid").alias("n")), "n", a.shape)).all()
+
+    def logit(h, k, same):
+        z, y, x = h.axes()
+        return np.where(same, 1.0, -1.0) + (z + 2 * y + 3 * x + k) % 5 / 3.0
+
+    rows = target.withColumn("logit", F.when(F.col("target") == 1, 1.0).otherwise(-1.0) + F.expr("(z + 2 * y + 3 * x + idx) % 5 / 3.0D"))
+    rows = C.balanced(rows, ["volume", "idx"], "target", "valid").withColumn("w", F.col("valid") * F.col("class_weight") * F.when(F.col("idx") < 1, 1.0).otherwise(2.0))
+    want = C.composite(rows, ["volume"], "logit", "target", "w").first()
+    one = C.balanced_composite(A.score_sums(b, logit, offsets, size=size), ["volume"], F.when(F.col("idx") < 1, 1.0).otherwise(2.0)).first()
+    assert all(one[c] == pytest.approx(want[c]) for c in ("bce", "focal", "dice", "score"))
+    aff = target.select(*KEYS, "idx", (F.col("target") * 0.5 + F.expr("(z + y + x + idx) % 7 / 20.0D")).alias("aff"))
+    fg = rng.random(a.shape) < 0.7
+    mask = grid(spark, fg, "fg").where("fg")
+    built = W.build_edges(aff, offsets, 1, (1, 2, 3), mask)
+
+    def affinity(h, k, same):
+        z, y, x = h.axes()
+        return same * 0.5 + (z + y + x + k) % 7 / 20.0
+
+    bf = B.to_bricks(v.join(grid(spark, fg, "fg"), KEYS), size, ("label", "fg"))
+    e = A.edges(bf, affinity, offsets, 1, (1, 2, 3), mask="fg", size=size)
+    rows = lambda d: sorted((r["u"], r["v"], r["idx"], round(r["weight"], 9), r["mutex"]) for r in d.collect())
+    assert rows(e) == rows(built) and len(rows(e)) > 100
+    steps = K.binary_structure(3, 2)
+    n = A.neighbor_counts(b, steps, size=size).collect()
+    counts = {(r["z"], r["y"], r["x0"] + i): c for r in n for i, c in enumerate(r["n"])}
+    inside = lambda p: all(0 <= i < w for i, w in zip(p, a.shape, strict=True))
+    assert counts == {p: sum(inside(q) and a[q] == a[p] for q in (tuple(np.add(p, s).tolist()) for s in steps)) for p in np.ndindex(a.shape)}
