@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.llm import common, epsilon_grid, langid, mixing, simhash
+from voxloom.llm import common, epsilon_grid, langid, licenses, mixing, simhash
 
 
 def test_near_vectors_equal_brute_force(spark):
@@ -195,3 +195,15 @@ def test_a_language_of_long_texts_alone_is_learned(spark, monkeypatch):
     assert field.labels == ["de", "en"]
     asked = spark.createDataFrame([(1, "und das ist der"), (2, "it was for the")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, field).collect()} == {1: "de", 2: "en"}
+
+
+def test_license_templates_from_a_table(spark, monkeypatch):
+    rows = [("Own-1.0", "You may use this work for any purpose whatsoever."), ("Own-1.0", "You may use this work for any purpose whatsoever."), ("Own-1.0", "All uses of this thing are fine with us today."), (None, "No name here at all, none."), ("Empty", " .. "), ("Null", None)]
+    templates = licenses.read_templates(spark.createDataFrame(rows, "name string, text string"))
+    assert list(templates) == ["Own-1.0", "Own-1.0 (2)"]
+    docs = spark.createDataFrame([(1, "x. You may use this work for any purpose whatsoever. y"), (2, "Released under the MIT License.")], "doc_id bigint, text string")
+    found = licenses.scan(docs, templates).collect()
+    assert [(r["id"], r["license"], r["coverage"]) for r in found] == [(1, "Own-1.0 (2)", 1.0)]
+    monkeypatch.setattr(licenses, "TEMPLATE_CHARS", 10)
+    with pytest.raises(ValueError, match="at most"):
+        licenses.read_templates(spark.createDataFrame(rows, "name string, text string"))

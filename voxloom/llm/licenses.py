@@ -173,6 +173,26 @@ def align(template: list[str], words: list[str], diagonal: int, band: int = BAND
     return None if top is None else (top[1], top[2], top[0])
 
 
+TEMPLATE_CHARS = 64 << 20  # of all templates, which every task holds
+
+
+def read_templates(table: DataFrame, name_col: str = "name", text_col: str = "text") -> dict[str, str]:
+    """Templates for ``scan`` from a table of any other licenses. Rows without a name
+    or words are left out; of two texts of one name the second one, in order of the
+    text, gets its number behind the name. A table of over TEMPLATE_CHARS is an error."""
+    rows = table.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text")).where("name IS NOT NULL AND text IS NOT NULL").distinct()
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > TEMPLATE_CHARS:
+        raise ValueError(f"templates of {size} characters: every task holds them, {TEMPLATE_CHARS} at most")
+    out: dict[str, str] = {}
+    seen: dict[str, int] = {}
+    for row in rows.orderBy("name", "text").toLocalIterator():
+        if words_of(row["text"])[0]:
+            n = seen[row["name"]] = seen.get(row["name"], 0) + 1
+            out[row["name"] if n == 1 else f"{row['name']} ({n})"] = row["text"]
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, coverage double, start int, end int): one row a match of a
     whole text, with spans in code points, coverage the share of the template's
