@@ -32,7 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` has returned, of rounds that are over:
+    what was made of them must have been cut, too. Other tables are left as they are."""
+    for t in tables:
+        path = getattr(t, "_cut_path", None)
+        if path:
+            where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 SMALL_ROWS = 500_000  # of a few numbers each, that a task may hold
@@ -103,16 +115,17 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old")))
         # late roots have most of the nodes: theirs are looked up by broadcast, too
         led = hooked.groupBy("old").agg(F.min("root").alias("least"), F.count("*").alias("n"))
-        hot = F.broadcast(cut(hooked.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > many).select("root")))
+        hot = cut(hooked.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > many).select("root"))
         moved = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        stepped = _looked_up(hooked, hot, "root", moved, "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "old")
-        large = F.broadcast(cut(led.where(F.col("n") > many).select("old")))
-        followed = _looked_up(stepped, large, "old", led.select("old", "least"), "left")
+        stepped = _looked_up(hooked, F.broadcast(hot), "root", moved, "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "old")
+        large = cut(led.where(F.col("n") > many).select("old"))
+        followed = _looked_up(stepped, F.broadcast(large), "old", led.select("old", "least"), "left")
         least = F.least("root", F.coalesce("least", "root"))
-        labels = cut(followed.select("node", least.alias("root"), (least < F.col("old")).alias("changed")))
+        before, labels = labels, cut(followed.select("node", least.alias("root"), (least < F.col("old")).alias("changed")))
+        release(before, hooked, hot, large)
         if labels.where("changed").limit(1).count() == 0:
+            release(e)
             return labels.select("node", "root")
-        labels = labels.select("node", "root")
 
 
 HUB_ROWS = 10_000

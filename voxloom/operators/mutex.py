@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import grow_labels, min_size
-from voxloom.operators.graph import broadcast_if_small, components, cut, ranked_by_ranges
+from voxloom.operators.graph import broadcast_if_small, components, cut, ranked_by_ranges, release
 from voxloom.operators.neighbors import N_PULL, OFFSETS
 from voxloom.operators.voxels import AXES, extents
 
@@ -335,6 +335,8 @@ def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int):
     widest = extents.agg(*(F.max(f"d{a}") for a in AXES)).first()
     extents = broadcast_if_small(extents)
     pairs, size = cut(_first_edges(e)), list(size)
+    held = pairs
+    release(e)
     while pairs.where("pull IS NOT NULL").limit(1).count():
         told = cut(_told_by_blocks(pairs, extents, size, most))
         whole = all(s >= (w or 1) for s, w in zip(size, widest, strict=True))
@@ -350,7 +352,9 @@ def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int):
         named = _renamed(_renamed(pairs, merge, "gone", "into", "a"), merge, "gone", "into", "b")
         for c in ("a", "b"):
             named = named.join(done.withColumnRenamed("_d", c), ["volume", c], "left_anti")
-        pairs = cut(_first_edges(named))
+        before, pairs = held, cut(_first_edges(named))
+        held = pairs
+        release(before, told)
         size = [min(2 * s, max(s, w or 1)) for s, w in zip(size, widest, strict=True)]
         yield roots
     yield roots
