@@ -207,3 +207,18 @@ def test_license_templates_from_a_table(spark, monkeypatch):
     monkeypatch.setattr(licenses, "TEMPLATE_CHARS", 10)
     with pytest.raises(ValueError, match="at most"):
         licenses.read_templates(spark.createDataFrame(rows, "name string, text string"))
+
+
+def test_stages_send_texts_in_small_batches(spark):
+    import corpus_pipeline as pipeline
+
+    before = spark.conf.get(pipeline.ARROW_ROWS)
+    docs = documents(spark, [(1, "a b c", "en", "a", 0.0, 1, "w")])
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+            spark.conf.set(pipeline.ARROW_ROWS, given)
+            assert pipeline.encode(spark, docs, "").count() == 1
+            assert spark.conf.get(pipeline.ARROW_ROWS) == want
+    finally:
+        spark.conf.set(pipeline.ARROW_ROWS, before)
+    assert [f.__name__ for _, f in pipeline.STAGES] == ["drop_toxic", "drop_near_duplicates", "mask_secrets", "mix_sources", "encode"]
