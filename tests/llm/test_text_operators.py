@@ -452,9 +452,9 @@ def test_secrets_are_told_from_look_alikes(spark):
     assert secrets_scan.scan(blank(spark), secrets_scan.train(blank(spark))).count() == 0
 
 
-def test_secrets_reference_counts_all_texts(spark, texts):
+def test_secrets_reference_counts_all_texts(spark, texts, monkeypatch):
     few = ["zebra crossing\u00a0ahead 12-a", None, "É\x1cK\u212a ÀBCdef"]
-    many = [f"common words here {i} and there" for i in range(1200)]
+    many = [f"common words here {i} and there Donaudampfschiffe \u0441\u043b\u043e\u0432\u043e \u00fcber" for i in range(1200)]
     docs = frame(spark, [*many, *few, *texts, "rareword rareword rareword"])
     plain = np.full((28, 28), 0.5)
     seen = collections.Counter()
@@ -466,7 +466,13 @@ def test_secrets_reference_counts_all_texts(spark, texts):
         seen.update(secrets_scan._WORD.findall((t or "").lower()))
     reference, _, _ = secrets_scan.train(docs)
     assert np.allclose(reference.log, np.log(plain / plain.sum(axis=1, keepdims=True)))
-    assert reference.words == {w for w, n in seen.items() if n > 1} and "rareword" in reference.words
+    assert reference.words == {w for w, n in seen.items() if n > 1 and n * secrets_scan.SHARE >= seen.total()} and "rareword" in reference.words
+    assert {"donaudampfschiffe", "\u0441\u043b\u043e\u0432\u043e", "\u00fcber"} <= reference.words
+    assert reference.coverage("x1Donaudampfschiffe\u00fcber") == 21 / 23 and reference.coverage("") == 0
+    monkeypatch.setattr(secrets_scan, "SHARE", 12)
+    frequent, _, _ = secrets_scan.train(docs)
+    assert frequent.words == {w for w, n in seen.items() if n > 1 and n * 12 >= seen.total()} == secrets_scan.Reference([t or "" for t in [*many, *few, *texts, "rareword rareword rareword"]]).words
+    assert frequent.words and "rareword" not in frequent.words
 
 
 def test_given_findings_fit_the_forest(spark):
@@ -487,6 +493,32 @@ def test_candidates_are_found_in_linear_time(text):
     assert time.time() - began < 3
 
 
+def test_values_after_a_scheme_are_candidates():
+    for head in ("authorization: Bearer ", 'Authorization: "basic  ', "auth_token=BEARER\t"):
+        assert [f"{head}abc.def-ghi_jkl.mnop end"[a:b] for a, b in secrets_scan.candidates(f"{head}abc.def-ghi_jkl.mnop end")] == ["abc.def-ghi_jkl.mnop"]
+        assert secrets_scan._GIVEN.search(head)
+
+
+def test_runs_are_gathered_whole(spark):
+    import pandas as pd
+
+    from voxloom.llm.common import solve_runs
+
+    sizes = [1, 7, 30, 2, 2, 90, 1, 5]
+    rows = spark.createDataFrame([(k, i) for k, n in enumerate(sizes) for i in range(n)], "key bigint, i bigint").repartition(1).sortWithinPartitions("key", "i")
+    solve = lambda b: pd.DataFrame({"key": b["key"].unique(), "n": b.groupby("key").size().to_numpy(), "batch": len(b)})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        for least in (1, 6, 25, 1000):
+            got = solve_runs(rows, "key", solve, "key bigint, n bigint, batch bigint", least).collect()
+            assert [(r["key"], r["n"]) for r in got] == list(enumerate(sizes))
+            batches = {r["batch"] for r in got}
+            assert batches == {sum(sizes)} if least > sum(sizes) else len(batches) > 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_private_key_blocks_end_at_the_next_end():
     key = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
     text = f"{key} and -----BEGIN PRIVATE KEY----- {key} -----BEGIN PRIVATE KEY-----"

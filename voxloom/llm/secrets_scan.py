@@ -28,7 +28,7 @@ from voxloom.llm.common import cut, give_back_memory
 
 FINDINGS = 20_000  # labelled rows that fit the forest, at most
 DRAWN_FINDINGS = 3_000
-DICTIONARY = 4_000
+SHARE = 100_000  # a dictionary word is one in so many words or more, so there are at most so many
 FLUSH_WORDS = 200_000  # a task sends its words' counts on when it holds so many
 TREES, DEPTH, LEAST_ROWS, BINS = 40, 8, 4, 24
 REACH, AHEAD = 48, 24  # characters before and after a candidate in which its neighbouring words lie
@@ -39,7 +39,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 _NAMES = r"token|secret|passw(?:or)?d|passwd|pwd|api_?key|access_?key|private_?key|client_?key|auth|credential"
 # a name (only from where a run of its characters begins, and whole, so that the
 # search is linear), what sets it apart from its value, and the value
-_KEY = re.compile(r"(?<![\w\-.])[\w\-.]++[\"']?\s{0,3}[:=]\s{0,3}[\"']?")
+_KEY = re.compile(r"(?<![\w\-.])[\w\-.]++[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?:(?i:bearer|basic)\s{1,3})?")
 _VALUE = re.compile(r"[^\s\"',;<>]{8,}")
 _BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
@@ -47,7 +47,8 @@ _HINT = re.compile(rf"(?i){_NAMES}")
 _BENIGN = re.compile(r"(?i)\b(?:sha\d*|commit|md5|digest|checksum|hash|uuid|guid|etag|version|example|isbn|order|invoice|phone|serial|img|src|href|https?)\b")
 _PREFIX = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk-|sk_live_|rk_live_|xox[abpr]-|AIza|eyJ|glpat-|npm_|SG\.)")
 _DIGIT = re.compile(r"\d")
-_WORD = re.compile(r"[a-z]{3,}")
+_GIVEN = re.compile(r"[:=]\s{0,3}[\"']?(?:(?i:bearer|basic)\s{1,3})?$")
+_WORD = re.compile(r"[^\W\d_]{3,}")
 FEATURE_NAMES = ["length", "transitions", "entropy", "digits", "changes", "dictionary", "hex", "prefix", "assigned", "named", "benign", "path", "distinct", "letters", "words before", "words after"]
 
 
@@ -119,24 +120,27 @@ def count_text(text: str, steps: np.ndarray, words: Counter) -> None:
 
 class Reference:
     """What ordinary text looks like: log-probabilities of character transitions
-    and the frequent words (at most 4,000)."""
+    and the dictionary, the words of three letters or more, in any script and of any
+    length, that are seen twice and make up 1 in SHARE of all words or more."""
 
     def __init__(self, texts: list[str]):
         steps, words = np.zeros((28, 28), np.int64), Counter()
         for t in texts:
             count_text(t, steps, words)
-        self._keep(steps, sorted((w for w, n in words.items() if n > 1), key=lambda w: (-words[w], w))[:DICTIONARY])
+        self._keep(steps, [w for w, n in words.items() if n > 1 and n * SHARE >= words.total()])
 
     @classmethod
     def over(cls, texts: DataFrame) -> Reference:
         """As of the list of all texts of ``texts`` (text): tasks add up their own
         transitions and words, Spark the tasks'; the driver gets the sums of the
-        transitions and the most frequent words."""
+        transitions and the dictionary, which SHARE bounds whatever the texts."""
 
         def partial(batches):
-            steps, words = np.zeros((28, 28), np.int64), Counter()
+            steps, words, total = np.zeros((28, 28), np.int64), Counter(), 0
 
             def flush():
+                nonlocal total
+                total += words.total()
                 return pd.DataFrame({"word": pd.Series(list(words), dtype=object), "n": np.fromiter(words.values(), np.int64, len(words))})
 
             for b in batches:
@@ -148,15 +152,18 @@ class Reference:
             yield flush()
             words.clear()
             at = np.flatnonzero(steps)
-            # transitions are named by digits, which no word has
-            yield pd.DataFrame({"word": pd.Series([str(i) for i in at], dtype=object), "n": steps.ravel()[at]})
+            # transitions are named by digits, which no word has, and the sum of all words by none
+            yield pd.DataFrame({"word": pd.Series(["", *map(str, at)], dtype=object), "n": np.append(total, steps.ravel()[at])})
             give_back_memory()
 
         sums = cut(texts.mapInPandas(partial, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1 OR word < 'a'"))
-        steps = np.zeros(28 * 28, np.int64)
+        steps, total = np.zeros(28 * 28, np.int64), 0
         for row in sums.where("word < 'a'").collect():
-            steps[int(row["word"])] = row["n"]
-        words = [r["word"] for r in sums.where("word >= 'a'").orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()]
+            if row["word"]:
+                steps[int(row["word"])] = row["n"]
+            else:
+                total = row["n"]
+        words = [r["word"] for r in sums.where((F.col("word") >= "a") & (F.col("n") * SHARE >= total)).select("word").collect()]
         out = cls.__new__(cls)
         out._keep(steps.reshape(28, 28), words)
         return out
@@ -165,13 +172,16 @@ class Reference:
         counts = steps + 0.5
         self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
         self.words = frozenset(words)
-        self.heads = frozenset(w[:3] for w in words)
+        sizes: dict[str, set[int]] = {}
+        for w in words:
+            sizes.setdefault(w[:3], set()).add(len(w))
+        self.sizes = {head: sorted(found, reverse=True) for head, found in sizes.items()}
 
     def coverage(self, s: str) -> float:
         """The share of characters that dictionary words cover, taken greedily."""
         s, at, covered = s.lower(), 0, 0
         while at < len(s):
-            size = next((k for k in range(min(12, len(s) - at), 2, -1) if s[at : at + k] in self.words), 0) if s[at : at + 3] in self.heads else 0
+            size = next((k for k in self.sizes.get(s[at : at + 3], ()) if k <= len(s) - at and s[at : at + k] in self.words), 0)
             covered += size
             at += size or 1
         return covered / max(len(s), 1)
@@ -226,7 +236,7 @@ def features(before: str, candidate: str, after: str, path: str | None, referenc
         reference.coverage(candidate),
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", candidate))),
         float(_known(candidate)),
-        float(bool(re.search(r"[:=]\s{0,3}[\"']?$", before))),
+        float(bool(_GIVEN.search(before))),
         float(bool(_HINT.search(before))),
         float(bool(_BENIGN.search(before))),
         float(bool(re.search(r"(?i)test|example|mock|doc|sample|fixture", path or ""))),
