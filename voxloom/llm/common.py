@@ -264,23 +264,29 @@ class Forest:
             r = n
 
 
-def solve_runs(rows: DataFrame, key: str, solve, schema: str) -> DataFrame:
+def solve_runs(rows: DataFrame, key: str, solve, schema: str, least: int = 1) -> DataFrame:
     """Apply ``solve`` to batches of ``rows``, which are partitioned by ``key`` and
-    sorted by it first; a run of equal keys always comes in one batch."""
+    sorted by it first; a run of equal keys always comes in one batch. Small batches
+    are gathered to ``least`` rows, where rows are small."""
 
     def run(batches):
-        rest = None  # the last run of a batch may go on in the next one
+        held, size = [], 0
         for b in batches:
             if not len(b):
                 continue
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            held.append(b)
+            size += len(b)
+            if size < least:
+                continue
+            b = pd.concat(held, ignore_index=True)
             start = int(np.searchsorted(b[key].to_numpy(), b[key].iloc[-1]))
-            rest = b.iloc[start:].reset_index(drop=True)
+            # the last run may go on in the next batch
+            held, size = [b.iloc[start:].reset_index(drop=True)], len(b) - start
             if start:
                 yield solve(b.iloc[:start].reset_index(drop=True))
-        if rest is not None:
-            yield solve(rest)
-        rest = None
+        if held:
+            yield solve(pd.concat(held, ignore_index=True))
+        held = []
         give_back_memory()
 
     return rows.mapInPandas(run, schema)

@@ -179,7 +179,7 @@ def link_buckets(keyed: DataFrame, lanes: int, radius: int, most: int = 4096) ->
         own = roots != np.arange(len(b))
         return pd.DataFrame({"a": ids[own], "b": ids[roots[own]]})
 
-    return solve_runs(in_tiles(keyed, "key", most), "tile", solve, "a bigint, b bigint").distinct()
+    return solve_runs(in_tiles(keyed, "key", most), "tile", solve, "a bigint, b bigint", GATHERED).distinct()
 
 
 def pigeonhole_keys(fp: str, radius: int) -> F.Column:
@@ -213,6 +213,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col:
     return join_hot(prints, named, "fp", "n", prints.count()).select("id", "fp", "component")
 
 
+GATHERED = 10_000  # rows of fingerprints that are compared in one go, or a tile more
 LANES = 4  # of 64 bits each, in the fingerprints of near-duplicates
 DEVIATIONS = 6.0  # what the radius leaves to chance, in standard deviations
 PARTS_SPREAD = 4  # times as many groups for the parts' keys, which do not pack as well as words
