@@ -271,7 +271,7 @@ def plainly_scored(texts, labels, asked, discount):
     active = {w for c in n for w, k in c.items() if k > 1}
     total = [max(sum(c.values()), 1) for c in n]
     back = [max(sum(min(k, discount) for k in c.values()) / t, 1e-6) for c, t in zip(n, total, strict=True)]
-    contexts = sum(len(before[w]) if w in active else 1 for w in before)
+    contexts = sum(map(len, before.values()))
     ratios = {w: np.log((max(n[1][w] - discount, 0) / total[1] + back[1] * len(before[w]) / contexts) / (max(n[0][w] - discount, 0) / total[0] + back[0] * len(before[w]) / contexts)) for w in active}
     out = []
     for t in asked:
@@ -283,7 +283,6 @@ def plainly_scored(texts, labels, asked, discount):
 
 def test_likelihood_ratios_equal_a_plain_model(spark, words, monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK_CHARS", 1500)
-    monkeypatch.setattr(toxicity, "CONTEXTS", 1000)  # all counted exactly
     rng = random.Random(2)
     texts = [" ".join(rng.choices(words, k=rng.randint(0, 25))) + rng.choice(["", " vile!", " Vile vile"]) for _ in range(90)]
     labels = [i % 3 == 0 for i in range(90)]
@@ -301,12 +300,16 @@ def test_likelihood_ratios_equal_a_plain_model(spark, words, monkeypatch):
         assert np.allclose([x[i] for i in range(len(asked))], plainly_scored(texts, labels, asked, discount))
 
 
-def test_context_counts_do_not_fill_up():
-    rng = np.random.default_rng(3)
-    for many in (5, 31, 1000, 200_000):
-        h = np.unique(rng.integers(0, 2**32, many, np.int64))[: toxicity.CONTEXTS].astype(np.uint32)
-        got = toxicity._contexts(np.zeros(len(h), np.int64), h, 1)[0]
-        assert got == many if many < toxicity.CONTEXTS else 0.5 * many < got < 2 * many
+def test_contexts_of_a_frequent_word_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 3000)
+    texts = [" ".join(f"w{j} the" for j in range(i, i + 90)) for i in range(0, 3000, 30)] + ["the rare", "the rare", None, ""]
+    docs = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, label int").repartition(4)
+    for buckets in (1, 5):
+        rows = toxicity.count(docs, buckets).collect()
+        contexts = np.concatenate([toxicity.unpack_planes(r["contexts"], "<u8") for r in rows])
+        # 3,060 words and a text's beginning stand before "the", "the" or a beginning before the others
+        assert contexts.max() == 3061 and sum(r["types"] for r in rows) == 3062
+        assert sum(r["stats"][0] for r in rows) == 3061 + sum(2 if i % 30 == 0 and i < 3000 and i > 0 else 1 for i in range(3060)) + 1
 
 
 def test_toxicity_learns_and_takes_any_row(spark, words):

@@ -9,7 +9,9 @@ are compared, normalised by length: over all its distinct words, and over its
 most toxic ones. Class-conditional bigrams as a third order were tried and
 dropped (figures in the README).
 
-Counts are Spark tables keyed by word, and grow with the input. Words travel as
+Counts are Spark tables keyed by word, and grow with the input. Pairs of a word and
+the one before it are counted exactly, in groups by a hash of both, so that a
+frequent word's are not in one. Words travel as
 48-bit hashes, by chunks of documents that list each distinct word once: a chunk's
 words meet the table in hash buckets, and their counts go back to the chunk.
 """
@@ -25,13 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import cut, cut_by, give_back_memory, groups_for, hash_filter, long_text, longs, mix64, pack, pack_planes, trimmed, unpack, unpack_planes
+from voxloom.llm.common import cut, cut_by, give_back_memory, groups_for, hash_filter, long_text, longs, mix64, pack_planes, trimmed, unpack_planes
 
 DISCOUNTS = (1.0, 2.0, 3.0, 5.0)  # the one that explains labelled texts best is taken
 CALIBRATION_ROWS = 8_000  # at most so many labelled rows fit the weights of the logistic curve
 REJECT = 0.3  # texts of this score or more count as toxic
 CHUNK_CHARS = 4 << 20
-CONTEXTS = 32  # fewer different words before a word are counted exactly, more are estimated
 WORD_BITS, FILTER_BITS = 48, 25
 TOP = (3, 10)  # numbers of most toxic words that are looked at alone
 FEATURES = 2 + len(TOP)
@@ -85,25 +86,18 @@ def _bucket_edges(words: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(words, np.array([(k << WORD_BITS) // buckets for k in range(buckets + 1)], np.uint64))
 
 
-def _first_of_each(owner: np.ndarray, most: int) -> np.ndarray:
-    """Flags of the first ``most`` entries of each run of equal owners."""
-    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
-    return np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner)))) < most
+SENT = ["bucket", "words", "n0", "n1", "sizes", "before"]
+def _steps(words: np.ndarray) -> bytes:
+    return pack_planes(np.diff(words, prepend=np.uint64(0)), "<u8")
 
 
-def _contexts(owner: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
-    """How many different 32-bit hashes go with each of n owners, from up to
-    CONTEXTS of the smallest of each: exact below that number, else by how
-    densely the smallest lie. Any number can be told; nothing saturates."""
-    counts = np.bincount(owner, minlength=n).astype(float)
-    last = np.zeros(n)
-    np.maximum.at(last, owner, before.astype(float))
-    full = counts >= CONTEXTS
-    counts[full] = (CONTEXTS - 1) * 2.0**32 / (last[full] + 1)
-    return np.maximum(counts, 1)
+def _united(packed) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of all of ``packed``, sorted, and where among them each is."""
+    return np.unique(np.concatenate([np.cumsum(unpack_planes(x, "<u8")) for x in packed]), return_inverse=True)
 
 
 COUNTED = "bucket int, words binary, n0 binary, n1 binary, sizes binary, before binary"
+SUMMED = "bucket int, words binary, n0 binary, n1 binary, contexts binary"
 MODEL = "bucket int, words binary, n0 binary, n1 binary, contexts binary, types bigint, stats array<double>"
 
 
@@ -111,7 +105,10 @@ def count(labelled: DataFrame, buckets: int) -> DataFrame:
     """The model's table, one row a bucket, over all rows of ``labelled`` (text,
     label 0 or 1): the words that two texts of a class or more have, with the
     number of such texts by class (lines repeated in a text weigh no more) and of
-    different words before them. ``stats`` sums up all words, rarer ones too."""
+    different words before them. ``stats`` sums up all words, rarer ones too.
+
+    A first exchange sums texts by word and makes pairs of words distinct; a second
+    one sums up each word's pairs."""
 
     def partial(batches):
         lexicon, numbers, labels, size = Lexicon(), [], [], 0
@@ -119,19 +116,19 @@ def count(labelled: DataFrame, buckets: int) -> DataFrame:
         def flush():
             c, label = _chunk(lexicon, numbers), np.array(labels)
             n = [np.bincount(c.word[label[c.doc] == k], minlength=len(c.words)) for k in (0, 1)]
-            before = np.concatenate([[np.uint64(0)], c.words[c.token_word[:-1]]]) if len(c.token_word) else np.empty(0, np.uint64)
+            edges = _bucket_edges(c.words, buckets).tolist()
+            rows = [(k, _steps(c.words[a:b]), pack_planes(n[0][a:b]), pack_planes(n[1][a:b]), None, None) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+            before = np.concatenate([[np.uint64(0)], c.words[c.token_word[:-1]]])[: len(c.token_word)]
             before[np.concatenate([[True], c.token_doc[1:] != c.token_doc[:-1]])[: len(before)]] = 0
-            pairs = np.unique((c.token_word.astype(np.uint64) << np.uint64(32)) | (mix64(before, 5) >> np.uint64(32)))
-            owner = (pairs >> np.uint64(32)).astype(np.int64)
-            few = _first_of_each(owner, CONTEXTS)
-            owner, before = owner[few], pairs[few].astype(np.uint32)
-            sizes = np.bincount(owner, minlength=len(c.words))
-            edges, ends = _bucket_edges(c.words, buckets), np.concatenate([[0], np.cumsum(sizes)])
-            rows = []
-            for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            pairs, at = np.unique(mix64(mix64(before, 5) ^ c.words[c.token_word], 6), return_index=True)
+            owner, tag, where = c.token_word[at], (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+            order = np.lexsort((tag, owner, where))
+            owner, tag, edges = owner[order], tag[order], np.searchsorted(where[order], np.arange(buckets + 1)).tolist()
+            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if b > a:
-                    rows.append((k, pack_planes(np.diff(c.words[a:b], prepend=np.uint64(0)), "<u8"), pack_planes(n[0][a:b]), pack_planes(n[1][a:b]), pack_planes(sizes[a:b]), pack_planes(before[ends[a] : ends[b]])))
-            return pd.DataFrame(rows, columns=["bucket", "words", "n0", "n1", "sizes", "before"])
+                    mine, sizes = np.unique(owner[a:b], return_counts=True)
+                    rows.append((k, _steps(c.words[mine]), None, None, pack_planes(sizes), pack_planes(tag[a:b])))
+            return pd.DataFrame(rows, columns=SENT)
 
         for b in batches:
             for text, label in zip(b["text"], b["label"], strict=True):
@@ -146,22 +143,36 @@ def count(labelled: DataFrame, buckets: int) -> DataFrame:
         lexicon, numbers, labels = None, [], []
         give_back_memory()
 
+    def _sum(b: pd.DataFrame) -> pd.DataFrame:
+        texts, pairs = b[b["before"].isna()], b[b["before"].notna()]
+        rows = []
+        if len(texts):
+            words, at = _united(texts["words"])
+            n = [np.bincount(at, np.concatenate([unpack_planes(x) for x in texts[c]]), len(words)) for c in ("n0", "n1")]
+            rows.append((int(b["bucket"].iloc[0]), _steps(words), *(pack_planes(x, "<u8") for x in n), None))
+        if len(pairs):
+            words, at = _united(pairs["words"])
+            owner = np.repeat(at, np.concatenate([unpack_planes(x) for x in pairs["sizes"]]).astype(np.int64)).astype(np.uint64)
+            distinct = np.unique((owner << np.uint64(32)) | np.concatenate([unpack_planes(x) for x in pairs["before"]]))
+            contexts = np.bincount((distinct >> np.uint64(32)).astype(np.int64), minlength=len(words))
+            edges = _bucket_edges(words, buckets).tolist()
+            rows += [(k, _steps(words[a:b]), None, None, pack_planes(contexts[a:b], "<u8")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        return pd.DataFrame(rows, columns=["bucket", "words", "n0", "n1", "contexts"])
+
     def _merge(b: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.cumsum(unpack_planes(x, "<u8")) for x in b["words"]]
-        words, at = np.unique(np.concatenate(parts), return_inverse=True)
-        n = [np.bincount(at, np.concatenate([unpack_planes(x) for x in b[c]]).astype(float), len(words)) for c in ("n0", "n1")]
-        owner = np.repeat(at, np.concatenate([unpack_planes(x) for x in b["sizes"]]).astype(np.int64)).astype(np.uint64)
-        pairs = np.unique((owner << np.uint64(32)) | np.concatenate([unpack_planes(x) for x in b["before"]]))
-        owner = (pairs >> np.uint64(32)).astype(np.int64)
-        few = _first_of_each(owner, CONTEXTS)
-        contexts = _contexts(owner[few], pairs[few].astype(np.uint32), len(words))
+        words, at = _united(b["words"])
+        # each row has either the texts or the contexts of its words
+        empty = [np.zeros(len(unpack_planes(x, "<u8")), np.uint64) for x in b["words"]]
+        filled = lambda c: np.concatenate([e if x is None else unpack_planes(x, "<u8") for x, e in zip(b[c], empty, strict=True)])
+        *n, contexts = (np.bincount(at, filled(c), len(words)) for c in ("n0", "n1", "contexts"))
         active = (n[0] > DISCOUNTS[0]) | (n[1] > DISCOUNTS[0])
-        stats = [contexts[active].sum() + (~active).sum(), *(x.sum() for x in n), *(np.minimum(x, d).sum() for d in DISCOUNTS for x in n)]
-        kept = (pack_planes(np.diff(words[active], prepend=np.uint64(0)), "<u8"), *(pack_planes(x[active], "<u8") for x in n), pack(contexts[active].astype("<f8")))
+        stats = [contexts.sum(), *(x.sum() for x in n), *(np.minimum(x, d).sum() for d in DISCOUNTS for x in n)]
+        kept = (_steps(words[active]), *(pack_planes(x[active], "<u8") for x in (*n, contexts)))
         return pd.DataFrame([(int(b["bucket"].iloc[0]), *kept, len(words), stats)], columns=["bucket", "words", "n0", "n1", "contexts", "types", "stats"])
 
-    merge = trimmed(_merge)
-    return cut(labelled.mapInPandas(partial, COUNTED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda b: merge(b), MODEL))
+    summed, merge = trimmed(_sum), trimmed(_merge)
+    sums = labelled.mapInPandas(partial, COUNTED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda b: summed(b), SUMMED)
+    return cut(sums.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda b: merge(b), MODEL))
 
 
 class Model:
@@ -288,13 +299,13 @@ def _read(docs: DataFrame, model: Model, finish, schema: str) -> DataFrame:
         if len(table):
             row = table.iloc[0]
             words = np.cumsum(unpack_planes(row["words"], "<u8"))
-            n0, n1, contexts = unpack_planes(row["n0"], "<u8"), unpack_planes(row["n1"], "<u8"), unpack(row["contexts"], "<f8")
+            n0, n1, contexts = unpack_planes(row["n0"], "<u8"), unpack_planes(row["n1"], "<u8"), unpack_planes(row["contexts"], "<u8")
             for q in asked.itertuples(index=False) if len(words) else ():
                 mine = np.cumsum(unpack_planes(q.c, "<u8"))
                 at = np.minimum(np.searchsorted(words, mine), len(words) - 1)
                 have = words[at] == mine
                 at = at[have]
-                out.append((q.chunk, pack_planes(unpack_planes(q.a)[have]), pack_planes(n0[at], "<u8"), pack_planes(n1[at], "<u8"), pack(contexts[at].astype("<f4"))))
+                out.append((q.chunk, pack_planes(unpack_planes(q.a)[have]), pack_planes(n0[at], "<u8"), pack_planes(n1[at], "<u8"), pack_planes(contexts[at], "<u8")))
         return pd.DataFrame(out, columns=["chunk", "places", "n0", "n1", "contexts"])
 
     def _gather(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -303,7 +314,7 @@ def _read(docs: DataFrame, model: Model, finish, schema: str) -> DataFrame:
         top = 1 + max((int(p.max()) for p in places if len(p)), default=-1)
         n, contexts, there = np.zeros((2, top)), np.zeros(top), np.zeros(top, bool)
         for p, row in zip(places, found.itertuples(index=False), strict=True):
-            n[0, p], n[1, p], contexts[p], there[p] = unpack_planes(row.n0, "<u8"), unpack_planes(row.n1, "<u8"), unpack(row.contexts, "<f4"), True
+            n[0, p], n[1, p], contexts[p], there[p] = unpack_planes(row.n0, "<u8"), unpack_planes(row.n1, "<u8"), unpack_planes(row.contexts, "<u8"), True
         out = []
         for sizes, counts, steps, ids in blocks:
             doc = np.repeat(np.arange(len(ids)), counts)
