@@ -45,14 +45,16 @@ def assign(voxels: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def reflect_pad(voxels: DataFrame, catalog: DataFrame, size: tuple[int, int, int], value: str) -> DataFrame:
-    """Dense grids of at least ``size``: beyond the end, coordinates reflect."""
-    g = catalog.select("volume", "dz", "dy", "dx")
+    """Dense grids of at least ``size``: beyond the end, coordinates reflect. A voxel
+    is sent to all places that are reflections of it, so no grid is joined."""
+    g = voxels.select("volume", *AXES, value).join(catalog.select("volume", "dz", "dy", "dx").hint("shuffle_hash"), "volume")
     for a, n in zip(AXES, size, strict=True):
-        g = g.withColumn(a, F.explode(F.expr(f"sequence(0, greatest(d{a}, {n}) - 1)")))
-        m, period = F.pmod(F.col(a), F.greatest(2 * F.col(f"d{a}") - 2, F.lit(1))), F.greatest(2 * F.col(f"d{a}") - 2, F.lit(1))
-        g = g.withColumn(f"s{a}", F.when(m < F.col(f"d{a}"), m).otherwise(period - m).cast("int"))
-    source = voxels.select("volume", *(F.col(a).alias(f"s{a}") for a in AXES), value)
-    return g.join(source, ["volume", "sz", "sy", "sx"]).select("volume", *AXES, value)
+        last, period = f"greatest(d{a}, {n}) - 1", f"greatest(2 * d{a} - 2, 1)"
+        # places one period apart, and those behind each turn
+        ahead = f"sequence({a}, {last}, {period})"
+        back = f"IF({a} = 0 OR {a} = d{a} - 1 OR {period} - {a} > {last}, array(), sequence({period} - {a}, greatest({last}, {period} - {a}), {period}))"
+        g = g.withColumn(a, F.explode(F.expr(f"concat({ahead}, {back})")))
+    return g.select("volume", *AXES, value)
 
 
 def gaussian_weight(rows: DataFrame, patch: tuple[int, int, int]) -> DataFrame:
