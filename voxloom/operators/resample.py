@@ -118,19 +118,22 @@ def slab_sizes(zf: float) -> dict[str, Column]:
 def jitter_sections(voxels: DataFrame, sigma: float, seed: int, value: str = "intensity") -> DataFrame:
     """Each section moved by its own shift within +-sigma voxels in y and x, on the
     scale between the outer voxels' centres (a shift of n - 1 is n), bilinear; edges
-    reflect, the edge voxel included."""
-    v = voxels.select(*KEYS).join(extents(voxels).drop("n_voxels"), "volume")
-    corner = F.explode(F.expr("array(struct(0 AS a, 0 AS b), struct(0 AS a, 1 AS b), struct(1 AS a, 0 AS b), struct(1 AS a, 1 AS b))"))
+    reflect, the edge voxel included. A voxel is sent to the targets that it weighs
+    in: a reflection brings no place further from a target than it was, so they
+    are at most the shift and a step away."""
+    v = voxels.select(*KEYS, value).join(extents(voxels).drop("n_voxels").hint("shuffle_hash"), "volume")
     for a, k in (("y", 1), ("x", 2)):
         scale = F.col(f"d{a}") / F.greatest(F.col(f"d{a}") - 1, F.lit(1))
-        v = v.withColumn(f"p{a}", F.col(a) + (draw(seed, "volume", "z", F.lit(k)) * 2 - 1) * sigma * scale)
-    v = v.withColumn("_c", corner)
-    for a, c in (("y", "a"), ("x", "b")):
-        frac = F.col(f"p{a}") - F.floor(f"p{a}")
-        m = F.pmod(F.floor(f"p{a}") + F.col(f"_c.{c}"), 2 * F.col(f"d{a}"))
-        v = v.withColumn(f"q{a}", F.when(m < F.col(f"d{a}"), m).otherwise(2 * F.col(f"d{a}") - 1 - m).cast("int")).withColumn(f"w{a}", F.when(F.col(f"_c.{c}") == 1, frac).otherwise(1 - frac))
-    source = voxels.select("volume", "z", F.col("y").alias("qy"), F.col("x").alias("qx"), value)
-    return v.join(source, ["volume", "z", "qy", "qx"]).groupBy(*KEYS).agg(F.sum(F.col(value) * F.col("wy") * F.col("wx")).alias(value))
+        v = v.withColumn(f"m{a}", (draw(seed, "volume", "z", F.lit(k)) * 2 - 1) * sigma * scale)
+    for a in ("y", "x"):
+        n, far = f"d{a}", f"(CAST(ceil(abs(m{a})) AS INT) + 1)"
+        v = v.withColumn("_i", F.explode(F.expr(f"sequence(greatest(0, {a} - {far}), least({n} - 1, {a} + {far}))")))
+        floor, frac = f"floor(_i + m{a})", f"(_i + m{a} - floor(_i + m{a}))"
+        at = lambda step: f"IF(pmod({floor} + {step}, 2 * {n}) < {n}, pmod({floor} + {step}, 2 * {n}), 2 * {n} - 1 - pmod({floor} + {step}, 2 * {n}))"  # noqa: B023, E731
+        meets = [f"{at(step)} = {a}" for step in (0, 1)]
+        weight = f"IF({meets[0]}, 1 - {frac}, 0D) + IF({meets[1]}, {frac}, 0D)"
+        v = v.where(F.expr(f"{meets[0]} OR {meets[1]}")).withColumn(f"w{a}", F.expr(weight)).withColumn(a, F.col("_i")).drop("_i")
+    return v.groupBy(*KEYS).agg(F.sum(F.col(value) * F.col("wy") * F.col("wx")).alias(value))
 
 
 def dropped_sections(sections: DataFrame, most: int, seed: int, contiguous: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ def with_stats(voxels: DataFrame, by: list[str], value: str = "intensity") -> Da
     """``voxels`` with lo and hi of ``value`` per group: an aggregate joined back,
     so that rows of a large volume are never sorted into one window."""
     stats = voxels.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return voxels.join(stats, by)
+    return voxels.join(stats.hint("shuffle_hash"), by)  # never the rows broadcast, whatever the estimate
 
 
 def minmax_norm(voxels: DataFrame, value: str = "intensity") -> DataFrame:
