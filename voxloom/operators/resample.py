@@ -155,10 +155,10 @@ def drop_sections(voxels: DataFrame, most: int, seed: int, mode: str = "replicat
     or ``replicate`` the nearest one left, blank if none is."""
     gone = dropped_sections(voxels, most, seed, contiguous)
     if mode == "replicate":
-        at = nearest_surviving(gone).select("volume", "z", F.col("source_z"))
-        lost = voxels.select(*KEYS).join(at.where("source_z IS NULL"), ["volume", "z"]).select(*KEYS, F.lit(0.0).alias(value))
-        source = voxels.select("volume", F.col("z").alias("source_z"), "y", "x", value)
-        return at.join(source, ["volume", "source_z"]).select(*KEYS, value).unionByName(lost)
+        at = nearest_surviving(gone).select("volume", F.col("z").alias("_to"), F.coalesce("source_z", "z").alias("z"), F.col("source_z").isNull().alias("_none"))
+        # merged: by its estimate the side with voxels may look small enough to be broadcast
+        v = voxels.select(*KEYS, value).hint("merge").join(at, ["volume", "z"])
+        return v.select("volume", F.col("_to").alias("z"), "y", "x", F.when(F.col("_none"), F.lit(0.0)).otherwise(F.col(value)).alias(value))
     v = voxels.select(*KEYS, value).join(gone, ["volume", "z"])
     if mode == "mean":
         v = v.join(voxels.groupBy("volume").agg(F.avg(value).alias("_m")), "volume")
@@ -189,8 +189,8 @@ def degrade_pair(voxels: DataFrame, zf: float, seed: int, degraded: bool = True,
     d = section_gamma(section_noise(drop_sections(jitter_sections(d, 0.5, seed, value), 1, seed, value=value), 0.05, seed, value), 0.8, 1.25, seed, value)
     full = extents(voxels).select("volume", F.col("dz").alias("_dz"))
     n = extents(d).drop("n_voxels").join(full, "volume").withColumn("tz", F.col("_dz"))
-    up = spread(d.join(n, "volume"), "z", "linear").groupBy(*KEYS).agg(F.sum(F.col(value) * F.col("_t")).alias("degraded"))
-    return clean.join(up, KEYS)
+    up = spread(d.join(n.hint("shuffle_hash"), "volume"), "z", "linear").groupBy(*KEYS).agg(F.sum(F.col(value) * F.col("_t")).alias("degraded"))
+    return clean.hint("merge").join(up, KEYS)  # never a broadcast, whatever the estimate
 
 
 def dihedral(voxels: DataFrame, seed: int) -> DataFrame:
