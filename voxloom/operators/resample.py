@@ -46,7 +46,8 @@ def resample(voxels: DataFrame, sizes: dict[str, Column], value: str, kind: str
     ``nearest`` and keep their type."""
     grid = extents(voxels).drop("n_voxels")
     grid = (grid if catalog is None else grid.join(catalog, "volume")).withColumns({f"t{a}": sizes[a].cast("int") for a in axes})
-    v = voxels.select(*KEYS, value).join(grid, "volume").withColumn("_w", F.lit(1.0))
+    # the grid, one row a volume, is hashed: by its estimate the side with voxels may look small enough to be broadcast
+    v = voxels.select(*KEYS, value).join(grid.hint("shuffle_hash"), "volume").withColumn("_w", F.lit(1.0))
     for a in axes:
         v = spread(v, a, kind).withColumn("_w", F.col("_w") * F.col("_t"))
     total = F.max(value) if kind == "nearest" else F.sum(F.col(value) * F.col("_w"))
@@ -102,13 +103,17 @@ def zoom_by_plan(voxels: DataFrame, plan: DataFrame, value: str, kind: str, fill
 
 def center_fit(voxels: DataFrame, sizes: DataFrame, value: str, fill=0) -> DataFrame:
     """``voxels`` on the dense grids of ``sizes`` (volume, dz, dy, dx), cropped
-    at the centre where they are larger and padded where they are smaller."""
+    at the centre where they are larger and padded where they are smaller. Voxels
+    move to their places and meet the grid's there, one row a place; no grid is joined."""
     have = extents(voxels).select("volume", *(F.col(f"d{a}").alias(f"h{a}") for a in AXES))
     grid = sizes.select("volume", "dz", "dy", "dx").join(have, "volume")
+    moved = voxels.select(*KEYS, value).join(grid.hint("shuffle_hash"), "volume")
     for a in AXES:
-        grid = grid.withColumn(a, F.explode(F.expr(f"sequence(0, d{a} - 1)"))).withColumn(f"s{a}", F.expr(f"CAST({a} + floor((h{a} - d{a}) / 2D) AS INT)"))
-    source = voxels.select("volume", *(F.col(a).alias(f"s{a}") for a in AXES), value)
-    return grid.join(source, ["volume", "sz", "sy", "sx"], "left").select(*KEYS, F.coalesce(value, F.lit(fill)).alias(value))
+        moved = moved.withColumn(a, F.expr(f"CAST({a} - floor((h{a} - d{a}) / 2D) AS INT)"))
+        grid = grid.withColumn(a, F.explode(F.expr(f"sequence(0, d{a} - 1)")))
+    moved = moved.where(" AND ".join(f"{a} BETWEEN 0 AND d{a} - 1" for a in AXES))
+    places = grid.select(*KEYS, F.lit(None).cast(dict(voxels.dtypes)[value]).alias(value))
+    return moved.select(*KEYS, value).unionByName(places).groupBy(*KEYS).agg(F.coalesce(F.max(value), F.lit(fill)).alias(value))
 
 
 def slab_sizes(zf: float) -> dict[str, Column]:
