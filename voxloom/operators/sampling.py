@@ -76,3 +76,17 @@ def random_crops(volumes: DataFrame, patch: tuple[int, int, int], attempts: int,
     for a, p in zip("zyx", patch, strict=True):
         c = c.withColumn(f"s{a}", draw_int(F.greatest(F.col(f"d{a}") - p + 1, F.lit(1)), seed, "sample", F.lit(a), "attempt").cast("int"))
     return c
+
+
+def crop_shares(voxels: DataFrame, crops: DataFrame, patch: tuple[int, int, int], **kinds: Column) -> DataFrame:
+    """``crops`` (..., volume, z0, y0, x0) with, for each of ``kinds``, the share of the
+    crop's voxels for which it is true; crops without voxels are left out. Voxels
+    are gathered by line, and a crop meets its lines, not its voxels."""
+    lines = voxels.groupBy("volume", "z", "y").agg(F.collect_list("x").alias("_all"), *(F.collect_list(F.when(k, F.col("x"))).alias(name) for name, k in kinds.items()))
+    c = crops
+    for a, p in zip("zy", patch[:2], strict=True):
+        c = c.withColumn(a, F.explode(F.expr(f"sequence({a}0, {a}0 + {p} - 1)")))
+    inside = lambda column: F.sum(F.expr(f"size(filter({column}, x -> x >= x0 AND x < x0 + {patch[2]}))"))
+    # merged: lines of crops look few before they are counted
+    met = c.hint("merge").join(lines, ["volume", "z", "y"]).groupBy(*crops.columns).agg(inside("_all").alias("_n"), *(inside(name).alias(name) for name in kinds))
+    return met.where("_n > 0").withColumns({name: F.col(name) / F.col("_n") for name in kinds}).drop("_n")

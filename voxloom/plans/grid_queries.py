@@ -485,17 +485,14 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Candidate crops of each sample, gated on content, the first that passes or the best."""
-    from voxloom.plans.voxel_queries import first_pass_else_best
-
     v = X.voxels(spark, sf).select(*KEYS, "label", "intensity")
     crops = random_crops(spark, sf).select("sample", "volume", "attempt", *(F.col(f"s{a}").alias(f"{a}0") for a in V.AXES))
-    cells = crops
-    for a, p in zip(V.AXES, (4, 8, 16), strict=True):
-        cells = cells.withColumn(a, F.explode(F.expr(f"sequence({a}0, {a}0 + {p} - 1)")))
-    g = cells.join(v, KEYS).groupBy("sample", "volume", "attempt", "z0", "y0", "x0").agg(F.avg((F.col("label") > 0).cast("double")).alias("fg"), F.avg((F.col("intensity") != 0).cast("double")).alias("nz"))
+    g = S.crop_shares(v, crops, (4, 8, 16), fg=F.col("label") > 0, nz=F.col("intensity") != 0)
     g = g.withColumn("f", F.round(F.least("fg", "nz"), 6))
-    best = first_pass_else_best(g, ["sample", "volume"], F.col("f") >= 0.45)
-    return best.join(crops, ["sample", "volume", "attempt"])
+    g = g.withColumn("passed", F.col("f") >= 0.45)
+    rank = F.struct("passed", F.when(F.col("passed"), F.lit(0.0)).otherwise(F.col("f")), -F.col("attempt"))
+    best = g.groupBy("sample", "volume").agg(F.max_by(F.struct("attempt", "z0", "y0", "x0", "passed", "f"), rank).alias("b"))
+    return best.select("sample", "volume", "b.*")
 
 
 @query("smp_validation_groups", f"{SV} SELECT 'sft' AS task, res_z::DOUBLE AS res_z, count(*) AS n_volumes, min(volume) AS first_volume FROM sv WHERE subset <> 's9' GROUP BY ALL")
