@@ -314,7 +314,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Image voxels beside their labels, summed along x, and by place."""
     v = X.voxels(spark, sf)
-    pairs = v.where("intensity > 0").select(*KEYS).join(v.where("label > 0").select(*KEYS, "label"), KEYS, "left")
+    # merged: by its estimate a side with voxels may look small enough to be broadcast
+    pairs = v.where("intensity > 0").select(*KEYS).hint("merge").join(v.where("label > 0").select(*KEYS, "label"), KEYS, "left")
     return pairs.groupBy("volume", "z", "y").agg(F.count("*").alias("n_image"), F.count("label").alias("n_label"), F.sum(F.col("x") * F.coalesce("label", F.lit(0))).alias("placed"))
 
 
