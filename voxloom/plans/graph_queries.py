@@ -219,8 +219,7 @@ def _(spark, sf):
 def _(spark, sf):
     """All offsets by bricks and their halos; targets summed along x, and by place."""
     size = (4, 16, 16)
-    t = B.affinity_bricks(B.to_bricks(X.voxels(spark, sf), size, ("label",)), N.OFFSETS, size=size)
-    return t.groupBy("volume", "z", "y", "idx").agg(F.sum("target").cast("bigint").alias("n_same"), F.sum(F.expr("CAST(target AS BIGINT) * (x + 1) * (x + 1)")).alias("placed"))
+    return A.line_sums(B.to_bricks(X.voxels(spark, sf), size, ("label",)), size=size).withColumnRenamed("n", "n_same")
 
 
 # --- streams ---------------------------------------------------------------

@@ -94,6 +94,9 @@ def _both(reach) -> tuple[tuple, tuple]:
     return tuple(r[0] for r in pairs), tuple(r[1] for r in pairs)
 
 
+SENT_BYTES = 8 << 20  # of pieces that a task holds before it passes them on
+
+
 def halos(bricks: DataFrame, columns: dict[str, str], reach, size=SIZE) -> DataFrame:
     """``bricks`` (as ``to_bricks`` cuts them by ``size``) with the volume's extent
     and parts: what lies within ``reach`` voxels of the brick, its own part too; a
@@ -104,9 +107,11 @@ def halos(bricks: DataFrame, columns: dict[str, str], reach, size=SIZE) -> DataF
     before, after = _both(reach)
     up, down = ([-(-r // n) for r, n in zip(far, size, strict=True)] for far in (before, after))
 
+    columns_sent = ["volume", "bz", "by", "bx", "z0", "y0", "x0", "dz", "dy", "dx", "nz", "ny", "nx", "part"]
+
     def send(batches):
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for r in b.itertuples(index=False):
                 start, shape, extent = (r.z0, r.y0, r.x0), (r.dz, r.dy, r.dx), (r.nz, r.ny, r.nx)
                 arrays = {c: np.asarray(getattr(r, c), kind).reshape(shape) for c, kind in columns.items()}
@@ -118,7 +123,12 @@ def halos(bricks: DataFrame, columns: dict[str, str], reach, size=SIZE) -> DataF
                     if all(q < h for q, h in zip(low, high, strict=True)):
                         piece = tuple(slice(q - s, h - s) for q, h, s in zip(low, high, start, strict=True))
                         rows.append((r.volume, *t, *own, *(e - s for e, s in zip(ends, own, strict=True)), *extent, {**dict(zip(("z0", "y0", "x0", "dz", "dy", "dx"), (*low, *(h - q for h, q in zip(high, low, strict=True))), strict=True)), **{c: a[piece].tobytes() for c, a in arrays.items()}}))
-            yield pd.DataFrame(rows, columns=["volume", "bz", "by", "bx", "z0", "y0", "x0", "dz", "dy", "dx", "nz", "ny", "nx", "part"])
+                        held += sum(a[piece].nbytes for a in arrays.values())
+                # with a wide reach each brick goes to many: what a batch sends is many times the batch
+                if held > SENT_BYTES:
+                    yield pd.DataFrame(rows, columns=columns_sent)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns_sent)
 
     part = ", ".join(f"{x.split(' ')[0]}:int" for x in _BOX.split(", "))
     held = ", ".join(f"{c}:binary" for c in columns)
