@@ -459,8 +459,7 @@ PAIRS = f", pr AS (SELECT v.volume, v.z, v.y, v.x, v.idx, (n.label = v.label)::I
 @query("aff_target", f"{VX}{NB}{PAIRS} SELECT volume, z, y, idx, sum(target)::BIGINT AS n_same, sum(target * (x + 1) * (x + 1))::BIGINT AS placed FROM pr GROUP BY ALL")
 def _(spark, sf):
     """Every voxel's targets, summed along x, and by place so that a shift shows."""
-    lines = A.target_lines(A.bricks_of(X.voxels(spark, sf)))
-    return A.sums_along_x(lines).withColumnRenamed("n", "n_same")
+    return A.line_sums(A.bricks_of(X.voxels(spark, sf))).withColumnRenamed("n", "n_same")
 
 
 @query("aff_valid", f"{VX}{NB}{PAIRS} SELECT volume, z, y, x, sum(valid)::BIGINT AS n_valid FROM pr GROUP BY ALL")
