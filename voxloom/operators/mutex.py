@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -295,12 +297,7 @@ def _told_by_blocks(pairs: DataFrame, extents: DataFrame, size, most: int) -> Da
     """(volume, gone, into, done) from the blocks of ``size`` voxels that have
     ``most`` pairs or fewer."""
     p = pairs.join(extents.select("volume", "dy", "dx"), "volume")
-
-    def block(n: str) -> str:
-        z, y, x = f"{n} div (CAST(dy AS BIGINT) * dx) div {size[0]}", f"({n} div dx) % dy div {size[1]}", f"{n} % dx div {size[2]}"
-        return f"({z}) * 1000003 * 1000003 + ({y}) * 1000003 + ({x})"
-
-    p = p.withColumn("_a", F.expr(block("a"))).withColumn("_b", F.expr(block("b")))
+    p = p.withColumn("_a", F.expr(_block_sql("a", size))).withColumn("_b", F.expr(_block_sql("b", size)))
     p = p.withColumn("block", F.explode(F.array_distinct(F.array("_a", "_b"))))
     flat = [F.coalesce(f"{kind}.{k}", F.lit(0)).alias(f"{kind}_{k}") for kind in ("pull", "push") for k in RANK]
     dealt = p.select(
@@ -326,18 +323,238 @@ def _foremost(pairs: DataFrame) -> DataFrame:
     return best.groupBy("volume", "s.a", "s.b", "s.merge").agg(F.count("*").alias("n")).where("n = 2").drop("n")
 
 
-def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int):
-    """The roots (volume, node, root) after each pass over all clusters."""
-    rank = F.struct(F.col("weight").cast("double").alias("weight"), *((-F.col(c).cast("bigint")).alias(c) for c in RANK[1:]))
-    e = cut(edges.select("volume", F.col("u").alias("a"), F.col("v").alias("b"), F.when(~F.col("mutex"), rank).alias("pull"), F.when(F.col("mutex"), rank).alias("push")))
-    roots = cut(e.select("volume", F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
+PACKED = ("u", "v", "idx", "weight", "mutex")
+PACKED_KINDS = ("<i8", "<i8", "<i4", "<f8", "?")
+
+
+def _pack(e: pd.DataFrame) -> bytes:
+    """Edges as compressed columns; of a raster number what differs from the one before is kept."""
+    u, v, idx, weight, mutex = (e[c].to_numpy(k) for c, k in zip(PACKED, PACKED_KINDS, strict=True))
+    return zlib.compress(b"".join(x.tobytes() for x in (np.diff(u, prepend=0), v - u, idx, weight, mutex)), 1)
+
+
+def _unpack(data: bytes, n: int) -> pd.DataFrame:
+    raw, at, out = zlib.decompress(data), 0, []
+    for kind in PACKED_KINDS:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    u = np.cumsum(out[0])
+    return pd.DataFrame(dict(zip(PACKED, (u, out[1] + u, *out[2:]), strict=True)))
+
+
+def _block_of(n: np.ndarray, dy: int, dx: int, size) -> np.ndarray:
+    """The number of the block of ``size`` voxels that a raster number lies in."""
+    n = np.asarray(n, np.int64)
+    return (n // (dy * dx) // size[0]) * 1000003**2 + (n // dx % dy // size[1]) * 1000003 + n % dx // size[2]
+
+
+def _dealt_to_blocks(edges: DataFrame, extents: DataFrame, size) -> DataFrame:
+    """(volume, block, dy, dx, n, data): ``edges``, packed, for each block that has an
+    end of them. A row an edge is neither shuffled nor written."""
+
+    def run(batches):
+        for e in batches:
+            rows = []
+            for (volume, dy, dx), of in e.groupby(["volume", "dy", "dx"], sort=False):
+                at = [_block_of(of[c].to_numpy(), dy, dx, size) for c in ("u", "v")]
+                for block in np.unique(np.concatenate(at)):
+                    own = of[(at[0] == block) | (at[1] == block)]
+                    rows.append((volume, block, dy, dx, len(own), _pack(own)))
+            yield pd.DataFrame(rows, columns=["volume", "block", "dy", "dx", "n", "data"])
+
+    e = edges.select("volume", *PACKED[:3], F.col("weight").cast("double").alias("weight"), "mutex").join(extents.select("volume", "dy", "dx"), "volume")
+    return e.mapInPandas(run, "volume string, block bigint, dy int, dx int, n bigint, data binary")
+
+
+def _firsts(events: pd.DataFrame) -> pd.DataFrame:
+    """Of edges (a, b, mutex, weight, idx, u, v; the latter three negative) the first
+    pull and push edge of each two ends, as ``_first_edges`` has them."""
+    order = np.lexsort([-events[k].to_numpy() for k in RANK[::-1]])
+    e = events.iloc[order].assign(_at=np.arange(len(order))).drop_duplicates(["a", "b", "mutex"])
+    pull, push = (e[e["mutex"] == m].drop(columns="mutex").rename(columns={k: f"{kind}_{k}" for k in (*RANK, "_at")}) for m, kind in ((False, "pull"), (True, "push")))
+    p = pull.merge(push, on=["a", "b"], how="outer")
+    # a pull edge behind the push edge of the same two can do nothing
+    p["has_push"] = p["push__at"].notna()
+    p["has_pull"] = p["pull__at"].notna() & ~(p["pull__at"] > p["push__at"])
+    return p.drop(columns=["pull__at", "push__at"])
+
+
+PAIR_KINDS = {"a": "bigint", "b": "bigint", "far": "boolean"} | {f"{kind}_{k}": "double" if k == "weight" else "bigint" for kind in ("pull", "push") for k in RANK} | {"has_pull": "boolean", "has_push": "boolean"}
+STATE = "volume string, at bigint, dy int, dx int, node array<bigint>, root array<bigint>, done array<boolean>, border array<bigint>, border_root array<bigint>, border_done array<boolean>, "
+STATE += ", ".join(f"{c} array<{kind}>" for c, kind in PAIR_KINDS.items())
+
+
+def _events(p: pd.DataFrame) -> pd.DataFrame:
+    parts = []
+    for kind in ("pull", "push"):
+        own = p[p[f"has_{kind}"].to_numpy(bool)]
+        parts.append(pd.DataFrame({"a": own["a"], "b": own["b"], "mutex": kind == "push", "weight": own[f"{kind}_weight"].astype(float), **{k: own[f"{kind}_{k}"].astype("int64") for k in RANK[1:]}}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def _settled(volume: str, p: pd.DataFrame, nodes: np.ndarray, inside, borders: tuple, dy: int, dx: int) -> pd.DataFrame:
+    """One row of arrays (``STATE``): what a block can be sure of (``settle_falling``) about
+    its own sorted ``nodes``, from all pairs with an end in it, and what is left of these, as first
+    edges of two clusters. Of ``far`` ones, b is a node of another block, and both blocks
+    hand them on; ``borders`` are the nodes with such edges, and their roots."""
+    roots, done = nodes.copy(), np.zeros(len(nodes), bool)
+    p["in_a"], p["in_b"] = inside(p["a"].to_numpy()), inside(p["b"].to_numpy())
+    if len(p):
+        told = settle_falling(p)
+        at = np.searchsorted(nodes, told["gone"].to_numpy())
+        roots[at], done[at] = told["into"].to_numpy(), told["done"].to_numpy()
+    place = lambda n: np.minimum(np.searchsorted(nodes, n), max(len(nodes) - 1, 0))
+    for c in ("a", "b"):
+        at, own = place(p[c].to_numpy()), p[f"in_{c}"].to_numpy()
+        p[f"done_{c}"] = own & done[at]
+        p[c] = np.where(own, roots[at], p[c])
+    p = p[~p["done_a"].to_numpy() & ~p["done_b"].to_numpy() & (p["a"] != p["b"]).to_numpy()]
+    left = []
+    for far in (False, True):
+        q = p[(p["in_a"] & p["in_b"]).to_numpy() != far]
+        swap = ~q["in_a"].to_numpy() if far else (q["a"] > q["b"]).to_numpy()
+        q = q.assign(a=np.where(swap, q["b"], q["a"]), b=np.where(swap, q["a"], q["b"]))
+        left.append(_firsts(_events(q)).assign(far=far))
+    left = pd.concat(left, ignore_index=True)
+    border, border_root, border_done = borders
+    if len(nodes):
+        at = place(border_root)
+        known = nodes[at] == border_root
+        border_done = border_done | (known & done[at])
+        border_root = np.where(known, roots[at], border_root)
+    kinds = {"bigint": np.int64, "double": float, "boolean": bool}
+    arrays = {c: left[c].fillna(0).to_numpy(kinds[kind]) for c, kind in PAIR_KINDS.items()}
+    first = nodes if len(nodes) else border
+    return pd.DataFrame([{"volume": volume, "at": int(first[0]), "dy": dy, "dx": dx, "node": nodes, "root": roots, "done": done, "border": border, "border_root": border_root, "border_done": border_done, **arrays}])
+
+
+def first_block(e: pd.DataFrame, size) -> pd.DataFrame:
+    """What one block tells from all packed edges with an end in it."""
+    block, dy, dx = int(e["block"].iloc[0]), int(e["dy"].iloc[0]), int(e["dx"].iloc[0])
+    inside = lambda n: _block_of(n, dy, dx, size) == block
+    edges = pd.concat([_unpack(d, n) for d, n in zip(e["data"], e["n"], strict=True)], ignore_index=True)
+    ends = np.unique(edges[["u", "v"]].to_numpy())
+    nodes = ends[inside(ends)]
+    edges = edges[edges["u"] != edges["v"]]
+    p = _firsts(edges[["mutex", "weight"]].assign(a=np.minimum(edges["u"], edges["v"]), b=np.maximum(edges["u"], edges["v"]), **{k: -edges[k].astype("int64") for k in RANK[1:]}))
+    in_a, in_b = inside(p["a"].to_numpy()), inside(p["b"].to_numpy())
+    border = np.unique(np.where(in_a, p["a"], p["b"])[in_a != in_b])
+    return _settled(e["volume"].iloc[0], p, nodes, inside, (border, border, np.zeros(len(border), bool)), dy, dx)
+
+
+def next_block(e: pd.DataFrame, size) -> pd.DataFrame:
+    """What a wider block tells from what the blocks in it have left."""
+    dy, dx = int(e["dy"].iloc[0]), int(e["dx"].iloc[0])
+    block = _block_of(e["at"].iloc[:1].to_numpy(), dy, dx, size)[0]
+    inside = lambda n: _block_of(n, dy, dx, size) == block
+    p = pd.DataFrame({c: np.concatenate([np.asarray(x) for x in e[c]]) for c in PAIR_KINDS})
+    border, border_root, border_done = (np.concatenate([np.asarray(x, kind) for x in e[c]]) for c, kind in (("border", np.int64), ("border_root", np.int64), ("border_done", bool)))
+    order = np.argsort(border)
+    border, border_root, border_done = border[order], border_root[order], border_done[order]
+    # pairs over a cut that is none any more: each of the two blocks has handed on its own view
+    met = p["far"].to_numpy(bool) & inside(p["b"].to_numpy())
+    at = np.searchsorted(border, p["b"].to_numpy()[met])
+    b, gone = p["b"].to_numpy().copy(), np.zeros(len(p), bool)
+    b[met], gone[met] = border_root[at], border_done[at]
+    far = p["far"].to_numpy(bool) & ~met
+    p["a"], p["b"] = np.where(far, p["a"], np.minimum(p["a"], b)), np.where(far, b, np.maximum(p["a"], b))
+    p = _firsts(_events(p[~gone]))
+    ends = np.unique(np.concatenate([p["a"], p["b"]])).astype(np.int64)
+    return _settled(e["volume"].iloc[0], p, ends[inside(ends)], inside, (border, border_root, border_done), dy, dx)
+
+
+def _left_as_is(packed: DataFrame, size) -> tuple[DataFrame, DataFrame]:
+    """Of blocks that fit no task: (volume, node, root, done), each node its own
+    root, and the edges whose smaller end lies in one, as pairs of which b may be a
+    node of another block."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                e = _unpack(r.data, r.n)
+                low, high = np.minimum(e["u"], e["v"]), np.maximum(e["u"], e["v"])
+                out = pd.DataFrame({"a": low, "b": high, "mutex": e["mutex"], "weight": e["weight"], **{k: -e[k].astype("int64") for k in RANK[1:]}})
+                out["in_a"], out["in_b"] = (_block_of(out[c].to_numpy(), r.dy, r.dx, size) == r.block for c in ("a", "b"))
+                yield out.assign(volume=r.volume)
+
+    e = packed.mapInPandas(run, "volume string, a bigint, b bigint, mutex boolean, weight double, idx bigint, u bigint, v bigint, in_a boolean, in_b boolean")
+    ends = F.explode(F.filter(F.array(F.when(F.col("in_a"), F.col("a")), F.when(F.col("in_b"), F.col("b"))), lambda x: x.isNotNull()))
+    nodes = e.select("volume", ends.alias("node")).distinct().select("volume", "node", F.col("node").alias("root"), F.lit(False).alias("done"))
+    rank = F.struct(*RANK)
+    pairs = e.where("in_a AND a <> b").select("volume", "a", "b", F.lit(True).alias("far"), F.when(~F.col("mutex"), rank).alias("pull"), F.when(F.col("mutex"), rank).alias("push"))
+    return nodes, pairs
+
+
+def _rows_of(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(volume, a, b, far, pull, push) and (volume, b, _to, _done) of what blocks have left,
+    the pairs and the border nodes, a row each."""
+    pairs = state.select("volume", F.inline(F.arrays_zip(*PAIR_KINDS)))
+    whole = [F.when(F.col(f"has_{kind}"), F.struct(*(F.col(f"{kind}_{k}").alias(k) for k in RANK))).alias(kind) for kind in ("pull", "push")]
+    border = state.select("volume", F.inline(F.arrays_zip("border", "border_root", "border_done"))).toDF("volume", "b", "_to", "_done")
+    return pairs.select("volume", "a", "b", "far", *whole), border
+
+
+def _block_sql(n: str, size) -> str:
+    z, y, x = f"{n} div (CAST(dy AS BIGINT) * dx) div {size[0]}", f"({n} div dx) % dy div {size[1]}", f"{n} % dx div {size[2]}"
+    return f"({z}) * 1000003 * 1000003 + ({y}) * 1000003 + ({x})"
+
+
+def _of_size(solve, size):
+    size = tuple(size)
+    return lambda e: solve(e, size)
+
+
+def _in_arrays(edges: DataFrame, extents: DataFrame, size: list, widest, most: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, list]:
+    """Passes in which all that a block has left is one row, while that is ``most`` pairs
+    and border nodes or fewer: (volume, node, root, done) of all nodes after the first
+    one, (volume, root, last), what became of roots that were open, the pairs that are
+    left, as ``_first_edges``, if any, and the size of blocks to go on with."""
+    packed = cut(_dealt_to_blocks(edges, extents, size))
+    large = broadcast_if_small(cut(packed.groupBy("volume", "block").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("volume", "block")))
+    fit = packed.join(large, ["volume", "block"], "left_anti").groupBy("volume", "block")
+    state = cut(fit.applyInPandas(_of_size(first_block, size), STATE))
+    nodes = state.select("volume", F.inline(F.arrays_zip("node", "root", "done")))
+    more = None
+    if large.limit(1).count():
+        own, more = (cut(x) for x in _left_as_is(packed.join(large, ["volume", "block"], "left_semi"), tuple(size)))
+        nodes = nodes.unionByName(own)
+    release(packed)
+    has_pairs = F.size("a") > 0
+    if more is None and state.where(has_pairs).limit(1).count() == 0:
+        return nodes, None, None, size
+    names = cut(nodes.where("node = root AND NOT done").select("volume", "root", F.col("root").alias("last")))
+    held = None
+    while more is None:
+        size = [min(2 * s, max(s, w or 1)) for s, w in zip(size, widest, strict=True)]
+        block = F.expr(_block_sql("at", size)).alias("block")
+        if state.groupBy("volume", block).agg(F.sum(F.size("a") + F.size("border")).alias("n")).where(F.col("n") > most).limit(1).count():
+            break
+        wider = cut(state.drop("node", "root", "done").withColumn("block", block).groupBy("volume", "block").applyInPandas(_of_size(next_block, size), STATE))
+        merge = wider.select("volume", F.inline(F.arrays_zip(F.col("node").alias("gone"), F.col("root").alias("into")))).where("gone <> into")
+        before, names = names, cut(_renamed(names, broadcast_if_small(cut(merge)), "gone", "into", "last").select("volume", "root", "last"))
+        if held is not None:
+            release(held)  # not the first: nodes are read from it
+        release(before)
+        held = state = wider
+        if state.where(has_pairs).limit(1).count() == 0:
+            return nodes, names, None, size
+    pairs, border = _rows_of(state)
+    if more is not None:
+        pairs = pairs.unionByName(more)
+    across = pairs.where("far").join(border.hint("shuffle_hash"), ["volume", "b"], "left").where("_done IS NULL OR NOT _done").withColumn("b", F.coalesce("_to", "b"))
+    columns = ["volume", "a", "b", "pull", "push"]
+    return nodes, names, cut(_first_edges(pairs.where("NOT far").select(columns).unionByName(across.select(columns)))), size
+
+
+def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(volume, node, root) after the first pass, and (volume, root, last): what further
+    passes over all clusters make of the roots that were open, where it is another."""
     extents = cut(extents.select("volume", *(f"d{a}" for a in AXES)))
     widest = extents.agg(*(F.max(f"d{a}") for a in AXES)).first()
     extents = broadcast_if_small(extents)
-    pairs, size = cut(_first_edges(e)), list(size)
+    nodes, names, pairs, size = _in_arrays(edges, extents, list(size), widest, most)
     held = pairs
-    release(e)
-    while pairs.where("pull IS NOT NULL").limit(1).count():
+    while pairs is not None and pairs.where("pull IS NOT NULL").limit(1).count():
         told = cut(_told_by_blocks(pairs, extents, size, most))
         whole = all(s >= (w or 1) for s, w in zip(size, widest, strict=True))
         if whole and told.limit(1).count() == 0:
@@ -347,7 +564,8 @@ def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int):
             sure = F.struct(F.lit(float("inf")).alias("weight"), *(F.col(f"push.{c}").alias(c) for c in RANK[1:]))
             pairs = pairs.join(mark, ["volume", "a", "b"], "left").withColumn("push", F.when(F.col("_fixed"), sure).otherwise(F.col("push"))).drop("_fixed")
         merge = broadcast_if_small(told.where("gone <> into"))
-        roots = cut(_renamed(roots, merge, "gone", "into", "root").select("volume", "node", "root"))
+        before, names = names, cut(_renamed(names, merge, "gone", "into", "last").select("volume", "root", "last"))
+        release(before)
         done = told.where("done").select("volume", F.col("into").alias("_d")).distinct()
         named = _renamed(_renamed(pairs, merge, "gone", "into", "a"), merge, "gone", "into", "b")
         for c in ("a", "b"):
@@ -356,8 +574,8 @@ def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int):
         held = pairs
         release(before, told)
         size = [min(2 * s, max(s, w or 1)) for s, w in zip(size, widest, strict=True)]
-        yield roots
-    yield roots
+    nodes = nodes.select("volume", "node", "root")
+    return nodes, None if names is None else broadcast_if_small(cut(names.where("root <> last")))
 
 
 def exact(edges: DataFrame, extents: DataFrame, size=BLOCK, most: int = BLOCK_PAIRS) -> DataFrame:
@@ -367,14 +585,13 @@ def exact(edges: DataFrame, extents: DataFrame, size=BLOCK, most: int = BLOCK_PA
     Blocks of the raster, in parallel, settle what no other block can change; open
     clusters are carried on as nodes of a contracted graph, with the first pull and
     push edge of each two of them, to blocks twice as wide, until none is open.
+    Edges come to the first blocks packed, as many rows as batches and blocks.
     Where a block has over ``most`` pairs, pairs that come first at both their
     clusters are settled over the whole graph instead, round by round. Neither
     ``size`` nor ``most`` changes the result. ``extents`` has (volume, dz, dy, dx).
     """
-    roots = None
-    for roots in _in_passes(edges, extents, size, most):
-        pass
-    return roots
+    nodes, names = _in_passes(edges, extents, size, most)
+    return nodes if names is None else _renamed(nodes, names, "root", "last", "root").select("volume", "node", "root")
 
 
 def stitch_blocks(edges: DataFrame, extents: DataFrame, size=BLOCK, most: int = BLOCK_PAIRS) -> DataFrame:
@@ -382,11 +599,9 @@ def stitch_blocks(edges: DataFrame, extents: DataFrame, size=BLOCK, most: int =
     by itself, and the instances that they make over the cuts, with the edges
     that cross them and the mutexes that regions bring along: the partition of the
     volume without cuts."""
-    passes = _in_passes(edges, extents, size, most)
-    regions = last = next(passes)
-    for roots in passes:
-        last = roots
-    return regions.withColumnRenamed("root", "region").join(last.withColumnRenamed("root", "instance"), ["volume", "node"])
+    nodes, names = _in_passes(edges, extents, size, most)
+    both = nodes.select("volume", "node", F.col("root").alias("region"), F.col("root").alias("instance"))
+    return both if names is None else _renamed(both, names, "root", "last", "instance").select("volume", "node", "region", "instance")
 
 
 def stitch(overlaps: DataFrame, share: float = 0.5) -> DataFrame:
