@@ -4,7 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from voxloom.operators import affinities as A
 from voxloom.operators import mutex as W
+from voxloom.sources import bricks as B
 
 
 def volume_edges(seed, shape=(4, 6, 6)):
@@ -30,3 +32,17 @@ def test_watershed_shuffles_no_row_an_edge(spark, monkeypatch, size, most, rows)
     assert {r["node"]: r["root"] for r in got.collect()} == want
     assert 1 < len(set(want.values())) < len(want)
     assert bool(seen) == rows  # blocks with more pairs than that go on as rows
+
+
+def test_bricks_come_to_python_in_batches_of_bounded_bytes(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    monkeypatch.setattr(B, "BATCH_BYTES", 20_000)
+    bricks = spark.range(64).selectExpr("'v' AS volume", "CAST(id AS INT) AS bz", "0 AS by", "0 AS bx", "CAST(id AS INT) AS z0", "0 AS y0", "0 AS x0", "1 AS dz", "10 AS dy", "50 AS dx", "transform(sequence(1, 500), i -> id) AS label").coalesce(1)
+    try:
+        sums = A.neighbor_sums(bricks, [(1, 0, 0)], size=(1, 10, 50))
+        assert sums.first()["sum_label"] == 500 * (sum(range(1, 64)) + 63)
+        batches = bricks.mapInPandas(lambda bs: (pd.DataFrame({"n": [len(b)]}) for b in bs), "n int").collect()
+        assert sum(r["n"] for r in batches) == 64 and max(r["n"] for r in batches) <= 8
+    finally:
+        spark.conf.set(key, was)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators.graph import broadcast_if_small, components, cut, least_members, ranked_by_ranges
 from voxloom.operators.voxels import AXES
-from voxloom.sources.bricks import KINDS, Halo, over_halos, to_bricks, to_voxels
+from voxloom.sources.bricks import KINDS, Halo, in_small_batches, over_halos, to_bricks, to_voxels
 
 KEYS = ["volume", *AXES]
 SIZE = (8, 32, 32)
@@ -59,7 +59,7 @@ def brick_components(bricks: DataFrame, label: str = "label", connectivity: int
                 parts.append(np.where(a.ravel() > 0, number[roots], 0))
             yield b[[*BOX, label]].assign(part=parts)
 
-    return bricks.select(*BOX, label).mapInPandas(run, f"{BOX_SCHEMA}, {label} array<bigint>, part array<bigint>")
+    return in_small_batches(bricks).select(*BOX, label).mapInPandas(run, f"{BOX_SCHEMA}, {label} array<bigint>, part array<bigint>")
 
 
 def connected_components(voxels: DataFrame, label: str = "label", connectivity: int = 1, size=SIZE) -> DataFrame:

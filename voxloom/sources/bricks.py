@@ -94,6 +94,21 @@ def _both(reach) -> tuple[tuple, tuple]:
     return tuple(r[0] for r in pairs), tuple(r[1] for r in pairs)
 
 
+BATCH_BYTES = 4 << 20  # of bricks that Spark sends to Python at once
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(bricks: DataFrame) -> DataFrame:
+    """``bricks``, and what Python gets of them in batches of about ``BATCH_BYTES``, where
+    the session would send more: what a task holds is some times a batch, however many bricks
+    it has. The setting stays, as results are computed later."""
+    conf = bricks.sparkSession.conf
+    now = conf.get(ARROW_BYTES).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    return bricks
+
+
 SENT_BYTES = 8 << 20  # of pieces that a task holds before it passes them on
 
 
@@ -132,7 +147,7 @@ def halos(bricks: DataFrame, columns: dict[str, str], reach, size=SIZE) -> DataF
 
     part = ", ".join(f"{x.split(' ')[0]}:int" for x in _BOX.split(", "))
     held = ", ".join(f"{c}:binary" for c in columns)
-    sent = bricks.join(ext, "volume").mapInPandas(send, f"volume string, bz int, by int, bx int, {_BOX}, nz int, ny int, nx int, part struct<{part}, {held}>")
+    sent = in_small_batches(bricks).join(ext, "volume").mapInPandas(send, f"volume string, bz int, by int, bx int, {_BOX}, nz int, ny int, nx int, part struct<{part}, {held}>")
     return sent.groupBy(*[c for c in sent.columns if c != "part"]).agg(F.collect_list("part").alias("parts"))
 
 
