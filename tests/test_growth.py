@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from voxloom.operators import affinities as A
 from voxloom.operators import mutex as W
@@ -52,3 +53,48 @@ def test_bricks_come_to_python_in_batches_of_bounded_bytes(spark, monkeypatch):
 def test_partitions_of_volumes_grow_in_number_and_not_in_size(spark):
     n = X.voxels(spark, "/root/testdata/sf0.1").rdd.getNumPartitions()
     assert 600_000 / n <= 100_000
+
+
+EDGE = "volume string, u bigint, v bigint, idx int, weight double, mutex boolean"
+
+
+def test_edges_of_a_volume_that_fits_a_task_are_ranked_without_a_row_an_edge(spark, monkeypatch):
+    seen, by_ranges = [], W.ranked_by_ranges
+    monkeypatch.setattr(W, "ranked_by_ranges", lambda *a: seen.append(1) or by_ranges(*a))
+    small, large = volume_edges(3, (2, 4, 4)).assign(volume=None), volume_edges(4)
+    e = spark.createDataFrame(pd.concat([small, large]).astype({"volume": object}).where(lambda d: d.notna(), None), EDGE)
+    rank = {(r["volume"], r["u"], r["v"], r["idx"]): r["rank"] for r in W.ranked(e).collect()}
+    bucket = {(r["volume"], r["u"], r["v"], r["idx"]): r["bucket"] for r in W.priority_buckets(e, 7).collect()}
+    assert not seen
+    most = len(large) - 1
+    assert rank == {(r["volume"], r["u"], r["v"], r["idx"]): r["rank"] for r in W.ranked(e, most).collect()} and seen
+    assert bucket == {(r["volume"], r["u"], r["v"], r["idx"]): r["bucket"] for r in W.priority_buckets(e, 7, most).collect()}
+    for volume, d in ((None, small), ("v", large)):
+        d = d.sort_values(["weight", "idx", "u", "v"], ascending=[False, True, True, True])
+        keys = [(volume, *k) for k in zip(d["u"].tolist(), d["v"].tolist(), d["idx"].tolist(), strict=True)]
+        assert [rank[k] for k in keys] == list(range(1, len(d) + 1))
+        assert [bucket[k] for k in keys] == [i + 1 for i, part in enumerate(np.array_split(np.arange(len(d)), 7)) for _ in part]
+
+
+def test_parallel_watershed_of_a_volume_that_fits_a_task_has_no_passes(spark, monkeypatch):
+    seen, merges = [], W._sure_merges
+    monkeypatch.setattr(W, "_sure_merges", lambda *a: seen.append(1) or merges(*a))
+    small, large = volume_edges(5, (2, 3, 4)).assign(volume="s"), volume_edges(6, (3, 4, 5))
+    e = spark.createDataFrame(pd.concat([small, large]), EDGE)
+    roots = lambda d: {(r["volume"], r["node"]): r["root"] for r in d.collect()}
+    whole = roots(W.boruvka(e, 2))
+    assert not seen and 2 < len(set(whole.items())) and len({v for k, v in whole.items() if k[0] == "v"}) > 1
+    assert whole == roots(W.boruvka(e, 2, 8, len(large) - 1)) and seen
+
+
+def test_bricks_of_the_items_are_those_of_their_voxels(spark, tmp_path):
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    odd = items.limit(3).withColumn("l_orderkey", F.lit(None).cast("bigint")).unionByName(items.limit(4).withColumn("l_orderkey", F.lit(9_000)).withColumn("l_quantity", F.lit(None).cast("double")))
+    odd = odd.unionByName(items.limit(2).withColumn("l_orderkey", F.lit(-5_000))).unionByName(items.limit(5).withColumn("l_linenumber", F.lit(9)).withColumn("l_orderkey", F.lit(20_000)))
+    items.unionByName(odd).unionByName(items.where("l_orderkey % 3 = 0").withColumn("l_extendedprice", F.lit(None).cast("double"))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    columns = ("intensity", "label", "pred")
+    for size in ((8, 64, 64), (4, 16, 24)):
+        got, want = X.bricks(spark, str(tmp_path), size, columns), B.to_bricks(X.voxels(spark, str(tmp_path)), size, columns)
+        rounded = [F.expr("transform(intensity, i -> round(i, 6))").alias("intensity"), "label", "pred"]
+        got, want = (d.select(*[c for c in want.columns if c not in columns], *rounded) for d in (got, want))
+        assert got.dtypes == want.dtypes and got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.where("volume IS NULL").count()

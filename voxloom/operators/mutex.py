@@ -42,22 +42,87 @@ def cap_push(edges: DataFrame, most: int) -> DataFrame:
     return edges.where("NOT mutex").unionByName(top)
 
 
-def ranked(edges: DataFrame) -> DataFrame:
+def ranked(edges: DataFrame, most: int | None = None) -> DataFrame:
     """``edges`` with rank (bigint): the place in the falling order of its volume's
-    weights, ties by offset and raster. Edges are dealt to ranges of that whole
-    order, so that neither a volume nor its edges of one weight are sorted by one task."""
-    return ranked_by_ranges(edges, ["volume"], [F.desc("weight"), F.asc("idx"), F.asc("u"), F.asc("v")])
+    weights, ties by offset and raster. Edges of volumes of ``most`` or fewer are shuffled
+    packed and sorted as arrays, a volume at a time; those of larger ones are dealt to
+    ranges of that whole order, so that neither a large volume nor its edges of one weight
+    are sorted by one task."""
+    return _with_ranks(edges, most).drop("total")
 
 
-def priority_buckets(edges: DataFrame, buckets: int) -> DataFrame:
+def priority_buckets(edges: DataFrame, buckets: int, most: int | None = None) -> DataFrame:
     """``edges`` with bucket (1 to ``buckets``) of equal numbers of each volume's
     edges in falling order; of what does not divide, the first have one more each."""
-    total = edges.groupBy("volume").agg(F.count("*").alias("total"))
     more, each = F.col("total") % buckets, F.expr(f"total div {buckets}")
     wide = more * (each + 1)
     first = F.col("rank") - 1
     bucket = F.when(first < wide, F.floor(first / (each + 1))).otherwise(more + F.floor((first - wide) / F.greatest(each, F.lit(1)))) + 1
-    return ranked(edges).join(total, "volume").withColumn("bucket", bucket.cast("int")).drop("rank", "total")
+    return _with_ranks(edges, most).withColumn("bucket", bucket.cast("int")).drop("rank", "total")
+
+
+def _with_ranks(edges: DataFrame, most: int | None) -> DataFrame:
+    """``edges`` with rank, as ``ranked`` has it, and total, the edges of the volume."""
+    columns, kinds = ["volume", *PACKED], dict(edges.dtypes)
+    if set(edges.columns) != set(columns):
+        return _ranked_by_ranges(edges, edges.groupBy("volume").agg(F.count("*").alias("total")))
+    fit, large = _by_volume(edges, BLOCK_PAIRS if most is None else most)
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        out = _unpacked(e)
+        out = out.iloc[_falling(out)].assign(volume=e["volume"].iloc[0], total=len(out))
+        return out.assign(rank=np.arange(1, len(out) + 1))[[*columns, "rank", "total"]]
+
+    out = fit.groupBy("volume").applyInPandas(run, f"volume string, {PACKED_SCHEMA}, rank bigint, total bigint")
+    if large is not None:
+        out = out.unionByName(_ranked_by_ranges(_edges_of(large), large.groupBy("volume").agg(F.sum("n").alias("total"))))
+    return out.select(*(F.col(c).cast(kinds[c]).alias(c) for c in edges.columns), "rank", "total")
+
+
+def _ranked_by_ranges(edges: DataFrame, totals: DataFrame) -> DataFrame:
+    ranks = ranked_by_ranges(edges, ["volume"], [F.desc("weight"), F.asc("idx"), F.asc("u"), F.asc("v")])
+    return ranks.join(totals.hint("shuffle_hash"), ranks["volume"].eqNullSafe(totals["volume"])).drop(totals["volume"])
+
+
+def _falling(e: pd.DataFrame) -> np.ndarray:
+    """The order of falling weights, not-a-number first, ties by offset and raster."""
+    w = e["weight"].to_numpy()
+    return np.lexsort([e["v"].to_numpy(), e["u"].to_numpy(), e["idx"].to_numpy(), np.where(np.isnan(w), -np.inf, -w)])
+
+
+def _by_volume(edges: DataFrame, most: int, extra: tuple = ()) -> tuple[DataFrame, DataFrame | None]:
+    """(volume, n, data[, extra]), cut: ``edges``, packed, as many rows as batches and
+    volumes; those of volumes of ``most`` edges or fewer, and of larger ones, if any.
+    ``extra`` columns (bigint) go along as bytes."""
+
+    def run(batches):
+        for e in batches:
+            rows = [(None if pd.isna(volume) else volume, len(of), _pack(of), *(zlib.compress(of[c].to_numpy("<i8").tobytes(), 1) for c in extra)) for volume, of in e.groupby("volume", sort=False, dropna=False)]
+            yield pd.DataFrame(rows, columns=["volume", "n", "data", *extra])
+
+    e = edges.select("volume", *PACKED[:3], F.col("weight").cast("double").alias("weight"), "mutex", *extra)
+    packed = cut(e.mapInPandas(run, f"volume string, n bigint, data binary{''.join(f', {c} binary' for c in extra)}"))
+    large = cut(packed.groupBy("volume").agg(F.sum("n").alias("_n")).where(F.col("_n") > most).select(F.col("volume").alias("_v")))
+    if large.limit(1).count() == 0:
+        return packed, None
+    large = broadcast_if_small(large)
+    is_large = packed["volume"].eqNullSafe(large["_v"])
+    return packed.join(large, is_large, "left_anti"), packed.join(large, is_large, "left_semi")
+
+
+def _unpacked(e: pd.DataFrame) -> pd.DataFrame:
+    return pd.concat([_unpack(d, n) for d, n in zip(e["data"], e["n"], strict=True)], ignore_index=True)
+
+
+def _edges_of(packed: DataFrame) -> DataFrame:
+    """The edges of packed rows (volume, n, data), a row each."""
+
+    def run(batches):
+        for b in batches:
+            for volume, n, data in zip(b["volume"], b["n"], b["data"], strict=True):
+                yield _unpack(data, n).assign(volume=volume)[["volume", *PACKED]]
+
+    return packed.select("volume", "n", "data").mapInPandas(run, f"volume string, {PACKED_SCHEMA}")
 
 
 class Clusters:
@@ -172,16 +237,50 @@ def boruvka(edges: DataFrame, buckets: int = 4, span: int = SPAN, most: int = BL
     grow from pass to pass as the graph shrinks; then, where a block has over
     ``most`` pairs of clusters, in rounds over the whole graph, in which clusters
     merge that are each other's best. Both do what one falling order would do, so
-    neither ``span`` nor ``most`` changes the result.
+    neither ``span`` nor ``most`` changes the result. A volume of ``most`` edges or
+    fewer is one block from the start: its edges are shuffled once, packed.
 
     With one edge a bucket this is the exact pass; with few it may differ where
     weights of a bucket interleave or tie.
     """
-    e = cut(priority_buckets(edges, buckets))
+    # ties go by hash: by number, a chain of equal weights would merge one pair a round
+    tie = F.when(F.col("mutex"), F.lit(0)).otherwise(F.xxhash64("idx", "u", "v"))
+    fit, large = _by_volume(edges.withColumn("h", tie), most, ("h",))
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        return solve_buckets(e, buckets).assign(volume=e["volume"].iloc[0])[["volume", "node", "root"]]
+
+    out = fit.groupBy("volume").applyInPandas(run, "volume string, node bigint, root bigint")
+    return out if large is None else out.unionByName(_in_rounds(_edges_of(large), buckets, span, most))
+
+
+def solve_buckets(e: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """(node, root) of one volume's packed edges: bucket by bucket all mutexes between
+    different clusters, then the pull edges by falling weight and hash."""
+    edges = _unpacked(e)
+    h = np.concatenate([np.frombuffer(zlib.decompress(x), "<i8") for x in e["h"]])
+    nodes, u, v = _numbered(edges["u"], edges["v"])
+    c, mutex, w = Clusters(len(nodes)), edges["mutex"].to_numpy(), edges["weight"].to_numpy()
+    for own in np.array_split(_falling(edges), buckets):
+        push, pull = own[mutex[own]], own[~mutex[own]]
+        for a, b in zip(u[push].tolist(), v[push].tolist(), strict=True):
+            a, b = c.root(a), c.root(b)
+            if a != b:
+                c.part(a, b)
+        pull = pull[np.lexsort([x[pull] for x in (edges["v"].to_numpy(), edges["u"].to_numpy(), h, w)])[::-1]]
+        for a, b in zip(u[pull].tolist(), v[pull].tolist(), strict=True):
+            a, b = c.root(a), c.root(b)
+            if a != b and b not in c.apart[a]:
+                c.merge(a, b)
+    return pd.DataFrame({"node": nodes, "root": nodes[c.least()]})
+
+
+def _in_rounds(edges: DataFrame, buckets: int, span: int, most: int) -> DataFrame:
+    """``boruvka`` of volumes that fit no task."""
+    e = cut(priority_buckets(edges, buckets, most))
     node = lambda c: F.struct("volume", F.col(c).alias("n"))
     roots = cut(e.select(F.explode(F.array(node("u"), node("v"))).alias("s")).select("s.volume", F.col("s.n").alias("node")).distinct().withColumn("root", F.col("node")))
     extent = roots.agg(F.max("node")).first()[0] or 0
-    # ties go by hash: by number, a chain of equal weights would merge one pair a round
     rank = F.when(~F.col("mutex"), F.struct("weight", F.xxhash64("idx", "u", "v").alias("h"), "u", "v"))
     pairs = None
     for k in range(1, buckets + 1):
@@ -325,6 +424,7 @@ def _foremost(pairs: DataFrame) -> DataFrame:
 
 PACKED = ("u", "v", "idx", "weight", "mutex")
 PACKED_KINDS = ("<i8", "<i8", "<i4", "<f8", "?")
+PACKED_SCHEMA = "u bigint, v bigint, idx int, weight double, mutex boolean"
 
 
 def _pack(e: pd.DataFrame) -> bytes:

@@ -137,8 +137,8 @@ EDGES = (
 STRIDES = (1, 4, 4)
 
 
-def edges(spark, sf):
-    return A.edges(A.bricks_of(X.voxels(spark, sf)), disturbed, strides=STRIDES)
+def edges(spark, sf, decimals=None):
+    return A.edges(X.bricks(spark, sf, A.SIZE, ("label",)), disturbed, strides=STRIDES, decimals=decimals)
 
 
 @query("mws_build_edges", f"{VX}{EDGES} SELECT volume, idx, mutex, u // 64 AS line, count(*) AS n, sum(v * (1 + u % 64))::BIGINT AS ends, round(sum(round(weight, 6) * (1 + u % 64)), 4) AS weighed FROM ed GROUP BY ALL")
@@ -150,7 +150,7 @@ def _(spark, sf):
 
 def rounded_edges(spark, sf):
     """Weights to six decimals, so that equal ones are ties on every engine."""
-    return edges(spark, sf).withColumn("weight", F.round("weight", 6))
+    return edges(spark, sf, 6)
 
 
 @query("top_push_edge_cap", f"{VX}{EDGES}, r AS (SELECT volume, u, v, idx, round(weight, 6) AS weight, mutex FROM ed) SELECT volume, u, v, idx FROM (SELECT *, row_number() OVER (PARTITION BY volume, mutex ORDER BY weight DESC, idx, u) AS k FROM r) WHERE mutex AND k <= 500")
