@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import affinities as A
 from voxloom.operators import mutex as W
+from voxloom.operators import resample as R
+from voxloom.plans import grid_queries
 from voxloom.sources import bricks as B
 from voxloom.sources import fixtures as X
 
@@ -98,3 +100,37 @@ def test_bricks_of_the_items_are_those_of_their_voxels(spark, tmp_path):
         rounded = [F.expr("transform(intensity, i -> round(i, 6))").alias("intensity"), "label", "pred"]
         got, want = (d.select(*[c for c in want.columns if c not in columns], *rounded) for d in (got, want))
         assert got.dtypes == want.dtypes and got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.where("volume IS NULL").count()
+
+
+@pytest.mark.parametrize(("kind", "sizes"), [("linear", (7, 5, 20)), ("linear", (3, 11, 4)), ("nearest", (7, 5, 20)), ("pool", (2, 5, 4))])
+def test_resampling_of_bricks_equals_that_of_voxels(spark, monkeypatch, kind, sizes):
+    a = np.random.default_rng(9).integers(0, 90, (5, 8, 11)).astype(float)
+    a[1, 2, 3] = np.nan
+    at = [x.ravel().tolist() for x in np.indices(a.shape)]
+    v = spark.createDataFrame([("v", *r) for r in zip(*at, a.ravel().tolist(), strict=True)], "volume string, z int, y int, x int, intensity double")
+    v = v.withColumn("label", F.col("x") * 1_000_003 + F.col("z")).withColumn("label", F.shiftleft(F.col("label").cast("bigint"), 33))
+    value = "label" if kind == "nearest" else "intensity"
+    to = {c: F.lit(n) for c, n in zip("zyx", sizes, strict=True)}
+    rows = lambda d: sorted((r["z"], r["y"], r["x"], round(r[value], 6)) for r in d.where(~F.isnan(F.col(value).cast("double"))).collect())
+    want = R.resample(v, to, value, kind)
+    bricks = B.to_bricks(v, (2, 3, 4), (value,))
+    monkeypatch.setattr(R, "spread", lambda *a: pytest.fail("a row a voxel and target"))
+    got = R.resample_bricks(bricks, to, value, kind, size=(3, 4, 5))
+    assert got.dtypes == want.select(got.columns).dtypes and got.count() == np.prod(sizes) and rows(got) == rows(want)
+
+
+def test_trilinear_query_makes_no_row_a_target_and_voxel(spark, monkeypatch):
+    monkeypatch.setattr(R, "spread", lambda *a: pytest.fail("a row a voxel and target"))
+    assert grid_queries.QUERIES["res_trilinear"](spark, "/root/testdata/sf0.001").count() == 8_000
+
+
+def test_bricks_are_written_by_load_and_the_last_load_of_a_volume_counts(spark, tmp_path):
+    path = str(tmp_path / "b")
+    bricks = lambda low, high, value: B.to_bricks(spark.range(low, high).selectExpr("concat('v', id) AS volume", "0 AS z", "0 AS y", "0 AS x", f"{value} AS label").coalesce(2), columns=("label",))
+    B.write(bricks(0, 40, 1), path)
+    assert len(list((tmp_path / "b").rglob("*.parquet"))) <= 8  # however many volumes
+    B.write(bricks(30, 50, 2), path)
+    bricks(0, 50, 3).write.parquet(f"{path}/load=000003")
+    (tmp_path / "b" / "load=000003" / "_SUCCESS").unlink()  # as if it had not been finished
+    got = {r["volume"]: r["label"] for r in B.to_voxels(B.read(spark, path), ("label",)).collect()}
+    assert got == {f"v{k}": 1 if k < 30 else 2 for k in range(50)} and B.read(spark, path).count() == 50

@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators.sampling import draw, draw_bits, draw_int
 from voxloom.operators.voxels import AXES, extents, nearest_surviving
+from voxloom.sources.bricks import KINDS, cut_at_borders, in_small_batches, to_voxels
 
 KEYS = ["volume", *AXES]
 
@@ -54,6 +58,83 @@ def resample(voxels: DataFrame, sizes: dict[str, Column], value: str, kind: str
     return v.groupBy(*KEYS).agg(total.alias(value))
 
 
+def targets_of(start: int, end: int, n: int, m: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(target, source, weight), by target, of what source voxels ``start`` to ``end`` - 1 of
+    an axis of ``n`` voxels weigh in its ``m`` targets, as ``spread`` says it; no weight is 0."""
+    if kind == "linear":
+        lo = 0 if start == 0 else max(0, math.floor((start - 0.5) * m / n - 0.5))
+        hi = m - 1 if end == n else min(m - 1, math.ceil((end + 0.5) * m / n - 0.5))
+        t = np.arange(lo, hi + 1)
+        c = np.maximum(0.0, (t + 0.5) * n / m - 0.5)
+        j = np.floor(c).astype(np.int64)
+        t, w, j = np.concatenate([t, t]), np.concatenate([1 - (c - j), c - j]), np.concatenate([j, np.minimum(j + 1, n - 1)])
+    else:
+        t = np.arange(max(0, start * m // n - 1), min(m - 1, end * m // n + 1) + 1)
+        first, last = t * n // m, -(-(t + 1) * n // m)
+        last = first + 1 if kind == "nearest" else last
+        each = last - first
+        j = np.repeat(first, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        t, w = np.repeat(t, each), np.repeat(1 / each, each)
+    own = (w > 0) & (j >= start) & (j < end)
+    order = np.argsort(t[own], kind="stable")
+    return t[own][order], j[own][order], w[own][order]
+
+
+def resample_bricks(bricks: DataFrame, sizes: dict[str, Column], value: str, kind: str = "linear", axes=AXES, size=(8, 64, 64)) -> DataFrame:
+    """As ``resample``, of bricks: a brick weighs its array's voxels axis by axis, cuts
+    what it gives at the borders of the targets' bricks (of ``size``), and these sum up
+    the pieces that they get. No row a voxel is made before targets are whole."""
+    grid = bricks.groupBy("volume").agg(*(F.max(F.col(f"{a}0") + F.col(f"d{a}")).alias(f"n{a}") for a in AXES))
+    named = grid.select("volume", *(F.col(f"n{a}").alias(f"d{a}") for a in AXES)).withColumns({f"t{a}": sizes[a].cast("int") if a in axes else F.col(f"d{a}") for a in AXES})
+    grid = named.select(F.col("volume").alias("_volume"), *(F.col(f"d{a}").alias(f"n{a}") for a in AXES), *(f"t{a}" for a in AXES))
+    spark_kind = dict(bricks.dtypes)[value]
+    held, whole = KINDS[spark_kind], kind == "nearest"
+    box = ("z0", "y0", "x0", "dz", "dy", "dx")
+    numbers = ("bz", "by", "bx")
+    summed = held if whole else "<f8"
+
+    def weigh(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                a, at = np.asarray(getattr(r, value), held).reshape(r.dz, r.dy, r.dx), []
+                for k, (s, d, n, m) in enumerate(((r.z0, r.dz, r.nz, r.tz), (r.y0, r.dy, r.ny, r.ty), (r.x0, r.dx, r.nx, r.tx))):
+                    t, j, w = targets_of(s, s + d, n, m, kind)
+                    if not len(t):
+                        break
+                    a = np.take(a, j - s, axis=k)
+                    if not whole:
+                        a = np.add.reduceat(a * w.reshape([-1 if i == k else 1 for i in range(3)]), np.flatnonzero(np.diff(t, prepend=-1)), axis=k)
+                    at.append(int(t[0]))
+                else:
+                    rows += [(r.volume, *to, *low, *shape, x["v"]) for to, low, shape, x in cut_at_borders(at, {"v": a.astype(summed)}, size)]
+            yield pd.DataFrame(rows, columns=["volume", *numbers, *box, "data"])
+
+    def add(batches):
+        # as Arrow, since pandas would make nulls of what is not a number
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                low = [min(p[c] for p in r["parts"]) for c in box[:3]]
+                shape = [max(p[c] + p[f"d{c[0]}"] for p in r["parts"]) - q for c, q in zip(box[:3], low, strict=True)]
+                out = np.zeros(shape, summed)
+                for p in r["parts"]:
+                    out[tuple(slice(p[c] - q, p[c] - q + p[f"d{c[0]}"]) for c, q in zip(box[:3], low, strict=True))] += np.frombuffer(p["data"], summed).reshape(p["dz"], p["dy"], p["dx"])
+                rows.append((r["volume"], *low, *shape, out.ravel()))
+            if rows:
+                volumes, *boxes, arrays = zip(*rows, strict=True)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+                held_by = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
+                yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.string()), *(pa.array(x, pa.int32()) for x in boxes), held_by], ["volume", *box, value])
+
+    ints = lambda names: ", ".join(f"{c} int" for c in names)
+    kept = in_small_batches(bricks).select("volume", *box, value)
+    sized = kept.join(grid, kept["volume"].eqNullSafe(grid["_volume"])).drop("_volume")
+    pieces = sized.mapInPandas(weigh, f"volume string, {ints(numbers)}, {ints(box)}, data binary")
+    targets = pieces.groupBy("volume", *numbers).agg(F.collect_list(F.struct(*box, "data")).alias("parts"))
+    return to_voxels(targets.select("volume", "parts").mapInArrow(add, f"volume string, {ints(box)}, {value} {spark_kind if whole else 'array<double>'}"), (value,))
+
+
 def zoom_crop_pad(voxels: DataFrame, zoom: dict[str, float], value: str, kind: str, fill=0) -> DataFrame:
     """Zoomed by a factor per axis, then cut at the centre, or padded around it
     with ``fill``, to the size it had."""

@@ -126,12 +126,12 @@ def linear_sql(axes, value="intensity"):
 @query("res_trilinear", f"{VX}{linear_sql({'z': (7, 10), 'y': (32, 20), 'x': (64, 40)})} SELECT volume, z, y, x, round(value + 1.234e-5, 3) AS intensity FROM rs")
 def _(spark, sf):
     sizes = {"z": F.lit(10), "y": F.lit(20), "x": F.lit(40)}
-    return R.resample(X.voxels(spark, sf), sizes, "intensity").withColumn("intensity", F.round(F.col("intensity") + 1.234e-5, 3))
+    return R.resample_bricks(X.bricks(spark, sf, (8, 64, 64), ("intensity",)), sizes, "intensity").withColumn("intensity", F.round(F.col("intensity") + 1.234e-5, 3))
 
 
 @query("res_nearest", f"{VX} SELECT v.volume, a.i::INT AS z, b.i::INT AS y, c.i::INT AS x, label FROM range(10) a(i), range(20) b(i), range(96) c(i) JOIN voxels v ON v.z = a.i * 7 // 10 AND v.y = b.i * 32 // 20 AND v.x = c.i * 64 // 96".replace("FROM range(10) a(i), range(20) b(i), range(96) c(i) JOIN", "FROM range(10) a(i) CROSS JOIN range(20) b(i) CROSS JOIN range(96) c(i) JOIN"))
 def _(spark, sf):
-    return R.resample(X.voxels(spark, sf), {"z": F.lit(10), "y": F.lit(20), "x": F.lit(96)}, "label", "nearest")
+    return R.resample_bricks(X.bricks(spark, sf, (8, 64, 64), ("label",)), {"z": F.lit(10), "y": F.lit(20), "x": F.lit(96)}, "label", "nearest")
 
 
 @query(
@@ -199,7 +199,7 @@ POOL = "v.{a} >= i{a} * {n} // {m} AND v.{a} < ((i{a} + 1) * {n} + {m} - 1) // {
 )
 def _(spark, sf):
     sizes = {"z": F.lit(3), "y": F.lit(12), "x": F.lit(16)}
-    return R.resample(X.voxels(spark, sf), sizes, "intensity", "pool").withColumn("intensity", F.round(F.col("intensity") + 1.234e-5, 3))
+    return R.resample_bricks(X.bricks(spark, sf, (8, 64, 64), ("intensity",)), sizes, "intensity", "pool").withColumn("intensity", F.round(F.col("intensity") + 1.234e-5, 3))
 
 
 @query(
