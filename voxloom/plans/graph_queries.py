@@ -209,10 +209,10 @@ def _(spark, sf):
 
 @query("src_brick_round_trip", f"{VX} SELECT volume, z, y, x, round(intensity + 1.234e-5, 2) AS intensity, label FROM voxels")
 def _(spark, sf):
-    b = B.to_bricks(X.voxels(spark, sf))
+    b = X.bricks(spark, sf)
     path = f"{shared_folder(spark)}/bricks-{uuid.uuid4().hex}"
     B.write(b, path)
-    return B.to_voxels(spark.read.parquet(path)).withColumn("intensity", F.round(F.col("intensity") + 1.234e-5, 2))
+    return B.to_voxels(B.read(spark, path)).withColumn("intensity", F.round(F.col("intensity") + 1.234e-5, 2))
 
 
 @query("jn_halo_join", f"{VX}{NB} SELECT v.volume, v.z, v.y, v.idx, sum((n.label = v.label)::INT)::BIGINT AS n_same, sum((n.label = v.label)::INT * (v.x + 1) * (v.x + 1))::BIGINT AS placed FROM {NEAR} GROUP BY ALL")

@@ -35,16 +35,43 @@ def to_voxels(bricks: DataFrame, columns=("intensity", "label")) -> DataFrame:
     return e.select("volume", *(F.expr(f"CAST({at[a]} AS INT)").alias(a) for a in AXES), *(f"_v.{c}" for c in columns))
 
 
-def write(bricks: DataFrame, path: str, per_file: int = 4096) -> None:
-    """Parquet by volume, zstd, files of bounded size; a volume that is written
-    again replaces what it had."""
-    bricks.write.option("compression", "zstd").option("maxRecordsPerFile", per_file).option("partitionOverwriteMode", "dynamic").partitionBy("volume").mode("overwrite").parquet(path)
+def _loads(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the loads in a folder of bricks; one that was not finished has none."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [f.getPath() for f in files.listStatus(folder)]
+    whole = [p.getName() for p in names if p.getName().startswith("load=") and files.exists(context._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix("load=")) for n in whole)
+
+
+def write(bricks: DataFrame, path: str, per_file: int = 65_536) -> None:
+    """Parquet, zstd, files of bounded size that hold many volumes; each call is a load, a
+    folder of its own. A volume that is written again replaces what it had for ``read``: of
+    a volume the last load that has it counts. So files grow in number with the bricks and
+    not with the volumes, and no volume's folder is renamed by the driver."""
+    k = max(_loads(bricks.sparkSession, path), default=0) + 1
+    bricks.write.option("compression", "zstd").option("maxRecordsPerFile", per_file).mode("overwrite").parquet(f"{path}/load={k:06d}")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The bricks of a folder that ``write`` made, of each volume those of its last load."""
+    loads = _loads(spark, path)
+    if not loads:
+        return spark.read.parquet(path)
+    rows = spark.read.parquet(path).where(F.col("load").isin(loads))
+    if len(loads) == 1:
+        return rows.drop("load")
+    last = rows.groupBy(F.col("volume").alias("_volume")).agg(F.max("load").alias("_load"))
+    return rows.join(last, rows["volume"].eqNullSafe(last["_volume"]) & (rows["load"] == last["_load"])).drop("load", "_volume", "_load")
 
 
 def read_region(spark: SparkSession, path: str, volume: str, start, size, brick=SIZE) -> DataFrame:
-    """Voxels of a box: the bricks that it touches, found by partition and brick
+    """Voxels of a box: the bricks that it touches, found by volume and brick
     numbers, then trimmed."""
-    b = spark.read.parquet(path).where(F.col("volume") == volume)
+    b = read(spark, path).where(F.col("volume") == volume)
     for a, s, n, w in zip(AXES, start, size, brick, strict=True):
         b = b.where((F.col(f"b{a}") >= s // w) & (F.col(f"b{a}") <= (s + n - 1) // w))
     v = to_voxels(b)
