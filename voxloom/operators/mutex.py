@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +96,7 @@ def _by_volume(edges: DataFrame, most: int, extra: tuple = ()) -> tuple[DataFram
 
     def run(batches):
         for e in batches:
-            rows = [(None if pd.isna(volume) else volume, len(of), _pack(of), *(zlib.compress(of[c].to_numpy("<i8").tobytes(), 1) for c in extra)) for volume, of in e.groupby("volume", sort=False, dropna=False)]
+            rows = [(None if pd.isna(volume) else volume, len(of), _pack(of), *(of[c].to_numpy("<i8").tobytes() for c in extra)) for volume, of in e.groupby("volume", sort=False, dropna=False)]
             yield pd.DataFrame(rows, columns=["volume", "n", "data", *extra])
 
     e = edges.select("volume", *PACKED[:3], F.col("weight").cast("double").alias("weight"), "mutex", *extra)
@@ -258,7 +257,7 @@ def solve_buckets(e: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """(node, root) of one volume's packed edges: bucket by bucket all mutexes between
     different clusters, then the pull edges by falling weight and hash."""
     edges = _unpacked(e)
-    h = np.concatenate([np.frombuffer(zlib.decompress(x), "<i8") for x in e["h"]])
+    h = np.concatenate([np.frombuffer(x, "<i8") for x in e["h"]])
     nodes, u, v = _numbered(edges["u"], edges["v"])
     c, mutex, w = Clusters(len(nodes)), edges["mutex"].to_numpy(), edges["weight"].to_numpy()
     for own in np.array_split(_falling(edges), buckets):
@@ -430,11 +429,12 @@ PACKED_SCHEMA = "u bigint, v bigint, idx int, weight double, mutex boolean"
 def _pack(e: pd.DataFrame) -> bytes:
     """Edges as compressed columns; of a raster number what differs from the one before is kept."""
     u, v, idx, weight, mutex = (e[c].to_numpy(k) for c, k in zip(PACKED, PACKED_KINDS, strict=True))
-    return zlib.compress(b"".join(x.tobytes() for x in (np.diff(u, prepend=0), v - u, idx, weight, mutex)), 1)
+    return pa.compress(b"".join(x.tobytes() for x in (np.diff(u, prepend=0), v - u, idx, weight, mutex)), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int) -> pd.DataFrame:
-    raw, at, out = zlib.decompress(data), 0, []
+    size = n * sum(np.dtype(k).itemsize for k in PACKED_KINDS)
+    raw, at, out = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), 0, []
     for kind in PACKED_KINDS:
         out.append(np.frombuffer(raw, kind, n, at))
         at += out[-1].nbytes
