@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import bpe, mixing, secrets_scan, simhash, toxicity
-from voxloom.llm.common import broadcast_if_small, cut, fresh, table
+from voxloom.llm.common import broadcast_if_small, cut, fresh, give_back_memory, table
 
 
 BATCH_ROWS = 1_000
@@ -32,6 +32,8 @@ def in_small_batches(stage):
         rows = int(spark.conf.get(ARROW_ROWS))
         if rows <= 0 or rows > BATCH_ROWS:
             spark.conf.set(ARROW_ROWS, BATCH_ROWS)
+        spark.sparkContext._jvm.System.gc()
+        give_back_memory()
         return stage(spark, docs, sf_dir)
 
     return run

@@ -222,3 +222,11 @@ def test_stages_send_texts_in_small_batches(spark):
     finally:
         spark.conf.set(pipeline.ARROW_ROWS, before)
     assert [f.__name__ for _, f in pipeline.STAGES] == ["drop_toxic", "drop_near_duplicates", "mask_secrets", "mix_sources", "encode"]
+
+
+def test_plans_of_a_sweep_do_not_double_with_each_dimension(spark, monkeypatch):
+    plans, cut = [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")) or cut(d))
+    cells = spark.createDataFrame([("a", "x", "p", 3), ("a", "y", "q", 5), ("b", "x", "q", 2), (None, "y", "p", 4)], "source string, lang string, topic string, tokens long")
+    mixing.rake(cells, mixing.DIMS, sweeps=2)
+    assert len(plans) == 3 + 2 * 4 and max(plans) == 1

@@ -66,7 +66,8 @@ def rake(cells: DataFrame, dims: list[str], tokens: str = "tokens", temperature:
         out = out.withColumn("_moved", F.lit(0.0))
         for d, want in zip(dims, wanted, strict=True):
             sums = out.groupBy(F.col(d).alias("_of")).agg(F.sum("weight").alias("_has"))
-            by = sums.join(want, F.col("_of").eqNullSafe(F.col("value"))).select("_of", F.when(F.col("_has") > 0, F.col("target") / F.col("_has")).alias("_by"))
+            # cut, a row a value: otherwise the plan of each dimension holds that of the one before twice
+            by = cut(sums.join(want, F.col("_of").eqNullSafe(F.col("value"))).select("_of", F.when(F.col("_has") > 0, F.col("target") / F.col("_has")).alias("_by")))
             out = out.join(by, F.col(d).eqNullSafe(F.col("_of"))).withColumn("weight", F.coalesce(F.col("weight") * F.col("_by"), F.lit(0.0))).withColumn("_moved", F.greatest("_moved", F.abs(F.col("_by") - 1))).drop("_of", "_by")
         out = cut(out)
         # a sweep that moved no sum has met all targets before it began
