@@ -205,6 +205,16 @@ def nearest_sources(voxels: DataFrame, source: str, ident: str, sampling=(1.0, 1
     return to_voxels(b, ("d2", "nearest"))
 
 
+def nearest_in_array(d2: np.ndarray, ids: np.ndarray, sampling=(1.0, 1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
+    """As ``nearest_sources``, of a volume that is one array: d2 is 0 at sources and
+    infinite elsewhere."""
+    for k in (2, 1, 0):
+        f, who = (np.moveaxis(a, k, 2) for a in (d2, ids))
+        found = lower_envelope(f.reshape(-1, f.shape[2]), who.reshape(-1, f.shape[2]), float(sampling[k]))
+        d2, ids = (np.moveaxis(a.reshape(f.shape), 2, k) for a in found)
+    return d2, ids
+
+
 def distance_transform(voxels: DataFrame, mask: str = "label", sampling=(1.0, 1.0, 1.0)) -> DataFrame:
     """(volume, z, y, x, distance): Euclidean distance to the nearest voxel where
     ``mask`` is 0, with voxel sizes (z, y, x)."""

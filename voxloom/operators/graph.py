@@ -28,10 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back."""
+#: row groups of tables with wide rows: Spark's reader decodes up to 4,096 rows of one at once
+WIDE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+
+
+def cut(df: DataFrame, wide: bool = False) -> DataFrame:
+    """Write a table into the shared folder and read it back. ``wide`` rows hold many
+    values each, packed: what a task decodes of them at once is bounded in bytes."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(WIDE_ROWS if wide else {})).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._cut_path = path
     return table

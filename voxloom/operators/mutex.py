@@ -8,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.operators.components import grow_labels, min_size
+from voxloom.operators.components import grow_labels, min_size, nearest_in_array
 from voxloom.operators.graph import broadcast_if_small, components, cut, ranked_by_ranges, release
 from voxloom.operators.neighbors import N_PULL, OFFSETS
 from voxloom.operators.voxels import AXES, extents
+from voxloom.sources.bricks import in_small_batches, to_voxels
 
 
 def build_edges(affinities: DataFrame, offsets=OFFSETS, n_pull: int = N_PULL, strides=(1, 2, 2), mask: DataFrame | None = None) -> DataFrame:
@@ -89,24 +90,45 @@ def _falling(e: pd.DataFrame) -> np.ndarray:
     return np.lexsort([e["v"].to_numpy(), e["u"].to_numpy(), e["idx"].to_numpy(), np.where(np.isnan(w), -np.inf, -w)])
 
 
+VOLUME_EDGES = 1_000_000  # of a volume that a task solves whole
+TASK_EDGES = 1_000_000  # of small volumes that a task solves, one after the other
+
+
 def _by_volume(edges: DataFrame, most: int, extra: tuple = ()) -> tuple[DataFrame, DataFrame | None]:
     """(volume, n, data[, extra]), cut: ``edges``, packed, as many rows as batches and
-    volumes; those of volumes of ``most`` edges or fewer, and of larger ones, if any.
-    ``extra`` columns (bigint) go along as bytes."""
+    volumes; those of volumes of ``most`` edges or fewer, dealt by volume to tasks of about
+    ``TASK_EDGES``, and of larger ones, if any. ``extra`` columns (bigint) go along as bytes.
+    ``edges`` may have come packed (volume, n, data)."""
+
+    packed = cut(edges.select("volume", "n", "data") if is_packed(edges) else _packed_rows(edges, extra), wide=True)
+    return _small_and_large(packed, packed.groupBy("volume").agg(F.sum("n").alias("_n")), most)
+
 
+def _packed_rows(edges: DataFrame, extra: tuple = ()) -> DataFrame:
     def run(batches):
         for e in batches:
-            rows = [(None if pd.isna(volume) else volume, len(of), _pack(of), *(of[c].to_numpy("<i8").tobytes() for c in extra)) for volume, of in e.groupby("volume", sort=False, dropna=False)]
+            rows = [(None if pd.isna(volume) else volume, len(of), pack(of), *(of[c].to_numpy("<i8").tobytes() for c in extra)) for volume, of in e.groupby("volume", sort=False, dropna=False)]
             yield pd.DataFrame(rows, columns=["volume", "n", "data", *extra])
 
     e = edges.select("volume", *PACKED[:3], F.col("weight").cast("double").alias("weight"), "mutex", *extra)
-    packed = cut(e.mapInPandas(run, f"volume string, n bigint, data binary{''.join(f', {c} binary' for c in extra)}"))
-    large = cut(packed.groupBy("volume").agg(F.sum("n").alias("_n")).where(F.col("_n") > most).select(F.col("volume").alias("_v")))
-    if large.limit(1).count() == 0:
-        return packed, None
-    large = broadcast_if_small(large)
+    return e.mapInPandas(run, f"volume string, n bigint, data binary{''.join(f', {c} binary' for c in extra)}")
+
+
+def _small_and_large(packed: DataFrame, sizes: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``packed`` of volumes whose _n in ``sizes`` (volume, _n) is ``most`` or less,
+    dealt by volume to tasks of about ``TASK_EDGES`` of that, and of larger ones, if any."""
+    sizes = cut(sizes)
+    small, n_large = sizes.agg(F.sum(F.when(F.col("_n") <= most, F.col("_n"))), F.count_if(F.col("_n") > most)).first()
+    tasks = max(packed.sparkSession.sparkContext.defaultParallelism, (small or 0) // TASK_EDGES + 1)
+    if not n_large:
+        return packed.repartition(tasks, "volume"), None
+    large = broadcast_if_small(cut(sizes.where(F.col("_n") > most).select(F.col("volume").alias("_v"))))
     is_large = packed["volume"].eqNullSafe(large["_v"])
-    return packed.join(large, is_large, "left_anti"), packed.join(large, is_large, "left_semi")
+    return packed.join(large, is_large, "left_anti").repartition(tasks, "volume"), packed.join(large, is_large, "left_semi")
+
+
+def is_packed(edges: DataFrame) -> bool:
+    return set(edges.columns) == {"volume", "n", "data"}
 
 
 def _unpacked(e: pd.DataFrame) -> pd.DataFrame:
@@ -169,10 +191,10 @@ def solve_block(e: pd.DataFrame) -> pd.DataFrame:
     """(node, root) of one block's edges by a Kruskal pass: edges in falling
     weight, ties by offset and raster; a pull edge merges two clusters unless a
     mutex lies between them, a push edge lays one unless they are merged."""
-    e = e.sort_values(["weight", "idx", "u", "v"], ascending=[False, True, True, True], kind="stable")
     nodes, u, v = _numbered(e["u"], e["v"])
+    order = np.lexsort([e["v"], e["u"], e["idx"], -e["weight"].to_numpy()])
     c = Clusters(len(nodes))
-    for a, b, mutex in zip(u.tolist(), v.tolist(), e["mutex"].tolist(), strict=True):
+    for a, b, mutex in zip(u[order].tolist(), v[order].tolist(), e["mutex"].to_numpy(bool)[order].tolist(), strict=True):
         a, b = c.root(a), c.root(b)
         if a == b:
             continue
@@ -426,9 +448,9 @@ PACKED_KINDS = ("<i8", "<i8", "<i4", "<f8", "?")
 PACKED_SCHEMA = "u bigint, v bigint, idx int, weight double, mutex boolean"
 
 
-def _pack(e: pd.DataFrame) -> bytes:
+def pack(e) -> bytes:
     """Edges as compressed columns; of a raster number what differs from the one before is kept."""
-    u, v, idx, weight, mutex = (e[c].to_numpy(k) for c, k in zip(PACKED, PACKED_KINDS, strict=True))
+    u, v, idx, weight, mutex = (np.asarray(e[c], k) for c, k in zip(PACKED, PACKED_KINDS, strict=True))
     return pa.compress(b"".join(x.tobytes() for x in (np.diff(u, prepend=0), v - u, idx, weight, mutex)), codec="zstd", asbytes=True)
 
 
@@ -448,21 +470,19 @@ def _block_of(n: np.ndarray, dy: int, dx: int, size) -> np.ndarray:
     return (n // (dy * dx) // size[0]) * 1000003**2 + (n // dx % dy // size[1]) * 1000003 + n % dx // size[2]
 
 
-def _dealt_to_blocks(edges: DataFrame, extents: DataFrame, size) -> DataFrame:
-    """(volume, block, dy, dx, n, data): ``edges``, packed, for each block that has an
+def _dealt_to_blocks(packed: DataFrame, extents: DataFrame, size) -> DataFrame:
+    """(volume, block, dy, dx, n, data): packed edges, packed for each block that has an
     end of them. A row an edge is neither shuffled nor written."""
 
     def run(batches):
-        for e in batches:
-            rows = []
-            for (volume, dy, dx), of in e.groupby(["volume", "dy", "dx"], sort=False):
-                at = [_block_of(of[c].to_numpy(), dy, dx, size) for c in ("u", "v")]
-                for block in np.unique(np.concatenate(at)):
-                    own = of[(at[0] == block) | (at[1] == block)]
-                    rows.append((volume, block, dy, dx, len(own), _pack(own)))
-            yield pd.DataFrame(rows, columns=["volume", "block", "dy", "dx", "n", "data"])
-
-    e = edges.select("volume", *PACKED[:3], F.col("weight").cast("double").alias("weight"), "mutex").join(extents.select("volume", "dy", "dx"), "volume")
+        for b in batches:
+            for r in b.itertuples(index=False):
+                e = _unpack(r.data, r.n)
+                at = [_block_of(e[c].to_numpy(), r.dy, r.dx, size) for c in ("u", "v")]
+                own = ((block, e[(at[0] == block) | (at[1] == block)]) for block in np.unique(np.concatenate(at)))
+                yield pd.DataFrame([(r.volume, block, r.dy, r.dx, len(of), pack(of)) for block, of in own], columns=["volume", "block", "dy", "dx", "n", "data"])
+
+    e = packed.select("volume", "n", "data").join(extents.select("volume", "dy", "dx"), "volume")
     return e.mapInPandas(run, "volume string, block bigint, dy int, dx int, n bigint, data binary")
 
 
@@ -479,9 +499,39 @@ def _firsts(events: pd.DataFrame) -> pd.DataFrame:
     return p.drop(columns=["pull__at", "push__at"])
 
 
-PAIR_KINDS = {"a": "bigint", "b": "bigint", "far": "boolean"} | {f"{kind}_{k}": "double" if k == "weight" else "bigint" for kind in ("pull", "push") for k in RANK} | {"has_pull": "boolean", "has_push": "boolean"}
-STATE = "volume string, at bigint, dy int, dx int, node array<bigint>, root array<bigint>, done array<boolean>, border array<bigint>, border_root array<bigint>, border_done array<boolean>, "
-STATE += ", ".join(f"{c} array<{kind}>" for c, kind in PAIR_KINDS.items())
+#: what a block leaves: arrays of its nodes, of those with edges to other blocks, and of pairs, in bytes
+NODES = {"node": "<i8", "root": "<i8", "done": "?"}
+BORDER = {"border": "<i8", "border_root": "<i8", "border_done": "?"}
+PAIRS = {"a": "<i8", "b": "<i8", "far": "?"} | {f"{kind}_{k}": "<f8" if k == "weight" else "<i8" for kind in ("pull", "push") for k in RANK} | {"has_pull": "?", "has_push": "?"}
+STATE = "volume string, at bigint, dy int, dx int, n_pairs bigint, n_border bigint, nodes binary, border binary, pairs binary"
+SQL_KINDS = {"<i8": "bigint", "<f8": "double", "<i4": "int", "?": "boolean"}
+
+
+def _in_bytes(arrays, kinds: dict) -> bytes:
+    """Arrays of one length, named and typed by ``kinds``, compressed."""
+    raw = b"".join(np.ascontiguousarray(arrays[c], k).tobytes() for c, k in kinds.items())
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _of_bytes(data: bytes, kinds: dict) -> pd.DataFrame:
+    size, at, out = int.from_bytes(data[:8], "little"), 0, {}
+    raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    n = size // sum(np.dtype(k).itemsize for k in kinds.values())
+    for c, k in kinds.items():
+        out[c] = np.frombuffer(raw, k, n, at)
+        at += out[c].nbytes
+    return pd.DataFrame(out)
+
+
+def _opened(state: DataFrame, column: str, kinds: dict) -> DataFrame:
+    """(volume, *kinds): a row for each place of the arrays in a column of bytes."""
+
+    def run(batches):
+        for b in batches:
+            for volume, data in zip(b["volume"], b[column], strict=True):
+                yield _of_bytes(data, kinds).assign(volume=volume)[["volume", *kinds]]
+
+    return state.select("volume", column).mapInPandas(run, f"volume string, {', '.join(f'{c} {SQL_KINDS[k]}' for c, k in kinds.items())}")
 
 
 def _events(p: pd.DataFrame) -> pd.DataFrame:
@@ -492,22 +542,22 @@ def _events(p: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def _settled(volume: str, p: pd.DataFrame, nodes: np.ndarray, inside, borders: tuple, dy: int, dx: int) -> pd.DataFrame:
-    """One row of arrays (``STATE``): what a block can be sure of (``settle_falling``) about
+def _settled(volume: str, at: int, p: pd.DataFrame, nodes: np.ndarray, inside, borders: tuple, dy: int, dx: int) -> pd.DataFrame:
+    """One row (``STATE``): what a block can be sure of (``settle_falling``) about
     its own sorted ``nodes``, from all pairs with an end in it, and what is left of these, as first
-    edges of two clusters. Of ``far`` ones, b is a node of another block, and both blocks
+    edges of two clusters; ``at`` is a raster number in the block. Of ``far`` ones, b is a node of another block, and both blocks
     hand them on; ``borders`` are the nodes with such edges, and their roots."""
     roots, done = nodes.copy(), np.zeros(len(nodes), bool)
     p["in_a"], p["in_b"] = inside(p["a"].to_numpy()), inside(p["b"].to_numpy())
     if len(p):
         told = settle_falling(p)
-        at = np.searchsorted(nodes, told["gone"].to_numpy())
-        roots[at], done[at] = told["into"].to_numpy(), told["done"].to_numpy()
+        gone = np.searchsorted(nodes, told["gone"].to_numpy())
+        roots[gone], done[gone] = told["into"].to_numpy(), told["done"].to_numpy()
     place = lambda n: np.minimum(np.searchsorted(nodes, n), max(len(nodes) - 1, 0))
     for c in ("a", "b"):
-        at, own = place(p[c].to_numpy()), p[f"in_{c}"].to_numpy()
-        p[f"done_{c}"] = own & done[at]
-        p[c] = np.where(own, roots[at], p[c])
+        to, own = place(p[c].to_numpy()), p[f"in_{c}"].to_numpy()
+        p[f"done_{c}"] = own & done[to]
+        p[c] = np.where(own, roots[to], p[c])
     p = p[~p["done_a"].to_numpy() & ~p["done_b"].to_numpy() & (p["a"] != p["b"]).to_numpy()]
     left = []
     for far in (False, True):
@@ -518,37 +568,58 @@ def _settled(volume: str, p: pd.DataFrame, nodes: np.ndarray, inside, borders: t
     left = pd.concat(left, ignore_index=True)
     border, border_root, border_done = borders
     if len(nodes):
-        at = place(border_root)
-        known = nodes[at] == border_root
-        border_done = border_done | (known & done[at])
-        border_root = np.where(known, roots[at], border_root)
-    kinds = {"bigint": np.int64, "double": float, "boolean": bool}
-    arrays = {c: left[c].fillna(0).to_numpy(kinds[kind]) for c, kind in PAIR_KINDS.items()}
-    first = nodes if len(nodes) else border
-    return pd.DataFrame([{"volume": volume, "at": int(first[0]), "dy": dy, "dx": dx, "node": nodes, "root": roots, "done": done, "border": border, "border_root": border_root, "border_done": border_done, **arrays}])
+        to = place(border_root)
+        known = nodes[to] == border_root
+        border_done = border_done | (known & done[to])
+        border_root = np.where(known, roots[to], border_root)
+    arrays = {c: left[c].fillna(0).to_numpy(np.dtype(kind)) for c, kind in PAIRS.items()}
+    held = [_in_bytes({"node": nodes, "root": roots, "done": done}, NODES), _in_bytes({"border": border, "border_root": border_root, "border_done": border_done}, BORDER), _in_bytes(arrays, PAIRS)]
+    return pd.DataFrame([(volume, at, dy, dx, len(left), len(border), *held)], columns=[c.split()[0] for c in STATE.split(", ")])
+
+
+def _first_pairs(edges: pd.DataFrame) -> pd.DataFrame:
+    """The first pull and push edge of each two nodes."""
+    edges = edges[edges["u"] != edges["v"]]
+    return _firsts(edges[["mutex", "weight"]].assign(a=np.minimum(edges["u"], edges["v"]), b=np.maximum(edges["u"], edges["v"]), **{k: -edges[k].astype("int64") for k in RANK[1:]}))
 
 
 def first_block(e: pd.DataFrame, size) -> pd.DataFrame:
     """What one block tells from all packed edges with an end in it."""
     block, dy, dx = int(e["block"].iloc[0]), int(e["dy"].iloc[0]), int(e["dx"].iloc[0])
     inside = lambda n: _block_of(n, dy, dx, size) == block
-    edges = pd.concat([_unpack(d, n) for d, n in zip(e["data"], e["n"], strict=True)], ignore_index=True)
+    edges = _unpacked(e)
     ends = np.unique(edges[["u", "v"]].to_numpy())
     nodes = ends[inside(ends)]
-    edges = edges[edges["u"] != edges["v"]]
-    p = _firsts(edges[["mutex", "weight"]].assign(a=np.minimum(edges["u"], edges["v"]), b=np.maximum(edges["u"], edges["v"]), **{k: -edges[k].astype("int64") for k in RANK[1:]}))
+    p = _first_pairs(edges)
     in_a, in_b = inside(p["a"].to_numpy()), inside(p["b"].to_numpy())
     border = np.unique(np.where(in_a, p["a"], p["b"])[in_a != in_b])
-    return _settled(e["volume"].iloc[0], p, nodes, inside, (border, border, np.zeros(len(border), bool)), dy, dx)
+    return _settled(e["volume"].iloc[0], int(nodes[0]), p, nodes, inside, (border, border, np.zeros(len(border), bool)), dy, dx)
+
+
+def solve_regions(e: pd.DataFrame, size) -> pd.DataFrame:
+    """(node, region, instance) of one volume's packed edges: what each block of ``size`` tells
+    by itself, as ``first_block`` does, and what the falling order over the volume makes."""
+    dy, dx, edges = int(e["dy"].iloc[0]), int(e["dx"].iloc[0]), _unpacked(e)
+    one = solve_block(edges)
+    nodes, region = one["node"].to_numpy(), one["node"].to_numpy().copy()
+    at = [_block_of(edges[c].to_numpy(), dy, dx, size) for c in ("u", "v")]
+    for block in np.unique(np.concatenate(at)):
+        p = _first_pairs(edges[(at[0] == block) | (at[1] == block)])
+        if len(p):
+            p["in_a"], p["in_b"] = (_block_of(p[c].to_numpy(), dy, dx, size) == block for c in ("a", "b"))
+            told = settle_falling(p)
+            region[np.searchsorted(nodes, told["gone"].to_numpy())] = told["into"].to_numpy()
+    return pd.DataFrame({"node": nodes, "region": region, "instance": one["root"].to_numpy()})
 
 
 def next_block(e: pd.DataFrame, size) -> pd.DataFrame:
     """What a wider block tells from what the blocks in it have left."""
     dy, dx = int(e["dy"].iloc[0]), int(e["dx"].iloc[0])
-    block = _block_of(e["at"].iloc[:1].to_numpy(), dy, dx, size)[0]
+    first = int(e["at"].iloc[0])
+    block = _block_of(first, dy, dx, size)
     inside = lambda n: _block_of(n, dy, dx, size) == block
-    p = pd.DataFrame({c: np.concatenate([np.asarray(x) for x in e[c]]) for c in PAIR_KINDS})
-    border, border_root, border_done = (np.concatenate([np.asarray(x, kind) for x in e[c]]) for c, kind in (("border", np.int64), ("border_root", np.int64), ("border_done", bool)))
+    p = pd.concat([_of_bytes(x, PAIRS) for x in e["pairs"]], ignore_index=True)
+    border, border_root, border_done = (np.concatenate(x) for x in zip(*([d[c].to_numpy() for c in BORDER] for d in (_of_bytes(x, BORDER) for x in e["border"])), strict=True))
     order = np.argsort(border)
     border, border_root, border_done = border[order], border_root[order], border_done[order]
     # pairs over a cut that is none any more: each of the two blocks has handed on its own view
@@ -560,7 +631,7 @@ def next_block(e: pd.DataFrame, size) -> pd.DataFrame:
     p["a"], p["b"] = np.where(far, p["a"], np.minimum(p["a"], b)), np.where(far, b, np.maximum(p["a"], b))
     p = _firsts(_events(p[~gone]))
     ends = np.unique(np.concatenate([p["a"], p["b"]])).astype(np.int64)
-    return _settled(e["volume"].iloc[0], p, ends[inside(ends)], inside, (border, border_root, border_done), dy, dx)
+    return _settled(e["volume"].iloc[0], first, p, ends[inside(ends)], inside, (border, border_root, border_done), dy, dx)
 
 
 def _left_as_is(packed: DataFrame, size) -> tuple[DataFrame, DataFrame]:
@@ -588,9 +659,9 @@ def _left_as_is(packed: DataFrame, size) -> tuple[DataFrame, DataFrame]:
 def _rows_of(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(volume, a, b, far, pull, push) and (volume, b, _to, _done) of what blocks have left,
     the pairs and the border nodes, a row each."""
-    pairs = state.select("volume", F.inline(F.arrays_zip(*PAIR_KINDS)))
+    pairs = _opened(state, "pairs", PAIRS)
     whole = [F.when(F.col(f"has_{kind}"), F.struct(*(F.col(f"{kind}_{k}").alias(k) for k in RANK))).alias(kind) for kind in ("pull", "push")]
-    border = state.select("volume", F.inline(F.arrays_zip("border", "border_root", "border_done"))).toDF("volume", "b", "_to", "_done")
+    border = _opened(state, "border", BORDER).toDF("volume", "b", "_to", "_done")
     return pairs.select("volume", "a", "b", "far", *whole), border
 
 
@@ -609,17 +680,17 @@ def _in_arrays(edges: DataFrame, extents: DataFrame, size: list, widest, most: i
     and border nodes or fewer: (volume, node, root, done) of all nodes after the first
     one, (volume, root, last), what became of roots that were open, the pairs that are
     left, as ``_first_edges``, if any, and the size of blocks to go on with."""
-    packed = cut(_dealt_to_blocks(edges, extents, size))
+    packed = cut(_dealt_to_blocks(edges, extents, size), wide=True)
     large = broadcast_if_small(cut(packed.groupBy("volume", "block").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("volume", "block")))
     fit = packed.join(large, ["volume", "block"], "left_anti").groupBy("volume", "block")
-    state = cut(fit.applyInPandas(_of_size(first_block, size), STATE))
-    nodes = state.select("volume", F.inline(F.arrays_zip("node", "root", "done")))
+    state = cut(fit.applyInPandas(_of_size(first_block, size), STATE), wide=True)
+    nodes = _opened(state, "nodes", NODES)
     more = None
     if large.limit(1).count():
         own, more = (cut(x) for x in _left_as_is(packed.join(large, ["volume", "block"], "left_semi"), tuple(size)))
         nodes = nodes.unionByName(own)
     release(packed)
-    has_pairs = F.size("a") > 0
+    has_pairs = F.col("n_pairs") > 0
     if more is None and state.where(has_pairs).limit(1).count() == 0:
         return nodes, None, None, size
     names = cut(nodes.where("node = root AND NOT done").select("volume", "root", F.col("root").alias("last")))
@@ -627,10 +698,10 @@ def _in_arrays(edges: DataFrame, extents: DataFrame, size: list, widest, most: i
     while more is None:
         size = [min(2 * s, max(s, w or 1)) for s, w in zip(size, widest, strict=True)]
         block = F.expr(_block_sql("at", size)).alias("block")
-        if state.groupBy("volume", block).agg(F.sum(F.size("a") + F.size("border")).alias("n")).where(F.col("n") > most).limit(1).count():
+        if state.groupBy("volume", block).agg(F.sum(F.col("n_pairs") + F.col("n_border")).alias("n")).where(F.col("n") > most).limit(1).count():
             break
-        wider = cut(state.drop("node", "root", "done").withColumn("block", block).groupBy("volume", "block").applyInPandas(_of_size(next_block, size), STATE))
-        merge = wider.select("volume", F.inline(F.arrays_zip(F.col("node").alias("gone"), F.col("root").alias("into")))).where("gone <> into")
+        wider = cut(state.drop("nodes").withColumn("block", block).groupBy("volume", "block").applyInPandas(_of_size(next_block, size), STATE), wide=True)
+        merge = _opened(wider, "nodes", NODES).where("node <> root").select("volume", F.col("node").alias("gone"), F.col("root").alias("into"))
         before, names = names, cut(_renamed(names, broadcast_if_small(cut(merge)), "gone", "into", "last").select("volume", "root", "last"))
         if held is not None:
             release(held)  # not the first: nodes are read from it
@@ -680,17 +751,29 @@ def _in_passes(edges: DataFrame, extents: DataFrame, size, most: int) -> tuple[D
 
 def exact(edges: DataFrame, extents: DataFrame, size=BLOCK, most: int = BLOCK_PAIRS) -> DataFrame:
     """(volume, node, root) as the one falling order over all edges of a volume gives
-    it (``solve_block``), ties by offset and raster, without a volume in one task.
+    it (``solve_block``), ties by offset and raster. ``edges`` come a row each, or packed.
 
-    Blocks of the raster, in parallel, settle what no other block can change; open
-    clusters are carried on as nodes of a contracted graph, with the first pull and
-    push edge of each two of them, to blocks twice as wide, until none is open.
-    Edges come to the first blocks packed, as many rows as batches and blocks.
+    A volume of ``most`` edges or fewer is solved whole; tasks have as many of these as
+    make ``TASK_EDGES``. Of larger volumes none is in one task: blocks of the raster, in
+    parallel, settle what no other block can change; open clusters are carried on as nodes
+    of a contracted graph, with the first pull and push edge of each two of them, to blocks
+    twice as wide, until none is open. Edges come to blocks packed.
     Where a block has over ``most`` pairs, pairs that come first at both their
     clusters are settled over the whole graph instead, round by round. Neither
     ``size`` nor ``most`` changes the result. ``extents`` has (volume, dz, dy, dx).
     """
-    nodes, names = _in_passes(edges, extents, size, most)
+    fit, large = _by_volume(edges, min(most, VOLUME_EDGES))
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        return solve_block(_unpacked(e)).assign(volume=e["volume"].iloc[0])[["volume", "node", "root"]]
+
+    out = fit.groupBy("volume").applyInPandas(run, "volume string, node bigint, root bigint")
+    return out if large is None else out.unionByName(_in_blocks(large, extents, size, most))
+
+
+def _in_blocks(packed: DataFrame, extents: DataFrame, size, most: int) -> DataFrame:
+    """``exact`` of packed edges of volumes that fit no task."""
+    nodes, names = _in_passes(packed, extents, size, most)
     return nodes if names is None else _renamed(nodes, names, "root", "last", "root").select("volume", "node", "root")
 
 
@@ -698,10 +781,21 @@ def stitch_blocks(edges: DataFrame, extents: DataFrame, size=BLOCK, most: int =
     """(volume, node, region, instance): regions that the blocks of ``size`` find each
     by itself, and the instances that they make over the cuts, with the edges
     that cross them and the mutexes that regions bring along: the partition of the
-    volume without cuts."""
-    nodes, names = _in_passes(edges, extents, size, most)
+    volume without cuts. Volumes are solved whole or in passes, as by ``exact``."""
+    extents = cut(extents.select("volume", *(f"d{a}" for a in AXES)))
+    fit, large = _by_volume(edges, min(most, VOLUME_EDGES))
+    size = tuple(size)
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        return solve_regions(e, size).assign(volume=e["volume"].iloc[0])[["volume", "node", "region", "instance"]]
+
+    sized = fit.join(broadcast_if_small(extents.select("volume", "dy", "dx")), "volume")
+    out = sized.groupBy("volume").applyInPandas(run, "volume string, node bigint, region bigint, instance bigint")
+    if large is None:
+        return out
+    nodes, names = _in_passes(large, extents, size, most)
     both = nodes.select("volume", "node", F.col("root").alias("region"), F.col("root").alias("instance"))
-    return both if names is None else _renamed(both, names, "root", "last", "instance").select("volume", "node", "region", "instance")
+    return out.unionByName(both if names is None else _renamed(both, names, "root", "last", "instance").select("volume", "node", "region", "instance"))
 
 
 def stitch(overlaps: DataFrame, share: float = 0.5) -> DataFrame:
@@ -718,6 +812,58 @@ def finish(voxels: DataFrame, foreground: str, least: int, column: str = "compon
     return min_size(voxels.withColumn(column, F.when(F.col(foreground), F.col(column)).otherwise(F.lit(0).cast("bigint"))), least, column)
 
 
+VOXELS = {"z": "<i4", "y": "<i4", "x": "<i4", "fg": "?"}
+
+
+def _packed_voxels(voxels: DataFrame, foreground: str) -> DataFrame:
+    """(volume, dz, dy, dx, data): coordinates and foreground of voxels, or of bricks' voxels,
+    in bytes, as many rows as batches and volumes, or as bricks."""
+
+    def of_rows(batches):
+        for v in batches:
+            rows = [(volume, *(int(of[a].max()) + 1 for a in AXES), _in_bytes(of, VOXELS)) for volume, of in v.groupby("volume", sort=False)]
+            yield pd.DataFrame(rows, columns=["volume", "dz", "dy", "dx", "data"])
+
+    def of_bricks(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                at = np.indices((r.dz, r.dy, r.dx)).reshape(3, -1) + np.array([[r.z0], [r.y0], [r.x0]])
+                held = dict(zip(VOXELS, (*at, np.asarray(getattr(r, foreground), bool)), strict=True))
+                rows.append((r.volume, r.z0 + r.dz, r.y0 + r.dy, r.x0 + r.dx, _in_bytes(held, VOXELS)))
+            yield pd.DataFrame(rows, columns=["volume", "dz", "dy", "dx", "data"])
+
+    schema = "volume string, dz bigint, dy bigint, dx bigint, data binary"
+    v = voxels.where("volume IS NOT NULL")
+    if "bz" in voxels.columns:
+        return in_small_batches(v).select("volume", *(f"{a}0" for a in AXES), *(f"d{a}" for a in AXES), foreground).mapInPandas(of_bricks, schema)
+    return v.select("volume", *AXES, F.coalesce(foreground, F.lit(False)).alias("fg")).mapInPandas(of_rows, schema)
+
+
+def finished(edges: pd.DataFrame, voxels: pd.DataFrame, least: int, grow: float | None, sampling) -> pd.DataFrame:
+    """(z, y, x, instance) of one volume, as ``agglomerate`` says it, from its edges and its
+    voxels (z, y, x, fg)."""
+    at = voxels[list(AXES)].to_numpy(np.int64)
+    shape = at.max(axis=0) + 1
+    number = (at[:, 0] * shape[1] + at[:, 1]) * shape[2] + at[:, 2]
+    root, fg = number.copy(), voxels["fg"].to_numpy(bool)
+    if len(edges):
+        solved = solve_block(edges)
+        nodes, place = solved["node"].to_numpy(), np.minimum(np.searchsorted(solved["node"], number), len(solved) - 1)
+        known = nodes[place] == number
+        root[known] = solved["root"].to_numpy()[place[known]]
+    ids, of, size = np.unique(np.where(fg, root + 1, 0), return_inverse=True, return_counts=True)
+    kept = (ids > 0) & (size >= least)
+    instance = np.where(kept, np.cumsum(kept), 0)[of]
+    if grow is not None:
+        d2, near = np.full(shape, np.inf), np.zeros(shape, np.int64)
+        source, where = instance > 0, tuple(at.T)
+        d2[tuple(at[source].T)], near[where] = 0.0, instance
+        d2, near = (a[where] for a in nearest_in_array(d2, near, sampling))
+        instance = np.where(np.isinf(d2) | ((np.sqrt(d2) > grow) & (grow > 0)), 0, near)
+    return voxels[list(AXES)].assign(instance=instance)
+
+
 def agglomerate(
     edges: DataFrame, voxels: DataFrame, foreground: str, least: int = 0, max_push: int | None = None, grow: float | None = None, sampling=(1.0, 1.0, 1.0), size=BLOCK, most: int = BLOCK_PAIRS
 ) -> DataFrame:
@@ -729,10 +875,40 @@ def agglomerate(
     fewer than ``least`` voxels become background, and those left are counted from 1
     by first voxel. With ``grow``, labels grow that far into the background (all the
     way, if 0), by voxel sizes ``sampling``.
+
+    ``edges`` come a row each, or packed; ``voxels`` as rows or as bricks. A volume of ``most``
+    edges and of a box of ``most`` voxels or fewer goes the whole way in one task, as arrays; of
+    larger ones none is in one task.
     """
+    if max_push is not None:
+        edges = cap_push(_edges_of(edges) if is_packed(edges) else edges, max_push)
+    most_whole = min(most, VOLUME_EDGES)
+    e = (edges.select("volume", "n", "data") if is_packed(edges) else _packed_rows(edges)).withColumns({f"d{a}": F.lit(0).cast("bigint") for a in AXES})
+    packed = cut(e.unionByName(_packed_voxels(voxels, foreground).withColumn("n", F.lit(0).cast("bigint"))), wide=True)
+    box = F.max("dz") * F.max("dy") * F.max("dx")
+    fit, large = _small_and_large(packed, packed.groupBy("volume").agg(F.greatest(F.sum("n"), box).alias("_n")), most_whole)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        of_edges = p["dz"] == 0
+        if of_edges.all():
+            return pd.DataFrame(columns=["volume", *AXES, "instance"])
+        v = pd.concat([_of_bytes(d, VOXELS) for d in p["data"][~of_edges]], ignore_index=True)
+        e = _unpacked(p[of_edges]) if of_edges.any() else pd.DataFrame(columns=PACKED)
+        return finished(e, v, least, grow, sampling).assign(volume=p["volume"].iloc[0])[["volume", *AXES, "instance"]]
+
+    out = fit.groupBy("volume").applyInPandas(run, "volume string, z int, y int, x int, instance bigint")
+    if large is not None:
+        rows = voxels if "bz" not in voxels.columns else to_voxels(voxels, (foreground,))
+        own = large.where("dz > 0").select("volume").distinct()
+        rows = rows.join(broadcast_if_small(cut(own)), "volume", "left_semi")
+        out = out.unionByName(_agglomerated(large.where("dz = 0").select("volume", "n", "data"), rows, foreground, least, grow, sampling, size, most))
+    return out
+
+
+def _agglomerated(packed: DataFrame, voxels: DataFrame, foreground: str, least: int, grow: float | None, sampling, size, most: int) -> DataFrame:
+    """``agglomerate`` of volumes that fit no task, from packed edges."""
     ext = extents(voxels).drop("n_voxels")
-    e = edges if max_push is None else cap_push(edges, max_push)
-    roots = exact(e, ext, size, most)
+    roots = _in_blocks(packed, ext, size, most)
     numbered = voxels.select("volume", *AXES, F.col(foreground).alias("_fg")).join(broadcast_if_small(cut(ext)), "volume")
     numbered = numbered.withColumn("node", (F.col("z").cast("bigint") * F.col("dy") + F.col("y")) * F.col("dx") + F.col("x"))
     joined = numbered.join(roots, ["volume", "node"], "left").withColumn("instance", F.when(F.col("_fg"), F.coalesce("root", "node") + 1).otherwise(F.lit(0).cast("bigint")))

@@ -199,9 +199,9 @@ def _(spark, sf):
 @query("mws_agglomerate")
 def _(spark, sf):
     """Gate, edges, watershed, size filter, numbers and growth, one after the other."""
-    v = X.voxels(spark, sf).withColumn("fg", F.col("pred") > 0)
-    e = A.edges(B.to_bricks(v, A.SIZE, ("label", "fg")), disturbed, strides=STRIDES, mask="fg").withColumn("weight", F.round("weight", 6))
-    return W.agglomerate(e, v, "fg", least=20, grow=3.0, sampling=(5.0, 1.0, 1.0), size=(4, 32, 64))
+    b = X.bricks(spark, sf, A.SIZE, ("label", "pred")).withColumn("fg", F.expr("transform(pred, p -> p > 0)")).drop("pred")
+    e = A.edges(b, disturbed, strides=STRIDES, mask="fg", decimals=6, packed=True)
+    return W.agglomerate(e, b, "fg", least=20, grow=3.0, sampling=(5.0, 1.0, 1.0), size=(4, 32, 64))
 
 
 # --- bricks ----------------------------------------------------------------

@@ -35,6 +35,11 @@ def to_voxels(bricks: DataFrame, columns=("intensity", "label")) -> DataFrame:
     return e.select("volume", *(F.expr(f"CAST({at[a]} AS INT)").alias(a) for a in AXES), *(f"_v.{c}" for c in columns))
 
 
+def extents(bricks: DataFrame) -> DataFrame:
+    """(volume, dz, dy, dx), from the bricks' boxes."""
+    return bricks.groupBy("volume").agg(*(F.max(F.col(f"{a}0") + F.col(f"d{a}")).alias(f"d{a}") for a in AXES))
+
+
 def _loads(spark: SparkSession, path: str) -> list[int]:
     """The numbers of the loads in a folder of bricks; one that was not finished has none."""
     context = spark.sparkContext
