@@ -602,13 +602,12 @@ def solve_regions(e: pd.DataFrame, size) -> pd.DataFrame:
     dy, dx, edges = int(e["dy"].iloc[0]), int(e["dx"].iloc[0]), _unpacked(e)
     one = solve_block(edges)
     nodes, region = one["node"].to_numpy(), one["node"].to_numpy().copy()
-    at = [_block_of(edges[c].to_numpy(), dy, dx, size) for c in ("u", "v")]
-    for block in np.unique(np.concatenate(at)):
-        p = _first_pairs(edges[(at[0] == block) | (at[1] == block)])
-        if len(p):
-            p["in_a"], p["in_b"] = (_block_of(p[c].to_numpy(), dy, dx, size) == block for c in ("a", "b"))
-            told = settle_falling(p)
-            region[np.searchsorted(nodes, told["gone"].to_numpy())] = told["into"].to_numpy()
+    pairs = _first_pairs(edges)
+    in_a, in_b = (_block_of(pairs[c].to_numpy(), dy, dx, size) for c in ("a", "b"))
+    for block in np.unique(np.concatenate([in_a, in_b])):
+        own = (in_a == block) | (in_b == block)
+        told = settle_falling(pairs[own].assign(in_a=in_a[own] == block, in_b=in_b[own] == block))
+        region[np.searchsorted(nodes, told["gone"].to_numpy())] = told["into"].to_numpy()
     return pd.DataFrame({"node": nodes, "region": region, "instance": one["root"].to_numpy()})
 
 

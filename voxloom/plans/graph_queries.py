@@ -11,7 +11,6 @@ from voxloom.operators import affinities as A
 from voxloom.operators import components as K
 from voxloom.operators import mutex as W
 from voxloom.operators import neighbors as N
-from voxloom.operators import voxels as V
 from voxloom.operators.graph import cut, shared_folder
 from voxloom.plans.grid_queries import disturbed
 from voxloom.plans.voxel_queries import KEYS, NB, NEAR, VX
@@ -137,8 +136,8 @@ EDGES = (
 STRIDES = (1, 4, 4)
 
 
-def edges(spark, sf, decimals=None):
-    return A.edges(X.bricks(spark, sf, A.SIZE, ("label",)), disturbed, strides=STRIDES, decimals=decimals)
+def edges(spark, sf, decimals=None, packed=False):
+    return A.edges(X.bricks(spark, sf, A.SIZE, ("label",)), disturbed, strides=STRIDES, decimals=decimals, packed=packed)
 
 
 @query("mws_build_edges", f"{VX}{EDGES} SELECT volume, idx, mutex, u // 64 AS line, count(*) AS n, sum(v * (1 + u % 64))::BIGINT AS ends, round(sum(round(weight, 6) * (1 + u % 64)), 4) AS weighed FROM ed GROUP BY ALL")
@@ -174,7 +173,7 @@ def _(spark, sf):
 @query("mws_exact")
 def _(spark, sf):
     """The falling order over all edges of a volume, settled in blocks that grow."""
-    return W.exact(rounded_edges(spark, sf), V.extents(X.voxels(spark, sf)))
+    return W.exact(rounded_edges(spark, sf), B.extents(X.bricks(spark, sf, A.SIZE, ("label",))))
 
 
 @query("mws_boruvka")
@@ -186,7 +185,7 @@ def _(spark, sf):
 @query("mws_block_stitch")
 def _(spark, sf):
     """Sections 0..3 and 4..6 are solved apart and joined over the cut, edge by edge."""
-    named = W.stitch_blocks(rounded_edges(spark, sf), V.extents(X.voxels(spark, sf)), size=(4, 32, 64))
+    named = W.stitch_blocks(edges(spark, sf, 6, packed=True), B.extents(X.bricks(spark, sf, A.SIZE, ("label",))), size=(4, 32, 64))
     return named.groupBy("volume", "instance").agg(F.count("*").alias("n_voxels"), F.count_distinct("region").alias("n_regions"), F.min("node").alias("first_voxel")).select("volume", "first_voxel", "n_voxels", "n_regions")
 
 
