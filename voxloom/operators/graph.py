@@ -60,6 +60,19 @@ def broadcast_if_small(d: DataFrame) -> DataFrame:
     return F.broadcast(d) if d.count() <= SMALL_ROWS else d
 
 
+def small_and_large(packed: DataFrame, sizes: DataFrame, most: int, each: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``packed`` of volumes whose _n in ``sizes`` (volume, _n) is ``most`` or less,
+    dealt by volume to tasks of about ``each`` of that, and of larger ones, if any."""
+    sizes = cut(sizes)
+    small, n_large = sizes.agg(F.sum(F.when(F.col("_n") <= most, F.col("_n"))), F.count_if(F.col("_n") > most)).first()
+    tasks = max(packed.sparkSession.sparkContext.defaultParallelism, (small or 0) // each + 1)
+    if not n_large:
+        return packed.repartition(tasks, "volume"), None
+    large = broadcast_if_small(cut(sizes.where(F.col("_n") > most).select(F.col("volume").alias("_v"))))
+    is_large = packed["volume"].eqNullSafe(large["_v"])
+    return packed.join(large, is_large, "left_anti").repartition(tasks, "volume"), packed.join(large, is_large, "left_semi")
+
+
 def dealt_by_ranges(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     """``rows``, cut, in ranges of ``by`` and the whole ``order``, with _at: numbers
     that rise in that order, without gaps inside a range; a range is ``_at >> 33``.

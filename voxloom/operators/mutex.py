@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import grow_labels, min_size, nearest_in_array
-from voxloom.operators.graph import broadcast_if_small, components, cut, ranked_by_ranges, release
+from voxloom.operators.graph import broadcast_if_small, components, cut, ranked_by_ranges, release, small_and_large
 from voxloom.operators.neighbors import N_PULL, OFFSETS
 from voxloom.operators.voxels import AXES, extents
 from voxloom.sources.bricks import in_small_batches, to_voxels
@@ -101,7 +101,7 @@ def _by_volume(edges: DataFrame, most: int, extra: tuple = ()) -> tuple[DataFram
     ``edges`` may have come packed (volume, n, data)."""
 
     packed = cut(edges.select("volume", "n", "data") if is_packed(edges) else _packed_rows(edges, extra), wide=True)
-    return _small_and_large(packed, packed.groupBy("volume").agg(F.sum("n").alias("_n")), most)
+    return small_and_large(packed, packed.groupBy("volume").agg(F.sum("n").alias("_n")), most, TASK_EDGES)
 
 
 def _packed_rows(edges: DataFrame, extra: tuple = ()) -> DataFrame:
@@ -114,19 +114,6 @@ def _packed_rows(edges: DataFrame, extra: tuple = ()) -> DataFrame:
     return e.mapInPandas(run, f"volume string, n bigint, data binary{''.join(f', {c} binary' for c in extra)}")
 
 
-def _small_and_large(packed: DataFrame, sizes: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of ``packed`` of volumes whose _n in ``sizes`` (volume, _n) is ``most`` or less,
-    dealt by volume to tasks of about ``TASK_EDGES`` of that, and of larger ones, if any."""
-    sizes = cut(sizes)
-    small, n_large = sizes.agg(F.sum(F.when(F.col("_n") <= most, F.col("_n"))), F.count_if(F.col("_n") > most)).first()
-    tasks = max(packed.sparkSession.sparkContext.defaultParallelism, (small or 0) // TASK_EDGES + 1)
-    if not n_large:
-        return packed.repartition(tasks, "volume"), None
-    large = broadcast_if_small(cut(sizes.where(F.col("_n") > most).select(F.col("volume").alias("_v"))))
-    is_large = packed["volume"].eqNullSafe(large["_v"])
-    return packed.join(large, is_large, "left_anti").repartition(tasks, "volume"), packed.join(large, is_large, "left_semi")
-
-
 def is_packed(edges: DataFrame) -> bool:
     return set(edges.columns) == {"volume", "n", "data"}
 
@@ -885,7 +872,7 @@ def agglomerate(
     e = (edges.select("volume", "n", "data") if is_packed(edges) else _packed_rows(edges)).withColumns({f"d{a}": F.lit(0).cast("bigint") for a in AXES})
     packed = cut(e.unionByName(_packed_voxels(voxels, foreground).withColumn("n", F.lit(0).cast("bigint"))), wide=True)
     box = F.max("dz") * F.max("dy") * F.max("dx")
-    fit, large = _small_and_large(packed, packed.groupBy("volume").agg(F.greatest(F.sum("n"), box).alias("_n")), most_whole)
+    fit, large = small_and_large(packed, packed.groupBy("volume").agg(F.greatest(F.sum("n"), box).alias("_n")), most_whole, TASK_EDGES)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         of_edges = p["dz"] == 0

@@ -7,6 +7,7 @@ differ by volume.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -15,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.operators.sampling import draw, draw_bits, draw_int
-from voxloom.operators.voxels import AXES, extents, nearest_surviving
+from voxloom.operators.graph import cut, small_and_large
+from voxloom.operators.sampling import DRAW_BITS, draw, draw_bits, draw_int
+from voxloom.operators.voxels import AXES, extents, minmax_norm, nearest_surviving
 from voxloom.sources.bricks import KINDS, cut_at_borders, in_small_batches, to_voxels
 
 KEYS = ["volume", *AXES]
@@ -265,9 +267,107 @@ def section_gamma(voxels: DataFrame, low: float, high: float, seed: int, value:
     return voxels.withColumn(value, F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value))), g))
 
 
-def degrade_pair(voxels: DataFrame, zf: float, seed: int, degraded: bool = True, value: str = "intensity") -> DataFrame:
+def draws(texts) -> np.ndarray:
+    """``sampling.draw_bits`` of texts, the seed and the keys joined by colons."""
+    return np.frombuffer(b"".join(b"\0\0" + hashlib.md5(t.encode()).digest()[: DRAW_BITS // 8] for t in texts), ">u8").astype(np.int64)
+
+
+def normed_array(a: np.ndarray) -> np.ndarray:
+    """As ``voxels.minmax_norm``, to which what is not a number is the largest."""
+    lo, hi = np.fmin.reduce(a, axis=None), a.max()
+    return (a - lo) / (hi - lo) if hi > lo or (np.isnan(hi) and not np.isnan(lo)) else a
+
+
+def weighed_in_z(a: np.ndarray, m: int, kind: str) -> np.ndarray:
+    """``a`` on ``m`` sections, as ``resample`` does it."""
+    t, j, w = targets_of(0, len(a), len(a), m, kind)
+    return np.add.reduceat(a[j] * w[:, None, None], np.flatnonzero(np.diff(t, prepend=-1)), axis=0)
+
+
+def degraded_array(volume: str, a: np.ndarray, zf: float, seed: int) -> np.ndarray:
+    """What ``degrade_pair`` does, of a whole volume as one array."""
+    d = weighed_in_z(a, max(1, round(len(a) / zf)), "pool")
+    n, unit, of = len(d), float(1 << DRAW_BITS), f"{seed}:{volume}"
+    for k, axis in ((1, 1), (2, 2)):
+        w = d.shape[axis]
+        shift = (draws(f"{of}:{z}:{k}" for z in range(n)) / unit * 2 - 1) * 0.5 * (w / max(w - 1, 1))
+        at = np.arange(w) + shift[:, None]
+        low = np.floor(at).astype(np.int64)
+        frac = np.expand_dims(at - low, 3 - axis)
+        near = [np.expand_dims(np.where((low + step) % (2 * w) < w, (low + step) % (2 * w), 2 * w - 1 - (low + step) % (2 * w)), 3 - axis) for step in (0, 1)]
+        d = np.take_along_axis(d, near[0], axis) * (1 - frac) + np.take_along_axis(d, near[1], axis) * frac
+    gone = np.argsort(draws(f"{of}:{z}" for z in range(n)), kind="stable")[:1]
+    left = np.setdiff1d(np.arange(n), gone)
+    if not len(left):
+        d = np.zeros_like(d)
+    for z in gone[: len(left)]:
+        d[z] = d[left[np.argmin(np.abs(left - z))]]  # the first of two as near is the lower
+    y, x = (v.ravel().tolist() for v in np.indices(d.shape[1:]))
+    for z in range(n):
+        u1, u2 = (draws(f"{of}:{z}:{i}:{j}:{k}" for i, j in zip(y, x, strict=True)).reshape(d.shape[1:]) / unit for k in (1, 2))
+        std, gamma = draws((f"{of}:{z}", f"{of}:{z}:3")) / unit
+        noisy = d[z] + np.sqrt(-2 * np.log(np.maximum(u1, 1e-12))) * np.cos(2 * math.pi * u2) * (std * 0.05)
+        d[z] = np.maximum(0.0, np.fmin(1.0, noisy)) ** (gamma * (1.25 - 0.8) + 0.8)
+    return weighed_in_z(d, len(a), "linear")
+
+
+VOLUME_VOXELS = 1_000_000  # of a volume that a task degrades whole
+TASK_VOXELS = 1_000_000  # of small volumes that a task degrades, one after the other
+
+
+def degrade_pair(voxels: DataFrame, zf: float, seed: int, degraded: bool = True, value: str = "intensity", normalize: bool = False) -> DataFrame:
     """(volume, z, y, x, degraded, clean): pooled in z, jittered, a section lost,
-    noise, contrast, and back on the grid it had. The clean value is always there."""
+    noise, contrast, and back on the grid it had. The clean value is always there.
+    With ``normalize``, values are first put between 0 and 1 (``minmax_norm``).
+
+    ``voxels`` may be bricks: of these, volumes of ``VOLUME_VOXELS`` or fewer that have all
+    voxels of their box are degraded whole, as arrays; what is left goes a row a voxel."""
+    if "bz" not in voxels.columns:
+        return _degraded_rows(minmax_norm(voxels, value).withColumn(value, F.col("norm")).drop("norm") if normalize else voxels, zf, seed, degraded, value)
+    if not degraded:
+        return degrade_pair(to_voxels(voxels, (value,)), zf, seed, False, value, normalize)
+    box = ("z0", "y0", "x0", "dz", "dy", "dx")
+
+    def packed(batches):
+        for b in batches:
+            yield b[["volume", *box]].assign(data=[pa.compress(np.asarray(v, "<f8").tobytes(), codec="zstd", asbytes=True) for v in b[value]])
+
+    def opened(r) -> np.ndarray:
+        n = r.dz * r.dy * r.dx
+        return np.frombuffer(pa.decompress(r.data, decompressed_size=8 * n, codec="zstd", asbytes=True), "<f8").reshape(r.dz, r.dy, r.dx)
+
+    held = cut(in_small_batches(voxels).where("volume IS NOT NULL").select("volume", *box, F.col(value).cast("array<double>").alias(value)).mapInPandas(packed, f"volume string, {', '.join(f'{c} int' for c in box)}, data binary"), wide=True)
+    ends = [F.max(F.col(f"{a}0") + F.col(f"d{a}")).cast("bigint") for a in AXES]
+    whole = ends[0] * ends[1] * ends[2]
+    # a volume with gaps counts as a large one
+    size = F.when(F.sum(F.col("dz").cast("bigint") * F.col("dy") * F.col("dx")) == whole, whole).otherwise(F.lit((1 << 63) - 1))
+    fit, large = small_and_large(held, held.groupBy("volume").agg(size.alias("_n")), VOLUME_VOXELS, TASK_VOXELS)
+
+    # as Arrow, since pandas would make nulls of what is not a number
+    def run(table: pa.Table) -> pa.Table:
+        b = table.to_pandas()
+        volume, a = b["volume"].iloc[0], np.empty([int((b[f"{c}0"] + b[f"d{c}"]).max()) for c in AXES])
+        for r in b.itertuples(index=False):
+            a[r.z0 : r.z0 + r.dz, r.y0 : r.y0 + r.dy, r.x0 : r.x0 + r.dx] = opened(r)
+        clean = normed_array(a) if normalize else a
+        at = (v.ravel() for v in np.indices(a.shape, np.int32))
+        return pa.table([pa.repeat(volume, a.size), *at, clean.ravel(), degraded_array(volume, clean, zf, seed).ravel()], [*KEYS, "clean", "degraded"])
+
+    def rows(batches):
+        for b in batches:
+            for r in b.to_pandas().itertuples(index=False):
+                at = (v.ravel() + np.int32(s) for v, s in zip(np.indices((r.dz, r.dy, r.dx), np.int32), (r.z0, r.y0, r.x0), strict=True))
+                a = opened(r).ravel()
+                yield pa.RecordBatch.from_arrays([pa.repeat(r.volume, a.size), *map(pa.array, (*at, a))], [*KEYS, "intensity"])
+
+    out = fit.groupBy("volume").applyInArrow(run, "volume string, z int, y int, x int, clean double, degraded double")
+    if large is None:
+        return out
+    return out.unionByName(degrade_pair(large.mapInArrow(rows, "volume string, z int, y int, x int, intensity double"), zf, seed, normalize=normalize))
+
+
+def _degraded_rows(voxels: DataFrame, zf: float, seed: int, degraded: bool, value: str) -> DataFrame:
+    """``degrade_pair`` a row a voxel, for volumes of any size."""
     clean = voxels.select(*KEYS, F.col(value).alias("clean"))
     if not degraded:
         return clean.withColumn("degraded", F.col("clean"))

@@ -281,7 +281,7 @@ def _(spark, sf):
 
 @query("deg_degrade_pair")
 def _(spark, sf):
-    return R.degrade_pair(normed(spark, sf), 2.0, 3)
+    return R.degrade_pair(X.bricks(spark, sf, (8, 64, 64), ("intensity",)), 2.0, 3, normalize=True)
 
 
 def flipped(a, k, last):
