@@ -94,7 +94,7 @@ def test_row_groups_of_wide_rows_are_small(spark):
     assert len(groups) >= 4 and max(groups) <= 12 << 20 and table.count() == 40
 
 
-@pytest.mark.parametrize("name", ["mws_block_stitch", "mws_agglomerate"])
+@pytest.mark.parametrize("name", ["mws_exact", "mws_block_stitch", "mws_agglomerate"])
 def test_queries_make_no_row_a_voxel_before_the_last_step(spark, monkeypatch, name):
     monkeypatch.setattr(G.X, "voxels", lambda *a: pytest.fail("a row a voxel"))
     monkeypatch.setattr(W, "_in_passes", lambda *a: pytest.fail("a volume that fits a task goes by blocks"))

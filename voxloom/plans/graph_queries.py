@@ -173,7 +173,7 @@ def _(spark, sf):
 @query("mws_exact")
 def _(spark, sf):
     """The falling order over all edges of a volume, settled in blocks that grow."""
-    return W.exact(rounded_edges(spark, sf), B.extents(X.bricks(spark, sf, A.SIZE, ("label",))))
+    return W.exact(edges(spark, sf, 6, packed=True), B.extents(X.bricks(spark, sf, A.SIZE, ("label",))))
 
 
 @query("mws_boruvka")
